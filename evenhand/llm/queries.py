@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from evenhand.llm import line_rules, mixing
+from evenhand.llm import langid, line_rules, mixing, ngram_join
 
 QUERIES = {
+    "op3_language": langid.op3_language,
     "op5_mixing": mixing.op5_mix,
     "op7_line_rules": line_rules.op7_line_rules,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
 }
 
 SQL = {
