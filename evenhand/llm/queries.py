@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from evenhand.llm import langid, line_rules, mixing, ngram_join
+from evenhand.llm import bpe, hamming, langid, line_rules, mixing, ngram_join, shards, toolcalls, urls, warc
 
 QUERIES = {
+    "op1_top_k": hamming.op1_top_k,
+    "op2_url_filter": urls.op2_url_filter,
     "op3_language": langid.op3_language,
+    "op4_tool_calls": toolcalls.op4_tool_calls,
     "op5_mixing": mixing.op5_mix,
+    "op6_shards": shards.op6_shards,
     "op7_line_rules": line_rules.op7_line_rules,
     "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
+    "op1_top_k": hamming.SQL,
+    "op4_tool_calls": toolcalls.SQL,
     "op5_mixing": mixing.SQL,
     "op7_line_rules": line_rules.SQL,
+    "op10_warc": warc.SQL,
 }
