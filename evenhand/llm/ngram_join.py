@@ -7,9 +7,10 @@
    whatever the corpus. Any order gives the same links; a good one gives fewer candidates.
 3. Sets that are similar enough share a shingle among their first ``n - ceil(t * n) + 1``. Those prefixes are dealt
    out by hash range, packed; what only one set has is dropped there.
-4. In each shared shingle's group, one member (a hub) is compared with the others: linear in the group. Groups that
-   the links so found leave in several components get further hubs, and at last every pair across components, so no
-   link that could join two components goes unchecked.
+4. Shingles that the same sets share are one group, weighted by their number. In each group, one member (a hub) is
+   compared with the others: linear in the group. Groups that the links so found leave in several components get
+   further hubs, and at last every pair across components, so no link that could join two components goes unchecked.
+   Pairs that share too few prefix shingles to link, given their sizes, are never compared.
 5. A comparison loads candidates of one hub, a bounded block at a time, into a prefix tree in global order and walks
    it once: branches share their overlap with the hub, and a branch is left as soon as its overlap so far plus what
    remains cannot reach the least overlap any of its sets needs.
@@ -156,14 +157,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not len(start):
         return
     size = np.diff(np.append(start, len(t)))
-    hub = np.repeat(np.minimum.reduceat(d, start), size)
-    at = np.flatnonzero(d == hub)
-    hub_n = np.zeros(len(start), np.int64)
-    hub_n[np.repeat(np.arange(len(start)), size)[at]] = m[at]
-    hub_n = np.repeat(hub_n, size)
-    for a in range(0, len(t), 100_000):
+    # groups of the same members become one, with the number of their shingles as its weight
+    members = np.add.reduceat(mix64(d.view(np.uint64)), start) + size.astype(np.uint64)
+    key, at, weight = np.unique(members, return_index=True, return_counts=True)
+    rows = np.repeat(start[at] - np.concatenate([[0], np.cumsum(size[at])[:-1]]), size[at]) + np.arange(size[at].sum())
+    key, weight = np.repeat(key, size[at]).view(np.int64), np.repeat(weight, size[at])
+    d, m = d[rows], m[rows].astype(np.int64)
+    for a in range(0, len(d), 100_000):
         b = a + 100_000
-        yield pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (t.view(np.int64), d, m.astype(np.int64), hub, hub_n)], ["tok", "doc", "n", "hub", "hub_n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (key, d, m, weight)], ["grp", "doc", "n", "w"])
 
 
 class Branch:
@@ -284,10 +286,18 @@ class NgramJoin:
         texts = self._pick(cut(members.union(own), "wanted"))
         return texts.groupBy("hub", "salt").applyInArrow(_compare(self.levels, self.k, self.t), "a long, b long")
 
-    def _near(self, n: str, m: str):
-        """Sizes that may still be similar enough."""
+    def _may_link(self, n: str, c: str, m: str, d: str, both: str | None = None):
+        """False for pairs of sets (sizes n, m; c, d prefix shingles that others have too) that cannot link.
+
+        Up to where the first of the two prefixes ends, both sets are known, and they share no more than ``both``
+        shingles there (or the lesser of c and d); after it, no more than what is left of that set.
+        """
         pct = round(self.t * 100)
-        return (F.col(n) * 100 >= F.col(m) * pct) & (F.col(m) * 100 >= F.col(n) * pct)
+        n, m = F.col(n), F.col(m)
+        shared = F.col(both) if both else F.least(F.col(c), F.col(d))
+        left = F.ceil(F.greatest(n, m) * pct / 100) - 1
+        need = F.ceil((n + m) * pct / (100 + pct) - 1e-9)
+        return (n * 100 >= m * pct) & (m * 100 >= n * pct) & (shared + left >= need)
 
     def _fresh(self, pairs: DataFrame, done: DataFrame | None) -> DataFrame:
         """Distinct pairs (a, b), unordered, that were not compared before."""
@@ -296,6 +306,32 @@ class NgramJoin:
             pairs = pairs.join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         return cut(pairs, "pairs")
 
+    def _placed(self, groups: DataFrame, comp: DataFrame | None) -> DataFrame:
+        if comp is None:
+            return groups.withColumn("comp", F.col("rep"))
+        return groups.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    def _stars(self, placed: DataFrame) -> DataFrame:
+        """Pairs of each group's hub with the members of other components.
+
+        The hub is the member outside the group's largest component whose prefix others share most, as what lies
+        in the middle of a cluster has fewest shingles of its own.
+        """
+        score = F.struct((F.col("c") / F.col("n")).alias("s"), (-F.col("rep")).alias("x"), "n", "c", "comp")
+        held = placed.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("held"), F.max(score).alias("best"))
+        largest = held.groupBy("grp").agg(F.max(F.struct("held", "comp")).alias("main"))
+        several = held.join(largest, "grp").filter((F.col("comp") != F.col("main.comp")) | (F.col("main.held") == 1))
+        hub = several.groupBy("grp").agg(F.max("best").alias("h"))
+        hub = hub.select("grp", (-F.col("h.x")).alias("x"), F.col("h.n").alias("m"), F.col("h.c").alias("d"), F.col("h.comp").alias("hub_comp"))
+        return placed.join(hub, "grp").filter("comp <> hub_comp").filter(self._may_link("n", "c", "m", "d")).select("x", F.col("rep").alias("y"))
+
+    def _crossing(self, placed: DataFrame) -> DataFrame:
+        """Every pair across components that may link, by the shingles that the two share in their prefixes."""
+        left = placed.select("grp", F.col("rep").alias("x"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("comp").alias("own"))
+        pairs = placed.join(left, "grp").filter("own < comp").filter(self._may_link("n", "c", "m", "d"))
+        pairs = pairs.groupBy("x", F.col("rep").alias("y"), "n", "m").agg(F.sum("w").alias("both"))
+        return pairs.filter(self._may_link("n", "", "m", "", "both")).select("x", "y")
+
     def run(self) -> DataFrame:
         """(id, n, rep, comp) of every input row."""
         profile = cut(self.docs.mapInArrow(_profile(self.k), "id long, n long, s1 long, s2 long, seen binary"), "profile")
@@ -308,38 +344,32 @@ class NgramJoin:
         ranges = max(64, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         packed = self.docs.mapInArrow(_prefixes(self.levels, self.k, self.t, ranges), "part long, blob binary")
         dealt = packed.repartition(max(ranges // 4, 1), "part").select("blob")
-        shared = dealt.mapInArrow(_shared, "tok long, doc long, n long, hub long, hub_n long")
+        shared = dealt.mapInArrow(_shared, "grp long, doc long, n long, w long")
+        shared = shared.groupBy("grp", "doc").agg(F.first("n").alias("n"), F.sum("w").alias("w"))
         one = copy_of.select(F.col("id").alias("doc"), "rep")
-        groups = cut(shared, "shared")
-        stars = groups.filter(F.col("doc") != F.col("hub")).filter(self._near("n", "hub_n")).select("doc", "hub").distinct()
-        stars = stars.join(one.withColumnRenamed("rep", "y"), "doc").join(one.select(F.col("doc").alias("hub"), F.col("rep").alias("x")), "hub")
-        pairs = self._fresh(stars, None)
-        links, done = cut(self._verify(pairs), "links"), pairs
-        groups = cut(groups.join(one, "doc").groupBy("tok", "rep").agg(F.first("n").alias("n")), "groups")
-        comp = components(links)
+        groups = cut(shared.join(one, "doc").groupBy("grp", "rep").agg(F.first("n").alias("n"), F.max("w").alias("w")), "groups")
+        links = done = comp = None
         for turn in range(1, self.hubs + 1):
-            # only groups in more than one component can still hold a link that matters
-            placed = groups.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            mixed = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-            groups = cut(placed.join(mixed, "tok").select("tok", "rep", "n"), "groups")
-            placed = groups.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+            if comp is not None:  # only groups in more than one component can still hold a link that matters
+                placed = self._placed(groups, comp)
+                mixed = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("grp")
+                groups = cut(placed.join(mixed, "grp").select("grp", "rep", "n", "w"), "groups")
+            counts = groups.groupBy("rep").agg(F.sum("w").alias("c"))
+            placed = cut(self._placed(groups.join(counts, "rep"), comp), "placed")
             if turn < self.hubs:
-                held = placed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("rep", "n")).alias("low"))
-                largest = held.groupBy("tok").agg(F.max(F.struct("held", "comp"))["comp"].alias("main"))
-                # the hub is of the largest of the other components
-                hub = held.join(largest, "tok").filter("comp <> main").groupBy("tok").agg(F.max(F.struct("held", "low", "comp")).alias("h"))
-                hub = hub.select("tok", F.col("h.low.rep").alias("x"), F.col("h.low.n").alias("m"), F.col("h.comp").alias("hub_comp"))
-                found = placed.join(hub, "tok").filter("comp <> hub_comp").filter(self._near("n", "m")).select("x", F.col("rep").alias("y"))
+                found = self._stars(placed)
             else:
-                left = placed.select("tok", F.col("rep").alias("x"), F.col("n").alias("m"), F.col("comp").alias("own"))
-                found = placed.join(left, "tok").filter("own < comp").filter(self._near("n", "m")).select("x", F.col("rep").alias("y"))
+                found = self._crossing(placed)
             pairs = self._fresh(found, done)
             if pairs.isEmpty():
                 continue
             more = cut(self._verify(pairs), "links")
-            links, done = links.union(more), done.union(pairs)
-            if turn < self.hubs and not more.isEmpty():
+            links = more if links is None else links.union(more)
+            done = pairs if done is None else done.union(pairs)
+            if turn < self.hubs and (comp is None or not more.isEmpty()):
                 comp = components(links)
+        if links is None:
+            links = same.limit(0)
         comp = components(links.union(same))
         out = rows.select("id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left")
         return out.select("id", "n", F.coalesce("comp", "id").alias("comp"))
