@@ -35,6 +35,8 @@ CELLS = 1 << 20
 BLOCK = 256
 #: Document ids up to this many are broadcast to pick texts (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Sets of a cluster that one side of a task holds when pairs across components are counted.
+CLUSTER_BLOCK = 2048
 #: Prefix entries a task holds before it passes them on.
 FLUSH = 1 << 18
 
@@ -168,6 +170,40 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (key, d, m, weight)], ["grp", "doc", "n", "w"])
 
 
+def _cross(pct: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lo, hi = key[1].as_py(), key[2].as_py()
+        col = {c: table.column(c).to_numpy() for c in ("rep", "n", "c", "comp", "own", "w")}
+        reps, at, doc = np.unique(col["rep"], return_index=True, return_inverse=True)
+        n, comp, own = col["n"][at], col["comp"][at], col["own"][at]
+        _, grp = np.unique(table.column("grp").to_numpy(), return_inverse=True)
+        by_grp = np.argsort(grp, kind="stable")
+        start = np.searchsorted(grp[by_grp], np.arange(grp.max() + 2))
+        members, weight = doc[by_grp], col["w"][by_grp]
+        by_doc = np.argsort(doc, kind="stable")
+        first = np.searchsorted(doc[by_doc], np.arange(len(reps) + 1))
+        kinds, counts = np.unique(comp, return_counts=True)
+        main = kinds[counts.argmax()]
+        xs, ys = [], []
+        for x in np.flatnonzero(comp != main).tolist():  # of two components one at least is not the largest
+            lists = [(start[g], start[g + 1]) for g in grp[by_doc[first[x] : first[x + 1]]].tolist()]
+            near = np.concatenate([members[a:b] for a, b in lists])
+            both = np.bincount(near, weights=np.concatenate([weight[a:b] for a, b in lists]), minlength=len(reps))
+            y = np.flatnonzero(both)
+            y = y[(comp[y] != comp[x]) & ((comp[y] == main) | (reps[y] > reps[x]))]
+            y = y[((own[x] == lo) & (own[y] == hi)) | ((own[x] == hi) & (own[y] == lo))]
+            big, total = np.maximum(n[y], n[x]), n[y] + n[x]
+            need = -(-pct * total // (100 + pct))
+            ok = (100 * np.minimum(n[y], n[x]) >= pct * big) & (both[y] + -(-big * pct // 100) - 1 >= need)
+            y = y[ok]
+            xs.append(np.full(len(y), reps[x]))
+            ys.append(reps[y])
+        empty = np.zeros(0, np.int64)
+        return pa.table({"x": pa.array(np.concatenate(xs) if xs else empty, pa.int64()), "y": pa.array(np.concatenate(ys) if ys else empty, pa.int64())})
+
+    return run
+
+
 class Branch:
     """A node of the prefix tree: the run of shingles that leads to it, its children, the sets that end here."""
 
@@ -286,15 +322,15 @@ class NgramJoin:
         texts = self._pick(cut(members.union(own), "wanted"))
         return texts.groupBy("hub", "salt").applyInArrow(_compare(self.levels, self.k, self.t), "a long, b long")
 
-    def _may_link(self, n: str, c: str, m: str, d: str, both: str | None = None):
+    def _may_link(self, n: str, c: str, m: str, d: str):
         """False for pairs of sets (sizes n, m; c, d prefix shingles that others have too) that cannot link.
 
-        Up to where the first of the two prefixes ends, both sets are known, and they share no more than ``both``
-        shingles there (or the lesser of c and d); after it, no more than what is left of that set.
+        Up to where the first of the two prefixes ends, both sets are known, and they share no more than the lesser
+        of c and d there; after it, no more than what is left of that set.
         """
         pct = round(self.t * 100)
         n, m = F.col(n), F.col(m)
-        shared = F.col(both) if both else F.least(F.col(c), F.col(d))
+        shared = F.least(F.col(c), F.col(d))
         left = F.ceil(F.greatest(n, m) * pct / 100) - 1
         need = F.ceil((n + m) * pct / (100 + pct) - 1e-9)
         return (n * 100 >= m * pct) & (m * 100 >= n * pct) & (shared + left >= need)
@@ -326,11 +362,21 @@ class NgramJoin:
         return placed.join(hub, "grp").filter("comp <> hub_comp").filter(self._may_link("n", "c", "m", "d")).select("x", F.col("rep").alias("y"))
 
     def _crossing(self, placed: DataFrame) -> DataFrame:
-        """Every pair across components that may link, by the shingles that the two share in their prefixes."""
-        left = placed.select("grp", F.col("rep").alias("x"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("comp").alias("own"))
-        pairs = placed.join(left, "grp").filter("own < comp").filter(self._may_link("n", "c", "m", "d"))
-        pairs = pairs.groupBy("x", F.col("rep").alias("y"), "n", "m").agg(F.sum("w").alias("both"))
-        return pairs.filter(self._may_link("n", "", "m", "", "both")).select("x", "y")
+        """Every pair across components that may link, by the shingles that the two share in their prefixes.
+
+        Sets that groups connect are one cluster. A cluster is cut into blocks of bounded size, and each pair of blocks is a
+        task of its own, which counts shared shingles from the groups' member lists and passes on only pairs that
+        the counts leave possible.
+        """
+        low = placed.groupBy("grp").agg(F.min("rep").alias("low"))
+        ties = placed.select("grp", "rep").join(low, "grp").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+        cluster = components(ties).withColumnsRenamed({"node": "rep", "comp": "cluster"})
+        cluster = cut(cluster, "clusters")
+        size = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).cast("long").alias("blocks"))
+        rows = placed.join(cluster, "rep").join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
+        return rows.groupBy("cluster", "lo", "hi").applyInArrow(_cross(round(self.t * 100)), "x long, y long")
 
     def run(self) -> DataFrame:
         """(id, n, rep, comp) of every input row."""
