@@ -154,14 +154,21 @@ def fold_merges(word: Column, ranks: RankMap, bytes_: Column) -> Column:
     return bind(F.transform(word, lambda x: F.get(bytes_, x)), whole)
 
 
+def _pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of ids as little-endian unsigned 32-bit integers in one byte string each."""
+    for batch in batches:
+        rows = [np.asarray(x, "<u4").tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["w", "ids"])
+
+
 def _split(pattern: str, known):
     """Tokens by ``pattern``: ids of known words as runs of bytes, other words as byte arrays, in turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, cache = regex.compile(pattern).findall, known.value
-        get = cache.get
+        find, table = regex.compile(pattern).findall, pa.ipc.open_stream(known.value).read_all()
+        get = dict(zip(table["w"].to_pylist(), table["ids"].to_pylist(), strict=True)).get
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(1)):
                 raw = data.tobytes()
@@ -214,7 +221,7 @@ class ByteBpe:
     saves time, as any word that is not in it goes through the fold where it is met.
     """
 
-    def __init__(self, spark: SparkSession, vocab: Vocabulary, cache_rows: int = 40_000, cache_words: int = 500_000):
+    def __init__(self, spark: SparkSession, vocab: Vocabulary, cache_rows: int = 25_000, cache_words: int = 300_000):
         self.spark, self.vocab = spark, vocab
         self.cache_rows, self.cache_words = cache_rows, cache_words
         self.ranks = RankMap.build(vocab.pairs())
@@ -222,8 +229,8 @@ class ByteBpe:
     def fold(self, words: DataFrame, word: str, to: str) -> DataFrame:
         return words.withColumn(to, fold_merges(F.col(word), self.ranks, byte_ids(self.vocab)))
 
-    def _known(self, docs: DataFrame, text_col: str) -> dict[str, bytes]:
-        """Ids of pieces, and of the ``cache_words`` most frequent other words of about ``cache_rows`` texts."""
+    def _known(self, docs: DataFrame, text_col: str) -> bytes:
+        """Ids of pieces, and of the ``cache_words`` most frequent words of about ``cache_rows`` texts, as an Arrow stream."""
         total = max(1, docs.count())
         text = F.coalesce(F.col(text_col), F.lit(""))
         some = docs.select(text.alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(max(1, total // self.cache_rows))) == 0)
@@ -231,14 +238,20 @@ class ByteBpe:
         tokens = some.select(F.explode(F.regexp_extract_all("t", F.lit("(?U)" + pattern), F.lit(0))).alias("w"))
         top = tokens.groupBy("w").count().orderBy(F.desc("count"), "w").limit(self.cache_words)
         values = F.transform(F.sequence(F.lit(1), F.octet_length("w")), lambda i: F.conv(F.hex(F.substring(F.col("w").cast("binary"), i, F.lit(1))), 16, 10).cast("int"))
-        got = self.fold(top.select("w", values.alias("b")).repartition(16), "b", "ids").select("w", "ids").toArrow()
-        known = {w: np.asarray(i, "<u4").tobytes() for w, i in zip(got["w"].to_pylist(), got["ids"].to_pylist(), strict=True)}
+        folded = self.fold(top.select("w", values.alias("b")).repartition(16), "b", "ids")
+        words = folded.select("w", F.transform("ids", lambda x: x.cast("int")).alias("ids")).mapInArrow(_pack_ids, "w string, ids binary").toArrow()
+        whole = {}
         for piece, rank in self.vocab.ranks.items():
             try:
-                known[piece.decode()] = np.asarray([rank], "<u4").tobytes()
+                whole[piece.decode()] = np.asarray([rank], "<u4").tobytes()
             except UnicodeDecodeError:
                 continue
-        return known
+        pieces = pa.table({"w": pa.array(list(whole), pa.string()), "ids": pa.array(list(whole.values()), pa.binary())})
+        sink = pa.BufferOutputStream()
+        both = pa.concat_tables([words.select(["w", "ids"]).cast(pieces.schema), pieces])
+        with pa.ipc.new_stream(sink, both.schema) as out:
+            out.write_table(both)
+        return sink.getvalue().to_pybytes()
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(``id_col``, ids) of every input row: ids are little-endian unsigned 32-bit integers in a binary column.
