@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenhand.llm.common import small_batches
 from evenhand.llm.textarrays import slices
 
 #: Above every rank: this pair of pieces is no piece.
@@ -169,6 +170,7 @@ def _split(pattern: str, known):
 
         find, table = regex.compile(pattern).findall, pa.ipc.open_stream(known.value).read_all()
         get = dict(zip(table["w"].to_pylist(), table["ids"].to_pylist(), strict=True)).get
+        del table
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(1)):
                 raw = data.tobytes()
@@ -196,22 +198,30 @@ def _split(pattern: str, known):
     return run
 
 
-def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs and the ids of the words between them become one byte string a text."""
-    for batch in batches:
-        ids = []
-        outer = batch.column(2)
-        inner = outer.flatten()
-        values = inner.flatten().to_numpy().astype("<u4").tobytes()
-        ends = np.concatenate([[0], np.cumsum(np.diff(inner.offsets.to_numpy()))]).tolist() if len(inner) else [0]
-        at = 0
-        for own in batch.column(1).to_pylist():
-            parts = [own[0]]
-            for x in own[1:]:
-                parts += (values[4 * ends[at] : 4 * ends[at + 1]], x)
-                at += 1
-            ids.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+def _join_runs(pieces):
+    """Runs and the ids of the words between them become one byte string a text; with ``pieces``, decoded as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = pieces.value.__getitem__ if pieces is not None else None
+        for batch in batches:
+            inner = batch.column(2).flatten()
+            values = inner.flatten().to_numpy().astype("<u4").tobytes()
+            ends = np.concatenate([[0], np.cumsum(np.diff(inner.offsets.to_numpy()))]).tolist() if len(inner) else [0]
+            at, rows = 0, batch.column(1)
+            for lo in range(0, len(batch), 256):
+                ids = []
+                for own in rows.slice(lo, 256).to_pylist():
+                    parts = [own[0]]
+                    for x in own[1:]:
+                        parts += (values[4 * ends[at] : 4 * ends[at + 1]], x)
+                        at += 1
+                    ids.append(b"".join(parts))
+                out = [batch.column(0).slice(lo, 256), pa.array(ids, pa.binary())]
+                if get is not None:
+                    out.append(pa.array([b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
+
+    return run
 
 
 class ByteBpe:
@@ -223,6 +233,7 @@ class ByteBpe:
 
     def __init__(self, spark: SparkSession, vocab: Vocabulary, cache_rows: int = 25_000, cache_words: int = 300_000):
         self.spark, self.vocab = spark, vocab
+        small_batches(spark)
         self.cache_rows, self.cache_words = cache_rows, cache_words
         self.ranks = RankMap.build(vocab.pairs())
 
@@ -253,9 +264,17 @@ class ByteBpe:
             out.write_table(both)
         return sink.getvalue().to_pybytes()
 
-    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def _pieces(self):
+        pieces = [b""] * (max(self.vocab.ranks.values()) + 1)
+        for piece, rank in self.vocab.ranks.items():
+            pieces[rank] = piece
+        return self.spark.sparkContext.broadcast(pieces)
+
+    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
         """(``id_col``, ids) of every input row: ids are little-endian unsigned 32-bit integers in a binary column.
 
+        With ``decoded``, also the bytes that the ids decode to, made from the ids where they are put together.
+
         Each match of the pattern is encoded by itself, without special tokens; a null text is empty and has no
         ids. Whole texts are read; rows keep their ids, repeated or null; an empty table gives an empty table; only
         the two named columns are read.
@@ -266,14 +285,12 @@ class ByteBpe:
         split = docs.select(F.col(id_col).alias("key"), text.alias("t")).mapInArrow(_split(self.vocab.pattern, known), f"key {kind}, runs array<binary>, words array<array<int>>")
         ranks, bytes_ = self.ranks, byte_ids(self.vocab)
         folded = split.select("key", "runs", F.transform("words", lambda w: fold_merges(w, ranks, bytes_)).alias("ids"))
-        return folded.mapInArrow(_join_runs, f"key {kind}, ids binary").withColumnRenamed("key", id_col)
+        schema = f"key {kind}, ids binary" + ", decoded binary" * decoded
+        return folded.mapInArrow(_join_runs(self._pieces() if decoded else None), schema).withColumnRenamed("key", id_col)
 
     def decode(self, encoded: DataFrame, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
         """Add ``to``, the pieces of ``ids_col`` one after another, as binary. Null stays null; unknown ids are an error."""
-        pieces = [b""] * (max(self.vocab.ranks.values()) + 1)
-        for piece, rank in self.vocab.ranks.items():
-            pieces[rank] = piece
-        shared = self.spark.sparkContext.broadcast(pieces)
+        shared = self._pieces()
 
         @F.arrow_udf("binary")
         def join(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -303,4 +320,4 @@ def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> Vocabulary:
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bpe = ByteBpe(spark, public_vocabulary())
-    return digests(bpe.decode(bpe.encode(docs)), "doc_id")
+    return digests(bpe.encode(docs, decoded=True), "doc_id")

@@ -35,6 +35,13 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Where the session still has Spark's default of 10,000 rows an Arrow batch, set fewer: whole texts are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def word_count(text: Column) -> Column:
     """Words of ``text`` as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenhand.llm.common import small_batches
 from evenhand.llm.textarrays import mix64, slices
 
 ORDERS = (1, 2, 3)
@@ -140,6 +141,7 @@ def train(
     labelled rows, as many of each language (the lowest hashes of ``id_col``); every fifth of them only calibrates
     the temperature. Rows with null text or language teach nothing.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("i")).filter("t IS NOT NULL AND lang IS NOT NULL")
     df = rows.select("t").mapInArrow(_document_frequencies(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = dict(zip(df["bucket"], df["n"], strict=True))

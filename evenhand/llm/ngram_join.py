@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import cut
+from evenhand.llm.common import cut, small_batches
 from evenhand.llm.components import components
 from evenhand.llm.textarrays import mix64, shingle_sets, slices
 
@@ -295,6 +295,7 @@ class NgramJoin:
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         self.k, self.t, self.hubs = k, threshold, hubs
         self.spark = docs.sparkSession
+        small_batches(self.spark)
 
     def _levels(self, profile: DataFrame):
         seen = profile.filter("n = -1").select("seen").mapInArrow(_unpack_seen, "cell long, n long")
