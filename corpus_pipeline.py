@@ -55,7 +55,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that was taken."""
     bpe = ByteBpe(spark, public_vocabulary())
-    return digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"))), "doc_id")
+    return digests(bpe.encode(docs.select("doc_id", "text"), decoded=True), "doc_id")
 
 
 STAGES = [
