@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from evenhand.functions import special
 from evenhand.functions.exprs import NAN, valid
@@ -32,17 +33,17 @@ def rank_sums(df: DataFrame, key: list[str], grp: str = "grp", value: str = "val
     return out.join(whole, key).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*key)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _mwu_p(u: pd.Series, na: pd.Series, nb: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([special.mwu_p(*x) for x in zip(u, na.astype(int), nb.astype(int), ties, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([special.chi2_sf(a, int(d)) if d > 0 else float("nan") for a, d in zip(x, dof, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _z_p(z: pd.Series) -> pd.Series:
     return pd.Series([2 * special.norm_sf(abs(a)) for a in z])
 
