@@ -35,8 +35,8 @@ CELLS = 1 << 20
 BLOCK = 256
 #: Document ids up to this many are broadcast to pick texts (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Sets of a cluster that one side of a task holds when pairs across components are counted.
-CLUSTER_BLOCK = 2048
+#: Members of a group that stand as partners in one task when pairs across components are counted.
+GROUP_PART = 8192
 #: Prefix entries a task holds before it passes them on.
 FLUSH = 1 << 18
 
@@ -170,36 +170,80 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (key, d, m, weight)], ["grp", "doc", "n", "w"])
 
 
-def _cross(pct: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        lo, hi = key[1].as_py(), key[2].as_py()
-        col = {c: table.column(c).to_numpy() for c in ("rep", "n", "c", "comp", "own", "w")}
-        reps, at, doc = np.unique(col["rep"], return_index=True, return_inverse=True)
-        n, comp, own = col["n"][at], col["comp"][at], col["own"][at]
-        _, grp = np.unique(table.column("grp").to_numpy(), return_inverse=True)
-        by_grp = np.argsort(grp, kind="stable")
-        start = np.searchsorted(grp[by_grp], np.arange(grp.max() + 2))
-        members, weight = doc[by_grp], col["w"][by_grp]
-        by_doc = np.argsort(doc, kind="stable")
-        first = np.searchsorted(doc[by_doc], np.arange(len(reps) + 1))
-        kinds, counts = np.unique(comp, return_counts=True)
-        main = kinds[counts.argmax()]
-        xs, ys = [], []
-        for x in np.flatnonzero(comp != main).tolist():  # of two components one at least is not the largest
-            lists = [(start[g], start[g + 1]) for g in grp[by_doc[first[x] : first[x + 1]]].tolist()]
-            near = np.concatenate([members[a:b] for a, b in lists])
-            both = np.bincount(near, weights=np.concatenate([weight[a:b] for a, b in lists]), minlength=len(reps))
-            y = np.flatnonzero(both)
-            y = y[(comp[y] != comp[x]) & ((comp[y] == main) | (reps[y] > reps[x]))]
-            y = y[((own[x] == lo) & (own[y] == hi)) | ((own[x] == hi) & (own[y] == lo))]
-            big, total = np.maximum(n[y], n[x]), n[y] + n[x]
-            need = -(-pct * total // (100 + pct))
-            ok = (100 * np.minimum(n[y], n[x]) >= pct * big) & (both[y] + -(-big * pct // 100) - 1 >= need)
-            y = y[ok]
-            xs.append(np.full(len(y), reps[x]))
-            ys.append(reps[y])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"x": pa.array(np.concatenate(xs) if xs else empty, pa.int64()), "y": pa.array(np.concatenate(ys) if ys else empty, pa.int64())})
+def _gather(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    held = list(batches)
+    if not held:
+        return {}
+    table = pa.Table.from_batches(held)
+    return {c: table.column(c).to_numpy() for c in table.column_names if c != "ys"} | ({"ys": table.column("ys")} if "ys" in table.column_names else {})
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """An order that puts equal keys together, and the bounds of each run."""
+    order = np.lexsort(keys)
+    change = np.zeros(len(order), bool)
+    for k in keys:
+        change[1:] |= k[order][1:] != k[order][:-1]
+    start = np.flatnonzero(change).tolist()
+    return order, list(zip([0, *start], [*start, len(order)], strict=True))
+
+
+def _partners(pct: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        col = _gather(batches)
+        if not col:
+            return
+        order, runs = _runs(col["grp"], col["part"])
+        col = {k: v[order] for k, v in col.items()}
+        out: list[tuple] = []
+        for a, b in runs:
+            rep, n, c, comp, size, w = (col[k][a:b] for k in ("rep", "n", "c", "comp", "csize", "w"))
+            to = np.flatnonzero(col["target"][a:b])
+            if not len(to):
+                continue
+            top = max(zip(size[to].tolist(), comp[to].tolist(), strict=True))
+            for x in range(b - a):
+                if (size[x], comp[x]) >= top:
+                    continue
+                y = to[(size[to] > size[x]) | ((size[to] == size[x]) & (comp[to] > comp[x]))]
+                big, total = np.maximum(n[y], n[x]), n[y] + n[x]
+                need = -(-pct * total // (100 + pct))
+                ok = (100 * np.minimum(n[y], n[x]) >= pct * big) & (np.minimum(c[y], c[x]) + -(-big * pct // 100) - 1 >= need)
+                y = y[ok]
+                if len(y):
+                    out.append((int(rep[x]), int(col["part"][a]), int(n[x]), int(w[x]), np.stack([rep[y], n[y]], axis=1).astype(np.int64).tobytes()))
+            if len(out) >= 2000:
+                yield _partner_rows(out)
+                out = []
+        if out:
+            yield _partner_rows(out)
+
+    return run
+
+
+def _partner_rows(out: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], ["x", "part", "m", "w", "ys"])
+
+
+def _count_partners(pct: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        col = _gather(batches)
+        if not col:
+            return
+        order, runs = _runs(col["x"], col["part"])
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in runs:
+            rows = order[a:b]
+            lists = [np.frombuffer(col["ys"][int(i)].as_py(), np.int64).reshape(-1, 2) for i in rows]
+            y, at, back = np.unique(np.concatenate([p[:, 0] for p in lists]), return_index=True, return_inverse=True)
+            n, m = np.concatenate([p[:, 1] for p in lists])[at], int(col["m"][rows[0]])
+            both = np.bincount(back, weights=np.repeat(col["w"][rows], [len(p) for p in lists]))
+            big = np.maximum(n, m)
+            y = y[both + -(-big * pct // 100) - 1 >= -(-pct * (n + m) // (100 + pct))]
+            xs.append(np.full(len(y), col["x"][rows[0]]))
+            ys.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs), pa.int64()), pa.array(np.concatenate(ys), pa.int64())], ["x", "y"])
 
     return run
 
@@ -365,19 +409,22 @@ class NgramJoin:
     def _crossing(self, placed: DataFrame) -> DataFrame:
         """Every pair across components that may link, by the shingles that the two share in their prefixes.
 
-        Sets that groups connect are one cluster. A cluster is cut into blocks of bounded size, and each pair of blocks is a
-        task of its own, which counts shared shingles from the groups' member lists and passes on only pairs that
-        the counts leave possible.
+        A pair is counted at its member x of the smaller component. Each group passes on, for each x, the packed list
+        of the others that sizes allow; lists of one x meet in one task, which counts and keeps what the counts leave
+        possible. The others are cut into ``parts`` by hash, so that no list of a hot group is whole in one task.
         """
-        low = placed.groupBy("grp").agg(F.min("rep").alias("low"))
-        ties = placed.select("grp", "rep").join(low, "grp").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-        cluster = components(ties).withColumnsRenamed({"node": "rep", "comp": "cluster"})
-        cluster = cut(cluster, "clusters")
-        size = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).cast("long").alias("blocks"))
-        rows = placed.join(cluster, "rep").join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
-        return rows.groupBy("cluster", "lo", "hi").applyInArrow(_cross(round(self.t * 100)), "x long, y long")
+        sizes = placed.select("comp", "rep").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("csize"))
+        rows = placed.join(sizes, "comp")
+        largest = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
+        parts = max(1, -(-largest // GROUP_PART))
+        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        fields = ["grp", "rep", "n", "c", "comp", "csize", "w"]
+        # each row stands for an x in all parts and for a y in its own
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.lit(parts)))
+        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        rows = rows.withColumn("target", F.col("own") == F.col("part")).select(*fields, "part", "target")
+        lists = rows.repartition(n, "grp", "part").mapInArrow(_partners(round(self.t * 100)), "x long, part long, m long, w long, ys binary")
+        return lists.repartition(n, "x", "part").mapInArrow(_count_partners(round(self.t * 100)), "x long, y long")
 
     def run(self) -> DataFrame:
         """(id, n, rep, comp) of every input row."""
