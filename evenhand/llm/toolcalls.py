@@ -82,27 +82,25 @@ def _write(schemas: dict[str, dict]):
     return run
 
 
-def levels(calls: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(call_id, level) of every call; level is the longest way down its dependencies, null on or behind a cycle.
 
-    ``edges`` has (call_id, needs). A call with one dependency at most is in a forest, where pointer jumping finds
-    depths in as many rounds as the logarithm of the longest chain. Calls with several are peeled off in order after
-    those that they need.
+    ``edges`` has (call_id, needs). Where each call has one dependency at most, pointer jumping finds depths in as
+    many rounds as the logarithm of the longest chain; what still points on after enough rounds for all calls in one
+    chain goes round a cycle. Calls with several dependencies are peeled off after those that they need.
     """
     edges = edges.filter("call_id IS NOT NULL AND needs IS NOT NULL").distinct().join(calls.select(F.col("call_id").alias("needs")), "needs", "left_semi").select("call_id", "needs")
     edges = cut(edges.join(calls.select("call_id"), "call_id", "left_semi"), "edges")
     degree = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("needs"))
     if degree.filter("n > 1").isEmpty():
-        step = cut(calls.join(degree, "call_id", "left").select("call_id", F.col("needs").alias("to"), F.when(F.col("needs").isNull(), 0).otherwise(1).cast("long").alias("level")), "step")
-        for _ in range(max_rounds):
+        depth = F.when(F.col("needs").isNull(), 0).otherwise(1).cast("long")
+        step = cut(calls.join(degree, "call_id", "left").select("call_id", F.col("needs").alias("to"), depth.alias("level")), "step")
+        for _ in range(step.count().bit_length() + 1):
             if step.filter("to IS NOT NULL").isEmpty():
                 break
             up = step.select(F.col("call_id").alias("to"), F.col("to").alias("far"), F.col("level").alias("more"))
             new = step.join(up, "to", "left").select("call_id", F.col("far").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
             step = cut(new, "step")
-            # a walk that is longer than there are calls goes round a cycle
-            if _ >= 40:
-                break
         return step.select("call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
     done = cut(calls.join(edges, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")), "done")
     while True:
