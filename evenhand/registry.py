@@ -36,9 +36,9 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, as the SQL side has them."""
-    return df.select(*[F.round(c, 6).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to six places, as the SQL side has them; nine where medians of six-place scores would end in a 5."""
+    return df.select(*[F.round(c, digits).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes])
 
 
 # SQL building blocks -------------------------------------------------------------------------------------------
@@ -119,17 +119,17 @@ def mean_gap(spark, d):
 
 
 @query(f"""{_LONG}, p AS (SELECT ruler, score, grouping, grp, median(value) AS mu FROM l WHERE NOT isnan(value) GROUP BY ALL)
- SELECT ruler, score, grouping, round(min(mu) / max(mu), 6) AS dir, round(max(mu) - min(mu), 6) AS dpd FROM p GROUP BY ALL""")
+ SELECT ruler, score, grouping, round(min(mu) / max(mu), 9) AS dir, round(max(mu) - min(mu), 9) AS dpd FROM p GROUP BY ALL""")
 def median_gap(spark, d):
-    return rounded(m.mean_gaps(_long(spark, d), "median"))
+    return rounded(m.mean_gaps(_long(spark, d), "median"), 9)
 
 
 @query(f"""{_LONG}, f AS (SELECT ruler, score, grouping, grp, count(value) AS n, avg(value) AS mean, median(value) AS median,
   CASE WHEN bool_or(isnan(value) OR isinf(value)) THEN 'NaN'::DOUBLE ELSE stddev_samp(CASE WHEN isfinite(value) THEN value END) END AS std, list_sort(list(value) FILTER (value IS NOT NULL)) AS o FROM l GROUP BY ALL),
  k AS (SELECT *, o[CAST(floor((n - 1) * 0.25::DOUBLE + 0.5) AS BIGINT) + 1] AS q25, o[CAST(floor((n - 1) * 0.75::DOUBLE + 0.5) AS BIGINT) + 1] AS q75 FROM f)
- SELECT ruler, score, grouping, grp, n, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, round(q25, 6) AS q25, round(q75, 6) AS q75, round(q75 - q25, 6) AS iqr FROM k""")
+ SELECT ruler, score, grouping, grp, n, round(mean, 9) AS mean, round(median, 9) AS median, round(std, 9) AS std, round(q25, 9) AS q25, round(q75, 9) AS q75, round(q75 - q25, 9) AS iqr FROM k""")
 def group_summary(spark, d):
-    return rounded(s.group_summary(_long(spark, d), [*m.KEY, "grp"]))
+    return rounded(s.group_summary(_long(spark, d), [*m.KEY, "grp"]), 9)
 
 
 # Rank, contingency and multiplicity -------------------------------------------------------------------------------
@@ -142,9 +142,9 @@ _RANKS = f"""{_LONG}, ok AS (SELECT * FROM l WHERE value IS NOT NULL AND NOT isn
 
 @query(f"""{_RANKS}, p AS (SELECT x.ruler, x.score, x.grouping, x.grp AS group_a, y.grp AS group_b, x.n AS n_a, y.n AS n_b, x.med AS median_a, y.med AS median_b, x.rs - x.n * (x.n + 1) / 2.0::DOUBLE AS u
  FROM ks x JOIN ks y ON x.ruler = y.ruler AND x.score = y.score AND x.grouping = y.grouping AND x.grp < y.grp WHERE x.k = 2)
- SELECT ruler, score, grouping, group_a, group_b, n_a, n_b, round(median_a, 6) AS median_a, round(median_b, 6) AS median_b, round(u, 6) AS u, round(1 - 2 * u / (n_a * n_b), 6) AS rank_biserial FROM p""")
+ SELECT ruler, score, grouping, group_a, group_b, n_a, n_b, round(median_a, 9) AS median_a, round(median_b, 9) AS median_b, round(u, 9) AS u, round(1 - 2 * u / (n_a * n_b), 9) AS rank_biserial FROM p""")
 def mann_whitney(spark, d):
-    return rounded(h.mann_whitney(h.rank_sums(_long(spark, d), m.KEY), m.KEY, p_values=False))
+    return rounded(h.mann_whitney(h.rank_sums(_long(spark, d), m.KEY), m.KEY, p_values=False), 9)
 
 
 @query(f"""{_RANKS}, p AS (SELECT ruler, score, grouping, k, CAST(total AS BIGINT) AS n, total::DOUBLE AS t, all_ties, sum(rs * rs / n) AS ss FROM ks WHERE k >= 3 GROUP BY ALL),
@@ -550,10 +550,10 @@ def representatives(spark, d):
 
 
 @query(f"""WITH f AS (SELECT s.ruler, {_AGE.replace('age_at', 'e.age_at')} AS age_bin, s.hd95_disc AS v FROM scores s JOIN exams e ON s.series_submitter_id = e.series_submitter_id)
- SELECT ruler, age_bin, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS std FROM f GROUP BY ALL""")
+ SELECT ruler, age_bin, count(v) AS n, round(avg(v), 9) AS mean, round(median(v), 9) AS median, round(stddev_samp(v), 9) AS std FROM f GROUP BY ALL""")
 def age_trend(spark, d):
     rows = view(spark, d, "scores").join(view(spark, d, "exams"), "series_submitter_id").withColumn("age_bin", g.age_bins(F.col("age_at_imaging")))
-    return rounded(s.group_summary(rows, ["ruler", "age_bin"], "hd95_disc").select("ruler", "age_bin", "n", "mean", "median", "std"))
+    return rounded(s.group_summary(rows, ["ruler", "age_bin"], "hd95_disc").select("ruler", "age_bin", "n", "mean", "median", "std"), 9)
 
 
 @query("""WITH h AS (SELECT CASE WHEN l_shipdate < TIMESTAMP '1995-06-17' THEN 0.25::DOUBLE ELSE 0.35::DOUBLE END AS kw, sum(l_quantity) AS hours FROM lineitem GROUP BY 1),
