@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from evenhand.llm.common import small_batches
 from evenhand.llm.textarrays import slices
 
-#: Above every rank: this pair of pieces is no piece.
-NONE = 1 << 40
+#: Above every rank: from here on, a pair of pieces is no piece.
+NONE = 1 << 20
 
 
 @dataclass
@@ -100,14 +100,12 @@ class RankMap:
         return shifts
 
     def rank(self, a: Column, b: Column) -> Column:
-        """The rank of the piece that ids ``a`` and ``b`` make, or NONE."""
+        """The rank of the piece that ids ``a`` and ``b`` make, or NONE or more."""
         f = self.factors
         shift = F.get(self.shifts, ((a * f[2] + b * f[3]) % self.buckets).cast("int"))
         entry = F.get(self.entries, ((a * f[0] + b * f[1] + shift) % self.slots).cast("int"))
-        return bind(
-            F.struct(entry.alias("e"), (a * (1 << 17) + b).alias("k")),
-            lambda s: F.when(F.shiftright(s["e"], 20) == s["k"], s["e"].bitwiseAND((1 << 20) - 1)).otherwise(F.lit(NONE)),
-        )
+        # the slot's entry less this key is the rank, or below 0 or at least 2^20; without its sign bit, at least 2^20
+        return (entry - (a * (1 << 17) + b) * (1 << 20)).bitwiseAND((1 << 63) - 1)
 
 
 def bind(value: Column, body) -> Column:
@@ -148,7 +146,7 @@ def fold_merges(word: Column, ranks: RankMap, bytes_: Column) -> Column:
         return F.aggregate(
             F.slice(pieces, 2, F.size(pieces)),  # as many steps as merges can happen
             state(pieces, F.when(F.size(pieces) > 1, pairs).otherwise(none)),
-            lambda s, _: F.when(s["low"] == NONE, s).otherwise(merge(s)),
+            lambda s, _: F.when(s["low"] >= NONE, s).otherwise(merge(s)),
             lambda s: s["p"],
         )
 
@@ -174,7 +172,7 @@ def _split(pattern: str, known):
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(1)):
                 raw = data.tobytes()
-                runs, words = [], []
+                runs, words, sizes = [], [], []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     tokens = find(raw[a:b].decode())
                     got = [get(x) for x in tokens]
@@ -183,26 +181,46 @@ def _split(pattern: str, known):
                         for i, x in enumerate(got):
                             if x is None:
                                 own.append(b"".join(got[at:i]))
-                                tail.append(np.frombuffer(tokens[i].encode(), np.uint8))
+                                tail.append(tokens[i].encode())
                                 at = i + 1
                         own.append(b"".join(got[at:]))
                     else:
                         own, tail = [b"".join(got)], []
                     runs.append(own)
-                    words.append(tail)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(runs, pa.list_(pa.binary())), pa.array(words, pa.list_(pa.list_(pa.int32())))],
-                    ["key", "runs", "words"],
-                )
+                    words += tail
+                    sizes.append(len(tail))
+                flat = pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32))
+                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()), flat)
+                outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(runs, pa.list_(pa.binary())), outer], ["key", "runs", "words"])
 
     return run
 
 
+def decoder(pieces: list[bytes]):
+    """A function from ids as bytes to their pieces, one after another: each byte is taken from the pieces laid end to end."""
+    flat = np.frombuffer(b"".join(pieces), np.uint8)
+    size = np.array([len(p) for p in pieces], np.int64)
+    start = np.cumsum(size) - size
+
+    def decode(ids: bytes) -> bytes:
+        out = []
+        every = np.frombuffer(ids, "<u4")
+        for lo in range(0, len(every), 1 << 18):
+            own = every[lo : lo + (1 << 18)]
+            n = size[own]
+            ends = np.cumsum(n)
+            out.append(flat[np.repeat(start[own] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
+
+    return decode
+
+
 def _join_runs(pieces):
     """Runs and the ids of the words between them become one byte string a text; with ``pieces``, decoded as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = pieces.value.__getitem__ if pieces is not None else None
+        decode = decoder(pieces.value) if pieces is not None else None
         for batch in batches:
             inner = batch.column(2).flatten()
             values = inner.flatten().to_numpy().astype("<u4").tobytes()
@@ -217,8 +235,8 @@ def _join_runs(pieces):
                         at += 1
                     ids.append(b"".join(parts))
                 out = [batch.column(0).slice(lo, 256), pa.array(ids, pa.binary())]
-                if get is not None:
-                    out.append(pa.array([b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in ids], pa.binary()))
+                if decode is not None:
+                    out.append(pa.array([decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
 
     return run
@@ -294,9 +312,9 @@ class ByteBpe:
 
         @F.arrow_udf("binary")
         def join(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            get = shared.value.__getitem__
+            decode = decoder(shared.value)
             for column in columns:
-                yield pa.array([None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in column.to_pylist()], pa.binary())
+                yield pa.array([None if x is None else decode(x) for x in column.to_pylist()], pa.binary())
 
         return encoded.withColumn(to, join(F.col(ids_col)))
 
