@@ -92,7 +92,9 @@ def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5,
     df = df.withColumn("base_failed", failed)
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= (1 - max_loss) * F.col("word_chars")))
     kept = [c for c in docs.columns if c not in made]
-    return df.select(*kept, *made)
+    # results come out of a generator of one row each: a filter on them is not pushed down, so that the optimiser does
+    # not spell the whole chain out again in the filter
+    return df.select(*kept, F.explode(F.array(F.struct(*made))).alias("_o")).select(*kept, *[F.col(f"_o.{c}").alias(c) for c in made])
 
 
 def op7_line_rules(spark, sf_dir: str) -> DataFrame:
