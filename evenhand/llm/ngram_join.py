@@ -3,14 +3,19 @@
 1. Every text becomes its set of 64-bit shingle hashes; a two-part sum of the set tells equal sets apart from
    others, so copies collapse to one representative before anything is compared.
 2. The global order puts rare shingles first. Its key is (level of the shingle's cell, hash), where the level is the
-   logarithm of how often shingles of the cell were seen twice or more in one slice of text: a table of fixed size,
-   whatever the corpus. Any order gives the same links; a good one gives fewer candidates.
+   logarithm of how many sets of the whole table hold shingles of the cell: a table of fixed size, whatever the
+   corpus. Any order gives the same links; a good one gives fewer candidates.
 3. Sets that are similar enough share a shingle among their first ``n - ceil(t * n) + 1``. Those prefixes are dealt
    out by hash range, packed; what only one set has is dropped there.
 4. Shingles that the same sets share are one group, weighted by their number. In each group, one member (a hub) is
-   compared with the others: linear in the group. Groups that the links so found leave in several components get
-   further hubs, and at last every pair across components, so no link that could join two components goes unchecked.
-   Pairs that share too few prefix shingles to link, given their sizes, are never compared.
+   compared with the others: linear in the group. In groups that the links so found leave in several components,
+   rounds of probes follow: a probe meets the members of other components in all its groups, then leaves them all.
+   Groups have an order, small ones first, and the first group that a pair shares must leave both enough shingles in
+   it and after it; so in hot groups, which come last, hardly any members meet.
+   A round takes as many probes as keep its pairs in proportion to the groups' rows, and rounds go on until no group
+   is in several components, so no link that could join two components goes unchecked. Pairs that share too few
+   prefix shingles to link, given their sizes, are never compared. Links of a round spare later ones pairs; a group
+   whose n members do not link still costs n * n / 2 pairs over all rounds.
 5. A comparison loads candidates of one hub, a bounded block at a time, into a prefix tree in global order and walks
    it once: branches share their overlap with the hub, and a branch is left as soon as its overlap so far plus what
    remains cannot reach the least overlap any of its sets needs.
@@ -18,11 +23,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import cut, small_batches
@@ -35,8 +42,10 @@ CELLS = 1 << 20
 BLOCK = 256
 #: Document ids up to this many are broadcast to pick texts (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Members of a group that stand as partners in one task when pairs across components are counted.
-GROUP_PART = 8192
+#: Pairs of a round of probes: this many for each row of the groups, or the floor where that is more.
+PROBE_RATIO, PROBE_FLOOR = 8, 500_000
+#: Cells of the level table that are added up in one row.
+CHUNK = 1 << 14
 #: Prefix entries a task holds before it passes them on.
 FLUSH = 1 << 18
 
@@ -63,33 +72,45 @@ def prefix_length(n: int, t: float) -> int:
 
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            ids, ns, s1, s2, packed = [], [], [], [], []
+            ids, ns, s1, s2 = [], [], [], []
             for first, last, data, offsets in slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, k)
                 ids += batch.column(0).slice(first, last - first).to_pylist()
                 ns += [len(u) for u in sets]
                 s1 += [int(u.sum(dtype=np.uint64).astype(np.int64)) for u in sets]
                 s2 += [int(mix64(u).sum(dtype=np.uint64).astype(np.int64)) for u in sets]
-                found, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count > 1
-                packed.append(np.stack([_cell(found[often]), count[often]], axis=1))
-            counts = np.concatenate(packed) if packed else np.zeros((0, 2), np.int64)
-            ids, ns, s1, s2 = [*ids, None], [*ns, -1], [*s1, 0], [*s2, 0]
-            blob = [None] * (len(ids) - 1) + [counts.astype(np.int64).tobytes()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(blob, pa.binary())],
-                ["id", "n", "s1", "s2", "seen"],
-            )
+                counts += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
+            yield _profile_rows(ids, ns, s1, s2, [None] * len(ids))
+        if counts.any():
+            yield _profile_rows([None], [-1], [0], [0], [zlib.compress(counts.tobytes(), 1)])
 
     return run
 
 
-def _unpack_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profile_rows(ids: list, ns: list, s1: list, s2: list, seen: list) -> pa.RecordBatch:
+    cols = [*[pa.array(c, pa.int64()) for c in (ids, ns, s1, s2)], pa.array(seen, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["id", "n", "s1", "s2", "seen"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's packed counts, added up and cut into chunks of cells."""
+    counts = np.zeros(CELLS, np.int64)
     for batch in batches:
         for blob in batch.column(0).to_pylist():
-            pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["cell", "n"])
+            counts += np.frombuffer(zlib.decompress(blob), np.int64)
+    if counts.any():
+        parts = [counts[a : a + CHUNK].tobytes() for a in range(0, CELLS, CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["chunk", "blob"])
+
+
+def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[chunk] = total.get(chunk, 0) + np.frombuffer(blob, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["chunk", "blob"])
 
 
 def _prefixes(levels, k: int, t: float, ranges: int):
@@ -170,84 +191,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (key, d, m, weight)], ["grp", "doc", "n", "w"])
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    held = list(batches)
-    if not held:
-        return {}
-    table = pa.Table.from_batches(held)
-    return {c: table.column(c).to_numpy() for c in table.column_names if c != "ys"} | ({"ys": table.column("ys")} if "ys" in table.column_names else {})
-
-
-def _runs(*keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """An order that puts equal keys together, and the bounds of each run."""
-    order = np.lexsort(keys)
-    change = np.zeros(len(order), bool)
-    for k in keys:
-        change[1:] |= k[order][1:] != k[order][:-1]
-    start = np.flatnonzero(change).tolist()
-    return order, list(zip([0, *start], [*start, len(order)], strict=True))
-
-
-def _partners(pct: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        col = _gather(batches)
-        if not col:
-            return
-        order, runs = _runs(col["grp"], col["part"])
-        col = {k: v[order] for k, v in col.items()}
-        out: list[tuple] = []
-        for a, b in runs:
-            rep, n, c, comp, size, w = (col[k][a:b] for k in ("rep", "n", "c", "comp", "csize", "w"))
-            to = np.flatnonzero(col["target"][a:b])
-            if not len(to):
-                continue
-            top = max(zip(size[to].tolist(), comp[to].tolist(), strict=True))
-            for x in range(b - a):
-                if (size[x], comp[x]) >= top:
-                    continue
-                y = to[(size[to] > size[x]) | ((size[to] == size[x]) & (comp[to] > comp[x]))]
-                big, total = np.maximum(n[y], n[x]), n[y] + n[x]
-                need = -(-pct * total // (100 + pct))
-                ok = (100 * np.minimum(n[y], n[x]) >= pct * big) & (np.minimum(c[y], c[x]) + -(-big * pct // 100) - 1 >= need)
-                y = y[ok]
-                if len(y):
-                    out.append((int(rep[x]), int(col["part"][a]), int(n[x]), int(w[x]), np.stack([rep[y], n[y]], axis=1).astype(np.int64).tobytes()))
-            if len(out) >= 2000:
-                yield _partner_rows(out)
-                out = []
-        if out:
-            yield _partner_rows(out)
-
-    return run
-
-
-def _partner_rows(out: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], ["x", "part", "m", "w", "ys"])
-
-
-def _count_partners(pct: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        col = _gather(batches)
-        if not col:
-            return
-        order, runs = _runs(col["x"], col["part"])
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in runs:
-            rows = order[a:b]
-            lists = [np.frombuffer(col["ys"][int(i)].as_py(), np.int64).reshape(-1, 2) for i in rows]
-            y, at, back = np.unique(np.concatenate([p[:, 0] for p in lists]), return_index=True, return_inverse=True)
-            n, m = np.concatenate([p[:, 1] for p in lists])[at], int(col["m"][rows[0]])
-            both = np.bincount(back, weights=np.repeat(col["w"][rows], [len(p) for p in lists]))
-            big = np.maximum(n, m)
-            y = y[both + -(-big * pct // 100) - 1 >= -(-pct * (n + m) // (100 + pct))]
-            xs.append(np.full(len(y), col["x"][rows[0]]))
-            ys.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs), pa.int64()), pa.array(np.concatenate(ys), pa.int64())], ["x", "y"])
-
-    return run
-
-
 class Branch:
     """A node of the prefix tree: the run of shingles that leads to it, its children, the sets that end here."""
 
@@ -342,10 +285,11 @@ class NgramJoin:
         small_batches(self.spark)
 
     def _levels(self, profile: DataFrame):
-        seen = profile.filter("n = -1").select("seen").mapInArrow(_unpack_seen, "cell long, n long")
-        rows = seen.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
-        table = np.zeros(CELLS, np.uint8)
-        table[rows["cell"].to_numpy()] = np.log2(rows["n"].to_numpy()).astype(np.uint8)
+        parts = profile.filter("n = -1").select("seen").mapInArrow(_chunks, "chunk long, blob binary")
+        counts = np.zeros(CELLS, np.int64)
+        for r in parts.repartition(CELLS // CHUNK, "chunk").mapInArrow(_add_chunks, "chunk long, blob binary").collect():  # 8 bytes a cell
+            counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["blob"], np.int64)
+        table = np.log2(np.maximum(counts, 1)).astype(np.uint8)
         return self.spark.sparkContext.broadcast(table)
 
     def _pick(self, wanted: DataFrame) -> DataFrame:
@@ -375,10 +319,7 @@ class NgramJoin:
         """
         pct = round(self.t * 100)
         n, m = F.col(n), F.col(m)
-        shared = F.least(F.col(c), F.col(d))
-        left = F.ceil(F.greatest(n, m) * pct / 100) - 1
-        need = F.ceil((n + m) * pct / (100 + pct) - 1e-9)
-        return (n * 100 >= m * pct) & (m * 100 >= n * pct) & (shared + left >= need)
+        return (n * 100 >= m * pct) & (m * 100 >= n * pct) & (F.least(F.col(c), F.col(d)) >= self._least_shared(n, m))
 
     def _fresh(self, pairs: DataFrame, done: DataFrame | None) -> DataFrame:
         """Distinct pairs (a, b), unordered, that were not compared before."""
@@ -406,25 +347,72 @@ class NgramJoin:
         hub = hub.select("grp", (-F.col("h.x")).alias("x"), F.col("h.n").alias("m"), F.col("h.c").alias("d"), F.col("h.comp").alias("hub_comp"))
         return placed.join(hub, "grp").filter("comp <> hub_comp").filter(self._may_link("n", "c", "m", "d")).select("x", F.col("rep").alias("y"))
 
-    def _crossing(self, placed: DataFrame) -> DataFrame:
-        """Every pair across components that may link, by the shingles that the two share in their prefixes.
+    def _live(self, placed: DataFrame) -> DataFrame:
+        """Rows of groups (with ``r``, the prefix shingles a member has in this group and later ones) that can meet another.
+
+        Sets whose prefixes must share ``least`` shingles have, at the first group they share, ``least`` or more in it
+        and later groups. ``least`` falls as sizes part, so the group's extreme sizes give its lowest value.
+        """
+        pct = round(self.t * 100)
+        held = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+        after = Window.partitionBy("rep").orderBy("k", "grp").rowsBetween(0, Window.unboundedFollowing)
+        rows = placed.join(held, "grp").withColumn("r", F.sum("w").over(after))
+        low, high = F.greatest("lo", F.ceil(F.col("n") * pct / 100)), F.least("hi", F.floor(F.col("n") * 100 / pct))
+        least = F.least(self._least_shared(F.col("n"), low), self._least_shared(F.col("n"), high))
+        rows = cut(rows.filter(F.col("r") >= least).select("grp", "rep", "n", "w", "comp", "r"), "live")
+        mixed = rows.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("grp")
+        return cut(rows.join(mixed, "grp"), "live")
+
+    def _least_shared(self, n, m):
+        pct = round(self.t * 100)
+        return F.ceil((n + m) * pct / (100 + pct) - 1e-9) - F.ceil(F.greatest(n, m) * pct / 100) + 1
+
+    def _probes(self, rows: DataFrame, turn: int) -> DataFrame | None:
+        """The members (rep) that this round compares with all others in their groups; None where no group is mixed.
 
-        A pair is counted at its member x of the smaller component. Each group passes on, for each x, the packed list
-        of the others that sizes allow; lists of one x meet in one task, which counts and keeps what the counts leave
-        possible. The others are cut into ``parts`` by hash, so that no list of a hot group is whole in one task.
+        A member of the largest component of each of its groups is no probe: the others meet it. Of the rest, a hash
+        takes the share whose pairs are in proportion to the rows, and one more, so that every round gets on.
+        """
+        sizes = rows.select("comp", "rep").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("csize"))
+        held = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("held")).join(sizes, "comp")
+        whole = held.groupBy("grp").agg(F.sum("held").alias("k"), F.max(F.struct("csize", "comp")).alias("top"))
+        below = F.struct("csize", "comp") < F.col("top")
+        meets = held.join(whole, "grp").select("grp", "comp", (F.col("k") - F.col("held")).alias("meets"), below.alias("below"))
+        cost = rows.select("grp", "rep", "comp").join(meets, ["grp", "comp"]).groupBy("rep").agg(F.sum("meets").alias("cost"), F.max("below").alias("below"))
+        cost = cut(cost.filter("below").select("rep", "cost"), "cost")
+        total = cost.agg(F.sum("cost")).first()[0]
+        if total is None:
+            return None
+        limit = max(PROBE_FLOOR, PROBE_RATIO * rows.count())
+        if total <= limit:
+            return cost.select("rep")
+        some = cost.filter(F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) < int(limit / total * (1 << 20)))
+        return cut(some.select("rep").union(cost.orderBy("cost", "rep").limit(1).select("rep")).distinct(), "probes")
+
+    def _meetings(self, rows: DataFrame, probes: DataFrame) -> DataFrame:
+        """Pairs of probes with members of other components that may link, by the shingles both have in their prefixes.
+
+        Of the groups that a pair shares, those up to some place in the order pass the filter; after the last of them,
+        the pair shares no more than either has left.
         """
-        sizes = placed.select("comp", "rep").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("csize"))
-        rows = placed.join(sizes, "comp")
-        largest = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
-        parts = max(1, -(-largest // GROUP_PART))
-        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        fields = ["grp", "rep", "n", "c", "comp", "csize", "w"]
-        # each row stands for an x in all parts and for a y in its own
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.lit(parts)))
-        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        rows = rows.withColumn("target", F.col("own") == F.col("part")).select(*fields, "part", "target")
-        lists = rows.repartition(n, "grp", "part").mapInArrow(_partners(round(self.t * 100)), "x long, part long, m long, w long, ys binary")
-        return lists.repartition(n, "x", "part").mapInArrow(_count_partners(round(self.t * 100)), "x long, y long")
+        rows = rows.join(probes.withColumn("probe", F.lit(True)), "rep", "left").withColumn("probe", F.col("probe").isNotNull())
+        rows = cut(rows, "probed")
+        own = rows.filter("probe").select("grp", F.col("rep").alias("x"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("comp").alias("hub_comp"))
+        met = rows.join(own, "grp").filter("comp <> hub_comp AND NOT (probe AND rep < x)").filter(self._may_link("n", "r", "m", "q"))
+        both = met.groupBy("x", F.col("rep").alias("y"), "n", "m").agg((F.sum("w") + F.min(F.least("r", "q") - F.col("w"))).alias("both"))
+        return both.filter(F.col("both") >= self._least_shared(F.col("n"), F.col("m"))).select("x", "y")
+
+    def _merged(self, comp: DataFrame | None, more: DataFrame) -> DataFrame:
+        """Components after more links: those that a link joins take the least label."""
+        if comp is None:
+            return components(more)
+        at = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
+        joined = more.join(at("a"), "a", "left").join(at("b"), "b", "left")
+        joined = cut(joined.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "joined")
+        low = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
+        alone = joined.select(F.col("a").alias("node")).union(joined.select("b")).distinct().join(comp, "node", "left_anti")
+        every = comp.union(alone.select("node", F.col("node").alias("comp")))
+        return cut(every.join(low, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), "comps")
 
     def run(self) -> DataFrame:
         """(id, n, rep, comp) of every input row."""
@@ -443,8 +431,8 @@ class NgramJoin:
         one = copy_of.select(F.col("id").alias("doc"), "rep")
         groups = cut(shared.join(one, "doc").groupBy("grp", "rep").agg(F.first("n").alias("n"), F.max("w").alias("w")), "groups")
         links = done = comp = None
-        for turn in range(1, self.hubs + 1):
-            if comp is not None:  # only groups in more than one component can still hold a link that matters
+        for turn in count(1):
+            if comp is not None or turn > self.hubs:  # only groups in more than one component can still hold a link that matters
                 placed = self._placed(groups, comp)
                 mixed = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("grp")
                 groups = cut(placed.join(mixed, "grp").select("grp", "rep", "n", "w"), "groups")
@@ -453,15 +441,21 @@ class NgramJoin:
             if turn < self.hubs:
                 found = self._stars(placed)
             else:
-                found = self._crossing(placed)
+                live = self._live(placed)
+                probes = self._probes(live, turn)
+                if probes is None:
+                    break
+                found = self._meetings(live, probes)
+                groups = groups.join(probes, "rep", "left_anti")
             pairs = self._fresh(found, done)
             if pairs.isEmpty():
                 continue
             more = cut(self._verify(pairs), "links")
-            links = more if links is None else links.union(more)
             done = pairs if done is None else done.union(pairs)
-            if turn < self.hubs and (comp is None or not more.isEmpty()):
-                comp = components(links)
+            if more.isEmpty():
+                continue
+            links = more if links is None else links.union(more)
+            comp = self._merged(comp, more)
         if links is None:
             links = same.limit(0)
         comp = components(links.union(same))

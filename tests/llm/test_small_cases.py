@@ -292,6 +292,44 @@ def test_join_of_empty_and_repeated(spark):
     assert got == [(-1, -1), (3, 3), (5, 3), (5, 3), (9, 9)]
 
 
+def test_join_orders_by_counts_of_the_whole_table(spark):
+    common = [f"c{i}" for i in range(45)]
+    rows = [(i, " ".join([f"u{i}x{j}" for j in range(30)] + common)) for i in range(40)]
+    one = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id")  # hardly any task sees the passage twice
+    join = ngram_join.NgramJoin(one)
+    join.docs.mapInArrow(ngram_join._profile(5), "id long, n long, s1 long, s2 long, seen binary").createOrReplaceTempView("profile_of_slices")
+    levels = join._levels(spark.table("profile_of_slices")).value
+    data = " ".join(common).encode()
+    (shared,) = ngram_join.shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert (levels[ngram_join._cell(shared)] == 5).all()  # 40 sets hold each
+
+
+def test_hot_groups_hold_no_pairs_that_cannot_link(spark):
+    rows = [(i // 2, i, 100, 20) for i in range(400)] + [(1000, i, 100, 1) for i in range(400)]  # pairs, and one shingle of all
+    placed = spark.createDataFrame([(g, r, n, w, r) for g, r, n, w in rows], "grp long, rep long, n long, w long, comp long")
+    live = ngram_join.NgramJoin(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._live(placed)
+    assert sorted((r["grp"], r["rep"]) for r in live.collect()) == [(i // 2, i) for i in range(400)]
+
+
+def test_join_probes_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PROBE_FLOOR", 20)
+    monkeypatch.setattr(ngram_join, "PROBE_RATIO", 0)
+    rounds = []
+    meet = ngram_join.NgramJoin._meetings
+    monkeypatch.setattr(ngram_join.NgramJoin, "_meetings", lambda self, *a: rounds.append(1) or meet(self, *a))
+    rng = np.random.default_rng(8)
+    base, rows = [f"b{i}" for i in range(70)], []
+    for i in range(24):  # near the threshold on both sides
+        w = list(base)
+        for at in rng.choice(70, 1 + i % 4, replace=False):
+            w[at] = f"u{i}x{at}"
+        rows.append((i, " ".join(w)))
+    join = ngram_join.NgramJoin(spark.createDataFrame(rows, "doc_id long, text string"), hubs=1)
+    got = {r["id"]: (r["n"], r["comp"]) for r in join.run().collect()}
+    assert got == brute_components(rows)
+    assert len(rounds) > 1 and len({c for _, c in got.values()}) > 1
+
+
 def test_tree_prunes_nothing_that_links():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(200)]
