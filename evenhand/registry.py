@@ -231,7 +231,7 @@ def permutation(spark, d):
 @query()
 def poisson_bootstrap(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("row_id"), F.col("event_type").alias("grp"), "value", F.lit("value").alias("score"))
-    return rounded(resample.poisson_bootstrap(e, ["score"], "grp", "value", n_boot=100))
+    return rounded(resample.poisson_bootstrap(e, ["score"], "grp", "value"))
 
 
 # Regression and probes ----------------------------------------------------------------------------------------------
@@ -263,12 +263,12 @@ def pca_scores(spark, d):
 
 @query()
 def linear_probe(spark, d):
-    return pr.probe(_vectors(spark, d), "vec_id", ["binary"], costs=(0.01, 1.0), n_pcs=16)
+    return pr.probe(_vectors(spark, d), "vec_id", ["binary"])
 
 
 @query()
 def probe_null_control(spark, d):
-    return pr.probe(pr.random_projection(_vectors(spark, d), 64, 32), "vec_id", ["binary"], costs=(1.0,), n_pcs=16)
+    return pr.probe(pr.random_projection(_vectors(spark, d), 64, 64), "vec_id", ["binary"])
 
 
 @query()
@@ -385,7 +385,7 @@ def hd95(spark, d):
 
 @query()
 def case_scores(spark, d):
-    return rounded(v.case_scores(view(spark, d, "voxels"), view(spark, d, "volumes"), ("dice", "ndsc")))
+    return rounded(v.case_scores(view(spark, d, "voxels"), view(spark, d, "volumes")))
 
 
 @query("SELECT case_id, CASE ref WHEN 1 THEN 'vb' ELSE 'disc' END AS label, count(*) AS n_voxels, round(count(*) * 1.0::DOUBLE, 6) AS volume_mm3 FROM voxels WHERE ref IN (1, 2) GROUP BY ALL")

@@ -38,6 +38,18 @@ def test_query_runs(spark, sf_dir, name):
     assert df.columns and df.count() >= 0
 
 
+def test_queries_keep_the_operators_settings(spark, sf_dir, monkeypatch):
+    from evenhand import registry
+
+    called = []
+    monkeypatch.setattr(registry.pr, "probe", lambda *a, **options: called.append(options))
+    QUERIES["linear_probe"](spark, sf_dir)
+    QUERIES["probe_null_control"](spark, sf_dir)
+    assert called == [{}, {}]
+    assert QUERIES["poisson_bootstrap"](spark, sf_dir).first()["n_boot"] == 200
+    assert {"hd95_vb", "hd95_disc"} <= set(QUERIES["case_scores"](spark, sf_dir).columns)
+
+
 def test_entry_registers_everything():
     import __spark_entry__ as e
 
