@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import heapq
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,11 +14,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import small_batches
+from evenhand.llm.common import cut, cut_bucketed, small_batches
 from evenhand.llm.textarrays import slices
 
-#: Above every rank: from here on, a pair of pieces is no piece.
-NONE = 1 << 20
+#: A piece of a word is one long: rank of the pair it begins (20 bits), its first byte's place (26), its id (17).
+ID_BITS, RANK_AT = 17, 43
+#: Above every rank: this pair makes no piece.
+NONE = (1 << 20) - 1
+#: Words of more bytes are merged with a heap where they are met: the fold's time grows with the square of a word.
+LONG = 1000
+#: Words of a block: texts that are encoded together and share one table of their rarer words.
+BLOCK_WORDS = 1 << 21
+#: Bytes of text for each bucket of the blocks.
+BUCKET_BYTES = 16 << 20
 
 
 @dataclass
@@ -41,40 +52,37 @@ class Vocabulary:
         return out
 
 
-@dataclass
 class RankMap:
-    """The literal rank map: a perfect hash of (left id, right id) in two literal arrays.
+    """The literal rank map: a perfect hash of (left id, right id) in literal arrays.
 
-    ``shifts`` has one displacement a bucket, ``entries`` one long a slot: key * 2^20 + rank. Both are split and cast
-    from a literal string, which the optimiser folds once, so a look-up is three array reads.
+    ``table`` is one literal struct: ``s`` has a displacement for each bucket, ``e`` a long for each slot (key * 2^20
+    + rank), ``b`` the ids of the 256 bytes. The arrays are split and cast from literal strings, which the optimiser
+    folds once; plans name the literal once, and lambdas bind it.
     """
 
-    shifts: Column
-    entries: Column
-    slots: int
-    buckets: int
-    factors: tuple[int, int, int, int]
-
-    @classmethod
-    def build(cls, pairs: dict[tuple[int, int], int]) -> RankMap:
-        n = max(1, len(pairs))
+    def __init__(self, vocab: Vocabulary):
+        pairs = vocab.pairs()
+        if max(vocab.ranks.values(), default=0) >= min(1 << ID_BITS, NONE):
+            raise ValueError(f"ids must be below {1 << ID_BITS}")
         keys = np.array(list(pairs) or [(0, 0)], np.int64)
-        ranks = np.array(list(pairs.values()) or [0], np.int64)
-        slots = 1 << int(np.ceil(np.log2(n * 1.3)))
-        buckets = max(1, slots // 4)
+        ranks = np.array(list(pairs.values()) or [NONE], np.int64)
+        self.slots = 1 << int(np.ceil(np.log2(len(keys) * 1.3)))
+        self.buckets = max(1, self.slots // 4)
         for seed in range(100):
-            factors = tuple(int(x) | 1 for x in np.random.default_rng(seed).integers(1 << 12, 1 << 24, 4))
-            home = (keys[:, 0] * factors[0] + keys[:, 1] * factors[1]) % slots
-            bucket = (keys[:, 0] * factors[2] + keys[:, 1] * factors[3]) % buckets
-            shifts = cls._place(home, bucket, slots, buckets)
+            self.factors = tuple(int(x) | 1 for x in np.random.default_rng(seed).integers(1 << 12, 1 << 20, 3))
+            f = self.factors
+            home = (keys[:, 0] * f[0] + keys[:, 1] * f[1]) & (self.slots - 1)
+            bucket = (keys[:, 0] * f[2] + keys[:, 1]) & (self.buckets - 1)
+            shifts = self._place(home, bucket, self.slots, self.buckets)
             if shifts is not None:
                 break
         else:
             raise ValueError("no perfect hash found")
-        entries = np.full(slots, -1, np.int64)
-        entries[(home + shifts[bucket]) % slots] = (((keys[:, 0] << 17) + keys[:, 1]) << 20) + ranks
-        literal = lambda x, kind: F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast(f"array<{kind}>")
-        return cls(literal(shifts, "int"), literal(entries, "bigint"), slots, buckets, factors)
+        entries = np.full(self.slots, -1, np.int64)
+        entries[(home + shifts[bucket]) & (self.slots - 1)] = (((keys[:, 0] << ID_BITS) + keys[:, 1]) << 20) + ranks
+        literal = lambda x, kind: F.split(F.lit(",".join(map(str, x))), ",").cast(f"array<{kind}>")
+        of_byte = [vocab.ranks[bytes([i])] for i in range(256)]
+        self.table = F.struct(literal(shifts.tolist(), "int").alias("s"), literal(entries.tolist(), "bigint").alias("e"), literal(of_byte, "bigint").alias("b"))
 
     @staticmethod
     def _place(home: np.ndarray, bucket: np.ndarray, slots: int, buckets: int) -> np.ndarray | None:
@@ -99,13 +107,14 @@ class RankMap:
                 return None
         return shifts
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """The rank of the piece that ids ``a`` and ``b`` make, or NONE or more."""
+    def rank(self, table: Column, a: Column, b: Column) -> Column:
+        """The rank of the piece that ids ``a`` and ``b`` make, or NONE, in a piece's rank bits."""
         f = self.factors
-        shift = F.get(self.shifts, ((a * f[2] + b * f[3]) % self.buckets).cast("int"))
-        entry = F.get(self.entries, ((a * f[0] + b * f[1] + shift) % self.slots).cast("int"))
+        shift = F.get(table["s"], (a * f[2] + b).bitwiseAND(self.buckets - 1).cast("int"))
+        entry = F.get(table["e"], (a * f[0] + b * f[1] + shift).bitwiseAND(self.slots - 1).cast("int"))
         # the slot's entry less this key is the rank, or below 0 or at least 2^20; without its sign bit, at least 2^20
-        return (entry - (a * (1 << 17) + b) * (1 << 20)).bitwiseAND((1 << 63) - 1)
+        rest = (entry - F.shiftleft(F.shiftleft(a, ID_BITS) + b, 20)).bitwiseAND((1 << 63) - 1)
+        return F.shiftleft(F.least(rest, F.lit(NONE)), RANK_AT)
 
 
 def bind(value: Column, body) -> Column:
@@ -113,131 +122,216 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def byte_ids(vocab: Vocabulary) -> Column:
-    return F.array(*[F.lit(vocab.ranks[bytes([i])]) for i in range(256)]).cast("array<bigint>")
+def fold_merges(word: Column, ranks: RankMap) -> Column:
+    """Ids of one word, given as an array of byte values: merge the leftmost pair of lowest rank until none is left.
+
+    The state is one array of longs, a piece each, so its least value is the leftmost pair of lowest rank. A merge
+    looks up the two new pairs only.
+    """
+    end, below = NONE << RANK_AT, (1 << RANK_AT) - 1
+    id_of = lambda v: v.bitwiseAND((1 << ID_BITS) - 1)
+    gone = F.lit(-1).cast("bigint")
+
+    def whole(table: Column) -> Column:
+        def first(ids: Column) -> Column:
+            pair = lambda x, i: F.coalesce(ranks.rank(table, x, F.get(ids, i + 1)), F.lit(end))
+            return F.transform(ids, lambda x, i: pair(x, i) + F.shiftleft(i.cast("bigint"), ID_BITS) + x)
+
+        def merged(v: Column, least: Column, at: Column) -> Column:
+            made = F.shiftright(least, RANK_AT)
+            after = F.coalesce(ranks.rank(table, made, id_of(F.get(v, at + 1))), F.lit(end))
+            both = after + least.bitwiseAND(below - (1 << ID_BITS) + 1) + made
+            before = lambda x: ranks.rank(table, id_of(x), made) + x.bitwiseAND(below)
+            piece = lambda x, i: F.when(i > at, x).when(i == at, gone).when(i == at - 1, both).when(i == at - 2, before(x)).otherwise(x)
+            return F.array_remove(F.transform(v, piece), gone)
+
+        def step(v: Column) -> Column:
+            merge = lambda least: bind(F.array_position(v, least).cast("int"), lambda at: merged(v, least, at))
+            return bind(F.array_min(v), lambda least: F.when(least >= end, v).otherwise(merge(least)))
+
+        start = bind(F.transform(word, lambda x: F.get(table["b"], x)), first)
+        steps = F.slice(word, 2, F.greatest(F.size(word), F.lit(1)))  # as many as merges can happen
+        return F.aggregate(steps, start, lambda v, _: step(v), lambda v: F.transform(v, id_of))
+
+    return bind(ranks.table, whole)
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one long word: pairs in a heap, lowest rank and then leftmost first."""
+    n = len(word)
+    ends, before = list(range(1, n + 1)), list(range(-1, n))
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+
+    def push(a: int) -> None:
+        if a >= 0 and ends[a] < n and (r := ranks.get(word[a : ends[ends[a]]])) is not None:
+            heapq.heappush(heap, (r, a, ends[a], ends[ends[a]]))
+
+    while heap:
+        _, a, b, c = heapq.heappop(heap)
+        if ends[a] != b or b < 0 or ends[b] != c:  # one of the two pieces has been merged meanwhile
+            continue
+        ends[a], ends[b] = c, -1
+        before[c] = a
+        push(a)
+        push(before[a])
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[word[at : ends[at]]])
+        at = ends[at]
+    return out
+
+
+def _count_words(pattern: str):
+    """Words by ``pattern`` and how often they occur, summed within a partition; long ones are left out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
 
-def fold_merges(word: Column, ranks: RankMap, bytes_: Column) -> Column:
-    """Ids of one word, given as an array of byte values: merge the leftmost pair of lowest rank until none is left.
+        find, seen = regex.compile(pattern).findall, Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(find(text.as_py()))
+            if len(seen) > 1 << 20:
+                yield _counted(seen)
+                seen = Counter()
+        yield _counted(seen)
+
+    return run
+
+
+def _counted(seen: Counter) -> pa.RecordBatch:
+    own = [(latin(x), n) for x, n in seen.items() if len(x.encode()) <= LONG]
+    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], ["w", "n"])
+
+
+def latin(word: str) -> str:
+    """A word as a string of its UTF-8 bytes, a character each."""
+    return word if word.isascii() else word.encode().decode("latin-1")
+
+
+def _pack_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's (w, ids) as one compressed Arrow stream."""
+    rows = [b for b in batches if len(b)]
+    if rows:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for b in rows:
+                out.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["blob"])
 
-    The state holds the pieces and the rank of each neighbouring pair, so a merge looks up the two new pairs only.
+
+def _tables(blobs: list[bytes]) -> list[pa.Table]:
+    return [pa.ipc.open_stream(blob).read_all() for blob in blobs]
+
+
+BLOCK = "block string, keys array<{}>, sizes array<int>, planes binary, rare array<string>, far array<struct<pos: int, ids: array<int>>>"
+
+
+def _number(pattern: str, known, ranks):
+    """Texts as blocks of word numbers: known words by their place in the table, others by their place in the block.
+
+    A block has its texts' ids and numbers of words, the word numbers as four planes of bytes, and the rarer words; long
+    words among these come with their ids.
     """
-    look = ranks.rank
-    none = F.array().cast("array<bigint>")
-
-    def state(pieces: Column, pairs: Column) -> Column:
-        """With at, the place (from 1) of the lowest rank, and low, that rank."""
-        at = lambda s: F.array_position(s["r"], F.array_min(s["r"])).cast("int")
-        return bind(
-            F.struct(pieces.alias("p"), pairs.alias("r")),
-            lambda s: F.struct(s["p"].alias("p"), s["r"].alias("r"), at(s).alias("at"), F.coalesce(F.array_min(s["r"]), F.lit(NONE)).alias("low")),
-        )
-
-    def merge(s: Column) -> Column:
-        at, low, size = s["at"], s["low"], F.size(s["r"])
-        left = F.when(at > 1, F.array(look(F.get(s["p"], at - 2), low))).otherwise(none)
-        right = F.when(at < size, F.array(look(low, F.get(s["p"], at + 1)))).otherwise(none)
-        p = F.concat(F.slice(s["p"], 1, at - 1), F.array(low), F.slice(s["p"], at + 2, size + 1))
-        r = F.concat(F.slice(s["r"], 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(s["r"], at + 2, size + 1))
-        return state(p, r)
-
-    def whole(pieces: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: look(F.get(pieces, i - 1), F.get(pieces, i)))
-        return F.aggregate(
-            F.slice(pieces, 2, F.size(pieces)),  # as many steps as merges can happen
-            state(pieces, F.when(F.size(pieces) > 1, pairs).otherwise(none)),
-            lambda s, _: F.when(s["low"] >= NONE, s).otherwise(merge(s)),
-            lambda s: s["p"],
-        )
-
-    return bind(F.transform(word, lambda x: F.get(bytes_, x)), whole)
-
-
-def _pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of ids as little-endian unsigned 32-bit integers in one byte string each."""
-    for batch in batches:
-        rows = [np.asarray(x, "<u4").tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["w", "ids"])
-
-
-def _split(pattern: str, known):
-    """Tokens by ``pattern``: ids of known words as runs of bytes, other words as byte arrays, in turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, table = regex.compile(pattern).findall, pa.ipc.open_stream(known.value).read_all()
-        get = dict(zip(table["w"].to_pylist(), table["ids"].to_pylist(), strict=True)).get
-        del table
+        find = regex.compile(pattern).findall
+        fixed = {w.encode("latin-1").decode(): i for i, w in enumerate(w for t in _tables(known.value) for w in t["w"].to_pylist())}
+        keys, sizes, numbers, rare, held = [], [], [], {}, 0
+
+        def block() -> pa.RecordBatch:
+            every = np.concatenate(numbers)
+            planes = b"".join(((every >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24))
+            words, far = [], []
+            for i, w in enumerate(rare):
+                raw = w.encode()
+                words.append(latin(w) if len(raw) <= LONG else None)
+                if len(raw) > LONG:
+                    far.append({"pos": i, "ids": merge_long(raw, ranks.value)})
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([uuid.uuid4().hex]), one(pa.concat_arrays(keys)), one(pa.array(np.concatenate(sizes), pa.int32())),
+                    pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary()), one(pa.array(words, pa.string())),
+                    one(pa.array(far, pa.struct([("pos", pa.int32()), ("ids", pa.list_(pa.int32()))]))),
+                ],
+                ["block", "keys", "sizes", "planes", "rare", "far"],
+            )
+
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(1)):
                 raw = data.tobytes()
-                runs, words, sizes = [], [], []
+                keys.append(batch.column(0).slice(first, last - first))
+                own = []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     tokens = find(raw[a:b].decode())
-                    got = [get(x) for x in tokens]
+                    got = list(map(fixed.get, tokens))
                     if None in got:
-                        own, tail, at = [], [], 0
-                        for i, x in enumerate(got):
-                            if x is None:
-                                own.append(b"".join(got[at:i]))
-                                tail.append(tokens[i].encode())
-                                at = i + 1
-                        own.append(b"".join(got[at:]))
-                    else:
-                        own, tail = [b"".join(got)], []
-                    runs.append(own)
-                    words += tail
-                    sizes.append(len(tail))
-                flat = pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32))
-                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()), flat)
-                outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(runs, pa.list_(pa.binary())), outer], ["key", "runs", "words"])
+                        got = [len(fixed) + rare.setdefault(w, len(rare)) if n is None else n for n, w in zip(got, tokens, strict=True)]
+                    numbers.append(np.array(got, np.uint32))
+                    own.append(len(got))
+                sizes.append(np.array(own, np.int32))
+                held += sum(own)
+                if held >= BLOCK_WORDS:
+                    yield block()
+                    keys, sizes, numbers, rare, held = [], [], [], {}, 0
+        if keys:
+            yield block()
 
     return run
 
 
-def decoder(pieces: list[bytes]):
-    """A function from ids as bytes to their pieces, one after another: each byte is taken from the pieces laid end to end."""
-    flat = np.frombuffer(b"".join(pieces), np.uint8)
-    size = np.array([len(p) for p in pieces], np.int64)
-    start = np.cumsum(size) - size
+class Strings:
+    """Strings of bytes or ids, numbered and laid end to end; those of many numbers are gathered at once."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.flat, self.size, self.start = flat, size, np.cumsum(size) - size
+
+    @classmethod
+    def of_pieces(cls, pieces: list[bytes]) -> Strings:
+        return cls(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
 
-    def decode(ids: bytes) -> bytes:
+    @classmethod
+    def of_lists(cls, columns: list[pa.ChunkedArray]) -> Strings:
+        lists = [c for column in columns for c in column.chunks]
+        flat = [np.zeros(0, "<u4"), *[c.flatten().to_numpy().astype("<u4") for c in lists]]
+        return cls(np.concatenate(flat), np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()).astype(np.int64) for c in lists]]))
+
+    def take(self, numbers: np.ndarray) -> bytes:
         out = []
-        every = np.frombuffer(ids, "<u4")
-        for lo in range(0, len(every), 1 << 18):
-            own = every[lo : lo + (1 << 18)]
-            n = size[own]
+        for lo in range(0, len(numbers), 1 << 18):
+            own = numbers[lo : lo + (1 << 18)]
+            n = self.size[own]
             ends = np.cumsum(n)
-            out.append(flat[np.repeat(start[own] - ends + n, n) + np.arange(ends[-1])].tobytes())
+            out.append(self.flat[np.repeat(self.start[own] - ends + n, n) + np.arange(ends[-1])].tobytes())
         return b"".join(out)
 
-    return decode
-
 
-def _join_runs(pieces):
-    """Runs and the ids of the words between them become one byte string a text; with ``pieces``, decoded as well."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = decoder(pieces.value) if pieces is not None else None
-        for batch in batches:
-            inner = batch.column(2).flatten()
-            values = inner.flatten().to_numpy().astype("<u4").tobytes()
-            ends = np.concatenate([[0], np.cumsum(np.diff(inner.offsets.to_numpy()))]).tolist() if len(inner) else [0]
-            at, rows = 0, batch.column(1)
-            for lo in range(0, len(batch), 256):
-                ids = []
-                for own in rows.slice(lo, 256).to_pylist():
-                    parts = [own[0]]
-                    for x in own[1:]:
-                        parts += (values[4 * ends[at] : 4 * ends[at + 1]], x)
-                        at += 1
-                    ids.append(b"".join(parts))
-                out = [batch.column(0).slice(lo, 256), pa.array(ids, pa.binary())]
-                if decode is not None:
-                    out.append(pa.array([decode(x) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
+def _assemble(known, pieces):
+    """A block's texts as ids (with ``pieces``, decoded too), from its word numbers and the ids of its rarer words."""
+
+    def run(block: pa.Table, rare: pa.Table) -> pa.Table:
+        tables = _tables(known.value)
+        fixed = sum(map(len, tables))
+        strings = Strings.of_lists([*[t["ids"] for t in tables], rare["ids"]])
+        row_of = np.zeros(len(rare), np.int64)
+        row_of[rare["pos"].to_numpy()] = np.arange(len(rare))
+        letters = Strings.of_pieces(pieces.value) if pieces is not None else None
+        keys, sizes = block["keys"].chunk(0)[0].values, block["sizes"].chunk(0)[0].values.to_numpy()
+        total = int(sizes.sum())
+        planes = np.frombuffer(pa.decompress(block["planes"][0].as_py(), 4 * total, "zstd", asbytes=True) if total else b"", np.uint8)
+        numbers = sum(planes[i * total : (i + 1) * total].astype(np.int64) << (8 * i) for i in range(4))
+        own = numbers >= fixed
+        numbers[own] = fixed + row_of[numbers[own] - fixed]
+        ends = np.cumsum(sizes)
+        ids = [strings.take(numbers[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        out = [keys, pa.array(ids, pa.binary())]
+        if letters is not None:
+            out.append(pa.array([letters.take(np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
+        return pa.Table.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
 
     return run
 
@@ -245,42 +339,35 @@ def _join_runs(pieces):
 class ByteBpe:
     """Encoder and decoder of one vocabulary.
 
-    Words that occur often are encoded once, by the same fold, and shipped to the tasks as a bounded table; it only
-    saves time, as any word that is not in it goes through the fold where it is met.
+    The words of all texts are split off once; each distinct word is folded once. Words that are frequent in a sample of
+    about ``sample_texts`` texts come first: at most ``known_words``, shipped to the tasks as a table. Texts are then
+    kept as numbers of words, in blocks; what is not in the table is folded once for the whole corpus and joined back
+    to the blocks that hold it. What the sample holds changes no id.
     """
 
-    def __init__(self, spark: SparkSession, vocab: Vocabulary, cache_rows: int = 25_000, cache_words: int = 300_000):
+    def __init__(self, spark: SparkSession, vocab: Vocabulary, sample_texts: int = 25_000, known_words: int = 300_000):
         self.spark, self.vocab = spark, vocab
         small_batches(spark)
-        self.cache_rows, self.cache_words = cache_rows, cache_words
-        self.ranks = RankMap.build(vocab.pairs())
-
-    def fold(self, words: DataFrame, word: str, to: str) -> DataFrame:
-        return words.withColumn(to, fold_merges(F.col(word), self.ranks, byte_ids(self.vocab)))
-
-    def _known(self, docs: DataFrame, text_col: str) -> bytes:
-        """Ids of pieces, and of the ``cache_words`` most frequent words of about ``cache_rows`` texts, as an Arrow stream."""
-        total = max(1, docs.count())
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        some = docs.select(text.alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(max(1, total // self.cache_rows))) == 0)
-        pattern = self.vocab.pattern
-        tokens = some.select(F.explode(F.regexp_extract_all("t", F.lit("(?U)" + pattern), F.lit(0))).alias("w"))
-        top = tokens.groupBy("w").count().orderBy(F.desc("count"), "w").limit(self.cache_words)
-        values = F.transform(F.sequence(F.lit(1), F.octet_length("w")), lambda i: F.conv(F.hex(F.substring(F.col("w").cast("binary"), i, F.lit(1))), 16, 10).cast("int"))
-        folded = self.fold(top.select("w", values.alias("b")).repartition(16), "b", "ids")
-        words = folded.select("w", F.transform("ids", lambda x: x.cast("int")).alias("ids")).mapInArrow(_pack_ids, "w string, ids binary").toArrow()
-        whole = {}
-        for piece, rank in self.vocab.ranks.items():
-            try:
-                whole[piece.decode()] = np.asarray([rank], "<u4").tobytes()
-            except UnicodeDecodeError:
-                continue
-        pieces = pa.table({"w": pa.array(list(whole), pa.string()), "ids": pa.array(list(whole.values()), pa.binary())})
-        sink = pa.BufferOutputStream()
-        both = pa.concat_tables([words.select(["w", "ids"]).cast(pieces.schema), pieces])
-        with pa.ipc.new_stream(sink, both.schema) as out:
-            out.write_table(both)
-        return sink.getvalue().to_pybytes()
+        self.sample_texts, self.known_words = sample_texts, known_words
+        self.ranks = RankMap(vocab)
+
+    def fold(self, words: DataFrame) -> DataFrame:
+        """(w, ids) of words given as strings of bytes, a character each."""
+        values = F.transform(F.filter(F.split("w", ""), lambda c: c != ""), lambda c: F.ascii(c))
+        return words.select("w", F.transform(fold_merges(values, self.ranks), lambda x: x.cast("int")).alias("ids"))
+
+    def _known(self, texts: DataFrame, total: int) -> list[bytes]:
+        """Frequent words of a sample of (key, t), with their ids, packed by the tasks that fold them."""
+        some = texts.filter(F.pmod(F.xxhash64("key", "t"), F.lit(max(1, total // self.sample_texts))) == 0).select("t")
+        counts = cut(some.mapInArrow(_count_words(self.vocab.pattern), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "counts")
+        held, least = 0, 1
+        for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
+            held += r["words"]
+            if held > self.known_words:
+                least = r["n"] + 1
+                break
+        top = self.fold(counts.filter(F.col("n") >= least).select("w").repartition(16, "w"))
+        return [r["blob"] for r in top.mapInArrow(_pack_table, "blob binary").collect()]
 
     def _pieces(self):
         pieces = [b""] * (max(self.vocab.ranks.values()) + 1)
@@ -295,16 +382,21 @@ class ByteBpe:
 
         Each match of the pattern is encoded by itself, without special tokens; a null text is empty and has no
         ids. Whole texts are read; rows keep their ids, repeated or null; an empty table gives an empty table; only
-        the two named columns are read.
+        the two named columns are read. Words of more than LONG bytes are merged with a heap, not with the fold.
         """
-        known = self.spark.sparkContext.broadcast(self._known(docs, text_col))
-        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        kind = docs.select(id_col).schema[0].dataType.simpleString()
-        split = docs.select(F.col(id_col).alias("key"), text.alias("t")).mapInArrow(_split(self.vocab.pattern, known), f"key {kind}, runs array<binary>, words array<array<int>>")
-        ranks, bytes_ = self.ranks, byte_ids(self.vocab)
-        folded = split.select("key", "runs", F.transform("words", lambda w: fold_merges(w, ranks, bytes_)).alias("ids"))
+        texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+        total = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
+        context = self.spark.sparkContext
+        known = context.broadcast(self._known(texts, total["n"]))
+        kind = texts.schema["key"].dataType.simpleString()
+        blocks = texts.mapInArrow(_number(self.vocab.pattern, known, context.broadcast(self.vocab.ranks)), BLOCK.format(kind))
+        blocks = cut_bucketed(blocks, "block", 1 + total["bytes"] // BUCKET_BYTES, "blocks")
+        met = blocks.select(F.col("block").alias("of"), F.posexplode("rare").alias("pos", "w")).filter("w IS NOT NULL")
+        rare = met.join(self.fold(met.select("w").distinct()), "w").select("of", "pos", "ids")
+        rare = rare.union(blocks.select(F.col("block").alias("of"), F.inline("far")))
         schema = f"key {kind}, ids binary" + ", decoded binary" * decoded
-        return folded.mapInArrow(_join_runs(self._pieces() if decoded else None), schema).withColumnRenamed("key", id_col)
+        out = blocks.select("block", "keys", "sizes", "planes").groupBy("block").cogroup(rare.groupBy("of"))
+        return out.applyInArrow(_assemble(known, self._pieces() if decoded else None), schema).withColumnRenamed("key", id_col)
 
     def decode(self, encoded: DataFrame, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
         """Add ``to``, the pieces of ``ids_col`` one after another, as binary. Null stays null; unknown ids are an error."""
@@ -312,9 +404,9 @@ class ByteBpe:
 
         @F.arrow_udf("binary")
         def join(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            decode = decoder(shared.value)
+            letters = Strings.of_pieces(shared.value)
             for column in columns:
-                yield pa.array([None if x is None else decode(x) for x in column.to_pylist()], pa.binary())
+                yield pa.array([None if x is None else letters.take(np.frombuffer(x, "<u4")) for x in column.to_pylist()], pa.binary())
 
         return encoded.withColumn(to, join(F.col(ids_col)))
 

@@ -35,6 +35,20 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_bucketed(df: DataFrame, key: str, buckets: int, what: str) -> DataFrame:
+    """``cut``, with rows in buckets by ``key``: what is joined or grouped by it afterwards is not shuffled again.
+
+    The table's name goes from the catalog at once; its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    name = f"{what}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name).select(*df.columns)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Where the session still has Spark's default of 10,000 rows an Arrow batch, set fewer: whole texts are long rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -347,9 +347,9 @@ def test_bpe_matches_the_library_and_round_trips(spark, odd):
 
     vocab = bpe.public_vocabulary()
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
-    extra = docs_of(spark, [(50, "I'll  don't\x1c\r\n\n <|endoftext|> " + "=" * 500 + "abcdefgh" * 60, None, None), (None, "x", None, None)])
+    extra = docs_of(spark, [(50, "I'll  don't\x1c\r\n\n <|endoftext|> " + "=" * 500 + "abcdefgh" * 60 + " " + "qxz" * 700, None, None), (None, "x", None, None)])
     rows = odd.unionByName(extra).withColumn("ids", F.lit("clash"))
-    tool = bpe.ByteBpe(spark, vocab, cache_words=20)
+    tool = bpe.ByteBpe(spark, vocab, known_words=20)
     got = tool.encode(rows, decoded=True).collect()
     text = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
     assert len(got) == 13
