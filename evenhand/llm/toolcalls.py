@@ -6,10 +6,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import cut
+from evenhand.llm.common import cut, remove, salted_rank, temporary
 
 #: Fixed names of JSON schema types and the Python classes they accept.
 TYPES = {
@@ -46,8 +46,10 @@ def schema_errors(value, schema: dict, path: str = "$") -> list[str]:
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces, and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no spaces, and characters as they are; ValueError for infinities and lone surrogates."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    text.encode()
+    return text
 
 
 def _write(schemas: dict[str, dict]):
@@ -57,25 +59,26 @@ def _write(schemas: dict[str, dict]):
             raise ValueError("repeated key")
         return out
 
-    def one(call_id, name, arguments, result, linked) -> tuple[str, str | None, str]:
+    def one(call_id, name, arguments, result, linked) -> tuple[str, list[str] | None, str]:
+        whole = lambda args: canonical({"arguments": args, "id": call_id, "name": name, "result": result})
         try:
             args = json.loads(arguments, object_pairs_hook=unique, parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
+            text = whole(args)
         except (TypeError, ValueError, RecursionError):
-            return "bad_json", "$: not JSON", canonical({"arguments": None, "id": call_id, "name": name, "result": result})
+            return "bad_json", ["$: not JSON"], whole(None)
         if name not in schemas:
-            status, errors = "unknown_tool", "$: no schema"
-        elif found := schema_errors(args, schemas[name]):
-            status, errors = "invalid", "; ".join(found[:20])
-        else:
-            status, errors = "ok" if linked else "no_result", None
-        return status, errors, canonical({"arguments": args, "id": call_id, "name": name, "result": result})
+            return "unknown_tool", ["$: no schema"], text
+        found = schema_errors(args, schemas[name])
+        if found:
+            return "invalid", [x.encode("utf-8", "replace").decode() for x in found], text
+        return "ok" if linked else "no_result", None, text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.astype(object).where(b.notna(), None)
             rows = [one(*r) for r in zip(b["call_id"], b["name"], b["arguments"], b["result"], b["linked"], strict=True)]
             yield pd.DataFrame({
-                "conv_id": b["conv_id"], "call_id": b["call_id"], "level": b["level"].astype("Int64"), "place": b["place"],
+                "conv_id": b["conv_id"], "call_id": b["call_id"], "level": b["level"].astype("Int64"), "place": b["place"], "own": b["own"],
                 "status": [r[0] for r in rows], "errors": [r[1] for r in rows], "json": [r[2] for r in rows],
             })
 
@@ -89,7 +92,15 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     many rounds as the logarithm of the longest chain; what still points on after enough rounds for all calls in one
     chain goes round a cycle. Calls with several dependencies are peeled off after those that they need.
     """
-    edges = edges.filter("call_id IS NOT NULL AND needs IS NOT NULL").distinct().join(calls.select(F.col("call_id").alias("needs")), "needs", "left_semi").select("call_id", "needs")
+    with temporary(calls.sparkSession) as keep:
+        out = _levels(calls, edges)
+        keep(out)
+    return out
+
+
+def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    known = calls.select(F.col("call_id").alias("needs"))
+    edges = edges.filter("call_id IS NOT NULL AND needs IS NOT NULL").distinct().join(known, "needs", "left_semi").select("call_id", "needs")
     edges = cut(edges.join(calls.select("call_id"), "call_id", "left_semi"), "edges")
     degree = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("needs"))
     if degree.filter("n > 1").isEmpty():
@@ -100,8 +111,9 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
                 break
             up = step.select(F.col("call_id").alias("to"), F.col("to").alias("far"), F.col("level").alias("more"))
             new = step.join(up, "to", "left").select("call_id", F.col("far").alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
-            step = cut(new, "step")
-        return step.select("call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
+            last, step = step, cut(new, "step")
+            remove(calls.sparkSession, last.scratch_path)
+        return cut(step.select("call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level")), "levels")
     done = cut(calls.join(edges, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")), "done")
     while True:
         ready = edges.join(done.withColumnsRenamed({"call_id": "needs"}), "needs", "left").groupBy("call_id").agg(
@@ -110,36 +122,74 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
         new = ready.filter("NOT open").join(done, "call_id", "left_anti").select("call_id", (F.col("low") + 1).alias("level"))
         new = cut(new, "done")
         if new.isEmpty():
-            return calls.select("call_id").join(done, "call_id", "left")
-        done = cut(done.unionByName(new), "done")
+            return cut(calls.select("call_id").join(done, "call_id", "left"), "levels")
+        last, done = done, cut(done.unionByName(new), "done")
+        remove(calls.sparkSession, last.scratch_path)
+
+
+#: Calls of a conversation whose levels fall into one block of this many are sorted together, up to so many rows.
+LEVEL_BLOCK, WIDE = 1024, 1 << 16
+
+
+def places(rows: DataFrame) -> DataFrame:
+    """Add ``place``: calls of a conversation numbered from 0 by (level, turn, call_id), those without a level last.
+
+    Blocks of levels are ranked by themselves; a block of many rows is cut at each level, and by turns. Turns and
+    call_ids decide in the end, so a conversation that holds a third of all calls is still many tasks.
+    """
+    block = F.coalesce(F.floor(F.col("level") / LEVEL_BLOCK), F.lit(1 << 40)).cast("long")
+    rows = cut(rows.withColumn("block", block), "blocks")
+    wide = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WIDE)
+    wide = wide.select(F.col("conv_id").alias("wc"), F.col("block").alias("wb"), F.lit(True).alias("wide"))
+    rows = rows.join(wide, rows["conv_id"].eqNullSafe(wide["wc"]) & (rows["block"] == wide["wb"]), "left").drop("wc", "wb")
+    narrow = F.col("wide").isNull()
+    # no turn comes first, as in the order by turn
+    turns = F.when(F.col("turn").isNull(), F.lit(-(1 << 60))).otherwise(F.floor(F.col("turn") / 64)).cast("long")
+    coarse = [F.col("block"), F.when(narrow, 0).otherwise(F.coalesce("level", F.lit(0))), F.when(narrow, 0).otherwise(turns)]
+    fine = [F.col("level").asc_nulls_last(), F.col("turn").asc_nulls_first(), F.col("call_id").asc_nulls_first()]
+    ranked = salted_rank(rows, ["conv_id"], coarse, fine, "place")
+    return ranked.withColumn("place", F.col("place") - 1).drop("block", "wide")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """Every call with its place, result, verdict and canonical JSON.
-
-    ``calls`` has conv_id, call_id (string, unique), needs (array of call_ids), name, arguments (JSON text) and turn;
-    ``results`` has call_id and content. Results are hash-joined by identifier; where several results name one call,
-    that with the smallest content holds; results of no call are left out. ``level`` orders calls topologically;
-    ``place`` numbers a conversation's calls from 0 by (level, turn, call_id), those on or behind a cycle last. Names
-    of calls outside the table are no dependencies.
-
-    status: 'ok', 'no_result', 'invalid' (errors says where the arguments break the schema), 'unknown_tool',
-    'bad_json' (also null arguments, repeated keys and NaN) or, before any of these, 'cycle'. Null call_ids are left
-    out; rows that repeat a call_id keep the one of smallest (conv_id, turn, arguments); empty tables give an empty
-    table.
+    """Every row of ``calls`` with its place, result, verdict and canonical JSON.
+
+    ``calls`` has conv_id, call_id (string, unique), needs (array of call_ids), name, arguments (JSON text) and turn
+    (a whole number); ``results`` has call_id and content; other columns are not read, whatever their names. Results are
+    hash-joined by identifier; where several results name one call, that with the smallest content holds (null only
+    where all are null); results of no call are left out. ``level`` orders calls topologically; ``place`` numbers a
+    conversation's calls from 0 by (level, turn, call_id), those without a level last; rows whose conversation is null
+    are numbered together. Names of calls outside the table are no dependencies.
+
+    status: 'ok', 'no_result', 'invalid' (``errors`` lists all places where the arguments break the schema),
+    'unknown_tool', 'bad_json' (also null arguments, repeated keys, NaN, numbers beyond a double's range and lone
+    surrogates) or, before any of these, 'no_id' (null call_id), 'repeated' (of rows that share a call_id, that of
+    smallest (conv_id, turn, name, arguments, needs), nulls first, is the call) and 'cycle'. The last three have
+    no level, and the first two of them no result. Empty and long texts are texts like any other; an empty table of
+    calls gives an empty table, one of results gives 'no_result'.
     """
-    calls = calls.select("conv_id", F.col("call_id").cast("string").alias("call_id"), "needs", "name", "arguments", "turn").filter("call_id IS NOT NULL")
-    first = Window.partitionBy("call_id").orderBy("conv_id", "turn", "arguments")
-    calls = cut(calls.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r"), "calls")
-    order = levels(calls.select("call_id"), calls.select("call_id", F.explode("needs").alias("needs")))
+    order = ["conv_id", "turn", "name", "arguments", "needs"]
+    calls = calls.select("conv_id", F.col("call_id").cast("string").alias("call_id"), "needs", "name", "arguments", "turn")
+    # equal rows are counted before they meet by identifier
+    calls = calls.groupBy("call_id", *order).agg(F.count(F.lit(1)).alias("n"))
+    calls = cut(calls.withColumn("key", F.struct(*order)), "calls")
+    least = calls.groupBy("call_id").agg(F.min("key").alias("least"))
+    calls = calls.join(least.filter("call_id IS NOT NULL").withColumnRenamed("call_id", "of"), F.col("call_id") == F.col("of"), "left")
+    first = F.coalesce(F.col("key").eqNullSafe(F.col("least")) & F.col("of").isNotNull(), F.lit(False))
+    calls = calls.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    own = F.when(F.col("call_id").isNull(), "no_id").when(first & (F.col("copy") == 1), "call").otherwise("repeated")
+    calls = cut(calls.select("call_id", *order, own.alias("own")), "calls")
+    linked = calls.filter("own = 'call'")
+    ranks = levels(linked.select("call_id"), linked.select("call_id", F.explode("needs").alias("needs")))
     best = results.filter("call_id IS NOT NULL").groupBy(F.col("call_id").cast("string").alias("call_id")).agg(F.min("content").alias("result"), F.lit(True).alias("linked"))
-    rows = calls.drop("needs").join(order, "call_id").join(best, "call_id", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    w = Window.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), "turn", "call_id")
-    rows = rows.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
+    rows = linked.join(ranks, "call_id").join(best, "call_id", "left").select("call_id", *order, "own", "level", "result", F.coalesce("linked", F.lit(False)).alias("linked"))
+    other = calls.filter("own <> 'call'").withColumns({"level": F.lit(None).cast("long"), "result": F.lit(None).cast(results.schema["content"].dataType), "linked": F.lit(False)})
+    rows = places(rows.unionByName(other))
     kind = rows.schema["conv_id"].dataType.simpleString()
-    rows = rows.select("conv_id", "call_id", "level", "place", "name", "arguments", "result", "linked")
-    out = rows.mapInPandas(_write(schemas), f"conv_id {kind}, call_id string, level long, place long, status string, errors string, json string")
-    return out.withColumn("status", F.when(F.col("level").isNull(), "cycle").otherwise(F.col("status")))
+    rows = rows.select("conv_id", "call_id", "level", "place", "own", "name", "arguments", "result", "linked")
+    out = rows.mapInPandas(_write(schemas), f"conv_id {kind}, call_id string, level long, place long, own string, status string, errors array<string>, json string")
+    status = F.when(F.col("own") != "call", F.col("own")).when(F.col("level").isNull(), "cycle").otherwise(F.col("status"))
+    return out.withColumn("status", status).drop("own")
 
 
 #: The tool that the registered query reads chats as: each user turn asks, the turn after it answers.
@@ -160,14 +210,17 @@ CHAT_SCHEMAS = {
 def as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a chat table: a user turn calls 'ask', an assistant turn answers the user turn before it.
 
-    A call needs the call two turns earlier in its conversation; identifiers are 'conversation:turn'.
+    A call needs the call two turns earlier in its conversation; identifiers are 'conversation:turn', with '~' for a
+    null conversation or turn. Rows that share an identifier are for ``link_calls`` to tell apart; a call with a null
+    turn needs nothing.
     """
-    key = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
+    key = lambda t: F.concat(part(F.col("conv_id")), F.lit(":"), part(t))
     text = F.col("text")
     users = turns.filter("role = 'user'")
     arguments = F.to_json(F.struct(text.alias("prompt"), F.col("turn").alias("turn"), F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("words")))
-    calls = users.select("conv_id", key(F.col("turn")).alias("call_id"), F.array(key(F.col("turn") - 2)).alias("needs"), F.lit("ask").alias("name"), arguments.alias("arguments"), "turn")
-    results = turns.filter("role = 'assistant'").select(key(F.col("turn") - 1).alias("call_id"), text.alias("content"))
+    calls = users.select("conv_id", key(F.col("turn")).alias("call_id"), F.when(F.col("turn").isNotNull(), F.array(key(F.col("turn") - 2))).alias("needs"), F.lit("ask").alias("name"), arguments.alias("arguments"), "turn")
+    results = turns.filter("role = 'assistant' AND turn IS NOT NULL").select(key(F.col("turn") - 1).alias("call_id"), text.alias("content"))
     return calls, results
 
 
@@ -179,19 +232,23 @@ def op4_tool_calls(spark, sf_dir: str) -> DataFrame:
 
 #: DuckDB SQL of op4_tool_calls.
 SQL = r"""
-WITH u AS (
-  SELECT *, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS call_id,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words
-  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS rn FROM conversations WHERE role = 'user') WHERE rn = 1),
-a AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR) AS call_id, min(text) AS result FROM conversations WHERE role = 'assistant' GROUP BY 1),
+WITH u0 AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), '~') || ':' || coalesce(CAST(turn AS VARCHAR), '~') AS call_id,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words FROM conversations WHERE role = 'user'),
+u1 AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY conv_id NULLS FIRST, turn NULLS FIRST,
+         '{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || CAST(to_json(text) AS VARCHAR) || ',' END NULLS FIRST) AS rn FROM u0),
+u AS (SELECT * FROM u1 WHERE rn = 1),
+a AS (SELECT coalesce(CAST(conv_id AS VARCHAR), '~') || ':' || CAST(turn - 1 AS VARCHAR) AS call_id, min(text) AS result FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY 1),
 g AS (SELECT *, CASE WHEN turn - lag(turn) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) = 2 THEN 0 ELSE 1 END AS new FROM u),
 h AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain FROM g),
 l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, chain ORDER BY turn) - 1 AS level FROM h),
-j AS (SELECT l.*, a.result, a.call_id IS NOT NULL AS linked FROM l LEFT JOIN a ON l.call_id = a.call_id)
+j AS (SELECT l.conv_id, l.call_id, l.turn, l.text, l.words, l.rn, l.level, a.result, a.call_id IS NOT NULL AS linked FROM l LEFT JOIN a ON l.call_id = a.call_id
+      UNION ALL SELECT conv_id, call_id, turn, text, words, rn, NULL, NULL, false FROM u1 WHERE rn > 1)
 SELECT conv_id, call_id, CAST(level AS BIGINT) AS level,
-       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) - 1 AS BIGINT) AS place,
-       CASE WHEN words < 3 OR text = '' THEN 'invalid' WHEN linked THEN 'ok' ELSE 'no_result' END AS status,
-       md5('{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || ',"words":' || words || '},"id":"' || call_id
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn NULLS FIRST, call_id, rn) - 1 AS BIGINT) AS place,
+       CASE WHEN rn > 1 THEN 'repeated' WHEN words < 3 OR coalesce(text, '') = '' OR turn IS NULL OR turn < 0 THEN 'invalid' WHEN linked THEN 'ok' ELSE 'no_result' END AS status,
+       md5('{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || CAST(to_json(text) AS VARCHAR) || ',' END
+           || CASE WHEN turn IS NULL THEN '' ELSE '"turn":' || turn || ',' END || '"words":' || words || '},"id":"' || call_id
            || '","name":"ask","result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}') AS json_md5
 FROM j
 """

@@ -143,14 +143,44 @@ def test_tool_calls(spark):
         ("c", "1", [], "f", '{"b": ["x"], "a": 2}', 0), ("c", "2", ["1"], "f", '{"a": 0}', 1), ("c", "3", ["1", "2"], "g", "{}", 2), ("c", "4", ["5"], "f", '{"a": 1}', 3),
         ("c", "5", ["4"], "f", '{"a": 1}', 4), ("c", "6", None, "f", '{"a": 1, "a": 2}', 5), ("c", "7", ["zz", None], "f", None, 6), ("c", "8", [], "f", '{"a": NaN}', 7),
         ("d", None, [], "f", "{}", 0), ("c", "1", [], "f", '{"b": ["x"], "a": 3}', 9), ("d", "9", ["3"], "f", '{"a": true}', 1),
-    ], "conv_id string, call_id string, needs array<string>, name string, arguments string, turn long")
-    results = spark.createDataFrame([("1", "é"), ("1", "z"), ("2", None), ("nobody", "r"), (None, "r")], "call_id string, content string")
-    got = {r["call_id"]: r for r in toolcalls.link_calls(calls, results, SCHEMA).collect()}
-    assert {k: v["status"] for k, v in got.items()} == {"1": "ok", "2": "invalid", "3": "unknown_tool", "4": "cycle", "5": "cycle", "6": "bad_json", "7": "bad_json", "8": "bad_json", "9": "invalid"}
-    assert got["1"]["json"] == '{"arguments":{"a":2,"b":["x"]},"id":"1","name":"f","result":"z"}' or json.loads(got["1"]["json"])["result"] in ("z", "é")
-    assert {k: v["level"] for k, v in got.items()} == {"1": 0, "2": 1, "3": 2, "4": None, "5": None, "6": 0, "7": 0, "8": 0, "9": 3}
-    assert sorted(v["place"] for v in got.values() if v["conv_id"] == "c") == list(range(8))
+        ("d", "10", [], "f", '{"a": 1e999}', 2), ("d", "11", [], "f", '{"a": "\\ud800"}', 3), ("d", "12", [], "f", '{"a": 1, "b": [' + ", ".join(["1"] * 30) + "]}", 4),
+        ("c", "8", [], "f", '{"a": NaN}', 7), (None, "13", [], None, '{"a": 1}', None),
+    ], "conv_id string, call_id string, needs array<string>, name string, arguments string, turn long").withColumns({c: F.lit("clash") for c in ("level", "place", "status", "own", "n", "key")})
+    results = spark.createDataFrame([("1", "é"), ("1", "z"), ("2", None), ("nobody", "r"), (None, "r")], "call_id string, content string").withColumn("result", F.lit("clash"))
+    rows = toolcalls.link_calls(calls, results, SCHEMA).collect()
+    assert len(rows) == calls.count()
+    got = {r["call_id"]: r for r in rows if r["status"] not in ("no_id", "repeated")}
+    assert {k: v["status"] for k, v in got.items()} == {
+        "1": "ok", "2": "invalid", "3": "unknown_tool", "4": "cycle", "5": "cycle", "6": "bad_json", "7": "bad_json", "8": "bad_json", "9": "invalid",
+        "10": "bad_json", "11": "bad_json", "12": "invalid", "13": "unknown_tool",
+    }
+    assert sorted((r["call_id"] or "", r["status"]) for r in rows if r["status"] in ("no_id", "repeated")) == [("", "no_id"), ("1", "repeated"), ("8", "repeated")]
+    assert got["1"]["json"] == '{"arguments":{"a":2,"b":["x"]},"id":"1","name":"f","result":"z"}'
+    assert len(got["12"]["errors"]) == 30
+    assert {k: v["level"] for k, v in got.items() if k < "4"} == {"1": 0, "2": 1, "3": 2, "10": 0, "11": 0, "12": 0, "13": 0} and got["4"]["level"] is None and got["9"]["level"] == 3
+    for conv, n in (("c", 10), ("d", 5), (None, 1)):
+        assert sorted(r["place"] for r in rows if r["conv_id"] == conv) == list(range(n))
     assert toolcalls.link_calls(calls.limit(0), results, SCHEMA).count() == 0
+    assert {r["status"] for r in toolcalls.link_calls(calls, results.limit(0), SCHEMA).filter("call_id = '1'").collect()} == {"no_result", "repeated"}
+
+
+def test_chats_keep_rows_without_conversation_or_turn(spark):
+    turns = spark.createDataFrame(
+        [(None, 0, "user", "one two three"), (None, 0, "user", "four five six"), (5, None, "user", "a b c"), (None, 5, "user", "d e f"), (5, None, "assistant", "r"), (5, 1, "assistant", None)],
+        "conv_id long, turn long, role string, text string",
+    )
+    rows = toolcalls.link_calls(*toolcalls.as_calls(turns), toolcalls.CHAT_SCHEMAS).collect()
+    assert sorted((r["call_id"], r["status"]) for r in rows) == [("5:~", "invalid"), ("~:0", "no_result"), ("~:0", "repeated"), ("~:5", "no_result")]
+
+
+def test_places_of_wide_levels(spark, monkeypatch):
+    monkeypatch.setattr(toolcalls, "WIDE", 10)
+    rows = [("c", f"{i:04}", i % 3 if i % 7 else None, i % 200 if i % 5 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "conv_id string, call_id string, level long, turn long")
+    got = {r["call_id"]: r["place"] for r in toolcalls.places(df).collect()}
+    last = 1 << 40
+    want = sorted(rows, key=lambda r: (last if r[2] is None else r[2], -1 if r[3] is None else r[3], r[1]))
+    assert [got[r[1]] for r in want] == list(range(500))
 
 
 def test_long_chains_take_few_rounds(spark):
@@ -214,6 +244,59 @@ def test_shards_balance_and_keep_groups(spark):
     assert all(len(x) == 1 for x in where.values())
 
 
+def plain_differencing(sizes, k):
+    """Karmarkar-Karp as the textbook has it: lists of parts, the two of largest spread combined until one is left."""
+    parts = [[(x, [i])] + [(0, [])] * (k - 1) for i, x in enumerate(sizes)]
+    spread = lambda p: p[0][0] - p[-1][0]
+    while len(parts) > 1:
+        parts.sort(key=spread)
+        a, b = parts.pop(), parts.pop()
+        both = [(x + y, m + n) for (x, m), (y, n) in zip(a, reversed(b), strict=True)]
+        parts.append(sorted(both, key=lambda p: -p[0]))
+    return parts[0]
+
+
+def test_differencing_is_the_textbook_one():
+    rng = np.random.default_rng(12)
+    for k in (2, 3, 7):
+        sizes = [int(x) for x in rng.permutation(100_000)[:60] + 1]
+        sums = np.zeros((60, k), np.int64)
+        sums[:, 0] = sizes
+        part, total = shards.difference(sums)
+        want = plain_differencing(sizes, k)
+        assert sorted(total.tolist()) == sorted(x for x, _ in want)
+        assert {frozenset(np.flatnonzero(part[:, 0] == p).tolist()) for p in range(k)} == {frozenset(m) for _, m in want}
+
+
+def test_shards_match_a_plain_version(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [(i, "x" * int(n), None, None) for i, n in enumerate(rng.integers(1, 5000, 80))] + [(None, "x" * 4999, None, None), (3, "", None, None), (3, None, None, None)]
+    rows += [(500 + i, "y" * 900, None, None) for i in range(40)]  # 0.9 of a share: stays whole
+    got = shards.shard(docs_of(spark, rows).withColumn("_clash", F.lit(1)), 6).collect()
+    size = {}
+    for _, t, *_ in rows:
+        size[t or ""] = size.get(t or "", 0) + len((t or "").encode()) + 16
+    assert max(size.values()) <= sum(size.values()) / 6
+    want = sorted(x for x, _ in plain_differencing(list(size.values()), 6))
+    by = {}
+    for r in got:
+        by[r["shard"]] = by.get(r["shard"], 0) + r["size"]
+    assert sorted(by.values()) == want or max(by.values()) - min(by.values()) <= 2 * (want[-1] - want[0]) + 16
+    where = {}
+    for r in got:
+        where.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
+    assert all(len(x) == 1 for x in where.values())
+    # many tasks, in several rounds
+    monkeypatch.setattr(shards, "PER_BUCKET", 5)
+    monkeypatch.setattr(shards, "FAN", 3)
+    monkeypatch.setattr(shards, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shards, "SLOTS_SORTED", 20)
+    got = shards.shard(docs_of(spark, rows), 6).collect()
+    assert len(got) == len(rows)
+    for s in range(6):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_differencing_beats_dealing_in_turn():
     rng = np.random.default_rng(2)
     sums = np.zeros((200, 4), np.int64)
@@ -292,12 +375,60 @@ def test_join_of_empty_and_repeated(spark):
     assert got == [(-1, -1), (3, 3), (5, 3), (5, 3), (9, 9)]
 
 
+def brute_by_rows(rows):
+    """Components where rows of one id are one node; a row has its own number of shingles."""
+    alone = brute_components(list(enumerate(t for _, t in rows)))
+    root = {i: i for i, _ in rows}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for at, (_, c) in alone.items():
+        p, q = find(rows[at][0]), find(rows[c][0])
+        root[max(p, q)] = min(p, q)
+    return sorted((i, alone[at][0], find(i)) for at, (i, _) in enumerate(rows))
+
+
+def test_join_of_ids_with_several_texts(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(5000)]
+    a, b, c = (" ".join(rng.choice(words, 60)) for _ in range(3))
+    for rows in (
+        [(1, a), (1, b), (2, b + " x y z")],
+        [(5, a), (5, b), (2, b + " x"), (3, a + " x")],
+        [(3, a), (7, a), (7, b), (5, b), (9, b + " x")],
+        [(4, a), (4, None), (4, ""), (2, a), (8, c), (8, c), (9, None)],
+    ):
+        got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_by_rows(rows)
+
+
+def test_hot_shingles_and_unbroadcast_sides(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LEVEL", 2)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 1)
+    monkeypatch.setattr(ngram_join, "ENTRIES", 50)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    base = list(rng.choice(words, 80))
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in rng.choice(80, i % 6, replace=False):
+            w[at] = str(rng.choice(words))
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(rng.choice(words, 30))) for i in range(20)] + [(200 + i, rows[i][1]) for i in range(10)]
+    got = ngram_join.NgramJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["id"]: (r["n"], r["comp"]) for r in got.run().collect()} == brute_components(rows)
+
+
 def test_join_orders_by_counts_of_the_whole_table(spark):
     common = [f"c{i}" for i in range(45)]
     rows = [(i, " ".join([f"u{i}x{j}" for j in range(30)] + common)) for i in range(40)]
     one = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id")  # hardly any task sees the passage twice
     join = ngram_join.NgramJoin(one)
-    join.docs.mapInArrow(ngram_join._profile(5), "id long, n long, s1 long, s2 long, seen binary").createOrReplaceTempView("profile_of_slices")
+    join.docs.mapInArrow(ngram_join._profile(5), "id long, h long, n long, s long, seen binary").createOrReplaceTempView("profile_of_slices")
     levels = join._levels(spark.table("profile_of_slices")).value
     data = " ".join(common).encode()
     (shared,) = ngram_join.shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
@@ -380,11 +511,35 @@ def test_warc_round_trip_with_magic_in_payloads(spark):
     assert {i: (got[str(i)]["record_type"], got[str(i)]["refers_to"]) for i in (1, 2, 3, 4, 5)} == {
         1: ("revisit", "3"), 2: ("revisit", "3"), 3: ("response", None), 4: ("revisit", "5"), 5: ("response", None),
     }
+    odd_ids = spark.createDataFrame([(None, "u", "twice"), (1, "u", "twice"), (1, "u", "twice"), (None, "u", "alone"), (None, "u", "alone")], "page_id long, url string, html string")
+    path = scratch(spark, "warc")
+    warc.write_archives(odd_ids, path)
+    assert sorted((r["id"], r["record_type"], r["refers_to"] or "") for r in warc.read_archives(spark, path).collect()) == [
+        ("", "response", ""), ("", "response", ""), ("", "revisit", "1"), ("1", "response", ""), ("1", "response", ""),
+    ]
     none = scratch(spark, "warc")
     warc.write_archives(df.limit(0), none)
     assert warc.read_archives(spark, none).count() == 0
 
 
+def test_records_are_whole_however_files_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(warc, "STRETCH", 512)
+    monkeypatch.setattr(warc, "FINE", 64)
+    rng = np.random.default_rng(9)
+    rows = [(i, f"http://h/{i}", "".join(rng.choice(["a", "\r\n\r\n", warc.MAGIC, "ß", f"{warc.MAGIC}Content-Length: 3\r\n\r\nabc\r\n\r\n"], i % 9))) for i in range(60)]
+    path = scratch(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = {int(r["id"]): r for r in warc.read_archives(spark, path).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == list(range(60))
+    for i, _, html in rows:
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(html.encode()), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode())
+
+
 def test_pointer_jumping_keeps_the_chain(spark):
     rows = [("f", 0, 100), ("f", 40, 60), ("f", 60, 70), ("f", 70, 100), ("f", 100, 300), ("f", 200, 250), ("f", 300, 400), ("g", 5, 10), ("g", 10, 20)]
     got = warc.reachable(spark.createDataFrame(rows, "file string, start long, next long")).collect()
