@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from evenhand.llm.common import cut, hash_part, salted_rank
 
-#: Groups that one task differences, and how many tasks there are at most; the driver gets a row of sums from each.
-PER_BUCKET, MOST_BUCKETS = 20_000, 4096
+#: Groups that one task differences, and tasks' results that one task of the next round differences again.
+PER_BUCKET, FAN = 20_000, 4096
+#: Tables of this many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Rows of all shards for each of the runs that slots are counted in.
+SLOTS_SORTED = 1 << 18
 
 
 def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,51 +67,73 @@ def _difference_groups(shards: int):
     return run
 
 
-def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
+def _difference_parts(shards: int):
+    """Results of several tasks (bucket, part, bytes) differenced into one: where each part of each bucket goes."""
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(table["bucket"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(names), shards), np.int64)
+        sums[at, table["part"].to_numpy()] = table["bytes"]
+        final, _ = difference(sums)
+        return pd.DataFrame({"up": table["up"].iloc[0], "bucket": np.repeat(names, shards), "part": np.tile(np.arange(shards), len(names)), "to": final.ravel()})
+
+    return run
+
+
+def combine(placed: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """(bucket, part, shard) for every part of every bucket: rounds of differencing, FAN buckets to a task, until one is left."""
+    sums = placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes"))
+    where = None
+    while True:
+        own = sums.withColumn("up", F.floor(F.col("bucket") / FAN).cast("long"))
+        to = cut(own.groupBy("up").applyInPandas(_difference_parts(shards), "up long, bucket long, part long, to long"), "combined")
+        if where is None:
+            where = to
+        else:
+            last = where.select(F.col("up").alias("_b"), F.col("to").alias("_p"), F.col("bucket").alias("_b0"), F.col("part").alias("_p0"))
+            where = last.join(to, (F.col("_b") == F.col("bucket")) & (F.col("_p") == F.col("part"))).select("up", F.col("_b0").alias("bucket"), F.col("_p0").alias("part"), "to")
+        buckets = -(-buckets // FAN)
+        if buckets <= 1:
+            return where.select("bucket", "part", F.col("to").cast("int").alias("shard"))
+        sums = own.join(to.drop("up"), ["bucket", "part"]).groupBy(F.col("up").alias("bucket"), F.col("to").alias("part")).agg(F.sum("bytes").alias("bytes"))
+
+
+def shard(docs: DataFrame, shards: int = 40, text_col: str = "text", overhead: int = 16) -> DataFrame:
     """Every input row, but for its text, with size, text_crc32, law ('bytes'), shard, slot and grown_shard (null).
 
-    A row's size is its text's UTF-8 bytes plus ``overhead``; rows with equal texts are one group. Groups are dealt
-    over tasks by hash; each task differences its groups into ``shards`` parts, and the tasks' parts are differenced
-    again. A group larger than half a shard's share is cut into pieces of at most about half a share, since no
-    placement of it whole could balance. Slots count from 0 in each shard without gaps, in an order of hashes.
+    A row's size is its text's UTF-8 bytes plus ``overhead``; rows with equal texts are one group, which goes to one
+    shard. Only a group of more than a whole shard's mean share is cut, since sizes could not be near equal with it
+    whole: into pieces of about half a share. Groups are dealt over tasks by hash; each task differences its groups into
+    ``shards`` parts, and the tasks' parts are differenced again, round by round. Slots count from 0 in each shard
+    without gaps, in an order of hashes of where rows stand in the input.
 
-    A null text has no bytes, like the empty one, and shares its group; repeated rows are each placed; input columns
-    with an output's name are replaced; an empty table gives an empty table.
+    A null text has no bytes, like the empty one, and shares its group; null ids are ids like any other; repeated rows
+    are each placed, as one group; input columns with an output's name are replaced; an empty table gives an empty
+    table.
     """
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    df = docs.withColumns({
-        "_id": docs[id_col],
-        "_h": F.md5(text.cast("binary")),
-        "_size": (F.octet_length(text) + overhead).cast("long"),
-        "_crc": F.crc32(text.cast("binary")),
-    })
     keep = [c for c in docs.columns if c not in made and c != text_col]
-    narrow = cut(df.select(*keep, "_id", "_h", "_size", "_crc"), "sizes")
+    own = {"_h": F.md5(text.cast("binary")), "_size": (F.octet_length(text) + overhead).cast("long"), "_crc": F.crc32(text.cast("binary"))}
+    narrow = cut(docs.withColumns(own).select(*keep, *own).withColumn("_row", F.monotonically_increasing_id()), "sizes")
     total = narrow.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     share = max(1.0, total / shards)
     groups = narrow.groupBy("_h").agg(F.sum("_size").alias("bytes"))
-    # groups of over half a share: fewer than twice as many as shards
-    large = groups.filter(F.col("bytes") > share / 2).select(F.col("_h").alias("_hl"), F.ceil(F.col("bytes") / (share / 2)).cast("long").alias("_n"))
-    piece = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id", "_h"), F.col("_n"))).cast("long")
+    # groups of over a share: fewer than there are shards
+    large = groups.filter(F.col("bytes") > share).select(F.col("_h").alias("_hl"), F.ceil(F.col("bytes") / (share / 2)).cast("long").alias("_n"))
+    piece = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_row"), F.col("_n"))).cast("long")
     dealt = narrow.join(F.broadcast(large), narrow["_h"] == F.col("_hl"), "left").withColumn("_piece", piece).drop("_hl", "_n")
     items = cut(dealt.groupBy("_h", "_piece").agg(F.sum("_size").alias("bytes")), "groups")
-    n = items.count()
-    buckets = max(1, min(MOST_BUCKETS, -(-n // PER_BUCKET)))
+    buckets = max(1, -(-items.count() // PER_BUCKET))
     items = items.select(F.pmod(F.xxhash64("_h", "_piece"), F.lit(buckets)).alias("bucket"), F.col("_h").alias("h"), F.col("_piece").alias("piece"), "bytes")
     placed = items.groupBy("bucket").applyInPandas(_difference_groups(shards), "bucket long, h string, piece long, bytes long, part long")
     placed = cut(placed, "parts")
-    rows = placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect()  # MOST_BUCKETS * shards at most
-    names = sorted({r["bucket"] for r in rows})
-    sums = np.zeros((len(names), shards), np.int64)
-    for r in rows:
-        sums[names.index(r["bucket"]), r["part"]] = r["bytes"]
-    final, _ = difference(sums)
-    where = [(b, p, int(final[i, p])) for i, b in enumerate(names) for p in range(shards)]
-    table = docs.sparkSession.createDataFrame(where or [(0, 0, 0)], "bucket long, part long, shard int")
-    placed = placed.join(F.broadcast(table), ["bucket", "part"]).select(F.col("h").alias("_h"), F.col("piece").alias("_piece"), "shard")
-    out = dealt.drop(*[c for c in ("shard",) if c in dealt.columns]).join(placed, ["_h", "_piece"])
-    out = salted_rank(out, ["shard"], [hash_part(F.col("_id"), "slot", 6) % 64], [F.col("_id").asc_nulls_last()], "_slot")
+    where = combine(placed, buckets, shards)
+    where = F.broadcast(where) if buckets * shards <= BROADCAST_ROWS else where
+    placed = placed.join(where, ["bucket", "part"]).select(F.col("h").alias("_h"), F.col("piece").alias("_piece"), "shard")
+    out = dealt.join(placed, ["_h", "_piece"])
+    salts = 1 + narrow.count() // SLOTS_SORTED
+    out = salted_rank(out, ["shard"], [hash_part(F.col("_row"), "slot", 7) % salts], [F.col("_row")], "_slot")
     return out.select(
         *keep,
         F.col("_size").alias("size"),
