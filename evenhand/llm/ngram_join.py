@@ -1,12 +1,13 @@
 """N-gram Jaccard join: prefix filtering under one global order, verified along a prefix tree.
 
-1. Every text becomes its set of 64-bit shingle hashes; a two-part sum of the set tells equal sets apart from
-   others, so copies collapse to one representative before anything is compared.
+1. Every text becomes its set of 64-bit shingle hashes. The sum of a set's hashes names the set, so copies collapse to
+   one node before anything is compared, and rows that repeat an id with different texts are several sets of one id.
 2. The global order puts rare shingles first. Its key is (level of the shingle's cell, hash), where the level is the
    logarithm of how many sets of the whole table hold shingles of the cell: a table of fixed size, whatever the
    corpus. Any order gives the same links; a good one gives fewer candidates.
 3. Sets that are similar enough share a shingle among their first ``n - ceil(t * n) + 1``. Those prefixes are dealt
-   out by hash range, packed; what only one set has is dropped there.
+   out by hash range, packed, over as many tasks as their number asks for; what only one set has is dropped there.
+   Shingles of very many sets are dealt by set as well, so that no task holds all of one.
 4. Shingles that the same sets share are one group, weighted by their number. In each group, one member (a hub) is
    compared with the others: linear in the group. In groups that the links so found leave in several components,
    rounds of probes follow: a probe meets the members of other components in all its groups, then leaves them all.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import cut, small_batches
+from evenhand.llm.common import cut, remove, small_batches, temporary
 from evenhand.llm.components import components
 from evenhand.llm.textarrays import mix64, shingle_sets, slices
 
@@ -46,8 +47,21 @@ BROADCAST_IDS = 2_000_000
 PROBE_RATIO, PROBE_FLOOR = 8, 500_000
 #: Cells of the level table that are added up in one row.
 CHUNK = 1 << 14
-#: Prefix entries a task holds before it passes them on.
-FLUSH = 1 << 18
+#: Prefix entries a task holds before it passes them on, and how many meet in one task.
+FLUSH, ENTRIES = 1 << 18, 1 << 20
+#: Shingles of cells of this level (the logarithm of its count) are dealt by set, too.
+HOT_LEVEL = 20
+#: Copies of the smaller side of a join whose key may be hot, where it is too large to broadcast.
+SALTS = 16
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join with one row of ``right`` for each key, though a key may hold a third of ``left``."""
+    if right.count() <= BROADCAST_IDS:
+        return left.join(F.broadcast(right), on, how)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
 def _cell(u: np.ndarray) -> np.ndarray:
@@ -70,28 +84,31 @@ def prefix_length(n: int, t: float) -> int:
     return n - -(-pct * n // 100) + 1 if n else 0
 
 
+def set_name(u: np.ndarray) -> int:
+    """The sum of a set's hashes as a signed 64-bit integer."""
+    return int(u.sum(dtype=np.uint64).astype(np.int64))
+
+
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            ids, ns, s1, s2 = [], [], [], []
-            for first, last, data, offsets in slices(batch.column(1)):
+            ns, names = [], []
+            for _, _, data, offsets in slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, k)
-                ids += batch.column(0).slice(first, last - first).to_pylist()
                 ns += [len(u) for u in sets]
-                s1 += [int(u.sum(dtype=np.uint64).astype(np.int64)) for u in sets]
-                s2 += [int(mix64(u).sum(dtype=np.uint64).astype(np.int64)) for u in sets]
+                names += [set_name(u) for u in sets]
                 counts += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
-            yield _profile_rows(ids, ns, s1, s2, [None] * len(ids))
+            yield _profile_rows(batch.column(0), batch.column(2), ns, names, [None] * len(batch))
         if counts.any():
-            yield _profile_rows([None], [-1], [0], [0], [zlib.compress(counts.tobytes(), 1)])
+            yield _profile_rows(pa.array([None], pa.int64()), pa.array([0], pa.int64()), [-1], [0], [zlib.compress(counts.tobytes(), 1)])
 
     return run
 
 
-def _profile_rows(ids: list, ns: list, s1: list, s2: list, seen: list) -> pa.RecordBatch:
-    cols = [*[pa.array(c, pa.int64()) for c in (ids, ns, s1, s2)], pa.array(seen, pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, ["id", "n", "s1", "s2", "seen"])
+def _profile_rows(ids: pa.Array, h: pa.Array, ns: list, names: list, seen: list) -> pa.RecordBatch:
+    cols = [ids, h, pa.array(ns, pa.int64()), pa.array(names, pa.int64()), pa.array(seen, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["id", "h", "n", "s", "seen"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,81 +131,90 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(levels, k: int, t: float, ranges: int):
-    def pack(tok: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        part = (tok % np.uint64(ranges)).astype(np.int64)
+    def pack(tok: np.ndarray, name: np.ndarray, n: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        part = (np.where(hot, mix64(tok ^ name.view(np.uint64)), tok) % np.uint64(ranges)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        part, tok, doc, n = part[order], tok[order], doc[order], n[order]
+        part, tok, name, n, hot = part[order], tok[order], name[order], n[order], hot[order]
         own, at = np.unique(part, return_index=True)
         ends = [*at[1:].tolist(), len(part)]
         blobs = []
         for a, b in zip(at.tolist(), ends, strict=True):
-            blobs.append(b"".join([np.int64(b - a).tobytes(), tok[a:b].tobytes(), doc[a:b].tobytes(), n[a:b].astype(np.int32).tobytes()]))
+            blobs.append(b"".join([np.int64(b - a).tobytes(), tok[a:b].tobytes(), name[a:b].tobytes(), n[a:b].astype(np.int32).tobytes(), hot[a:b].tobytes()]))
         return pa.RecordBatch.from_arrays([pa.array(own), pa.array(blobs, pa.binary())], ["part", "blob"])
 
+    def flush(held: list) -> pa.RecordBatch:
+        lens = [len(h[0]) for h in held]
+        tok = np.concatenate([h[0] for h in held])
+        name, n = (np.repeat(np.array([h[i] for h in held], np.int64), lens) for i in (1, 2))
+        return pack(tok, name, n, levels.value[_cell(tok)] >= HOT_LEVEL)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = levels.value
         held, size, seen = [], 0, set()
         for batch in batches:
             ids = batch.column(0)
             for first, last, data, offsets in slices(batch.column(1)):
-                own = ids.slice(first, last - first).to_pylist()
-                for doc, u in zip(own, shingle_sets(data, offsets, k), strict=True):
-                    if doc is None or not len(u):
-                        continue
-                    key = (len(u), int(u.sum(dtype=np.uint64)), int(u[0]))
-                    if key in seen:  # a copy of what this task has dealt out already
+                own = ids.slice(first, last - first).is_valid().to_pylist()
+                for valid, u in zip(own, shingle_sets(data, offsets, k), strict=True):
+                    name = set_name(u)
+                    if not valid or not len(u) or name in seen:  # what this task has dealt out already is a copy
                         continue
-                    seen.add(key)
-                    head = _ordered(u, table)[: prefix_length(len(u), t)]
-                    held.append((head, doc, len(u)))
+                    seen.add(name)
+                    head = _ordered(u, levels.value)[: prefix_length(len(u), t)]
+                    held.append((head, name, len(u)))
                     size += len(head)
                 if size >= FLUSH:
-                    yield _flush(held, pack)
+                    yield flush(held)
                     held, size = [], 0
         if held:
-            yield _flush(held, pack)
+            yield flush(held)
 
     return run
 
 
-def _flush(held: list, pack) -> pa.RecordBatch:
-    lens = [len(h[0]) for h in held]
-    return pack(np.concatenate([h[0] for h in held]), np.repeat(np.array([h[1] for h in held], np.int64), lens), np.repeat(np.array([h[2] for h in held], np.int64), lens))
-
-
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the packed prefixes of this partition's hash ranges, the entries of shingles that two or more sets have."""
-    tok, doc, n = [], [], []
+    """Of the packed prefixes of this partition's hash ranges, the entries of shingles that two or more sets have.
+
+    Hot shingles are dealt by set, so each of their entries goes on as it is.
+    """
+    tok, doc, n, hot = [], [], [], []
     for batch in batches:
         for blob in batch.column(0).to_pylist():
             size = int(np.frombuffer(blob, np.int64, 1)[0])
             tok.append(np.frombuffer(blob, np.uint64, size, 8))
             doc.append(np.frombuffer(blob, np.int64, size, 8 + 8 * size))
             n.append(np.frombuffer(blob, np.int32, size, 8 + 16 * size))
+            hot.append(np.frombuffer(blob, bool, size, 8 + 20 * size))
     if not tok:
         return
-    t, d, m = np.concatenate(tok), np.concatenate(doc), np.concatenate(n)
+    t, d, m, hot = np.concatenate(tok), np.concatenate(doc), np.concatenate(n), np.concatenate(hot)
     tok, doc, n = [], [], []
-    order = np.argsort(t, kind="stable")
-    t = t[order]
+    order = np.lexsort((d, t))
+    t, d, m, hot = t[order], d[order], m[order], hot[order]
+    once = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])  # copies of a set come from several tasks
+    t, d, m, hot = t[once], d[once], m[once], hot[once]
+    if hot.any():
+        yield from _entries(mix64(t[hot]).view(np.int64), d[hot], m[hot].astype(np.int64), np.ones(int(hot.sum()), np.int64))
+        t, d, m = t[~hot], d[~hot], m[~hot]
+    if not len(t):
+        return
     start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     size = np.diff(np.append(start, len(t)))
     many = np.repeat(size > 1, size)
-    t, order = t[many], order[many]
-    d, m = d[order], m[order]
-    start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-    if not len(start):
+    t, d, m = t[many], d[many], m[many]
+    if not len(t):
         return
+    start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     size = np.diff(np.append(start, len(t)))
     # groups of the same members become one, with the number of their shingles as its weight
     members = np.add.reduceat(mix64(d.view(np.uint64)), start) + size.astype(np.uint64)
     key, at, weight = np.unique(members, return_index=True, return_counts=True)
     rows = np.repeat(start[at] - np.concatenate([[0], np.cumsum(size[at])[:-1]]), size[at]) + np.arange(size[at].sum())
-    key, weight = np.repeat(key, size[at]).view(np.int64), np.repeat(weight, size[at])
-    d, m = d[rows], m[rows].astype(np.int64)
-    for a in range(0, len(d), 100_000):
-        b = a + 100_000
-        yield pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in (key, d, m, weight)], ["grp", "doc", "n", "w"])
+    yield from _entries(np.repeat(key, size[at]).view(np.int64), d[rows], m[rows].astype(np.int64), np.repeat(weight, size[at]))
+
+
+def _entries(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in columns], ["grp", "rep", "n", "w"])
 
 
 class Branch:
@@ -257,20 +283,21 @@ def walk_tree(root: Branch, hub: np.ndarray, t: float) -> list[int]:
 def _compare(levels, k: int, t: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         column = table.column("text")
-        hub_id = key[0].as_py()
-        ids = table.column("id").to_pylist()
-        hub, sets, who, at = None, [], [], 0
+        hub_name = key[0].as_py()
+        names = table.column("s").to_pylist()
+        hub, sets, who, at = None, [], {}, 0
         for chunk in column.chunks:
             for first, last, data, offsets in slices(chunk):
                 for i, u in zip(range(at + first, at + last), shingle_sets(data, offsets, k), strict=True):
-                    if ids[i] == hub_id:
-                        hub = u if hub is None or len(u) > len(hub) else hub
-                    else:
+                    if names[i] == hub_name:
+                        hub = u
+                    elif names[i] not in who:  # a row may be repeated
+                        who[names[i]] = None
                         sets.append(_ordered(u, levels.value))
-                        who.append(ids[i])
             at += len(chunk)
+        who = list(who)
         linked = [who[i] for i in walk_tree(build_tree(sets), hub, t)] if hub is not None and len(hub) and sets else []
-        return pa.table({"a": pa.array([hub_id] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
+        return pa.table({"a": pa.array([hub_name] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
     return run
 
@@ -279,7 +306,7 @@ class NgramJoin:
     """The join over one table; ``run`` gives the result."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.75, hubs: int = 3):
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
         self.k, self.t, self.hubs = k, threshold, hubs
         self.spark = docs.sparkSession
         small_batches(self.spark)
@@ -293,23 +320,20 @@ class NgramJoin:
         return self.spark.sparkContext.broadcast(table)
 
     def _pick(self, wanted: DataFrame) -> DataFrame:
-        """Texts of ``wanted`` (id, hub, salt); one row for each wanted row and text of its id."""
-        ids = cut(wanted.select("id").distinct(), "ids")
-        if ids.count() <= BROADCAST_IDS:
-            texts = self.docs.join(F.broadcast(ids), "id", "left_semi")
-        else:
-            texts = self.docs.join(ids, "id", "left_semi")
-        return texts.join(wanted, "id")
+        """Texts of ``wanted`` (s, hub, salt): those of the sets' representatives, by id and hash of the text."""
+        wanted = cut(wanted.join(self.sets.select("s", "rep", "h"), "s"), "wanted")
+        ids = wanted.select(F.col("rep").alias("id"), "h").distinct()
+        texts = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["id", "h"], "left_semi")
+        return texts.withColumnRenamed("id", "rep").join(wanted, ["rep", "h"]).select("hub", "salt", "s", "text")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a: hub, b), those that link."""
         sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
         dealt = pairs.join(sizes, "a")
         salt = F.pmod(F.xxhash64("b"), F.col("blocks"))
-        members = dealt.select(F.col("b").alias("id"), F.col("a").alias("hub"), salt.alias("salt"))
-        own = members.select("hub", "salt").distinct().select(F.col("hub").alias("id"), "hub", "salt")
-        texts = self._pick(cut(members.union(own), "wanted"))
-        return texts.groupBy("hub", "salt").applyInArrow(_compare(self.levels, self.k, self.t), "a long, b long")
+        members = dealt.select(F.col("b").alias("s"), F.col("a").alias("hub"), salt.alias("salt"))
+        own = members.select("hub", "salt").distinct().select(F.col("hub").alias("s"), "hub", "salt")
+        return self._pick(members.union(own)).groupBy("hub", "salt").applyInArrow(_compare(self.levels, self.k, self.t), "a long, b long")
 
     def _may_link(self, n: str, c: str, m: str, d: str):
         """False for pairs of sets (sizes n, m; c, d prefix shingles that others have too) that cannot link.
@@ -374,7 +398,8 @@ class NgramJoin:
         takes the share whose pairs are in proportion to the rows, and one more, so that every round gets on.
         """
         sizes = rows.select("comp", "rep").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("csize"))
-        held = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("held")).join(sizes, "comp")
+        held = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("held"))
+        held = spread_join(held, cut(sizes, "sizes"), "comp")
         whole = held.groupBy("grp").agg(F.sum("held").alias("k"), F.max(F.struct("csize", "comp")).alias("top"))
         below = F.struct("csize", "comp") < F.col("top")
         meets = held.join(whole, "grp").select("grp", "comp", (F.col("k") - F.col("held")).alias("meets"), below.alias("below"))
@@ -385,7 +410,7 @@ class NgramJoin:
             return None
         limit = max(PROBE_FLOOR, PROBE_RATIO * rows.count())
         if total <= limit:
-            return cost.select("rep")
+            return cost
         some = cost.filter(F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) < int(limit / total * (1 << 20)))
         return cut(some.select("rep").union(cost.orderBy("cost", "rep").limit(1).select("rep")).distinct(), "probes")
 
@@ -395,7 +420,7 @@ class NgramJoin:
         Of the groups that a pair shares, those up to some place in the order pass the filter; after the last of them,
         the pair shares no more than either has left.
         """
-        rows = rows.join(probes.withColumn("probe", F.lit(True)), "rep", "left").withColumn("probe", F.col("probe").isNotNull())
+        rows = rows.join(probes.select("rep", F.lit(True).alias("probe")), "rep", "left").withColumn("probe", F.col("probe").isNotNull())
         rows = cut(rows, "probed")
         own = rows.filter("probe").select("grp", F.col("rep").alias("x"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("comp").alias("hub_comp"))
         met = rows.join(own, "grp").filter("comp <> hub_comp AND NOT (probe AND rep < x)").filter(self._may_link("n", "r", "m", "q"))
@@ -412,55 +437,75 @@ class NgramJoin:
         low = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
         alone = joined.select(F.col("a").alias("node")).union(joined.select("b")).distinct().join(comp, "node", "left_anti")
         every = comp.union(alone.select("node", F.col("node").alias("comp")))
-        return cut(every.join(low, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), "comps")
+        return cut(spread_join(every, low, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), "comps")
 
     def run(self) -> DataFrame:
-        """(id, n, rep, comp) of every input row."""
-        profile = cut(self.docs.mapInArrow(_profile(self.k), "id long, n long, s1 long, s2 long, seen binary"), "profile")
-        self.levels = self._levels(profile)
-        rows = profile.filter("n >= 0").select("id", "n", "s1", "s2")
-        sets = rows.filter("n > 0 AND id IS NOT NULL")
-        reps = sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-        copy_of = cut(sets.join(reps, ["n", "s1", "s2"]).groupBy("id").agg(F.min("rep").alias("rep"), F.collect_set("rep").alias("reps")), "copies")
-        same = copy_of.select(F.col("rep").alias("a"), F.explode("reps").alias("b")).filter("a <> b").union(copy_of.select("rep", "id").filter("id <> rep"))
-        ranges = max(64, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        packed = self.docs.mapInArrow(_prefixes(self.levels, self.k, self.t, ranges), "part long, blob binary")
-        dealt = packed.repartition(max(ranges // 4, 1), "part").select("blob")
-        shared = dealt.mapInArrow(_shared, "grp long, doc long, n long, w long")
-        shared = shared.groupBy("grp", "doc").agg(F.first("n").alias("n"), F.sum("w").alias("w"))
-        one = copy_of.select(F.col("id").alias("doc"), "rep")
-        groups = cut(shared.join(one, "doc").groupBy("grp", "rep").agg(F.first("n").alias("n"), F.max("w").alias("w")), "groups")
-        links = done = comp = None
+        """(id, n, comp) of every input row."""
+        with temporary(self.spark) as keep:
+            profile = cut(self.docs.mapInArrow(_profile(self.k), "id long, h long, n long, s long, seen binary"), "profile")
+            self.levels = self._levels(profile)
+            rows = profile.filter("n >= 0").select("id", "h", "n", "s")
+            own = rows.filter("n > 0 AND id IS NOT NULL")
+            first = F.min(F.struct("id", "h"))
+            self.sets = cut(own.groupBy("s").agg(first.alias("_f"), F.max("n").alias("n")).select("s", "n", "_f.h", F.col("_f.id").alias("rep")), "sets")
+            several = own.groupBy("id").agg(F.min("s").alias("a"), F.max("s").alias("z")).filter("a <> z").select("id", "a")
+            same = cut(own.select("id", F.col("s").alias("b")).join(several, "id").filter("a <> b").select("a", "b").distinct(), "same")
+            links = self._links(self._groups())
+            comp = components(same if links is None else links.union(same))
+            least = comp.join(self.sets.select(F.col("s").alias("node"), "rep"), "node").groupBy("comp").agg(F.min("rep").alias("least"))
+            least = cut(least, "least")
+            keep(profile, self.sets, comp, least)
+        known = spread_join(comp, least, "comp").select(F.col("node").alias("s"), "least")
+        named = self.sets.select("s", "rep").join(known, "s", "left").select("s", F.coalesce("least", "rep").alias("comp"))
+        found = rows.filter("n > 0").join(named, "s", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("comp")).alias("comp"))
+        bare = rows.filter("n = 0").select("id", "n")
+        others = own.select("id", "s").join(bare.select("id").distinct(), "id", "left_semi").join(named, "s").groupBy("id").agg(F.min("comp").alias("comp"))
+        return found.union(bare.join(others, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp")))
+
+    def _groups(self) -> DataFrame:
+        """(grp, rep, n, w): the sets that share prefix shingles, and how many they share."""
+        entries = self.sets.agg(F.sum(self._prefix(F.col("n")))).first()[0] or 0
+        tasks = 1 + int(entries) // ENTRIES
+        packed = self.docs.select("id", "text").mapInArrow(_prefixes(self.levels, self.k, self.t, 64 * tasks), "part long, blob binary")
+        dealt = packed.repartition(max(tasks, self.spark.sparkContext.defaultParallelism), "part").select("blob")
+        shared = dealt.mapInArrow(_shared, "grp long, rep long, n long, w long")
+        return cut(shared.groupBy("grp", "rep").agg(F.first("n").alias("n"), F.sum("w").alias("w")), "groups")
+
+    def _links(self, groups: DataFrame) -> DataFrame | None:
+        """(a, b): links that connect whatever any links connect; None where there are none."""
+        links = done = comp = probes = None
         for turn in count(1):
-            if comp is not None or turn > self.hubs:  # only groups in more than one component can still hold a link that matters
-                placed = self._placed(groups, comp)
-                mixed = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("grp")
-                groups = cut(placed.join(mixed, "grp").select("grp", "rep", "n", "w"), "groups")
-            counts = groups.groupBy("rep").agg(F.sum("w").alias("c"))
-            placed = cut(self._placed(groups.join(counts, "rep"), comp), "placed")
-            if turn < self.hubs:
-                found = self._stars(placed)
-            else:
-                live = self._live(placed)
-                probes = self._probes(live, turn)
-                if probes is None:
-                    break
-                found = self._meetings(live, probes)
-                groups = groups.join(probes, "rep", "left_anti")
-            pairs = self._fresh(found, done)
-            if pairs.isEmpty():
-                continue
-            more = cut(self._verify(pairs), "links")
-            done = pairs if done is None else done.union(pairs)
-            if more.isEmpty():
-                continue
-            links = more if links is None else links.union(more)
-            comp = self._merged(comp, more)
-        if links is None:
-            links = same.limit(0)
-        comp = components(links.union(same))
-        out = rows.select("id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left")
-        return out.select("id", "n", F.coalesce("comp", "id").alias("comp"))
+            with temporary(self.spark) as keep:
+                if comp is not None or turn > self.hubs:  # only groups in more than one component can still hold a link that matters
+                    placed = self._placed(groups if probes is None else groups.join(probes, "rep", "left_anti"), comp)
+                    mixed = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("grp")
+                    old, groups = groups, cut(placed.join(mixed, "grp").select("grp", "rep", "n", "w"), "groups")
+                    remove(self.spark, old.scratch_path)
+                keep(groups)
+                counts = groups.groupBy("rep").agg(F.sum("w").alias("c"))
+                placed = cut(self._placed(groups.join(counts, "rep"), comp), "placed")
+                if turn < self.hubs:
+                    found, probes = self._stars(placed), None
+                else:
+                    live = self._live(placed)
+                    probes = self._probes(live, turn)
+                    if probes is None:
+                        return links
+                    found = self._meetings(live, probes)
+                pairs = self._fresh(found, done)
+                keep(probes, pairs)
+                if pairs.isEmpty():
+                    continue
+                more = cut(self._verify(pairs), "links")
+                done = pairs if done is None else done.union(pairs)
+                if more.isEmpty():
+                    continue
+                links = more if links is None else links.union(more)
+                comp = self._merged(comp, more)
+                keep(more, comp)
+
+    def _prefix(self, n):
+        return n - F.ceil(n * round(self.t * 100) / 100 - 1e-9) + 1
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.75) -> DataFrame:
@@ -468,8 +513,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A text's set is its distinct ``k``-word shingles, A-Z lower-cased; a text with fewer words is one shingle. Null
     and empty texts have empty sets and link with nothing. component_id is the smallest id that links reach; equal
-    texts share it. Rows that repeat an id are one node with several sets; rows with a null id get a null component
-    and link with nothing. An empty table gives an empty table. Only the two named columns are read.
+    texts share it. Rows that repeat an id are one node with several sets: what any of its texts links with is in its
+    component, and each row has the number of its own text. Rows with a null id get a null component and link with
+    nothing. Ties have no part in the result; long texts are read in whole; an empty table gives an empty table. Only
+    the two named columns are read. Shingles and sets are told apart by 64-bit hashes.
     """
     out = NgramJoin(docs, id_col, text_col, k, threshold).run()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
