@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import cut, scratch
+from evenhand.llm.common import cut, remove, scratch
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -16,6 +16,8 @@ MEDIA = "application/http; msgtype=response"
 BROADCAST_REPEATS = 500_000
 #: Records of one archive file.
 FILE_RECORDS = 20_000
+#: Bytes of a file whose candidate records are sorted together, and of the stretches that find a torn record's pieces.
+STRETCH, FINE = 1 << 26, 1 << 20
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -84,11 +86,11 @@ def _field(head: Column, name: str, pattern: str = r"[^\r\n]*") -> Column:
 def reachable(candidates: DataFrame) -> DataFrame:
     """Of candidate records (file, start, next), those on the chain from their file's start.
 
-    Candidates that follow on from each other are one run; a run also begins where some record that is not followed
-    at once points to. Runs are whole or not at all, and pointer jumping over them, doubling the step each round,
-    marks those that the run at byte 0 leads to.
+    Candidates of one stretch that follow on from each other are one run; a run also begins where some record that is
+    not followed at once points to. Runs are whole or not at all, and pointer jumping over them, doubling the step each
+    round, marks those that the run at byte 0 leads to.
     """
-    w = Window.partitionBy("file").orderBy("start")
+    w = Window.partitionBy("file", F.floor(F.col("start") / STRETCH)).orderBy("start")
     rows = candidates.withColumn("on", F.coalesce(F.lead("start").over(w) == F.col("next"), F.lit(False)))
     rows = cut(rows, "chain")
     targets = rows.filter("NOT on").select(F.col("file").alias("tf"), F.col("next").alias("ts")).distinct()
@@ -107,7 +109,8 @@ def reachable(candidates: DataFrame) -> DataFrame:
         jump = step.select(F.col("file").alias("jf"), F.col("run").alias("jr"), F.col("to").alias("far"))
         moved = step.join(hit, (F.col("file") == F.col("hf")) & (F.col("run") == F.col("hr")), "left")
         moved = moved.join(jump, (F.col("file") == F.col("jf")) & (F.col("to") == F.col("jr")), "left")
-        step = cut(moved.select("file", "run", F.col("far").alias("to"), (F.col("in") | F.col("hr").isNotNull()).alias("in")), "step")
+        last, step = step, cut(moved.select("file", "run", F.col("far").alias("to"), (F.col("in") | F.col("hr").isNotNull()).alias("in")), "step")
+        remove(rows.sparkSession, last.scratch_path)
     return rows.join(step.filter("`in`").select("file", "run"), ["file", "run"], "left_semi").drop("on", "run")
 
 
@@ -130,13 +133,8 @@ def read_archives(spark, path: str) -> DataFrame:
         F.regexp_extract("head", r"(?im)^WARC-Refers-To: *<urn:page:([^>\r\n]*)>", 1).alias("refers_to"),
         *_payload(F.col("bytes"), F.octet_length("head") + len(END), _field(F.col("head"), "Content-Length", "[0-9]+").cast("long")),
     )
-    narrow = cut(narrow, "pieces")
-    order = Window.partitionBy("file").orderBy("block", "at")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    number = F.row_number().over(order)
     # the first piece is what stands before the first magic
-    placed = narrow.withColumn("start", before + (number - 2) * len(MAGIC)).withColumn("no", number)
-    placed = cut(placed.filter("no > 1").drop("no"), "placed")
+    placed = cut(_placed(cut(narrow, "pieces")).filter("no > 1").drop("no", "block", "at"), "placed")
     next_ = F.col("start") + len(MAGIC) + F.col("head_size") + len(END) + F.col("block_size") + len(END)
     valid = placed.filter("block_size IS NOT NULL").withColumn("next", next_)
     kept = cut(reachable(valid), "records")
@@ -144,7 +142,7 @@ def read_archives(spark, path: str) -> DataFrame:
     out = kept.filter(whole).select("id", "url", "record_type", "refers_to", "stated", "http_size", "digest")
     torn = kept.filter(~whole)
     if not torn.isEmpty():
-        out = out.unionByName(_mend(pieces, placed, torn))
+        out = out.unionByName(_mend(pieces, torn))
     return out.select(
         "id",
         "url",
@@ -163,15 +161,34 @@ def _payload(data: Column, skip: Column, size: Column) -> list[Column]:
     return [_field(http, "Content-Length", "[0-9]+").cast("long").alias("http_size"), base32_sha1(payload).alias("digest")]
 
 
-def _mend(pieces: DataFrame, placed: DataFrame, torn: DataFrame) -> DataFrame:
-    """Records whose payloads hold magics: their pieces are read again and joined in order."""
-    owner = torn.select(F.col("file").alias("of"), F.col("start").alias("os"), F.col("next").alias("on"))
-    # a torn record owns the pieces up to its end; candidates between have no record of their own
-    w = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    marked = placed.select("file", "block", "at", "start").join(owner, (F.col("file") == F.col("of")) & (F.col("start") == F.col("os")), "left")
-    marked = marked.withColumn("own", F.last(F.when(F.col("os").isNotNull(), F.struct("os", "on")), ignorenulls=True).over(w))
-    wanted = marked.filter(F.col("own.os").isNotNull() & (F.col("start") < F.col("own.on"))).select("file", "block", "at", "start", F.col("own.os").alias("owner"))
-    parts = pieces.select("file", "block", "at", "bytes").join(wanted, ["file", "block", "at"])
+def _placed(pieces: DataFrame) -> DataFrame:
+    """Add ``no``, a piece's number within its file, and ``start``, the offset of its magic: sums within blocks, and over blocks."""
+    order = Window.partitionBy("file", "block").orderBy("at")
+    inner = pieces.withColumns({
+        "before": F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "number": F.row_number().over(order),
+    })
+    blocks = pieces.groupBy("file", "block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    past = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block that was read
+    sums = blocks.select("file", "block", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"past_{c}") for c in ("size", "n")])
+    out = inner.join(sums, ["file", "block"]).withColumn("no", F.col("number") + F.col("past_n"))
+    start = F.col("before") + F.col("past_size") + (F.col("no") - 2) * len(MAGIC)
+    return out.withColumn("start", start).drop("before", "number", "past_size", "past_n")
+
+
+def _mend(pieces: DataFrame, torn: DataFrame) -> DataFrame:
+    """Records whose payloads hold magics: their files are read again, and their pieces joined in order.
+
+    The second reading is placed by itself: offsets in the file are the same however it is cut into tasks.
+    """
+    files = torn.select("file").distinct()
+    again = cut(pieces.join(files, "file", "left_semi").select("file", "block", "at", "bytes"), "again")
+    placed = _placed(again.select("file", "block", "at", F.octet_length("bytes").alias("size"))).filter("no > 1")
+    # a torn record owns the pieces up to its end; what looks like a record among them is none
+    fine = lambda c: F.floor(F.col(c) / FINE)
+    owner = torn.select("file", F.col("start").alias("owner"), F.col("next").alias("end"), F.explode(F.sequence(fine("start"), fine("next"))).alias("fine"))
+    inside = placed.withColumn("fine", fine("start")).join(owner, ["file", "fine"]).filter("start >= owner AND start < end")
+    parts = again.join(inside.select("file", "block", "at", "start", "owner"), ["file", "block", "at"])
     grouped = parts.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("start", "bytes"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["bytes"].cast("string")), MAGIC)
     joined = grouped.select("file", F.col("owner").alias("start"), text.cast("binary").alias("data"))
