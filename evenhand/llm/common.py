@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,20 +14,57 @@ from pyspark.sql import functions as F
 #: ASCII white space as a character class; words are maximal runs of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+_LOCAL = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Local sessions without one get a new local folder."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evenhand-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``temporary`` blocks that are open delete it in the end."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    for made in _open_blocks():
+        made.append(path)
+    return path
+
+
+def _open_blocks() -> list[list[str]]:
+    if not hasattr(_LOCAL, "blocks"):
+        _LOCAL.blocks = []
+    return _LOCAL.blocks
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's file systems reach."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Scratch tables made in the block are deleted at its end, but for those given to the function it yields.
+
+    Results that leave the block must rest on kept tables only.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+    _open_blocks().append(made)
+    try:
+        yield lambda *tables: kept.update(t.scratch_path for t in tables if t is not None)
+    finally:
+        _open_blocks().remove(made)
+        for path in made:
+            if path not in kept:
+                remove(spark, path)
 
 
 def cut(df: DataFrame, what: str = "step") -> DataFrame:
@@ -32,7 +72,9 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def cut_bucketed(df: DataFrame, key: str, buckets: int, what: str) -> DataFrame:
@@ -67,17 +109,17 @@ def hash_part(key: Column, seed: str, digits: int = 6) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
-def salted_rank(df: DataFrame, group: list[str], coarse: list[Column], fine: list[Column], to: str) -> DataFrame:
+def salted_rank(df: DataFrame, group: list[str], coarse: list[Column], fine: list[Column], to: str, counted: DataFrame | None = None) -> DataFrame:
     """Add ``to``, the 1-based rank of each row within ``group``, without one task per group.
 
     ``coarse`` cuts each group into runs that come one after another (ascending, in this order); only the rows of
     one run are sorted together, by ``fine``. Runs' offsets are sums over their counts, of which there is one row
-    a run.
+    a run. ``counted`` may hold the same rows with fewer columns, for the counts.
     """
     names = [f"_run{i}" for i in range(len(coarse))]
     runs = df.withColumns(dict(zip(names, coarse, strict=True)))
     keys = [*group, *names]
-    counts = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (runs if counted is None else counted.withColumns(dict(zip(names, coarse, strict=True)))).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     offsets = offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], "_before")

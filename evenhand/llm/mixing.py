@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import hash_part, salted_rank, word_count
+from evenhand.llm.common import cut, hash_part, salted_rank, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -42,7 +42,7 @@ def mix(
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
-    salts: int = 64,
+    salted_rows: int = 1 << 24,
     seed: str = "mix",
 ) -> DataFrame:
     """Copies of each document that bring every source near its target.
@@ -52,11 +52,11 @@ def mix(
     closely), one random offset per source is added, and a document is emitted once per integer it crosses; no
     document is emitted more than ``ceil(cap)`` times.
 
-    Ranks are salted: a source's documents are cut by size class and hash, and only a cut's rows are sorted together.
-    The offset and hashes come from md5, so reruns agree.
+    Ranks are salted: a source's documents are cut by size class and hash, 64 ways for each ``salted_rows`` rows, and
+    only a cut's rows are sorted together. The offset and hashes come from md5, so reruns agree.
 
     Returns every input column plus ``size``, ``source_size`` (long), ``target`` (double), ``copies`` and ``taken``
-    (long); an input column of one of these names is replaced. Null or empty texts have size 0 and take nothing;
+    (long); an input column of one of these names is replaced. Null or empty texts have size 0, no copies, and take nothing;
     null sources are one source of their own, last; repeated rows are each documents; an empty table gives an empty
     table.
     """
@@ -70,17 +70,19 @@ def mix(
         "_size": measured,
     })
     rows = rows.drop(*[c for c in made if c in docs.columns])
-    sizes = rows.groupBy("_src", "_null").agg(F.sum("_size").alias("source_size"))
+    slim = cut(rows.select("_src", "_null", "_id", "_size"), "sizes")
+    salts = 64 * (1 + slim.count() // salted_rows)
+    sizes = slim.groupBy("_src", "_null").agg(F.sum("_size").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
     coarse = [-F.length(F.bin("_size")), hash_part(F.col("_id"), seed, 6) % salts]
-    ranked = salted_rank(rows, ["_src", "_null"], coarse, [F.col("_size").desc(), F.col("_id").asc_nulls_last()], "_rank")
+    ranked = salted_rank(rows, ["_src", "_null"], coarse, [F.col("_size").desc(), F.col("_id").asc_nulls_last()], "_rank", slim)
     t = targets.withColumnsRenamed({"_src": "_tsrc", "_null": "_tnull"})
     out = ranked.join(t, (F.col("_src") == F.col("_tsrc")) & (F.col("_null") == F.col("_tnull")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = (hash_part(F.concat(F.col("_null").cast("string"), F.col("_src")), f"{seed}-offset", 5) + 0.5) / float(16**5)
     out = out.withColumn("_rate", rate).withColumn("_off", offset)
     copies = F.floor(F.col("_off") + F.col("_rate") * F.col("_rank")) - F.floor(F.col("_off") + F.col("_rate") * (F.col("_rank") - 1))
-    out = out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("_size"))
+    out = out.withColumn("copies", F.when(F.col("_size") > 0, copies).otherwise(0).cast("long")).withColumn("taken", F.col("copies") * F.col("_size"))
     out = out.withColumnRenamed("_size", "size")
     kept = [c for c in docs.columns if c not in made]
     return out.select(*kept, *made)
@@ -94,7 +96,7 @@ def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    narrow = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "words")
     return mix(narrow, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -113,7 +115,7 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER
 t AS (SELECT src, nul, source_size,
              coalesce(least(cap, w * (SELECT lev FROM l WHERE lev <= per ORDER BY i LIMIT 1)), cap) AS target FROM l),
 r AS (SELECT *, row_number() OVER (PARTITION BY src, nul ORDER BY -length(bin(size)),
-             ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 6))::BIGINT % 64, size DESC, doc_id) AS k FROM d),
+             ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 6))::BIGINT % (SELECT 64 * (1 + count(*) // 16777216) FROM d), size DESC, doc_id) AS k FROM d),
 x AS (SELECT r.doc_id, r.size, t.source_size, t.target, r.k,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
              (('0x' || substr(md5('mix-offset:' || CAST(r.nul AS VARCHAR) || r.src), 1, 5))::BIGINT + 0.5::DOUBLE) / 1048576.0::DOUBLE AS off
