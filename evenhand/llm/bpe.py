@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import cut, cut_bucketed, small_batches
+from evenhand.llm.common import cut, cut_bucketed, small_batches, temporary
 from evenhand.llm.textarrays import slices
 
 #: A piece of a word is one long: rank of the pair it begins (20 bits), its first byte's place (26), its id (17).
@@ -24,9 +25,11 @@ NONE = (1 << 20) - 1
 #: Words of more bytes are merged with a heap where they are met: the fold's time grows with the square of a word.
 LONG = 1000
 #: Words of a block: texts that are encoded together and share one table of their rarer words.
-BLOCK_WORDS = 1 << 21
-#: Bytes of text for each bucket of the blocks.
+BLOCK_WORDS = 1 << 20
+#: Bytes of text for each bucket of the blocks, and for each part that rarer words are dealt over.
 BUCKET_BYTES = 16 << 20
+#: Distinct words that are folded in one row.
+ROW_WORDS = 1024
 
 
 @dataclass
@@ -192,7 +195,7 @@ def _count_words(pattern: str):
         for batch in batches:
             for text in batch.column(0):
                 seen.update(find(text.as_py()))
-            if len(seen) > 1 << 20:
+            if len(seen) > 1 << 17:
                 yield _counted(seen)
                 seen = Counter()
         yield _counted(seen)
@@ -225,37 +228,59 @@ def _tables(blobs: list[bytes]) -> list[pa.Table]:
     return [pa.ipc.open_stream(blob).read_all() for blob in blobs]
 
 
-BLOCK = "block string, keys array<{}>, sizes array<int>, planes binary, rare array<string>, far array<struct<pos: int, ids: array<int>>>"
+BLOCK = "block long, keys array<{}>, sizes array<int>, planes binary, rare array<struct<part: int, words: binary>>, far array<struct<pos: int, ids: array<int>>>"
 
 
-def _number(pattern: str, known, ranks):
+def _pack_words(pos: np.ndarray, words: list[bytes]) -> bytes:
+    """Places and words as one compressed string of bytes."""
+    head = np.array([len(words)], "<u4").tobytes() + np.diff(pos, prepend=0).astype("<u4").tobytes() + np.array([len(w) for w in words], "<u2").tobytes()
+    whole = head + b"".join(words)
+    return np.array([len(whole)], "<u4").tobytes() + pa.compress(whole, "zstd", asbytes=True)
+
+
+def _unpack_words(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    whole = pa.decompress(blob[4:], int(np.frombuffer(blob, "<u4", 1)[0]), "zstd", asbytes=True)
+    n = int(np.frombuffer(whole, "<u4", 1)[0])
+    pos = np.cumsum(np.frombuffer(whole, "<u4", n, 4).astype(np.int64))
+    ends = np.cumsum(np.frombuffer(whole, "<u2", n, 4 + 4 * n).astype(np.int64)) + 4 + 6 * n
+    return pos, [whole[a:b] for a, b in zip([4 + 6 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def _number(pattern: str, known, ranks, parts: int):
     """Texts as blocks of word numbers: known words by their place in the table, others by their place in the block.
 
-    A block has its texts' ids and numbers of words, the word numbers as four planes of bytes, and the rarer words; long
-    words among these come with their ids.
+    A block has its texts' ids and numbers of words, the word numbers as four planes of bytes, and the rarer words, dealt
+    over parts by hash; long words among these come with their ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        fixed = {w.encode("latin-1").decode(): i for i, w in enumerate(w for t in _tables(known.value) for w in t["w"].to_pylist())}
+        fixed: dict[str, int] = {}
+        for table in _tables(known.value):
+            for w in table["w"].to_pylist():
+                fixed[w.encode("latin-1").decode()] = len(fixed)
+        pa.default_memory_pool().release_unused()
         keys, sizes, numbers, rare, held = [], [], [], {}, 0
 
         def block() -> pa.RecordBatch:
             every = np.concatenate(numbers)
             planes = b"".join(((every >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24))
-            words, far = [], []
+            far, dealt = [], {}
             for i, w in enumerate(rare):
                 raw = w.encode()
-                words.append(latin(w) if len(raw) <= LONG else None)
                 if len(raw) > LONG:
                     far.append({"pos": i, "ids": merge_long(raw, ranks.value)})
+                else:
+                    dealt.setdefault(zlib.crc32(raw) % parts, []).append((i, raw))
+            words = [{"part": part, "words": _pack_words(np.array([i for i, _ in own], np.int64), [w for _, w in own])} for part, own in dealt.items()]
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([uuid.uuid4().hex]), one(pa.concat_arrays(keys)), one(pa.array(np.concatenate(sizes), pa.int32())),
-                    pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary()), one(pa.array(words, pa.string())),
+                    pa.array([uuid.uuid4().int >> 65]), one(pa.concat_arrays(keys)), one(pa.array(np.concatenate(sizes), pa.int32())),
+                    pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary()),
+                    one(pa.array(words, pa.struct([("part", pa.int32()), ("words", pa.binary())]))),
                     one(pa.array(far, pa.struct([("pos", pa.int32()), ("ids", pa.list_(pa.int32()))]))),
                 ],
                 ["block", "keys", "sizes", "planes", "rare", "far"],
@@ -284,6 +309,46 @@ def _number(pattern: str, known, ranks):
     return run
 
 
+def _distinct(table: pa.Table) -> pa.Table:
+    """A part's distinct words, ROW_WORDS to a row, each with the blocks and places where it stands."""
+    number: dict[bytes, int] = {}
+    word, block, place = [], [], []
+    for of, blob in zip(table["of"].to_pylist(), table["words"].to_pylist(), strict=True):
+        pos, words = _unpack_words(blob)
+        word.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64))
+        block.append(np.full(len(pos), of, np.int64))
+        place.append(pos)
+    word, block, place = np.concatenate(word), np.concatenate(block), np.concatenate(place)
+    order = np.argsort(word, kind="stable")
+    word, block, place = word[order], block[order], place[order]
+    names, rows = [w.decode("latin-1") for w in number], []
+    for a in range(0, len(names), ROW_WORDS):
+        lo, hi = np.searchsorted(word, [a, a + ROW_WORDS])
+        rows.append((names[a : a + ROW_WORDS], (word[lo:hi] - a).astype("<u4").tobytes(), block[lo:hi].tobytes(), place[lo:hi].astype("<u4").tobytes()))
+    kinds = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["w", "word", "of", "pos"])
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folded words as they are needed: for each block the places, sizes and ids of some of its rarer words."""
+    for batch in batches:
+        found: dict[int, list] = {}
+        for r in range(len(batch)):
+            ids = batch["ids"][r].values
+            strings = Strings(*_flat_lists([ids]))
+            word, of, pos = (np.frombuffer(batch[c][r].as_py(), k) for c, k in (("word", "<u4"), ("of", np.int64), ("pos", "<u4")))
+            order = np.argsort(of, kind="stable")
+            own, start = np.unique(of[order], return_index=True)
+            for b, at in zip(own.tolist(), np.split(order, start[1:]), strict=True):
+                found.setdefault(b, []).append((pos[at], strings.size[word[at]], strings.take(word[at])))
+        packs = []
+        for own in found.values():
+            pos, size = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
+            whole = pos.astype("<u4").tobytes() + size.astype("<u2").tobytes() + b"".join(x[2] for x in own)
+            packs.append(np.array([len(pos), len(whole)], "<u4").tobytes() + pa.compress(whole, "zstd", asbytes=True))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(packs, pa.binary())], ["of", "pack"])
+
+
 class Strings:
     """Strings of bytes or ids, numbered and laid end to end; those of many numbers are gathered at once."""
 
@@ -294,12 +359,6 @@ class Strings:
     def of_pieces(cls, pieces: list[bytes]) -> Strings:
         return cls(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
 
-    @classmethod
-    def of_lists(cls, columns: list[pa.ChunkedArray]) -> Strings:
-        lists = [c for column in columns for c in column.chunks]
-        flat = [np.zeros(0, "<u4"), *[c.flatten().to_numpy().astype("<u4") for c in lists]]
-        return cls(np.concatenate(flat), np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()).astype(np.int64) for c in lists]]))
-
     def take(self, numbers: np.ndarray) -> bytes:
         out = []
         for lo in range(0, len(numbers), 1 << 18):
@@ -310,28 +369,57 @@ class Strings:
         return b"".join(out)
 
 
+def _flat_lists(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of lists of ids, one after another: the ids and the lists' sizes."""
+    flat = [np.zeros(0, "<u4"), *[c.flatten().to_numpy().astype("<u4") for c in columns]]
+    return np.concatenate(flat), np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()).astype(np.int64) for c in columns]])
+
+
+def _rare_ids(packs: list[bytes], far: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of each place, sizes, and ids laid end to end, of a block's rarer words."""
+    pos, size, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+    for pack in packs:
+        n, length = np.frombuffer(pack, "<u4", 2).tolist()
+        whole = pa.decompress(pack[8:], length, "zstd", asbytes=True)
+        pos.append(np.frombuffer(whole, "<u4", n).astype(np.int64))
+        size.append(np.frombuffer(whole, "<u2", n, 4 * n).astype(np.int64))
+        flat.append(np.frombuffer(whole[6 * n :], "<u4"))
+    for x in far:
+        pos.append(np.array([x["pos"]], np.int64))
+        size.append(np.array([len(x["ids"])], np.int64))
+        flat.append(np.array(x["ids"], "<u4"))
+    pos = np.concatenate(pos)
+    row_of = np.zeros(len(pos), np.int64)
+    row_of[pos] = np.arange(len(pos))
+    return row_of, np.concatenate(size), np.concatenate(flat)
+
+
 def _assemble(known, pieces):
-    """A block's texts as ids (with ``pieces``, decoded too), from its word numbers and the ids of its rarer words."""
-
-    def run(block: pa.Table, rare: pa.Table) -> pa.Table:
-        tables = _tables(known.value)
-        fixed = sum(map(len, tables))
-        strings = Strings.of_lists([*[t["ids"] for t in tables], rare["ids"]])
-        row_of = np.zeros(len(rare), np.int64)
-        row_of[rare["pos"].to_numpy()] = np.arange(len(rare))
+    """Blocks' texts as ids (with ``pieces``, decoded too), from their word numbers and the ids of their rarer words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed, fixed_sizes = _flat_lists([c for t in _tables(known.value) for c in t["ids"].chunks])
         letters = Strings.of_pieces(pieces.value) if pieces is not None else None
-        keys, sizes = block["keys"].chunk(0)[0].values, block["sizes"].chunk(0)[0].values.to_numpy()
-        total = int(sizes.sum())
-        planes = np.frombuffer(pa.decompress(block["planes"][0].as_py(), 4 * total, "zstd", asbytes=True) if total else b"", np.uint8)
-        numbers = sum(planes[i * total : (i + 1) * total].astype(np.int64) << (8 * i) for i in range(4))
-        own = numbers >= fixed
-        numbers[own] = fixed + row_of[numbers[own] - fixed]
-        ends = np.cumsum(sizes)
-        ids = [strings.take(numbers[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-        out = [keys, pa.array(ids, pa.binary())]
-        if letters is not None:
-            out.append(pa.array([letters.take(np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
-        return pa.Table.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
+        for batch in batches:
+            for r in range(len(batch)):
+                keys, sizes = batch["keys"][r].values, batch["sizes"][r].values.to_numpy()
+                row_of, rare_sizes, rare = _rare_ids(batch["packs"][r].as_py() or [], batch["far"][r].as_py())
+                strings = Strings(np.concatenate([fixed, rare]), np.concatenate([fixed_sizes, rare_sizes]))
+                total, base = int(sizes.sum()), len(fixed_sizes)
+                planes = np.frombuffer(pa.decompress(batch["planes"][r].as_py(), 4 * total, "zstd", asbytes=True) if total else b"", np.uint8).reshape(4, total)
+                ends = np.cumsum(sizes)
+                for lo in range(0, len(sizes), 1000):
+                    hi = min(len(sizes), lo + 1000)
+                    first = int(ends[lo] - sizes[lo])
+                    numbers = sum(planes[i, first : int(ends[hi - 1])].astype(np.int64) << (8 * i) for i in range(4))
+                    own = numbers >= base
+                    numbers[own] = base + row_of[numbers[own] - base]
+                    cuts = (ends[lo:hi] - first).tolist()
+                    ids = [strings.take(numbers[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+                    out = [keys.slice(lo, hi - lo), pa.array(ids, pa.binary())]
+                    if letters is not None:
+                        out.append(pa.array([letters.take(np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
 
     return run
 
@@ -341,20 +429,21 @@ class ByteBpe:
 
     The words of all texts are split off once; each distinct word is folded once. Words that are frequent in a sample of
     about ``sample_texts`` texts come first: at most ``known_words``, shipped to the tasks as a table. Texts are then
-    kept as numbers of words, in blocks; what is not in the table is folded once for the whole corpus and joined back
-    to the blocks that hold it. What the sample holds changes no id.
+    kept as numbers of words, in blocks. What is not in the table is dealt over parts by hash, so that all that blocks
+    have of a word meets in one task; there it is folded once, and its ids go back to the blocks that hold it. What
+    the sample holds changes no id.
     """
 
-    def __init__(self, spark: SparkSession, vocab: Vocabulary, sample_texts: int = 25_000, known_words: int = 300_000):
+    def __init__(self, spark: SparkSession, vocab: Vocabulary, sample_texts: int = 25_000, known_words: int = 150_000):
         self.spark, self.vocab = spark, vocab
         small_batches(spark)
         self.sample_texts, self.known_words = sample_texts, known_words
         self.ranks = RankMap(vocab)
 
-    def fold(self, words: DataFrame) -> DataFrame:
-        """(w, ids) of words given as strings of bytes, a character each."""
-        values = F.transform(F.filter(F.split("w", ""), lambda c: c != ""), lambda c: F.ascii(c))
-        return words.select("w", F.transform(fold_merges(values, self.ranks), lambda x: x.cast("int")).alias("ids"))
+    def fold(self, word: Column) -> Column:
+        """Ids of a word given as a string of bytes, a character each."""
+        values = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c))
+        return F.transform(fold_merges(values, self.ranks), lambda x: x.cast("int"))
 
     def _known(self, texts: DataFrame, total: int) -> list[bytes]:
         """Frequent words of a sample of (key, t), with their ids, packed by the tasks that fold them."""
@@ -366,8 +455,9 @@ class ByteBpe:
             if held > self.known_words:
                 least = r["n"] + 1
                 break
-        top = self.fold(counts.filter(F.col("n") >= least).select("w").repartition(16, "w"))
-        return [r["blob"] for r in top.mapInArrow(_pack_table, "blob binary").collect()]
+        # the most frequent come first: small numbers, whose higher bytes compress to little
+        top = counts.filter(F.col("n") >= least).repartitionByRange(16, F.desc("n"), "w").sortWithinPartitions(F.desc("n"), "w")
+        return [r["blob"] for r in top.select("w", self.fold(F.col("w")).alias("ids")).mapInArrow(_pack_table, "blob binary").collect()]
 
     def _pieces(self):
         pieces = [b""] * (max(self.vocab.ranks.values()) + 1)
@@ -386,17 +476,19 @@ class ByteBpe:
         """
         texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
         total = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
-        context = self.spark.sparkContext
-        known = context.broadcast(self._known(texts, total["n"]))
+        context, buckets = self.spark.sparkContext, 1 + total["bytes"] // BUCKET_BYTES
+        with temporary(self.spark):
+            known = context.broadcast(self._known(texts, total["n"]))
         kind = texts.schema["key"].dataType.simpleString()
-        blocks = texts.mapInArrow(_number(self.vocab.pattern, known, context.broadcast(self.vocab.ranks)), BLOCK.format(kind))
-        blocks = cut_bucketed(blocks, "block", 1 + total["bytes"] // BUCKET_BYTES, "blocks")
-        met = blocks.select(F.col("block").alias("of"), F.posexplode("rare").alias("pos", "w")).filter("w IS NOT NULL")
-        rare = met.join(self.fold(met.select("w").distinct()), "w").select("of", "pos", "ids")
-        rare = rare.union(blocks.select(F.col("block").alias("of"), F.inline("far")))
+        blocks = texts.mapInArrow(_number(self.vocab.pattern, known, context.broadcast(self.vocab.ranks), buckets), BLOCK.format(kind))
+        blocks = cut_bucketed(blocks, "block", buckets, "blocks")
+        met = blocks.select(F.col("block").alias("of"), F.inline("rare")).select("of", "part", "words")
+        words = met.groupBy("part").applyInArrow(_distinct, "w array<string>, word binary, of binary, pos binary")
+        folded = words.select(F.transform("w", self.fold).alias("ids"), "word", "of", "pos")
+        packs = folded.mapInArrow(_by_block, "of long, pack binary").repartition(buckets, "of").groupBy("of").agg(F.collect_list("pack").alias("packs"))
+        out = blocks.join(packs.hint("merge"), F.col("block") == F.col("of"), "left").select("keys", "sizes", "planes", "packs", "far")
         schema = f"key {kind}, ids binary" + ", decoded binary" * decoded
-        out = blocks.select("block", "keys", "sizes", "planes").groupBy("block").cogroup(rare.groupBy("of"))
-        return out.applyInArrow(_assemble(known, self._pieces() if decoded else None), schema).withColumnRenamed("key", id_col)
+        return out.mapInArrow(_assemble(known, self._pieces() if decoded else None), schema).withColumnRenamed("key", id_col)
 
     def decode(self, encoded: DataFrame, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
         """Add ``to``, the pieces of ``ids_col`` one after another, as binary. Null stays null; unknown ids are an error."""
