@@ -1,18 +1,17 @@
-"""Exact top-k search over binary codes: multi-index hashing with growing radii."""
+"""Exact top-k search over binary codes: incremental multi-index hashing as joins, radius by radius."""
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb, log2
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import cut
+from evenhand.llm.common import cut, remove, temporary
 
-#: Codes of one shard and queries that meet a shard in one task.
-SHARD_CODES, BLOCK_QUERIES = 1 << 17, 256
+#: Flips of one radius that a query row is multiplied by at once; more are taken in several joins.
+MOST_FLIPS = 20_000
 
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
@@ -21,96 +20,105 @@ def sign_code(vector: Column, bits: int = 64) -> Column:
     return F.when(vector.isNotNull(), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(bits)), bit), ""))
 
 
-class SegmentIndex:
-    """Codes (uint64) in one hash table a segment: sorted segment values with the rows that hold them."""
-
-    def __init__(self, codes: np.ndarray, bits: int, segments: int):
-        self.codes, self.segments, self.width = codes, segments, bits // segments
-        self.mask = np.uint64((1 << self.width) - 1)
-        self.tables = []
-        for s in range(segments):
-            value = self.part(codes, s)
-            order = np.argsort(value, kind="stable")
-            self.tables.append((np.searchsorted(value[order], np.arange((1 << self.width) + 1, dtype=np.uint64)), order))
-        self.flips = [np.array([sum(1 << i for i in c) for c in combinations(range(self.width), r)] or [0], np.uint64) for r in range(self.width + 1)]
-
-    def part(self, codes: np.ndarray, s: int) -> np.ndarray:
-        return (codes >> np.uint64(s * self.width)) & self.mask
-
-    def bucket(self, s: int, values: np.ndarray) -> np.ndarray:
-        """Rows whose segment ``s`` has one of ``values``."""
-        starts, order = self.tables[s]
-        lo, hi = starts[values.astype(np.int64)], starts[values.astype(np.int64) + 1]
-        size = hi - lo
-        if not size.any():
-            return np.zeros(0, np.int64)
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return order[at]
-
-    def search(self, query: int, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of the k nearest (ties by id).
-
-        A code within distance m * (r + 1) - 1 has a segment within r of the query's, so once the radius r is done
-        in all m segments, everything that near has been seen; the radius grows until that covers the kth distance.
-        """
-        q = np.uint64(query)
-        seen = np.zeros(len(self.codes), bool)
-        rows, dist = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for r in range(self.width + 1):
-            for s in range(self.segments):
-                found = self.bucket(s, self.part(q, s) ^ self.flips[r])
-                found = np.unique(found[~seen[found]])
-                seen[found] = True
-                d = np.bitwise_count(self.codes[found] ^ q).astype(np.int64)
-                rows, dist = np.concatenate([rows, found]), np.concatenate([dist, d])
-            if len(rows) > k:  # what ties with the kth stays until ids decide
-                kth = np.partition(dist, k - 1)[k - 1]
-                near = dist <= kth
-                rows, dist = rows[near], dist[near]
-            if len(rows) >= k and dist.max() <= self.segments * (r + 1) - 1:
-                break
-        best = np.lexsort((ids[rows], dist))[:k]
-        return rows[best], dist[best]
+def bounds(bits: int, segments: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of each segment; widths differ by one at most."""
+    widths = [bits // segments + (i < bits % segments) for i in range(segments)]
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+
+
+def part(code: Column, low: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, low).bitwiseAND((1 << width) - 1)
 
 
-def _search(bits: int, segments: int, k: int):
-    def run(codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        ids = codes["id"].to_numpy()
-        values = np.array([int(x, 2) for x in codes["code"]], np.uint64)
-        out = []
-        if len(ids) and len(queries):
-            index = SegmentIndex(values, bits, segments)
-            for q, code in zip(queries["query"], queries["code"], strict=True):
-                rows, dist = index.search(int(code, 2), ids, k)
-                out.append(pd.DataFrame({"query": q, "id": ids[rows], "distance": dist}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "distance": []}).astype("int64")
+def flips(width: int, radius: int):
+    """Numbers of ``width`` bits of which ``radius`` are set, in lists of bounded length."""
+    found = (sum(1 << i for i in c) for c in combinations(range(width), radius))
+    left = comb(width, radius)
+    while left > 0:
+        some = [next(found) for _ in range(min(left, MOST_FLIPS))]
+        left -= len(some)
+        yield some
 
-    return run
 
+def _found(index: DataFrame, queries: DataFrame, spans: list[tuple[int, int]], radius: int) -> list[DataFrame]:
+    """(query, code, distance, first): codes with a segment at exactly ``radius`` from the query's and none nearer.
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", code_col: str = "code", bits: int = 64, segments: int = 4) -> DataFrame:
+    A pair that meets in several segments is taken in the first of them, so no pair comes twice, nor again at a
+    larger radius.
+    """
+    out = []
+    for s, (_, width) in enumerate(spans):
+        for masks in flips(width, radius) if radius <= width else ():
+            values = F.explode(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>"))
+            probes = queries.select("query", F.lit(s).alias("segment"), part(F.col("query"), *spans[s]).alias("own"), values.alias("flip"))
+            out.append(probes.select("query", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value")))
+    if not out:
+        return []
+    probes = out[0]
+    for more in out[1:]:
+        probes = probes.unionByName(more)
+    met = probes.join(index, ["segment", "value"]).withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
+    for s, (low, width) in enumerate(spans):
+        near = F.bit_count(part(F.col("x"), low, width))
+        met = met.filter((F.col("segment") == s) | (near > F.when(F.col("segment") > s, radius).otherwise(radius - 1)))
+    return [met.select("query", "code", F.bit_count("x").cast("long").alias("distance"), "first", "n")]
+
+
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", code_col: str = "code", bits: int = 64, segments: int | None = None) -> DataFrame:
     """(query, id, distance, rank) of each query's k nearest codes by Hamming distance, ties by smaller id; exact.
 
-    ``codes`` and ``queries`` hold integer ids and codes as strings of ``bits`` (64 at most) '0' and '1'. Codes are
-    dealt by hash over shards of bounded size; each shard finds its own exact top k for blocks of queries with a
-    multi-index over ``segments`` segments, and the shards' lists are merged by rank. A query that is also a code
-    finds itself. Null ids or codes are left out on either side; repeated rows of a code each count; fewer than k
-    codes give shorter lists; an empty table gives an empty table. Other columns are not read.
+    ``codes`` and ``queries`` hold integer ids and codes as strings of ``bits`` (64 at most) '0' and '1'. Each distinct
+    code is indexed once, by the values of its ``segments`` segments (by default as many as make a segment about as
+    wide as the logarithm of the number of codes), with its k smallest ids. Each distinct query looks up the values at
+    distance r of its own in every segment, for r from 0 on. A code within distance segments * (r + 1) - 1 has a
+    segment within r, so once radius r is done all codes that near have been met, and a query whose kth distance is
+    no more leaves the search. The k best codes by (distance, smallest id) hold the k best ids, so no more are kept.
+
+    A query that is also a code finds itself. Null ids or codes are left out on either side; a repeated row of a code
+    counts as often as it is there, a repeated row of a query once; fewer than k codes give shorter lists; an empty
+    table gives an empty table. Other columns, whatever their names, are not read.
     """
-    if bits > 64 or bits % segments:
-        raise ValueError("bits must be a multiple of segments, 64 at most")
-    c = codes.select(F.col(id_col).cast("long").alias("id"), F.col(code_col).alias("code")).dropna()
-    q = queries.select(F.col(id_col).cast("long").alias("query"), F.col(code_col).alias("code")).dropna()
-    n, nq = c.count(), q.count()
-    shards = max(1, -(-n // SHARD_CODES))
-    blocks = max(1, -(-nq // BLOCK_QUERIES))
-    # a shard's codes go to the tasks of all query blocks, a block's queries to those of all shards: never to one task
-    c = c.withColumn("shard", F.pmod(F.xxhash64("id", F.lit("s")), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = q.withColumn("block", F.pmod(F.xxhash64("query", F.lit("b")), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    q = q.withColumn("shard", F.col("shard").cast("long"))
-    found = c.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInPandas(_search(bits, segments, k), "query long, id long, distance long")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    if not 1 <= bits <= 64:
+        raise ValueError("bits must be from 1 to 64")
+    number = F.conv(F.col(code_col), 2, -10).cast("long")
+    c = codes.select(F.col(id_col).cast("long").alias("id"), number.alias("code")).dropna()
+    q = queries.select(F.col(id_col).cast("long").alias("query_id"), number.alias("query")).dropna()
+    with temporary(codes.sparkSession) as keep:
+        by = Window.partitionBy("code").orderBy("id")
+        least = cut(c.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= k).select("code", "id"), "ids")
+        q = cut(q.distinct(), "queries")
+        distinct = cut(least.groupBy("code").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "codes")
+        size = distinct.count()
+        spans = bounds(bits, segments or max(1, min(bits, round(bits / max(1.0, log2(max(2, size)))))))
+        keyed = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), part(F.col("code"), *b).alias("value")) for s, b in enumerate(spans)]))
+        index = cut(distinct.select("code", "first", "n", keyed.alias("_k")).select("_k.segment", "_k.value", "code", "first", "n"), "index")
+        open_ = cut(q.select("query").distinct(), "open")
+        best = open_.limit(0).select("query", *[F.lit(0).cast("long").alias(x) for x in ("code", "distance", "first", "n")])
+        done = []
+        order = Window.partitionBy("query").orderBy("distance", "first")
+        for radius in range(max(w for _, w in spans) + 1):
+            both = best
+            for found in _found(index, open_, spans, radius):
+                both = both.unionByName(found)
+            ranked = both.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).withColumn("held", F.sum("n").over(order))
+            ranked = cut(ranked.drop("at"), "best")
+            kth = ranked.filter(F.col("held") >= k).groupBy("query").agg(F.min("distance").alias("kth"))
+            covered = cut(kth.filter(F.col("kth") <= len(spans) * (radius + 1) - 1).select("query"), "covered")
+            done.append(cut(ranked.join(covered, "query", "left_semi").drop("held"), "done"))
+            last, best = best, cut(ranked.join(covered, "query", "left_anti").drop("held"), "best")
+            open_ = cut(open_.join(covered, "query", "left_anti"), "open")
+            if hasattr(last, "scratch_path"):
+                remove(codes.sparkSession, last.scratch_path)
+            if open_.isEmpty():
+                break
+        found = best
+        for some in done:
+            found = found.unionByName(some)
+        ids = found.select("query", "code", "distance").join(least, "code")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+        ids = cut(ids.select("query", "id", "distance").withColumn("rank", rank).filter(F.col("rank") <= k), "found")
+        keep(ids, q)
+    return q.join(ids, "query").select(F.col("query_id").alias("query"), "id", "distance", "rank")
 
 
 def op1_top_k(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import small_batches
+from evenhand.llm.common import cut, small_batches
 from evenhand.llm.textarrays import mix64, slices
 
 ORDERS = (1, 2, 3)
@@ -17,6 +17,8 @@ BUCKETS = 1 << 15
 #: Term frequencies are shares of a text's n-grams; this brings their vectors to a norm near one.
 SCALE = 10.0
 UNKNOWN = "und"
+#: More languages than this are refused: the regression keeps buckets x languages numbers.
+MOST_LANGUAGES = 500
 
 
 def gram_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[list[np.ndarray], np.ndarray]:
@@ -128,6 +130,7 @@ def train(
     lang_col: str = "lang",
     id_col: str = "doc_id",
     sample_rows: int = 4000,
+    sample_bytes: int = 32 << 20,
     buckets: int = BUCKETS,
     epochs: int = 3,
     alpha: float = 0.5,
@@ -135,11 +138,13 @@ def train(
     l1: float = 1e-4,
     l2: float = 1e-3,
 ) -> dict:
-    """Fit the model: {'langs', 'weights' (buckets + 1, langs) times IDF and scale, 'temperature'}.
+    """Fit the model: {'langs', 'index' (buckets + 1), 'weights' (rows with any weight, langs) times IDF and scale, 'temperature'}.
 
     Document frequencies are counted over every labelled text. The regression is fitted on at most ``sample_rows``
-    labelled rows, as many of each language (the lowest hashes of ``id_col``); every fifth of them only calibrates
-    the temperature. Rows with null text or language teach nothing.
+    labelled rows and about ``sample_bytes`` bytes of text, as many of each language (the lowest hashes of ``id_col``
+    and text, so a repeated id or row has no part beyond its own; each language has a row at least); every fifth of
+    them only calibrates the temperature. Rows with null text or language teach nothing; null ids are ids like any
+    other. ValueError for more than MOST_LANGUAGES languages.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("i")).filter("t IS NOT NULL AND lang IS NOT NULL")
@@ -148,15 +153,25 @@ def train(
     total = counts.pop(-1, 0)
     idf = np.zeros(buckets)
     idf[list(counts)] = [np.log((1 + total) / (1 + n)) + 1.0 for n in counts.values()]
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy("lang").select("lang").collect()]
+    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(held) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    langs = sorted(held)
     if not langs:
-        return {"langs": [], "weights": np.zeros((buckets + 1, 0), np.float32), "temperature": 1.0}
-    h = F.xxhash64(F.lit("langid"), "i")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))
-    chosen = rows.select("i", "lang", h.alias("h")).withColumn("rank", rank).filter(F.col("rank") <= max(10, sample_rows // len(langs)))
-    picked = rows.join(F.broadcast(chosen.select("i").distinct()), "i", "left_semi")  # at most sample_rows ids
-    got = picked.select("t", "lang", h.alias("h")).mapInArrow(_sample_features(buckets), "lang string, h long, idx binary, share binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["h"], r["lang"], r["idx"]))
+        return {"langs": [], "index": np.zeros(buckets + 1, np.int32), "weights": np.zeros((1, 0), np.float32), "temperature": 1.0}
+    quota, share = max(1, sample_rows // len(langs)), sample_bytes // len(langs)
+    # rows below a hash that three times the quota of their language is expected below; only these are ranked
+    limit = lambda n: (1 << 62) if n <= 4 * quota + 40 else int((1 << 62) * (3 * quota + 30) / n)
+    limits = F.create_map(*[F.lit(x) for v in langs for x in (v, limit(held[v]))])
+    h = F.xxhash64(F.lit("langid"), "i", "t").bitwiseAND((1 << 62) - 1)
+    low = rows.withColumn("h", h).filter(F.col("h") <= F.element_at(limits, F.col("lang")))
+    found = cut(low.groupBy("lang", "h").agg(F.max(F.octet_length("t")).cast("long").alias("size")), "hashes")
+    by = Window.partitionBy("lang").orderBy("h")
+    chosen = found.withColumns({"rank": F.row_number().over(by), "sum": F.sum("size").over(by)}).filter((F.col("rank") == 1) | ((F.col("rank") <= quota) & (F.col("sum") <= share)))
+    picked = low.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi")  # at most sample_rows hashes
+    picked = picked.groupBy("lang", "h").agg(F.min("t").alias("t"))
+    got = picked.select("t", "lang", "h").mapInArrow(_sample_features(buckets), "lang string, h long, idx binary, share binary").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["h"], r["lang"]))
     data = []
     for r in got:
         i = np.frombuffer(r["idx"], np.int32)
@@ -164,36 +179,39 @@ def train(
     w = fit_ftrl([d[:3] for d in data if not d[3]], len(langs), buckets, epochs, alpha, beta, l1, l2)
     held = [d for d in data if d[3]]
     t = fit_temperature(np.array([d[1] @ w[d[0]] for d in held]).reshape(len(held), len(langs)), np.array([d[2] for d in held], int))
-    scaled = np.zeros((buckets + 1, len(langs)), np.float32)
-    scaled[:buckets] = w * idf[:, None] * SCALE
-    return {"langs": langs, "weights": scaled, "temperature": t}
+    some = np.flatnonzero(w.any(axis=1))
+    index = np.zeros(buckets + 1, np.int32)  # row 0 has no weight
+    index[some] = np.arange(1, len(some) + 1)
+    scaled = np.zeros((len(some) + 1, len(langs)), np.float32)
+    scaled[1:] = w[some] * idf[some, None] * SCALE
+    return {"langs": langs, "index": index, "weights": scaled, "temperature": t}
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """Every input row with ``lang_pred`` and ``score``, its calibrated probability.
 
     A text that is null or has no letter, or a model that was taught no language, gives 'und' and 0.0. Whole texts
-    are read, in slices. Input columns named lang_pred or score are replaced; nothing but the text is looked at;
+    are read, in slices. Equal texts get equal results; repeated rows a row each. Input columns named lang_pred or score are replaced; nothing but the text is looked at;
     an empty table gives an empty table.
     """
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most buckets x MOST_LANGUAGES floats
     letters = F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False))
 
     @F.arrow_udf("struct<lang_pred string, score double>")
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        langs, w, temp = m["langs"], m["weights"], m["temperature"]
+        langs, index, w, temp = m["langs"], m["index"], m["weights"], m["temperature"]
         for column in texts:
             best, score = np.zeros(len(column), int), np.zeros(len(column))
             for first, last, data, offsets in slices(column):
                 if not langs:
                     break
-                grams, starts = gram_buckets(data, offsets, len(w) - 1)
+                grams, starts = gram_buckets(data, offsets, len(index) - 1)
                 logits, total = np.zeros((last - first, len(langs))), np.zeros(last - first)
                 for g in grams:
-                    logits += np.add.reduceat(w[g], starts[:-1], axis=0)
-                    total += np.add.reduceat(g < len(w) - 1, starts[:-1], dtype=np.int64)
+                    logits += np.add.reduceat(w[index[g]], starts[:-1], axis=0)
+                    total += np.add.reduceat(g < len(index) - 1, starts[:-1], dtype=np.int64)
                 s = logits / np.maximum(total, 1)[:, None] / temp
                 p = np.exp(s - s.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)

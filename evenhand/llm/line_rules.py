@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import SPACE
+from evenhand.llm.common import SPACE, WORD
 
 #: Phrases that mark a line as page furniture or a notice rather than prose.
 BOILERPLATE = (
@@ -15,8 +15,8 @@ BOILERPLATE = (
 )
 #: A line with this many separators is a menu or a table row.
 NAVIGATION = r"(?:[|»›•·].*){3}"
-#: Long lines without any of these are lists of words, not sentences.
-PUNCTUATION = r"[.!?…:;,。？！؟]"
+#: How a sentence ends: a mark, then closing quotes and brackets, then white space. Longer lines without are fragments.
+ENDING = r"[.!?…:;。？！؟][\"'”’»)\]]*[\x20\x09-\x0D]*\z"
 
 WINDOW = 8
 
@@ -64,12 +64,12 @@ def repeat_counts(df: DataFrame) -> DataFrame:
 
 
 def line_passes(line: Column, long_line: int) -> Column:
-    """The rules of one line that has a word: no menu, no notice, and sentence punctuation if it is long."""
-    bare = (F.regexp_count(line, F.lit(SPACE + "+")) >= long_line) & ~line.rlike(PUNCTUATION)
+    """The rules of one line that has a word: no menu, no notice, and a sentence's end if it has ``long_line`` words."""
+    bare = (F.regexp_count(line, F.lit(WORD)) >= long_line) & ~line.rlike(ENDING)
     return ~line.rlike(NAVIGATION) & ~line.rlike(BOILERPLATE) & ~bare
 
 
-def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5, long_line: int = 40, min_words: int = 20, max_repeat_pct: int = 30) -> DataFrame:
+def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5, long_line: int = 12, min_words: int = 20, max_repeat_pct: int = 30) -> DataFrame:
     """Every input row with its cleaned text, the base counts and the verdict.
 
     Lines (split at newlines) that fail a rule go; ``cleaned`` joins the others. A document is kept unless it fails
@@ -119,7 +119,7 @@ b AS (SELECT a.doc_id, CAST(len(w) AS BIGINT) AS n_words,
              CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
              length(regexp_replace(array_to_string(list_filter(l, lambda x:
                NOT regexp_matches(x, '{NAVIGATION}') AND NOT regexp_matches(x, '{BOILERPLATE}')
-               AND NOT (len(regexp_extract_all(x, '[\x20\x09-\x0D]+')) >= 40 AND NOT regexp_matches(x, '{PUNCTUATION}'))), chr(10)),
+               AND NOT (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 12 AND NOT regexp_matches(x, '{ENDING.replace("'", "''")}'))), chr(10)),
                '[\x20\x09-\x0D]+', '', 'g')) AS kept_chars
       FROM a LEFT JOIN c ON a.doc_id = c.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

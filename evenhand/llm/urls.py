@@ -16,6 +16,8 @@ from evenhand.llm.common import cut
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_suffix_rate", "f_suffix_log")
+#: Of labelled urls, every fifth by hash is held back; the others' suffix rates leave their own fifth out.
+FOLDS = 5
 #: Suffixes up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_SUFFIXES = 100_000
 
@@ -71,13 +73,19 @@ def filter_urls(
     trees: int = 10,
     depth: int = 4,
     seed: int = 7,
+    report: dict | None = None,
 ) -> DataFrame:
     """Every input row with host, path, rule, verdict ('block' or 'allow') and block_score.
 
     The rule's verdict holds where one fits. The other urls are judged by gradient-boosted trees trained on labelled
     urls: ``label`` (1 blocks, 0 allows, null teaches nothing), or else what the rules say of the urls they fit. Trees
-    are fitted on at most ``sample_rows`` labelled rows (lowest url hashes); suffix statistics (how many rows a suffix
-    has, and the smoothed share that is blocked among its labelled ones) are counted over all rows.
+    are fitted on at most ``sample_rows`` labelled rows (lowest url hashes); suffix statistics are counted over all rows:
+    the magnitude of a suffix's number of rows, and the smoothed share that is blocked among its labelled ones. A taught
+    row's share leaves its own fifth of the urls out. Where the rules made the label, every share is the whole's: a
+    suffix that rules name would only repeat them.
+
+    One fifth of the sample is held back; ``report``, if given, gets 'taught' and 'held_out' (rows) and 'accuracy' and
+    'base_rate' (of the held-out rows: how many are judged right, and the share of the commoner label).
 
     Null urls and urls without '://' have an empty host and path and are judged by the trees too. Where the labels are
     all alike or absent, that verdict (or 'allow') holds for all. Equal urls get equal verdicts; input columns with an
@@ -93,24 +101,38 @@ def filter_urls(
     known = lexical(df.select("_url", "host", "path", "_label"), "_url", "host", "path")
     total = known.agg(F.coalesce(F.avg("_label"), F.lit(0.0)).alias("share"), F.countDistinct("_label").alias("kinds")).first()
     share, kinds = total["share"], total["kinds"]
-    suffixes = known.groupBy("_suffix").agg(
-        ((F.coalesce(F.sum("_label"), F.lit(0.0)) + 10.0 * share) / (F.count("_label") + 10.0)).alias("f_suffix_rate"),
-        F.log1p(F.count(F.lit(1)).cast("double")).alias("f_suffix_log"),
-    )
-    suffixes = cut(suffixes.withColumnRenamed("_suffix", "_s"), "suffixes")
-    small = suffixes.count() <= BROADCAST_SUFFIXES
-    side = F.broadcast(suffixes) if small else suffixes
-    with_suffix = lambda x: x.join(side, x["_suffix"] == side["_s"]).drop("_s")
+    fold = lambda: F.pmod(F.xxhash64(F.lit("fold"), "_url"), F.lit(FOLDS)).cast("int")
+    in_fold = lambda v: [F.coalesce(F.sum(F.when(F.col("_fold") == i, v)), F.lit(0.0)) for i in range(FOLDS)]
+    suffixes = known.withColumn("_fold", fold()).groupBy(F.col("_suffix").alias("_s")).agg(
+        F.array(*in_fold(F.col("_label"))).alias("_sums"), F.array(*in_fold(F.col("_label").isNotNull().cast("double"))).alias("_counts"),
+        F.floor(F.log2(F.count(F.lit(1)).cast("double"))).cast("double").alias("f_suffix_log"),
+    )
+    suffixes = cut(suffixes, "suffixes")
+    side = F.broadcast(suffixes) if suffixes.count() <= BROADCAST_SUFFIXES else suffixes
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
+
+    def featured(rows: DataFrame, out_of_fold: bool) -> DataFrame:
+        """With the suffix statistics and the vector of all features."""
+        rows = rows.join(side, rows["_suffix"] == side["_s"])
+        total = lambda name: F.aggregate(name, F.lit(0.0), lambda a, b: a + b) - (F.get(F.col(name), fold()) if out_of_fold else F.lit(0.0))
+        rate = (total("_sums") + 10.0 * share) / (total("_counts") + 10.0) if label is not None else F.lit(float(share))
+        return vectors.transform(rows.withColumn("f_suffix_rate", rate).drop("_s", "_sums", "_counts"))
+
     if kinds < 2:
         score = df.withColumn("block_score", F.lit(float(share)))
     else:
         h = F.xxhash64(F.lit(seed), "_url")
         sample = known.filter("_label IS NOT NULL").orderBy(h, "_url").limit(sample_rows)
-        taught = cut(vectors.transform(with_suffix(sample)).select("_features", "_label"), "taught")
+        sample = cut(featured(sample, True).select("_features", "_label", (fold() == 0).alias("_held")), "taught")
         gbt = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.3, checkpointInterval=-1)
-        model = gbt.fit(taught)
-        judged = model.transform(vectors.transform(with_suffix(lexical(df, "_url", "host", "path"))))
+        some = sample.filter("NOT _held")
+        model = gbt.fit(some if some.select("_label").distinct().count() == 2 else sample)
+        if report is not None:
+            held = model.transform(sample.filter("_held")).agg(
+                F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("_label")).cast("double")).alias("right"), F.avg("_label").alias("blocked")
+            ).first()
+            report.update(taught=some.count(), held_out=held["n"], accuracy=held["right"], base_rate=held["blocked"] and max(held["blocked"], 1 - held["blocked"]))
+        judged = model.transform(featured(lexical(df, "_url", "host", "path"), False))
         score = judged.withColumn("block_score", F.element_at(vector_to_array("probability"), 2))
     rule = F.col("_rule.rule")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))

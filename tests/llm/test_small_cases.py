@@ -45,13 +45,21 @@ def test_top_k_is_exact_with_ties_nulls_and_copies(spark):
     codes[5:40] = [codes[5]] * 35
     rows = [(i, c) for i, c in enumerate(codes)] + [(None, codes[0]), (999, None)]
     df = spark.createDataFrame(rows, "id long, code string")
+    df = df.withColumns({c: F.lit("clash") for c in ("query", "distance", "rank", "segment", "value")})
     q = df.filter("id % 50 = 0 OR id = 7")
-    got = {}
-    for r in hamming.top_k(df, q, 10, bits=16, segments=4).collect():
-        got.setdefault(r["query"], []).append((r["distance"], r["id"], r["rank"]))
-    for i in [0, 7, 50, 100, 150, 200, 250]:
-        want = sorted((sum(a != b for a, b in zip(codes[i], c, strict=True)), j) for j, c in enumerate(codes))[:10]
-        assert [x[:2] for x in sorted(got[i], key=lambda x: x[2])] == want
+    for segments in (4, 3, None):
+        got = {}
+        for r in hamming.top_k(df, q, 10, bits=16, segments=segments).collect():
+            got.setdefault(r["query"], []).append((r["distance"], r["id"], r["rank"]))
+        for i in [0, 7, 50, 100, 150, 200, 250]:
+            want = sorted((sum(a != b for a, b in zip(codes[i], c, strict=True)), j) for j, c in enumerate(codes))[:10]
+            assert [x[:2] for x in sorted(got[i], key=lambda x: x[2])] == want
+    twice = df.filter("id < 3").union(df.filter("id < 3"))
+    got = hamming.top_k(twice, twice, 4, bits=16).collect()
+    assert len(got) == 12 and all([x["id"] for x in sorted(got, key=lambda x: x["rank"]) if x["query"] == i][:2] == [i, i] for i in (0, 1, 2))
+    wide = spark.createDataFrame([(i, format((0xFFFFFFFFFFFFFFFF * (i % 2)) ^ (1 << (i % 64)), "064b")) for i in range(130)], "id long, code string")
+    near = {r["id"]: r["distance"] for r in hamming.top_k(wide, wide.filter("id = 1"), 3).collect()}
+    assert near == {1: 0, 65: 0, 129: 0}
 
 
 def test_top_k_of_few_and_of_none(spark):
@@ -91,12 +99,26 @@ def test_url_filter_learns_and_handles_empty(spark):
     rows = [(f"http://shop{i}.example.com/buy-{i}-{i}-{i}?a=1&b=2", 1) for i in range(80)] + [(f"http://news{i}.example.com/en/story", 0) for i in range(80)]
     df = spark.createDataFrame(rows, "url string, y int")
     taught = df.withColumn("y2", F.when(F.crc32("url") % 2 == 0, F.col("y")))
-    out = urls.filter_urls(taught, rules=(), label=F.col("y2")).filter("y2 IS NULL")
+    report = {}
+    out = urls.filter_urls(taught, rules=(), label=F.col("y2"), report=report).filter("y2 IS NULL")
+    assert report["held_out"] > 5 and report["taught"] + report["held_out"] == taught.filter("y2 IS NOT NULL").count() and report["accuracy"] >= 0.9
     assert out.filter("(y = 1) = (verdict = 'block')").count() >= 0.95 * out.count()
     assert urls.filter_urls(df.limit(0)).count() == 0
     assert {r["verdict"] for r in urls.filter_urls(df.limit(3), rules=()).collect()} == {"allow"}
 
 
+def test_url_suffixes_do_not_teach_their_own_labels(spark):
+    rng = np.random.default_rng(4)  # labels are coin tosses, and each suffix has one url: a rate with the own label would be a perfect feature
+    rows = [(f"http://a.s{i}.x{i}/page", int(rng.integers(0, 2))) for i in range(600)]
+    report = {}
+    urls.filter_urls(spark.createDataFrame(rows, "url string, y int"), rules=(), label=F.col("y"), report=report).count()
+    assert 0.3 < report["accuracy"] < 0.7
+    pages = spark.createDataFrame([(f"http://h{i}.{t}/{'long-' * (i % 7)}p", i) for i in range(60) for t in ("net", "com/de", "org/fr", "org", "com")], "url string, page_id long")
+    report = {}
+    urls.filter_urls(pages, report=report).count()
+    assert report["held_out"] > 0 and 0.0 <= report["accuracy"] <= 1.0
+
+
 def test_entropy(spark):
     got = spark.createDataFrame([("aabb",), ("",), ("aaaa",)], "s string").select(urls.entropy(F.col("s"))).collect()
     assert [round(r[0], 6) for r in got] == [1.0, 0.0, 0.0]
@@ -118,6 +140,86 @@ def test_language_odd_rows(spark, odd):
     assert [r["lang_pred"] for r in langid.predict(odd.filter("doc_id = 4"), none).collect()] == ["und"]
 
 
+def plain_grams(text, buckets):
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    t, out = f" {text.lower()} ", []
+    for n in langid.ORDERS:
+        for i in range(len(t) - n + 1):
+            h = 0
+            for c in t[i : i + n]:
+                h = (h * 0x100000001B3 + ord(c)) & mask
+            out.append(mix((h + n) & mask) % buckets)
+    return out
+
+
+def test_language_model_is_the_plain_one(spark):
+    import math
+    import random
+
+    buckets, rows = 1 << 10, [(i, (EN if i % 2 else DE)[i % 20 :] + f" {i}", "en" if i % 2 else "de", "s") for i in range(40)]
+    model = langid.train(docs_of(spark, rows), buckets=buckets, epochs=1)
+    df, tf = {}, []
+    for _, t, _, _ in rows:
+        g = plain_grams(t, buckets)
+        tf.append({b: g.count(b) / len(g) for b in set(g)})
+        for b in set(g):
+            df[b] = df.get(b, 0) + 1
+    idf = {b: math.log((1 + len(rows)) / (1 + n)) + 1 for b, n in df.items()}
+    keys = docs_of(spark, rows).select("doc_id", F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string"), "text").bitwiseAND((1 << 62) - 1).alias("h")).collect()
+    order = [r["doc_id"] for r in sorted(keys, key=lambda r: r["h"]) if r["h"] % 5]
+    z, n, alpha, beta, l1, l2 = {}, {}, 0.5, 0.1, 1e-4, 1e-3
+
+    def weight(b, c):
+        v = z.get((b, c), 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n.get((b, c), 0.0))) / alpha + l2)
+
+    for at in np.random.default_rng(0).permutation(len(order)):
+        i = order[at]
+        x = {b: v * idf[b] * langid.SCALE for b, v in tf[i].items()}
+        w = {(b, c): weight(b, c) for b in x for c in (0, 1)}
+        e = [math.exp(sum(x[b] * w[b, c] for b in x)) for c in (0, 1)]
+        for c in (0, 1):
+            p = e[c] / sum(e) - (c == (rows[i][2] == "en"))
+            for b in x:
+                g, old = x[b] * p, n.get((b, c), 0.0)
+                z[b, c] = z.get((b, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[b, c]
+                n[b, c] = old + g * g
+    for b in random.Random(0).sample(sorted(idf), 200):
+        got = model["weights"][model["index"][b]]
+        assert np.allclose(got, [weight(b, c) * idf[b] * langid.SCALE for c in (0, 1)], atol=1e-4, rtol=1e-4)
+    text = "the dog und die katze"
+    g = plain_grams(text, buckets)
+    s = [sum(weight(b, c) * idf.get(b, 0.0) * langid.SCALE for b in g) / len(g) / model["temperature"] for c in (0, 1)]
+    got = langid.predict(docs_of(spark, [(1, text, None, None)]), model).first()
+    assert got["lang_pred"] == ("en" if s[1] > s[0] else "de")
+    assert abs(got["score"] - 1 / (1 + math.exp(-abs(s[1] - s[0])))) < 1e-3
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(7, EN, "en", "s")] * 300 + [(i, f"{DE} {i}", "de", "s") for i in range(300)] + [(None, DE * 2000, "de", "s")]
+    fitted = []
+    fit = langid.fit_ftrl
+    try:
+        langid.fit_ftrl = lambda data, *a: fitted.append(data) or fit(data, *a)
+        langid.train(docs_of(spark, rows), sample_rows=40, buckets=1 << 10)
+        langid.train(docs_of(spark, rows), sample_rows=400, sample_bytes=4000, buckets=1 << 10)
+    finally:
+        langid.fit_ftrl = fit
+    en = langid.train(docs_of(spark, rows), sample_rows=40, buckets=1 << 10)["langs"].index("en")
+    assert len(fitted[0]) <= 40 and sum(y == en for _, _, y in fitted[0]) <= 1 and len(fitted[1]) <= 40
+    many = docs_of(spark, [(i, EN, f"l{i}", "s") for i in range(langid.MOST_LANGUAGES + 1)])
+    with pytest.raises(ValueError):
+        langid.train(many)
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     got = langid.op3_language(spark, sf_dir.replace("sf0.001", "sf0.01")).join(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "lang"), "doc_id")
     test = got.filter("held_out AND lang IS NOT NULL")
@@ -320,6 +422,9 @@ def test_line_rules(spark, odd):
     assert got[2]["kept"] and got[2]["cleaned"] == prose
     assert not got[3]["kept"] and got[4]["base_failed"] and got[4]["n_repeat_words"] == 100
     assert got[5]["n_dup_lines"] == 2 and got[5]["n_words"] == 6
+    lines = ["Eleven words of a heading may do without any final mark", "Twelve words of a line may not do without any final mark", 'But a "sentence of twelve words or more may end in a quote."  ', "So may one of twelve words or more that ends in brackets (here.)\r"]
+    cleaned = line_rules.clean_lines(docs_of(spark, [(1, "\n".join(lines), None, None)])).first()["cleaned"]
+    assert cleaned.split("\n") == [lines[0], *lines[2:]]
     out = {r["doc_id"]: r for r in line_rules.clean_lines(odd).collect()}
     assert out[1]["n_words"] == 0 and out[1]["cleaned"] == "" and not out[1]["kept"] and out[9]["n_repeat_words"] == 20_000
     assert line_rules.clean_lines(empty(spark)).count() == 0
