@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.functions.exprs import half_even
+from evenhand.operators.summaries import medians
 
 # Groups that an audit distinguishes
 RACE_WB = {"White": "White", "Black or African American": "Black"}
@@ -66,8 +67,7 @@ GROUPINGS = (
 
 def with_median_age(df: DataFrame, by: list[str]) -> DataFrame:
     """Add age_median, the median of non-null ages within ``by``; one small row a key is joined back."""
-    medians = df.groupBy(*by).agg(F.median("age_at_imaging").alias("age_median"))
-    return df.join(medians, by)
+    return df.join(medians(df, by, "age_at_imaging", "age_median"), by, "left")
 
 
 def explode_groups(df: DataFrame, groupings=GROUPINGS) -> DataFrame:

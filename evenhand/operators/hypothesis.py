@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from evenhand.functions import special
 from evenhand.functions.exprs import NAN, valid
+from evenhand.functions.ranks import rank_in_runs, sums_before
 from evenhand.operators.summaries import at_index
 
 
@@ -20,14 +23,11 @@ def rank_sums(df: DataFrame, key: list[str], grp: str = "grp", value: str = "val
     """
     f = df.filter(valid(F.col(value))).groupBy(*key, grp, value).agg(F.count(F.lit(1)).alias("t"))
     pooled = f.groupBy(*key, value).agg(F.sum("t").alias("all_t"))
-    w = Window.partitionBy(*key).orderBy(value)
-    pooled = pooled.withColumn("rank", F.sum("all_t").over(w) - F.col("all_t") + (F.col("all_t") + 1) / 2)
-    whole = pooled.groupBy(*key).agg(
-        F.sum("all_t").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum(F.pow(F.col("all_t").cast("double"), 3) - F.col("all_t")).alias("ties")
+    pooled = sums_before(pooled, key, value, "all_t", "rank", "total").withColumn("rank", F.col("rank") + (F.col("all_t") + 1) / 2)
+    whole = pooled.groupBy(*key, "total").agg(
+        F.count(F.lit(1)).alias("kinds"), F.sum(F.pow(F.col("all_t").cast("double"), 3) - F.col("all_t")).alias("ties")
     )
-    own = Window.partitionBy(*key, grp)
-    ranked = f.join(pooled.drop("all_t"), [*key, value])
-    ranked = ranked.withColumn("before", F.sum("t").over(own.orderBy(value)) - F.col("t")).withColumn("n", F.sum("t").over(own))
+    ranked = sums_before(f, [*key, grp], value, "t", "before", "n").join(pooled.drop("all_t", "total"), [*key, value])
     mid = (at_index(value, F.floor((F.col("n") - 1) / 2)) + at_index(value, F.floor(F.col("n") / 2))) / 2
     out = ranked.groupBy(*key, grp, "n").agg(F.sum(F.col("t") * F.col("rank")).alias("rank_sum"), mid.alias("median"))
     return out.join(whole, key).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*key)))
@@ -120,14 +120,34 @@ def chi_squared(cells: DataFrame, key: list[str], p_values: bool = True) -> Data
     return out.withColumn("p", _chi2_p("chi2", "dof")) if p_values else out
 
 
-def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p", to: str = "p_fdr") -> DataFrame:
-    """Adjusted p within each family: the running minimum of p * n / rank from the largest p down, at most 1. Null and NaN p stay out."""
+def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p", to: str = "p_fdr", large: bool = False) -> DataFrame:
+    """Adjusted p within each family: the running minimum of p * n / rank from the largest p down, at most 1. Null and NaN p stay out.
+
+    Families are sorted in one task each, as they are the results of tests. ``large`` families (p-values of rows) are cut
+    into runs of near values instead; ``df`` is then computed several times, so it should be a table.
+    """
     ok = valid(F.col(p))
-    up = Window.partitionBy(*family, ok).orderBy(p)
-    ranked = df.withColumn("_rank", F.row_number().over(up)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*family, ok)))
-    down = Window.partitionBy(*family, ok).orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(down))
-    return ranked.withColumn(to, F.when(ok, q)).drop("_rank", "_n")
+    if not large:
+        up = Window.partitionBy(*family, ok).orderBy(p)
+        ranked = df.withColumn("_rank", F.row_number().over(up)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*family, ok)))
+        down = Window.partitionBy(*family, ok).orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(down))
+        return ranked.withColumn(to, F.when(ok, q)).drop("_rank", "_n")
+    part = F.when(ok, F.floor(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)) * 1024)).otherwise(-1).cast("int")  # runs of near values
+    keys = [*family, "_ok", "_part"]
+    ranked = rank_in_runs(df.withColumns({"_ok": ok, "_part": part}), [*family, "_ok"], F.col("_part"), [F.col(p)], "_rank")
+    sizes = df.withColumn("_ok", ok).groupBy(*family, "_ok").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate([*family, "_ok"])], "_n")
+    same = lambda other, mark, names: reduce(lambda x, y: x & y, [ranked[c].eqNullSafe(other[f"{mark}{i}"]) for i, c in enumerate(names)])
+    ranked = ranked.join(sizes, same(sizes, "_s", [*family, "_ok"])).withColumn("_q", F.col(p) * F.col("_n") / F.col("_rank"))
+    least = ranked.groupBy(*keys).agg(F.min("_q").alias("_least"))
+    later = Window.partitionBy(*family, "_ok").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # a row a run
+    least = least.select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(keys)], F.min("_least").over(later).alias("_later"))
+    down = Window.partitionBy(*keys).orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranked.withColumn("_own", F.min("_q").over(down))
+    out = out.join(least, reduce(lambda x, y: x & y, [out[c].eqNullSafe(least[f"_l{i}"]) for i, c in enumerate(keys)]))
+    q = F.least(F.lit(1.0), F.col("_own"), F.col("_later"))
+    return out.select(*df.columns, F.when(ok, q).alias(to))
 
 
 def magnitude(effect: Column, kind: str) -> Column:

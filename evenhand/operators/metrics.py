@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.functions.exprs import NAN, valid
+from evenhand.operators.summaries import medians
 
 KEY = ["ruler", "score", "grouping"]
 # What counts as success, and the grids that probe the threshold
@@ -82,8 +83,10 @@ def sweep(long: DataFrame, rules: DataFrame, suffix: str = "_macro") -> DataFram
 
 def mean_gaps(long: DataFrame, basis: str = "mean") -> DataFrame:
     """The earlier definition: ratio and difference of group means or medians of valid scores."""
-    f = {"mean": F.avg, "median": F.median}[basis]
-    per = long.filter(valid(F.col("value"))).groupBy(*KEY, "grp").agg(f("value").alias("m"))
+    some = long.filter(valid(F.col("value")))
+    if basis not in ("mean", "median"):
+        raise ValueError(f"unknown basis: {basis}")
+    per = some.groupBy(*KEY, "grp").agg(F.avg("value").alias("m")) if basis == "mean" else medians(some, [*KEY, "grp"], "value", "m")
     out = per.groupBy(*KEY).agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
     ratio = F.when(F.col("hi") == 0, F.lit(NAN)).otherwise(F.col("lo") / F.col("hi"))
     return out.select(*KEY, ratio.alias("dir"), (F.col("hi") - F.col("lo")).alias("dpd"))

@@ -37,7 +37,7 @@ EXAM_SPEC = Spec(
 VOLUME_SPEC = Spec(
     required=("case_id", "nx", "ny", "nz", "sx", "sy", "sz"), unique=("case_id",), positive=("nx", "ny", "nz", "sx", "sy", "sz")
 )
-SEGMENTATION_SPEC = Spec(required=("case_id", "label", "n_voxels", "volume_mm3"), positive=("n_voxels", "volume_mm3"))
+SEGMENTATION_SPEC = Spec(required=("case_id", "n_voxels_vb", "n_voxels_disc", "volume_mm3_vb", "volume_mm3_disc", "n_components_vb", "n_components_disc"), unique=("case_id",))
 
 
 def validate(df: DataFrame, spec: Spec) -> DataFrame:

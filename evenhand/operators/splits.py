@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.exprs import seeded
+from evenhand.functions.ranks import hash_rank
 from evenhand.operators.grouping import RACE_WBO, Grouping, age_bins
 
 TEST_SHARE, VAL_SHARE = 0.2, 0.1
@@ -24,14 +25,14 @@ def split_patients(exams: DataFrame, by_sex: bool = True, seed: str = "42", pati
     """Every exam with its patient's stratum and split. A patient's stratum is that of the first exam; of n patients in
     a stratum, max(1, round(0.2 n)) go to test and max(1, round(0.1 n)) to val, halves rounded to even."""
     df = with_strata(exams, by_sex)
-    first = Window.partitionBy(patient).orderBy(exam)
-    patients = df.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(patient, "race_bin", "age_bin", "stratum")
-    ordered = Window.partitionBy("stratum").orderBy(seeded(seed, F.col(patient)), patient)
-    n = F.count(F.lit(1)).over(Window.partitionBy("stratum"))
+    first = F.min(F.struct(exam, "race_bin", "age_bin", "stratum")).alias("_f")
+    patients = df.groupBy(patient).agg(first).select(patient, "_f.race_bin", "_f.age_bin", "_f.stratum")
+    sizes = patients.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
+    patients = hash_rank(patients, ["stratum"], seeded(seed, F.col(patient)), patient, "_r").join(F.broadcast(sizes), "stratum")  # a row a stratum
+    n, r = F.col("_n"), F.col("_r")
     test, val = (F.greatest(F.lit(1), F.bround(n * share, 0).cast("int")) for share in (TEST_SHARE, VAL_SHARE))
-    r = F.row_number().over(ordered)
     split = F.when(r <= test, "test").when(r <= test + val, "val").otherwise("train")
-    placed = patients.withColumn("split", split)
+    placed = patients.withColumn("split", split).drop("_n", "_r")
     rest = exams.drop("race_bin", "age_bin", "stratum", "split")
     return rest.join(placed, patient)
 
@@ -43,8 +44,7 @@ def downsample(df: DataFrame, within: list[str], by: str, unit: str, seed: str =
     """
     n = df.groupBy(*within, by).agg(F.count(F.lit(1)).alias("_n"))
     least = n.groupBy(*within).agg(F.min("_n").alias("_least"))
-    r = F.row_number().over(Window.partitionBy(*within, by).orderBy(seeded(seed, F.col(unit)), unit))
-    out = df.withColumn("_r", r).join(least, within)
+    out = hash_rank(df, [*within, by], seeded(seed, F.col(unit)), unit, "_r").join(least, within)
     keep = F.col("_r") <= F.col("_least")
     if majority is not None:
         keep = keep | (F.col(by) != majority)
@@ -59,12 +59,24 @@ def folds(df: DataFrame, stratum: str, unit: str, k: int = 5, seed: str = "42")
     n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = n.withColumn("_before", before).drop("_n")
-    r = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(seed, F.col(unit)), unit)) - 1
-    return df.withColumn("_r", r).join(start, stratum).withColumn("fold", ((F.col("_r") + F.col("_before")) % k).cast("int")).drop("_r", "_before")
+    ranked = hash_rank(df, [stratum], seeded(seed, F.col(unit)), unit, "_r").withColumn("_r", F.col("_r") - 1)
+    return ranked.join(start, stratum).withColumn("fold", ((F.col("_r") + F.col("_before")) % k).cast("int")).drop("_r", "_before")
+
+
+def unit_folds(df: DataFrame, stratum: str, unit: str, row: str, k: int = 5, seed: str = "42") -> DataFrame:
+    """A fold for each row such that rows of one unit (a patient) share it; a unit's stratum is that of its first row."""
+    units = df.groupBy(unit).agg(F.min(F.struct(row, stratum))[stratum].alias(stratum))
+    return df.join(folds(units, stratum, unit, k, seed).select(unit, "fold"), unit)
+
+
+def fold_rows(folded: DataFrame, unit: str, k: int = 5) -> DataFrame:
+    """(fold, role, id): each unit in every fold, 'val' in its own and 'train' in the others; what large tables are saved as."""
+    rows = folded.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return rows.select(F.col("at").alias("fold"), F.when(F.col("at") == F.col("fold"), "val").otherwise("train").alias("role"), F.col(unit).alias("id"))
 
 
 def fold_lists(folded: DataFrame, unit: str, k: int = 5) -> DataFrame:
-    """(fold, train, val): sorted ids, the form in which folds are saved."""
+    """(fold, train, val): sorted ids, the form in which a trainer reads them; a fold's ids are one row, so for tables whose ids fit in one."""
     rows = folded.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     is_val = F.col("at") == F.col("fold")
     return rows.groupBy(F.col("at").alias("fold")).agg(

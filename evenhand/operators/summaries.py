@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.exprs import NAN, nearest_index
+from evenhand.functions.ranks import sums_before, value_run
 
 
 def frequencies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values with their counts and how many smaller ones there are, per key; nulls are left out."""
     f = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("t"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    return f.withColumn("before", F.sum("t").over(w) - F.col("t")).withColumn("n", F.sum("t").over(Window.partitionBy(*keys)))
+    return sums_before(f, keys, value, "t", "before", "n")
+
+
+def medians(df: DataFrame, keys: list[str], value: str, to: str = "median") -> DataFrame:
+    """(keys, ``to``): the mean of the two middle values, from a frequency table."""
+    n = F.col("n")
+    return frequencies(df, keys, value).groupBy(*keys).agg(((at_index(value, F.floor((n - 1) / 2)) + at_index(value, F.floor(n / 2))) / 2).alias(to))
 
 
 def at_index(value: str, index: Column) -> Column:
@@ -89,6 +95,29 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:
     return out.select("property", "bin", (F.col("_lo") + width * F.col("bin")).alias("lo"), (F.col("_lo") + width * (F.col("bin") + 1)).alias("hi"), "n")
 
 
+def integer_histogram(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Bins centred on the whole numbers between each column's least and greatest value: (property, bin, lo, hi, n)."""
+    long = unpivot(df, columns).filter(F.col("value").isNotNull())
+    ends = long.groupBy("property").agg(F.floor(F.min("value")).alias("_lo"), F.ceil(F.max("value")).alias("_hi"))
+    n = long.groupBy("property", F.round("value").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    out = ends.select("property", F.explode(F.sequence("_lo", "_hi")).alias("bin")).join(n, ["property", "bin"], "left").na.fill(0, ["n"])
+    return out.select("property", "bin", (F.col("bin") - 0.5).alias("lo"), (F.col("bin") + 0.5).alias("hi"), "n")
+
+
+def distinct_and_missing(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(property, n_unique, n_missing) of several columns in one pass; null is not counted among the values."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).cast("string").alias("value")) for c in columns])
+    per = df.select(F.explode(pairs).alias("_p")).select("_p.*").groupBy("property", "value").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("property").agg(F.count("value").alias("n_unique"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"))
+
+
+def by_marginal(counted: DataFrame, category: str) -> DataFrame:
+    """Counted rows with their category's total and its place (from 1) by falling total, ties by name."""
+    total = counted.groupBy(category).agg(F.sum("n").alias("total"))
+    placed = total.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), category)))  # a row a category
+    return counted.join(placed, category)
+
+
 def sigma_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: mean, std, and how many values lie beyond two and three standard deviations, with percentages of all rows."""
     long = unpivot(df, columns)
@@ -101,8 +130,21 @@ def sigma_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def representatives(df: DataFrame, by: str, key: str) -> DataFrame:
-    """The smallest, the median (position n div 2) and the largest row by a column."""
-    w = Window.partitionBy().orderBy(by, key)
-    d = df.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    """The smallest, the median (position n div 2) and the largest row by a column, ties by a numeric key.
+
+    The column cuts the rows into runs, and the key cuts them again, so that no task sorts all rows or all of one value.
+    """
+    rows = df.withColumns({"_by": value_run(F.col(by)), "_key": value_run(F.col(key))})
+    own = ["_by", by, "_key"]
+    inner = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*own).orderBy(key)))
+    counts = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_c"))
+    values = counts.groupBy("_by", by).agg(F.sum("_c").alias("_c"))
+    total = values.groupBy("_by").agg(F.sum("_c").alias("_c"))
+    past = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = total.select("_by", past(Window.orderBy("_by")).alias("_p0"), F.sum("_c").over(Window.partitionBy()).alias("_n"))  # a row a run
+    values = values.select("_by", by, past(Window.partitionBy("_by").orderBy(by)).alias("_p1"))
+    counts = counts.select(*own, past(Window.partitionBy("_by", by).orderBy("_key")).alias("_p2"))
+    d = inner.join(counts, own).join(values, ["_by", by]).join(total, "_by").withColumn("_r", F.col("_at") + F.col("_p0") + F.col("_p1") + F.col("_p2"))
+    d = d.select(*df.columns, "_r", "_n")
     role = F.when(F.col("_r") == 1, "smallest").when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, "median").when(F.col("_r") == F.col("_n"), "largest")
     return d.withColumn("role", role).filter(F.col("role").isNotNull()).drop("_r", "_n")

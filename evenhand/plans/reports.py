@@ -6,19 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.operators import hypothesis as h
+from evenhand.operators import quality as q
+from evenhand.operators import summaries as s
 from evenhand.operators.grouping import age_bins
 from evenhand.operators.summaries import counts, shares
+from evenhand.plans.volumes import segmentation_tests
+from evenhand.sources.tables import image_files
 
 SPLIT_ORDER = ("train", "val", "test")
 
 
+# How the metadata tables' columns are called in the exam table
+RENAMES = {
+    "cases": {"submitter_id": "patient_id"},
+    "studies": {"submitter_id": "study_submitter_id", "case_ids": "patient_id"},
+    "series": {"submitter_id": "series_submitter_id", "imaging_studies.submitter_id": "study_submitter_id", "case_ids": "patient_id"},
+}
+
+
+def renamed(df: DataFrame, kind: str) -> DataFrame:
+    """A metadata table with the exam table's column names; columns that begin with '_' and the node's type are left out."""
+    out = df.withColumnsRenamed({k: v for k, v in RENAMES[kind].items() if k in df.columns})
+    return out.drop("type", *[c for c in out.columns if c.startswith("_")])
+
+
 def load_exams(series: DataFrame, studies: DataFrame, cases: DataFrame, annotations: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """The exam table of the four metadata tables: left joins from the series, upper-cased manufacturer, exclusions left out."""
+    series, studies, cases = renamed(series, "series"), renamed(studies, "studies"), renamed(cases, "cases")
     out = series.join(studies.drop("patient_id"), "study_submitter_id", "left").join(cases, "patient_id", "left").join(annotations, "series_submitter_id", "left")
     out = out.withColumn("manufacturer", F.upper("manufacturer"))
     return out.join(excluded.select("series_submitter_id"), "series_submitter_id", "left_anti") if excluded is not None else out
 
 
+def load_metadata(series: DataFrame, studies: DataFrame, cases: DataFrame, annotations: DataFrame, excluded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(exam table of the series' images that are not excluded, violations of its specification)."""
+    exams = load_exams(series, studies, cases, image_files(annotations), excluded)
+    return exams, q.validate(exams, q.EXAM_SPEC)
+
+
 def value_counts(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """(keys, attribute, value, n, pct): several columns' counts in one job."""
     keys = keys or []
@@ -57,6 +82,30 @@ def age_ranks(frame: DataFrame, by: tuple[str, ...] = CONTINUOUS, keys: list[str
     return h.rank_sums(long.filter("grp IS NOT NULL"), [*keys, "stat_key"])
 
 
+def scanner_report(exams: DataFrame, keys: list[str] | None = None) -> dict[str, DataFrame]:
+    """counts of manufacturer and field strength (upper-cased, '1.5T'), their cells, and histograms of the numeric columns that are there."""
+    frame = crosscut_frame(exams)
+    numeric = [c for c in ("slice_thickness", "pixel_spacing", "spacing_between_slices", "echo_time", "repetition_time") if c in exams.columns]
+    out = {"counts": value_counts(frame, ["manufacturer", "field"], keys), "cells": attribute_cells(frame, (("manufacturer", "field"),), keys)}
+    if numeric:
+        out["histograms"] = s.histogram(exams, numeric, 25)
+    return out
+
+
+def cohort_reports(exams: DataFrame, splits: DataFrame, segmentations: DataFrame | None = None, key: str = "series_submitter_id") -> dict[str, DataFrame]:
+    """Every report for the cohort 'full' and for each split at once, keyed by cohort: demographics, ages, scanner, crosscuts, segmentation tests."""
+    rows = by_cohort(exams, splits, key)
+    out = {
+        "demographics": value_counts(rows, ["sex", "race", "ethnicity"], ["cohort"]),
+        "ages": s.group_summary(rows.select("cohort", F.col("age_at_imaging").alias("value")), ["cohort"]),
+        "scanner": scanner_report(rows, ["cohort"])["counts"],
+        "crosscuts": crosscuts(rows, ["cohort"]),
+    }
+    if segmentations is not None:
+        out["segmentations"] = segmentation_tests(segmentations, rows, ["cohort"])
+    return out
+
+
 def attribute_cells(frame: DataFrame, pairs: tuple[tuple[str, str], ...] = CATEGORICAL, keys: list[str] | None = None) -> DataFrame:
     keys = keys or []
     structs = F.array(*[F.struct(F.lit(f"{a}_by_{b}").alias("stat_key"), F.col(a).cast("string").alias("row"), F.col(b).cast("string").alias("col")) for a, b in pairs])

@@ -77,7 +77,7 @@ def _long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rates(spark: SparkSession, d: str) -> DataFrame:
-    return m.rates(_long(spark, d), m.policy(spark, a.SCORES))
+    return a.rates_of(view(spark, d, "scores"), view(spark, d, "exams"), a.rules_list(a.SCORES))
 
 
 # Groupings and fairness metrics -----------------------------------------------------------------------------------
@@ -100,7 +100,7 @@ def audit_gap(spark, d):
 
 @query(f"{_LONG},\n{_SWEEP},\n{_R},\n{_RATE},\n{_GAP} {_GAP_OUT}")
 def audit_sweep(spark, d):
-    return rounded(m.sweep(_long(spark, d), m.policy(spark, a.SCORES)))
+    return rounded(m.gaps(a.rates_of(view(spark, d, "scores"), view(spark, d, "exams"), a.rules_list(a.SCORES, sweep=True))))
 
 
 @query(f"""{_RATES},\n{_GAP}, y AS (SELECT ruler, score, grouping, CASE WHEN best_rate = 0 THEN 'NaN'::DOUBLE ELSE worst_rate / best_rate END AS dir, best_rate - worst_rate AS dpd FROM x),
@@ -168,10 +168,20 @@ def audit_tests(spark, d):
     return rounded(out.withColumn("magnitude", F.when(F.col("test") == "kruskal", h.magnitude(F.col("effect"), "epsilon_squared")).otherwise(h.magnitude(F.col("effect"), "r"))))
 
 
-@query()
+@query("""WITH e AS (SELECT l_linestatus AS stat_key, CASE WHEN l_quantity < 15 THEN 'few' WHEN l_quantity < 35 THEN 'some' ELSE 'many' END AS grp, l_quantity AS value FROM lineitem),
+ r AS (SELECT *, rank() OVER (PARTITION BY stat_key ORDER BY value) + (count(*) OVER (PARTITION BY stat_key, value) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY stat_key, value) AS t FROM e),
+ g AS (SELECT stat_key, grp, count(*) AS n, sum(rk) AS rs, sum(t * t - 1.0::DOUBLE) AS ties FROM r GROUP BY ALL),
+ k AS (SELECT *, sum(n) OVER (PARTITION BY stat_key)::DOUBLE AS total, sum(ties) OVER (PARTITION BY stat_key) AS all_ties FROM g),
+ z AS (SELECT x.stat_key, x.grp AS group_a, y.grp AS group_b, x.n AS n_a, y.n AS n_b,
+  (x.rs / x.n - y.rs / y.n) / sqrt((x.total * (x.total + 1.0::DOUBLE) / 12 - x.all_ties / (12 * (x.total - 1.0::DOUBLE))) * (1.0::DOUBLE / x.n + 1.0::DOUBLE / y.n)) AS z
+  FROM k x JOIN k y ON x.stat_key = y.stat_key AND x.grp < y.grp)
+ SELECT stat_key, group_a, group_b, n_a, n_b, round(z, 6) AS z, CASE WHEN abs(z) > 6 THEN 0.0::DOUBLE END AS p_bonferroni FROM z""")
 def dunn_posthoc(spark, d):
-    ranks = h.rank_sums(_long(spark, d), m.KEY)
-    return rounded(h.dunn(ranks, m.KEY, h.kruskal(ranks, m.KEY)))
+    """Quantities by their own thirds: groups so far apart that the omnibus test opens the gate and every p rounds to 0."""
+    q_ = F.when(F.col("l_quantity") < 15, "few").when(F.col("l_quantity") < 35, "some").otherwise("many")
+    rows = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("stat_key"), q_.alias("grp"), F.col("l_quantity").alias("value"))
+    ranks = h.rank_sums(rows, ["stat_key"])
+    return rounded(h.dunn(ranks, ["stat_key"], h.kruskal(ranks, ["stat_key"])))
 
 
 @query()
@@ -190,12 +200,23 @@ def chi_squared(spark, d):
     return rounded(h.chi_squared(cells, ["stat_key"], p_values=False))
 
 
+@query("""WITH c AS (SELECT CAST(quality AS VARCHAR) AS row, CAST(toxic AS VARCHAR) AS col, count(*)::DOUBLE AS n FROM labels GROUP BY ALL),
+ f AS (SELECT r.row, k.col, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY r.row) AS rn, sum(coalesce(c.n, 0)) OVER (PARTITION BY k.col) AS cn, sum(coalesce(c.n, 0)) OVER () AS t
+   FROM (SELECT DISTINCT row FROM c) r CROSS JOIN (SELECT DISTINCT col FROM c) k LEFT JOIN c ON c.row = r.row AND c.col = k.col),
+ x AS (SELECT max(t) AS t, sum((abs(n - rn * cn / t) - least(0.5, abs(n - rn * cn / t))) ** 2 / (rn * cn / t)) AS x FROM f)
+ SELECT 'quality_by_toxic' AS stat_key, CAST(t AS BIGINT) AS n, CAST(1 AS BIGINT) AS dof, round(x, 6) AS chi2, round(sqrt(x / t), 6) AS cramers_v FROM x""")
+def chi_squared_2x2(spark, d):
+    """Two by two: the continuity correction holds."""
+    cells = table(spark, d, "labels").groupBy(F.lit("quality_by_toxic").alias("stat_key"), F.col("quality").alias("row"), F.col("toxic").alias("col")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(h.chi_squared(cells, ["stat_key"], p_values=False))
+
+
 @query("""WITH p AS (SELECT lang AS family, doc_id, n_chars / 20001.0::DOUBLE AS p FROM documents),
  r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, doc_id) AS rk, count(*) OVER (PARTITION BY family) AS n FROM p)
  SELECT doc_id, family, round(p, 6) AS p, round(least(1.0::DOUBLE, min(p * n / rk) OVER (PARTITION BY family ORDER BY rk DESC)), 6) AS p_fdr FROM r""")
 def benjamini_hochberg(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("family"), (F.col("n_chars") / 20001.0).alias("p"))
-    return rounded(h.benjamini_hochberg(rows, ["family"]))
+    return rounded(h.benjamini_hochberg(rows, ["family"], large=True))
 
 
 @query("""WITH e AS (SELECT event_type, value, user_id % 2 = 0 AS label FROM events WHERE value IS NOT NULL),
@@ -378,12 +399,28 @@ def ndsc(spark, d):
     return rounded(v.ndsc(v.segmentation_counts(view(spark, d, "voxels")), view(spark, d, "volumes")))
 
 
-@query()
+_HD = f"""{_CNT}, inside AS (SELECT case_id, 'ref' AS side, ref AS v, x, y, z FROM voxels WHERE ref IN (1, 2) UNION ALL SELECT case_id, 'pred', pred, x, y, z FROM voxels WHERE pred IN (1, 2)),
+ nb AS (SELECT i.case_id, i.side, i.v, i.x, i.y, i.z, count(j.x) AS c FROM inside i LEFT JOIN inside j ON i.case_id = j.case_id AND i.side = j.side AND i.v = j.v
+   AND abs(i.x - j.x) + abs(i.y - j.y) + abs(i.z - j.z) = 1 GROUP BY ALL),
+ bnd AS (SELECT * FROM nb WHERE c < 6),
+ dist AS (SELECT p.case_id, p.v, p.side, p.x, p.y, p.z, min(sqrt(((p.x - q.x) * 0.5::DOUBLE) ** 2 + ((p.y - q.y) * 0.5::DOUBLE) ** 2 + ((p.z - q.z) * 4.0::DOUBLE) ** 2)) AS dd
+   FROM bnd p JOIN bnd q ON p.case_id = q.case_id AND p.v = q.v AND p.side <> q.side GROUP BY ALL),
+ far AS (SELECT case_id, v, max(q) AS q FROM (SELECT case_id, v, side, quantile_cont(dd, 0.95) AS q FROM dist GROUP BY ALL) GROUP BY ALL),
+ hd AS (SELECT cnt.case_id, cnt.label, CASE WHEN ref_n = 0 AND pred_n = 0 THEN 'NaN'::DOUBLE WHEN ref_n = 0 OR pred_n = 0 THEN 'Infinity'::DOUBLE ELSE q END AS hd95
+   FROM cnt JOIN lab ON cnt.label = lab.label LEFT JOIN far ON cnt.case_id = far.case_id AND lab.v = far.v)"""
+
+
+@query(f"WITH {_HD} SELECT case_id, label, round(hd95, 6) AS hd95 FROM hd")
 def hd95(spark, d):
     return rounded(v.hd95(view(spark, d, "voxels"), view(spark, d, "volumes")))
 
 
-@query()
+@query(f"""WITH {_HD}, dc AS (SELECT case_id, label, CASE WHEN ref_n + pred_n = 0 THEN 'NaN'::DOUBLE ELSE 2.0::DOUBLE * tp / (ref_n + pred_n) END AS s FROM cnt),
+ z AS (SELECT cnt.*, CAST(nx AS BIGINT) * ny * nz AS total FROM cnt JOIN volumes ON cnt.case_id = volumes.case_id), lo AS (SELECT label, avg(ref_n / total::DOUBLE) AS r FROM z GROUP BY label),
+ k AS (SELECT z.*, (1 - r) * ref_n / (r * (total - ref_n)) AS kap FROM z JOIN lo ON z.label = lo.label),
+ nd AS (SELECT case_id, label, CASE WHEN tp = 0 AND ref_n = 0 THEN 'NaN'::DOUBLE WHEN tp = 0 OR ref_n = 0 THEN 0.0 ELSE 2.0::DOUBLE * tp / (kap * fp + 2.0::DOUBLE * tp + fn) END AS s FROM k),
+ u AS (SELECT case_id, 'dice_' || label AS name, s FROM dc UNION ALL SELECT case_id, 'hd95_' || label, hd95 FROM hd UNION ALL SELECT case_id, 'ndsc_' || label, s FROM nd)
+ SELECT case_id, """ + ", ".join(f"round(max(s) FILTER (name = '{x}_{y}'), 6) AS {x}_{y}" for x in ("dice", "hd95", "ndsc") for y in ("vb", "disc")) + " FROM u GROUP BY case_id")
 def case_scores(spark, d):
     return rounded(v.case_scores(view(spark, d, "voxels"), view(spark, d, "volumes")))
 
@@ -393,7 +430,14 @@ def label_volumes(spark, d):
     return rounded(v.label_volumes(view(spark, d, "voxels"), view(spark, d, "volumes")))
 
 
-@query()
+_CC = """inside AS (SELECT case_id, ref AS v, x * 10000 + y * 100 + z AS c FROM voxels WHERE ref IN (1, 2)),
+ edge AS (SELECT a.case_id, a.v, a.c AS p, b.c AS q FROM inside a JOIN inside b ON a.case_id = b.case_id AND a.v = b.v AND abs(a.c - b.c) IN (1, 100, 10000)),
+ reach AS (SELECT case_id, v, c AS p, c AS root FROM inside UNION SELECT e.case_id, e.v, e.q, r.root FROM reach r JOIN edge e ON r.case_id = e.case_id AND r.v = e.v AND r.p = e.p AND r.root < e.q),
+ least AS (SELECT case_id, v, p, min(root) AS root FROM reach GROUP BY ALL),
+ cc AS (SELECT case_id, CASE v WHEN 1 THEN 'vb' ELSE 'disc' END AS label, CAST(count(*) FILTER (p = root) AS BIGINT) AS n_components FROM least GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_CC} SELECT * FROM cc")
 def connected_components(spark, d):
     return v.connected_components(view(spark, d, "voxels"))
 
@@ -435,14 +479,24 @@ def intensity_window(spark, d):
 # Quality --------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT 'allowed' AS rule, 'manufacturer' AS "column", count(*) AS n, min(manufacturer) AS sample FROM exams WHERE manufacturer NOT IN ('GE MEDICAL SYSTEMS', 'SIEMENS') HAVING count(*) > 0""")
+def _validation_sql(spec: q.Spec, t: str) -> str:
+    """One row for each broken rule of a specification."""
+    one = lambda rule, c, bad: f"SELECT '{rule}' AS rule, '{c}' AS \"column\", count(*) AS n, min(CAST({c} AS VARCHAR)) AS sample FROM {t} WHERE {bad} HAVING count(*) > 0"
+    names = lambda v: ", ".join(f"'{x}'" for x in v)
+    parts = [one("required", c, f"{c} IS NULL") for c in spec.required] + [one("allowed", c, f"{c} NOT IN ({names(v)})") for c, v in spec.allowed.items()]
+    parts += [one("positive", c, f"{c} <= 0") for c in spec.positive]
+    parts += [one("unique", c, "true").replace(f"FROM {t}", f"FROM (SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1)") for c in spec.unique]
+    return " UNION ALL ".join(parts)
+
+
+@query(_validation_sql(q.EXAM_SPEC, "bad_exams"))
 def validate_exams(spark, d):
-    return q.validate(view(spark, d, "exams"), q.EXAM_SPEC)
+    return q.validate(view(spark, d, "bad_exams"), q.EXAM_SPEC)
 
 
-@query("SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS \"column\", NULL::BIGINT AS n, NULL::VARCHAR AS sample FROM volumes WHERE false")
+@query(_validation_sql(q.VOLUME_SPEC, "bad_volumes"))
 def validate_volumes(spark, d):
-    return q.validate(view(spark, d, "volumes"), q.VOLUME_SPEC)
+    return q.validate(view(spark, d, "bad_volumes"), q.VOLUME_SPEC)
 
 
 @query("SELECT series_submitter_id, sex FROM exams WHERE patient_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -568,3 +622,6 @@ def energy(spark, d):
 def captured_ids(spark, d):
     n = F.regexp_extract("url", r"/([0-9]+)", 1)
     return table(spark, d, "pages").filter(n != "").select("page_id", F.concat(F.lit("page_"), n).alias("case_id"))
+
+
+from evenhand import registry_reports  # noqa: E402, F401  its queries join these

@@ -49,10 +49,31 @@ SELECT s_suppkey AS case_id, 50 AS nx, 20 AS ny, 7 AS nz, CAST(0.5 AS DOUBLE) AS
 FROM supplier
 """
 
+#: Grids of cases as far as their voxels reach.
+GRIDS = """
+SELECT l_suppkey AS case_id, CAST(max(l_quantity) AS INT) AS nx, CAST(count(DISTINCT l_orderkey % 20) AS INT) AS ny, max(l_linenumber) AS nz,
+ CAST(0.25 AS DOUBLE) * (1 + l_suppkey % 3) AS sx, CAST(0.5 AS DOUBLE) AS sy, CAST(4.0 AS DOUBLE) AS sz
+FROM lineitem GROUP BY l_suppkey
+"""
+
+#: Grids and exams that break their specification.
+BAD_VOLUMES = """
+SELECT CASE WHEN p_partkey % 7 = 0 THEN p_partkey - 1 ELSE p_partkey END AS case_id, CAST(p_size - 1 AS INT) AS nx, CAST(20 AS INT) AS ny, CAST(7 AS INT) AS nz,
+ CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(0.5 AS DOUBLE) END AS sx, CAST(0.5 AS DOUBLE) AS sy, CASE WHEN p_partkey % 13 = 0 THEN CAST(-4.0 AS DOUBLE) ELSE CAST(4.0 AS DOUBLE) END AS sz
+FROM part
+"""
+BAD_EXAMS = """
+SELECT CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN o_orderkey - 1 ELSE o_orderkey END AS series_submitter_id, o_custkey AS patient_id,
+ CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_custkey % 20 < 11 THEN 'Female' WHEN o_custkey % 20 < 19 THEN 'Male' ELSE 'male' END AS sex,
+ CASE WHEN o_custkey % 23 = 0 THEN 'Martian' ELSE 'White' END AS race, CASE WHEN o_custkey % 29 = 0 THEN NULL ELSE 'Not Reported' END AS ethnicity,
+ CAST(40.0 AS DOUBLE) AS age_at_imaging, CASE WHEN o_orderstatus = 'O' THEN 'Siemens' ELSE 'SIEMENS' END AS manufacturer, CAST(3.0 AS DOUBLE) AS magnetic_field_strength
+FROM orders
+"""
+
 #: Patients' labelled texts: a binary outcome by group.
 OUTCOMES = "SELECT d.doc_id, d.lang AS grp, l.quality, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
 
-VIEWS = {"exams": EXAMS, "scores": SCORES, "voxels": VOXELS, "volumes": VOLUMES, "outcomes": OUTCOMES}
+VIEWS = {"exams": EXAMS, "scores": SCORES, "voxels": VOXELS, "volumes": VOLUMES, "outcomes": OUTCOMES, "grids": GRIDS, "bad_volumes": BAD_VOLUMES, "bad_exams": BAD_EXAMS}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +91,8 @@ def with_views(sql: str) -> str:
     """DuckDB SQL with the views that it names as common table expressions."""
     used = [f"{n} AS ({v})" for n, v in VIEWS.items() if re.search(rf"\b(FROM|JOIN) {n}\b", sql)]
     body = sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*used, body[15:]])
     if not used:
         return body
     if body[:5].upper() == "WITH ":

@@ -38,6 +38,17 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_folds(rows: DataFrame, path: str) -> None:
+    """(fold, role, id) as JSON lines, a folder for each fold and role; no fold has to fit in a row."""
+    rows.write.mode("overwrite").partitionBy("fold", "role").json(path)
+
+
+def write_stats(stats: DataFrame, path: str, key: str = "stat_key") -> None:
+    """A table of figures as JSON lines {key, value}: one line for each key, with the other columns as an object."""
+    rest = [c for c in stats.columns if c != key]
+    stats.select(F.col(key).alias("key"), F.struct(*rest).alias("value")).write.mode("overwrite").json(path)
+
+
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, name, modified) of the files below a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
@@ -63,18 +74,23 @@ def resolve_pairs(wanted: DataFrame, key: str, predictions: DataFrame, reference
     return out.filter("missing = ''").drop("_p", "_r", "missing"), out.filter("missing <> ''").drop("_p", "_r")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def missing_paths(spark: SparkSession, paths: Sequence[str | None]) -> list[str | None]:
+    """Of the paths, those that no file system has; an absent path is missing."""
+    return [p for p in paths if p is None or not exists(spark, p)]
+
+
 def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, sources: Sequence[str] = (), force: bool = False) -> DataFrame:
     """The Parquet table at ``path``, built where it is absent or older than any file of ``sources`` (none: never stale)."""
 
     def newest(where: str):
         return listing(spark, where).agg(F.max("modified")).first()[0]
 
-    try:
-        made = newest(path)
-    except Exception as e:  # noqa: BLE001  a missing folder has an error class of its own in each version
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        made = None
+    made = newest(path) if exists(spark, path) else None
     if force or made is None or any((t := newest(s)) is not None and t > made for s in sources):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
