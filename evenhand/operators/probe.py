@@ -21,6 +21,8 @@ from evenhand.functions.special import t_ppf
 from evenhand.operators.hypothesis import auroc, balanced_accuracy
 from evenhand.operators.splits import folds
 
+#: Classes of an attribute at most, and numbers of the features that make a partition.
+MOST_CLASSES, VALUES_A_PART = 1000, 1 << 22
 COSTS = tuple(10.0**e for e in np.linspace(-4, 4, 10))
 
 
@@ -57,31 +59,36 @@ def fold_scores(df: DataFrame, key: str, attribute: str, n_pcs: int = 50, k: int
     regression picks its penalty by inner cross-validation. Fits are distributed; the loop over folds is not.
     """
     rows = df.filter(F.col(attribute).isNotNull()).withColumn("_y", F.col(attribute).cast("string"))
-    names = [r[0] for r in rows.select("_y").distinct().orderBy("_y").collect()]
+    names = [r[0] for r in rows.select("_y").distinct().orderBy("_y").limit(MOST_CLASSES + 1).collect()]
+    if len(names) > MOST_CLASSES:
+        raise ValueError(f"{attribute} has more than {MOST_CLASSES} values")
     index = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, float(i))])
-    rows = folds(rows.withColumn("label", index[F.col("_y")]), "_y", key, k, str(seed)).persist()
-    n, size = rows.count(), len(rows.select("features").first()[0])
-    pcs = max(1, min(n_pcs, size, n - 1))
-    scores = []
-    for fold in range(k):
-        train, test = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
-        per = train.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
-        total, kinds = train.count(), per.count()
-        train = train.join(F.broadcast(per), "label").withColumn("weight", F.lit(total) / (kinds * F.col("_c")))
-        model = LogisticRegression(featuresCol="_p", labelCol="label", weightCol="weight", maxIter=50, standardization=False)
-        grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * total) for c in costs]).build()
-        measure = MulticlassClassificationEvaluator(metricName="logLoss")
-        stages = [StandardScaler(inputCol="features", outputCol="_c0", withMean=True, withStd=False), PCA(k=pcs, inputCol="_c0", outputCol="_p")]
-        last = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=measure, numFolds=inner, seed=seed, parallelism=2) if len(grid) > 1 else model.copy(grid[0])
-        fitted = Pipeline(stages=[*stages, last]).fit(train)
-        out = fitted.transform(test).withColumn("_k", F.lit(0))
-        if len(names) == 2:
-            scored = out.withColumn("_s", vector_to_array("probability")[1]).withColumn("_b", F.col("label") == 1.0)
-            scores.append(auroc(scored, ["_k"], "_b", "_s").first()["auroc"])
-        else:
-            scores.append(balanced_accuracy(out, ["_k"], "label", "prediction").first()["balanced_accuracy"])
-    rows.unpersist()
-    return scores
+    placed = folds(rows.withColumn("label", index[F.col("_y")]), "_y", key, k, str(seed)).persist()
+    try:
+        n, size = placed.count(), len(placed.select("features").first()[0])
+        # every step of a fit is a job over all partitions: as few as the numbers fill
+        rows = placed.coalesce(1 + n * size // VALUES_A_PART)
+        return [_fold_score(rows, fold, names, max(1, min(n_pcs, size, n - 1)), costs, inner, seed) for fold in range(k)]
+    finally:
+        placed.unpersist()
+
+
+def _fold_score(rows: DataFrame, fold: int, names: list[str], pcs: int, costs: tuple[float, ...], inner: int, seed: int) -> float:
+    train, test = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
+    per = train.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
+    total, kinds = train.count(), per.count()
+    train = train.join(F.broadcast(per), "label").withColumn("weight", F.lit(total) / (kinds * F.col("_c")))  # a row a class
+    model = LogisticRegression(featuresCol="_p", labelCol="label", weightCol="weight", maxIter=50, standardization=False)
+    grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * total) for c in costs]).build()
+    measure = MulticlassClassificationEvaluator(metricName="logLoss")
+    stages = [StandardScaler(inputCol="features", outputCol="_c0", withMean=True, withStd=False), PCA(k=pcs, inputCol="_c0", outputCol="_p")]
+    last = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=measure, numFolds=inner, seed=seed, parallelism=8) if len(grid) > 1 else model.copy(grid[0])
+    fitted = Pipeline(stages=[*stages, last]).fit(train)
+    out = fitted.transform(test).withColumn("_k", F.lit(0))
+    if len(names) == 2:
+        scored = out.withColumn("_s", vector_to_array("probability")[1]).withColumn("_b", F.col("label") == 1.0)
+        return auroc(scored, ["_k"], "_b", "_s").first()["auroc"]
+    return balanced_accuracy(out, ["_k"], "label", "prediction").first()["balanced_accuracy"]
 
 
 def probe(df: DataFrame, key: str, attributes: list[str], **options) -> DataFrame:
@@ -97,6 +104,17 @@ def probe(df: DataFrame, key: str, attributes: list[str], **options) -> DataFram
     return df.sparkSession.createDataFrame(out, "attribute string, metric string, n long, n_classes long, mean double, ci95 double, ci95_naive double")
 
 
+def null_delta(probed: DataFrame, null: DataFrame) -> DataFrame:
+    """(attribute, mean, null_mean, delta): how far the probe is above the same probe of random features."""
+    control = null.select("attribute", F.col("mean").alias("null_mean"))
+    return probed.join(control, "attribute").select("attribute", "mean", "null_mean", (F.col("mean") - F.col("null_mean")).alias("delta"))
+
+
+def leakage(auc):
+    """'strong' from .80, 'moderate' from .65, else 'weak'."""
+    return F.when(auc >= 0.8, "strong").when(auc >= 0.65, "moderate").otherwise("weak")
+
+
 def random_projection(df: DataFrame, size: int, out: int, seed: int = 7) -> DataFrame:
     """The null control: features through a fixed random matrix and a rectifier, as an untrained encoder."""
     w = np.random.default_rng(seed).normal(size=(size, out)) / math.sqrt(size)

@@ -282,6 +282,13 @@ def pca_scores(spark, d):
     return pr.pca_2d(_vectors(spark, d), "vec_id")[0]
 
 
+@query()
+def pca_variance(spark, d):
+    """The first two components' shares of the variance."""
+    shares = pr.pca_2d(_vectors(spark, d), "vec_id")[1]
+    return rounded(spark.createDataFrame([(i + 1, x) for i, x in enumerate(shares)], "component int, share double"))
+
+
 @query()
 def linear_probe(spark, d):
     return pr.probe(_vectors(spark, d), "vec_id", ["binary"])

@@ -155,3 +155,20 @@ def test_run_times_of_logs(spark, tmp_path):
     (tmp_path / "a.out").write_text("x\nRun time :   7200.5 sec\n")
     lines = spark.read.text(str(tmp_path)).withColumn("path", F.input_file_name())
     assert abs(reports.run_times(lines).first()["hours"] - 7200.5 / 3600) < 1e-9
+
+
+def test_probe_and_its_null_control(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from evenhand.operators import probe
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x + 3 * (i % 2) * (j == 0)) for j, x in enumerate(rng.normal(size=4))], "ab"[i % 2]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, kind string").withColumn("features", array_to_vector("v"))
+    options = {"costs": (0.1, 10.0), "k": 3, "inner": 2}
+    one = probe.probe(df, "id", ["kind"], **options)
+    assert one.first()["mean"] > 0.95 and not df.storageLevel.useMemory
+    noise = df.withColumn("features", array_to_vector(F.transform("v", lambda x: F.rand(1))))
+    delta = probe.null_delta(one, probe.probe(noise, "id", ["kind"], costs=(1.0,), k=3)).first()
+    assert delta["delta"] > 0.2
+    assert [r[0] for r in spark.createDataFrame([(0.9,), (0.7,), (0.5,)], "x double").select(probe.leakage(F.col("x"))).collect()] == ["strong", "moderate", "weak"]
