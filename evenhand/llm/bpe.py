@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import cut, cut_bucketed, small_batches, temporary
+from evenhand.llm.common import cut, cut_bucketed, remove, small_batches, temporary
 from evenhand.llm.textarrays import slices
 
 #: A piece of a word is one long: rank of the pair it begins (20 bits), its first byte's place (26), its id (17).
@@ -456,7 +456,7 @@ class ByteBpe:
                 least = r["n"] + 1
                 break
         # the most frequent come first: small numbers, whose higher bytes compress to little
-        top = counts.filter(F.col("n") >= least).repartitionByRange(16, F.desc("n"), "w").sortWithinPartitions(F.desc("n"), "w")
+        top = cut(counts.filter(F.col("n") >= least).repartitionByRange(16, F.desc("n"), "w").sortWithinPartitions(F.desc("n"), "w"), "top")
         return [r["blob"] for r in top.select("w", self.fold(F.col("w")).alias("ids")).mapInArrow(_pack_table, "blob binary").collect()]
 
     def _pieces(self):
@@ -483,9 +483,12 @@ class ByteBpe:
         blocks = texts.mapInArrow(_number(self.vocab.pattern, known, context.broadcast(self.vocab.ranks), buckets), BLOCK.format(kind))
         blocks = cut_bucketed(blocks, "block", buckets, "blocks")
         met = blocks.select(F.col("block").alias("of"), F.inline("rare")).select("of", "part", "words")
-        words = met.groupBy("part").applyInArrow(_distinct, "w array<string>, word binary, of binary, pos binary")
+        # plans that name the rank map have no exchange: adaptive execution prints a plan again at each stage, 2 MB each time
+        words = cut(met.groupBy("part").applyInArrow(_distinct, "w array<string>, word binary, of binary, pos binary"), "words")
         folded = words.select(F.transform("w", self.fold).alias("ids"), "word", "of", "pos")
-        packs = folded.mapInArrow(_by_block, "of long, pack binary").repartition(buckets, "of").groupBy("of").agg(F.collect_list("pack").alias("packs"))
+        packs = cut(folded.mapInArrow(_by_block, "of long, pack binary"), "packs")
+        remove(self.spark, words.scratch_path)
+        packs = packs.repartition(buckets, "of").groupBy("of").agg(F.collect_list("pack").alias("packs"))  # a block's own words
         out = blocks.join(packs.hint("merge"), F.col("block") == F.col("of"), "left").select("keys", "sizes", "planes", "packs", "far")
         schema = f"key {kind}, ids binary" + ", decoded binary" * decoded
         return out.mapInArrow(_assemble(known, self._pieces() if decoded else None), schema).withColumnRenamed("key", id_col)

@@ -176,6 +176,7 @@ def train(
     for r in got:
         i = np.frombuffer(r["idx"], np.int32)
         data.append((i, np.frombuffer(r["share"], np.float32) * idf[i] * SCALE, langs.index(r["lang"]), r["h"] % 5 == 0))
+    del got
     w = fit_ftrl([d[:3] for d in data if not d[3]], len(langs), buckets, epochs, alpha, beta, l1, l2)
     held = [d for d in data if d[3]]
     t = fit_temperature(np.array([d[1] @ w[d[0]] for d in held]).reshape(len(held), len(langs)), np.array([d[2] for d in held], int))
