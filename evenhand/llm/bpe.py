@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import cut, cut_bucketed, remove, small_batches, temporary
+from evenhand.llm.common import cut, cut_bucketed, lean, remove, small_batches, temporary
 from evenhand.llm.textarrays import slices
 
 #: A piece of a word is one long: rank of the pair it begins (20 bits), its first byte's place (26), its id (17).
@@ -448,7 +448,7 @@ class ByteBpe:
     def _known(self, texts: DataFrame, total: int) -> list[bytes]:
         """Frequent words of a sample of (key, t), with their ids, packed by the tasks that fold them."""
         some = texts.filter(F.pmod(F.xxhash64("key", "t"), F.lit(max(1, total // self.sample_texts))) == 0).select("t")
-        counts = cut(some.mapInArrow(_count_words(self.vocab.pattern), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "counts")
+        counts = cut(some.mapInArrow(lean(_count_words(self.vocab.pattern)), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "counts")
         held, least = 0, 1
         for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
             held += r["words"]
@@ -457,7 +457,7 @@ class ByteBpe:
                 break
         # the most frequent come first: small numbers, whose higher bytes compress to little
         top = cut(counts.filter(F.col("n") >= least).repartitionByRange(16, F.desc("n"), "w").sortWithinPartitions(F.desc("n"), "w"), "top")
-        return [r["blob"] for r in top.select("w", self.fold(F.col("w")).alias("ids")).mapInArrow(_pack_table, "blob binary").collect()]
+        return [r["blob"] for r in top.select("w", self.fold(F.col("w")).alias("ids")).mapInArrow(lean(_pack_table), "blob binary").collect()]
 
     def _pieces(self):
         pieces = [b""] * (max(self.vocab.ranks.values()) + 1)
@@ -480,18 +480,18 @@ class ByteBpe:
         with temporary(self.spark):
             known = context.broadcast(self._known(texts, total["n"]))
         kind = texts.schema["key"].dataType.simpleString()
-        blocks = texts.mapInArrow(_number(self.vocab.pattern, known, context.broadcast(self.vocab.ranks), buckets), BLOCK.format(kind))
+        blocks = texts.mapInArrow(lean(_number(self.vocab.pattern, known, context.broadcast(self.vocab.ranks), buckets)), BLOCK.format(kind))
         blocks = cut_bucketed(blocks, "block", buckets, "blocks")
         met = blocks.select(F.col("block").alias("of"), F.inline("rare")).select("of", "part", "words")
         # plans that name the rank map have no exchange: adaptive execution prints a plan again at each stage, 2 MB each time
         words = cut(met.groupBy("part").applyInArrow(_distinct, "w array<string>, word binary, of binary, pos binary"), "words")
         folded = words.select(F.transform("w", self.fold).alias("ids"), "word", "of", "pos")
-        packs = cut(folded.mapInArrow(_by_block, "of long, pack binary"), "packs")
+        packs = cut(folded.mapInArrow(lean(_by_block), "of long, pack binary"), "packs")
         remove(self.spark, words.scratch_path)
         packs = packs.repartition(buckets, "of").groupBy("of").agg(F.collect_list("pack").alias("packs"))  # a block's own words
         out = blocks.join(packs.hint("merge"), F.col("block") == F.col("of"), "left").select("keys", "sizes", "planes", "packs", "far")
         schema = f"key {kind}, ids binary" + ", decoded binary" * decoded
-        return out.mapInArrow(_assemble(known, self._pieces() if decoded else None), schema).withColumnRenamed("key", id_col)
+        return out.mapInArrow(lean(_assemble(known, self._pieces() if decoded else None)), schema).withColumnRenamed("key", id_col)
 
     def decode(self, encoded: DataFrame, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
         """Add ``to``, the pieces of ``ids_col`` one after another, as binary. Null stays null; unknown ids are an error."""

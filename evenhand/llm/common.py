@@ -91,11 +91,38 @@ def cut_bucketed(df: DataFrame, key: str, buckets: int, what: str) -> DataFrame:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Where the session still has Spark's default of 10,000 rows an Arrow batch, set fewer: whole texts are long rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Where the session still has Spark's defaults, set fewer rows and bytes an Arrow batch: whole texts are long rows.
+
+    Plans read these settings when they run, so they stay set.
+    """
+    for key, default, most in (("maxRecordsPerBatch", ("10000",), rows), ("maxBytesPerBatch", (str((1 << 63) - 1), str((1 << 31) - 1)), size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) in default:
+            spark.conf.set(key, str(most))
+
+
+def lean(run: Callable) -> Callable:
+    """A task function over Arrow batches that hands its memory back when it ends.
+
+    Spark keeps Python workers for later tasks, and allocators keep what was freed: beside the JVM's heap, that adds up.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: nothing to trim
+                pass
+
+    return wrapped
 
 
 def word_count(text: Column) -> Column:

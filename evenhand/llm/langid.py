@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import cut, small_batches
+from evenhand.llm.common import cut, lean, small_batches
 from evenhand.llm.textarrays import mix64, slices
 
 ORDERS = (1, 2, 3)
@@ -148,7 +148,7 @@ def train(
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("i")).filter("t IS NOT NULL AND lang IS NOT NULL")
-    df = rows.select("t").mapInArrow(_document_frequencies(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    df = rows.select("t").mapInArrow(lean(_document_frequencies(buckets)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = dict(zip(df["bucket"], df["n"], strict=True))
     total = counts.pop(-1, 0)
     idf = np.zeros(buckets)
@@ -170,7 +170,7 @@ def train(
     chosen = found.withColumns({"rank": F.row_number().over(by), "sum": F.sum("size").over(by)}).filter((F.col("rank") == 1) | ((F.col("rank") <= quota) & (F.col("sum") <= share)))
     picked = low.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi")  # at most sample_rows hashes
     picked = picked.groupBy("lang", "h").agg(F.min("t").alias("t"))
-    got = picked.select("t", "lang", "h").mapInArrow(_sample_features(buckets), "lang string, h long, idx binary, share binary").toArrow().to_pylist()
+    got = picked.select("t", "lang", "h").mapInArrow(lean(_sample_features(buckets)), "lang string, h long, idx binary, share binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["h"], r["lang"]))
     data = []
     for r in got:

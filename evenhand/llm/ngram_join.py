@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import cut, remove, small_batches, temporary
+from evenhand.llm.common import cut, lean, remove, small_batches, temporary
 from evenhand.llm.components import components
 from evenhand.llm.textarrays import mix64, shingle_sets, slices
 
@@ -312,9 +312,9 @@ class NgramJoin:
         small_batches(self.spark)
 
     def _levels(self, profile: DataFrame):
-        parts = profile.filter("n = -1").select("seen").mapInArrow(_chunks, "chunk long, blob binary")
+        parts = profile.filter("n = -1").select("seen").mapInArrow(lean(_chunks), "chunk long, blob binary")
         counts = np.zeros(CELLS, np.int64)
-        for r in parts.repartition(CELLS // CHUNK, "chunk").mapInArrow(_add_chunks, "chunk long, blob binary").collect():  # 8 bytes a cell
+        for r in parts.repartition(CELLS // CHUNK, "chunk").mapInArrow(lean(_add_chunks), "chunk long, blob binary").collect():  # 8 bytes a cell
             counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["blob"], np.int64)
         table = np.log2(np.maximum(counts, 1)).astype(np.uint8)
         return self.spark.sparkContext.broadcast(table)
@@ -442,7 +442,7 @@ class NgramJoin:
     def run(self) -> DataFrame:
         """(id, n, comp) of every input row."""
         with temporary(self.spark) as keep:
-            profile = cut(self.docs.mapInArrow(_profile(self.k), "id long, h long, n long, s long, seen binary"), "profile")
+            profile = cut(self.docs.mapInArrow(lean(_profile(self.k)), "id long, h long, n long, s long, seen binary"), "profile")
             self.levels = self._levels(profile)
             rows = profile.filter("n >= 0").select("id", "h", "n", "s")
             own = rows.filter("n > 0 AND id IS NOT NULL")
@@ -466,9 +466,9 @@ class NgramJoin:
         """(grp, rep, n, w): the sets that share prefix shingles, and how many they share."""
         entries = self.sets.agg(F.sum(self._prefix(F.col("n")))).first()[0] or 0
         tasks = 1 + int(entries) // ENTRIES
-        packed = self.docs.select("id", "text").mapInArrow(_prefixes(self.levels, self.k, self.t, 64 * tasks), "part long, blob binary")
+        packed = self.docs.select("id", "text").mapInArrow(lean(_prefixes(self.levels, self.k, self.t, 64 * tasks)), "part long, blob binary")
         dealt = packed.repartition(max(tasks, self.spark.sparkContext.defaultParallelism), "part").select("blob")
-        shared = dealt.mapInArrow(_shared, "grp long, rep long, n long, w long")
+        shared = dealt.mapInArrow(lean(_shared), "grp long, rep long, n long, w long")
         return cut(shared.groupBy("grp", "rep").agg(F.first("n").alias("n"), F.sum("w").alias("w")), "groups")
 
     def _links(self, groups: DataFrame) -> DataFrame | None:

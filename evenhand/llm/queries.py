@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evenhand.llm import bpe, hamming, langid, line_rules, mixing, ngram_join, shards, toolcalls, urls, warc
+from evenhand.llm import bpe, hamming, langid, line_rules, merkle, mixing, ngram_join, periods, shards, toolcalls, urls, warc
 
 QUERIES = {
     "op1_top_k": hamming.op1_top_k,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_warc": warc.op10_warc,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_periods": periods.op12_periods,
 }
 
 SQL = {
@@ -23,4 +25,6 @@ SQL = {
     "op5_mixing": mixing.SQL,
     "op7_line_rules": line_rules.SQL,
     "op10_warc": warc.SQL,
+    "op11_merkle": merkle.SQL,
+    "op12_periods": periods.SQL,
 }
