@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evenhand.llm import bpe, hamming, langid, line_rules, merkle, mixing, ngram_join, periods, shards, toolcalls, urls, warc
+from evenhand.llm import bpe, hamming, langid, line_rules, merkle, mixing, ngram_join, periods, shards, substrings, toolcalls, urls, warc
 
 QUERIES = {
     "op1_top_k": hamming.op1_top_k,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_merkle": merkle.op11_merkle,
     "op12_periods": periods.op12_periods,
+    "op13_substrings": substrings.op13_substrings,
 }
 
 SQL = {
@@ -27,4 +28,5 @@ SQL = {
     "op10_warc": warc.SQL,
     "op11_merkle": merkle.SQL,
     "op12_periods": periods.SQL,
+    "op13_substrings": substrings.SQL,
 }

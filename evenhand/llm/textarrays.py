@@ -69,9 +69,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of lower-cased (A-Z) texts, and each text's first word: (hashes, bounds)."""
-    low = _LOWER[data]
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts (A-Z as a-z, unless told not to), and each text's first word: (hashes, bounds)."""
+    low = _LOWER[data] if lower else data
     solid = ~_SPACE[low]
     edge = np.zeros(len(low) + 1, bool)
     edge[offsets] = True
