@@ -141,11 +141,15 @@ def planted(doc_id: Column, text: Column) -> Column:
     h = F.crc32(doc_id.cast("string"))
     g = F.floor(h / 10)
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    moved = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + F.pmod(i - a, p)).cast("int"))))
-    return F.when((h % 10 == 0) & (F.regexp_count(text, F.lit(WORD)) > 0), F.array_join(moved, " ")).otherwise(text)
+
+    def moved(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + F.pmod(i - a, p)).cast("int")))), " ")
+
+    # an array of one array, so that the words are split once and not for each of them
+    return F.when((h % 10 == 0) & (F.regexp_count(text, F.lit(WORD)) > 0), F.transform(F.array(words), moved)[0]).otherwise(text)
 
 
 def op12_periods(spark, sf_dir: str) -> DataFrame:
