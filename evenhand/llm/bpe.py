@@ -26,8 +26,8 @@ NONE = (1 << 20) - 1
 LONG = 1000
 #: Words of a block: texts that are encoded together and share one table of their rarer words.
 BLOCK_WORDS = 1 << 20
-#: Bytes of text for each bucket of the blocks, and for each part that rarer words are dealt over.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text for each bucket of the blocks, and for each part that rarer words are dealt over; and most buckets of a table.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 16
 #: Distinct words that are folded in one row.
 ROW_WORDS = 1024
 
@@ -476,11 +476,14 @@ class ByteBpe:
         """
         texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
         total = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
-        context, buckets = self.spark.sparkContext, 1 + total["bytes"] // BUCKET_BYTES
+        context, parts = self.spark.sparkContext, 1 + total["bytes"] // BUCKET_BYTES
+        buckets = min(parts, MOST_BUCKETS)
         with temporary(self.spark):
             known = context.broadcast(self._known(texts, total["n"]))
         kind = texts.schema["key"].dataType.simpleString()
-        blocks = texts.mapInArrow(lean(_number(self.vocab.pattern, known, context.broadcast(self.vocab.ranks), buckets)), BLOCK.format(kind))
+        blocks = texts.mapInArrow(lean(_number(self.vocab.pattern, known, context.broadcast(self.vocab.ranks), parts)), BLOCK.format(kind))
+        if parts > buckets:  # a bucket holds many blocks: they meet first, so that it is one file
+            blocks = blocks.repartition(buckets, "block")
         blocks = cut_bucketed(blocks, "block", buckets, "blocks")
         met = blocks.select(F.col("block").alias("of"), F.inline("rare")).select("of", "part", "words")
         # plans that name the rank map have no exchange: adaptive execution prints a plan again at each stage, 2 MB each time

@@ -72,6 +72,7 @@ def _pieces(spark, path: str) -> DataFrame:
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("file_size"),
         F.monotonically_increasing_id().alias("at"),
         value.cast("binary").alias("bytes"),
         F.substring_index(value, END, 1).alias("head"),
@@ -118,47 +119,53 @@ def read_archives(spark, path: str) -> DataFrame:
     """Every record that is reachable from its file's start: id, url, record_type, refers_to (strings), payload_bytes, payload_digest.
 
     Tasks read byte ranges and take every magic for a candidate; a candidate's successor is where its headers say
-    that it ends, whether or not a magic stands there, so magics inside payloads are never reached. A response's
+    that it ends, whether or not a magic stands there, so magics inside payloads are never reached. Candidates without
+    a length, or with one that leads beyond their file, are none, whatever a payload quotes. A response's
     digest is computed from the payload that was read, a revisit's is its header's. Payloads that hold magics are put
     together again from their pieces. An empty folder of files gives an empty table.
     """
     pieces = _pieces(spark, path)
+    stated = _field(F.col("head"), "Content-Length", "[0-9]+").try_cast("long")
+    stated = F.when(stated <= F.col("file_size"), stated)  # longer than its file: not a record, and sums stay longs
+    held = F.octet_length("head") + len(END) + stated <= F.octet_length("bytes")
     narrow = pieces.select(
-        "file", "block", "at", F.octet_length("bytes").alias("size"), F.octet_length("head").alias("head_size"),
-        _field(F.col("head"), "Content-Length", "[0-9]+").cast("long").alias("block_size"),
+        "file", "block", "at", "file_size", F.octet_length("bytes").alias("size"), F.octet_length("head").alias("head_size"), stated.alias("block_size"),
         _field(F.col("head"), "WARC-Type").alias("record_type"),
         F.regexp_extract("head", r"(?im)^WARC-Record-ID: *<urn:page:([^>\r\n]*)>", 1).alias("id"),
         _field(F.col("head"), "WARC-Target-URI").alias("url"),
         _field(F.col("head"), "WARC-Payload-Digest").alias("stated"),
         F.regexp_extract("head", r"(?im)^WARC-Refers-To: *<urn:page:([^>\r\n]*)>", 1).alias("refers_to"),
-        *_payload(F.col("bytes"), F.octet_length("head") + len(END), _field(F.col("head"), "Content-Length", "[0-9]+").cast("long")),
+        F.when(held, _payload(F.col("bytes"), F.octet_length("head") + len(END), stated)).alias("payload"),
     )
     # the first piece is what stands before the first magic
     placed = cut(_placed(cut(narrow, "pieces")).filter("no > 1").drop("no", "block", "at"), "placed")
     next_ = F.col("start") + len(MAGIC) + F.col("head_size") + len(END) + F.col("block_size") + len(END)
-    valid = placed.filter("block_size IS NOT NULL").withColumn("next", next_)
+    valid = placed.filter("block_size IS NOT NULL").withColumn("next", next_).filter("next <= file_size").drop("file_size")
     kept = cut(reachable(valid), "records")
     whole = F.col("head_size") + len(END) + F.col("block_size") <= F.col("size")
-    out = kept.filter(whole).select("id", "url", "record_type", "refers_to", "stated", "http_size", "digest")
+    out = kept.filter(whole).select("id", "url", "record_type", "refers_to", "stated", "payload")
     torn = kept.filter(~whole)
     if not torn.isEmpty():
         out = out.unionByName(_mend(pieces, torn))
+    revisit = F.col("record_type") == "revisit"
     return out.select(
         "id",
         "url",
         "record_type",
         F.when(F.col("refers_to") != "", F.col("refers_to")).alias("refers_to"),
-        F.col("http_size").alias("payload_bytes"),
-        F.when(F.col("record_type") == "revisit", F.regexp_replace("stated", "^sha1:", "")).otherwise(F.col("digest")).alias("payload_digest"),
+        F.when(revisit, F.col("payload.stated")).otherwise(F.col("payload.size")).alias("payload_bytes"),
+        F.when(revisit, F.regexp_replace("stated", "^sha1:", "")).otherwise(F.col("payload.digest")).alias("payload_digest"),
     )
 
 
-def _payload(data: Column, skip: Column, size: Column) -> list[Column]:
-    """Stated size and digest of the payload in a record's block, which begins after ``skip`` bytes of ``data``."""
-    block = F.substring(data, (skip + 1).cast("int"), size.cast("int"))
+def _payload(data: Column, skip: Column, size: Column) -> Column:
+    """Stated and true size and digest of the payload in a record's block, which begins after ``skip`` bytes of ``data`` and lies in it."""
+    size = F.least(size, F.octet_length(data)).cast("int")
+    block = F.substring(data, (skip + 1).cast("int"), size)
     http = F.substring_index(block.cast("string"), END, 1)
-    payload = F.substring(block, F.octet_length(http) + 1 + len(END), size.cast("int"))
-    return [_field(http, "Content-Length", "[0-9]+").cast("long").alias("http_size"), base32_sha1(payload).alias("digest")]
+    payload = F.substring(block, F.octet_length(http) + 1 + len(END), size)
+    stated = _field(http, "Content-Length", "[0-9]+").try_cast("long")
+    return F.struct(stated.alias("stated"), F.octet_length(payload).cast("long").alias("size"), base32_sha1(payload).alias("digest"))
 
 
 def _placed(pieces: DataFrame) -> DataFrame:
@@ -192,8 +199,8 @@ def _mend(pieces: DataFrame, torn: DataFrame) -> DataFrame:
     grouped = parts.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("start", "bytes"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["bytes"].cast("string")), MAGIC)
     joined = grouped.select("file", F.col("owner").alias("start"), text.cast("binary").alias("data"))
-    both = torn.drop("http_size", "digest").join(joined, ["file", "start"])
-    return both.select("id", "url", "record_type", "refers_to", "stated", *_payload(F.col("data"), F.col("head_size") + len(END), F.col("block_size")))
+    both = torn.drop("payload").join(joined, ["file", "start"])
+    return both.select("id", "url", "record_type", "refers_to", "stated", _payload(F.col("data"), F.col("head_size") + len(END), F.col("block_size")).alias("payload"))
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

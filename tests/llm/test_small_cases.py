@@ -597,6 +597,14 @@ def test_bpe_matches_the_library_and_round_trips(spark, odd):
     assert tool.encode(empty(spark)).count() == 0
 
 
+def test_bpe_of_more_parts_than_a_table_has_buckets(spark, odd, monkeypatch):
+    tool = bpe.ByteBpe(spark, bpe.public_vocabulary(), known_words=20)
+    want = sorted(map(tuple, tool.encode(odd).collect()))
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 1)  # a part for each byte of the texts: over 40,000
+    monkeypatch.setattr(bpe, "MOST_BUCKETS", 3)
+    assert sorted(map(tuple, tool.encode(odd).collect())) == want
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
@@ -627,6 +635,18 @@ def test_warc_round_trip_with_magic_in_payloads(spark):
     assert warc.read_archives(spark, none).count() == 0
 
 
+def test_payloads_that_quote_absurd_lengths(spark):
+    quote = lambda n: f"{warc.MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: {n}\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: {n}\r\n\r\nbody\r\n\r\n"
+    lengths = ("99999999999", "9" * 25, str((1 << 63) - 1), str((1 << 31) + 5), "-4", "", "12.5", "1" * 19)
+    rows = [(i, "u", "<p>" + quote(n) * (1 + i % 3) + "after") for i, n in enumerate(lengths)]
+    path = scratch(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    got = {int(r["id"]): r for r in warc.read_archives(spark, path).collect()}
+    assert sorted(got) == [r[0] for r in rows]
+    for i, _, html in rows:
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(html), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode())
+
+
 def test_records_are_whole_however_files_are_cut(spark, monkeypatch):
     monkeypatch.setattr(warc, "STRETCH", 512)
     monkeypatch.setattr(warc, "FINE", 64)
