@@ -14,7 +14,7 @@ from evenhand.llm.common import cut, lean, small_batches, temporary
 from evenhand.llm.textarrays import mix64, slices, word_hashes
 
 #: Contexts of one prefix that form a subtree in memory; a prefix with more is lengthened to the whole window.
-GROUP_CONTEXTS = 4096
+GROUP_CONTEXTS = 512
 #: Contexts whose subtrees are built together.
 CHUNK_CONTEXTS = 8192
 SPANS = "array<struct<start:long,length:long>>"
