@@ -92,30 +92,28 @@ def f_sf(f: float, d1: float, d2: float) -> float:
 
 
 def mwu_exact_p(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of a tie-free rank-sum statistic: counts of arrangements by their U."""
-    table = [[None] * (n2 + 1) for _ in range(n1 + 1)]
-    for i in range(n1 + 1):
-        for j in range(n2 + 1):
-            if i == 0 or j == 0:
-                table[i][j] = [1]
-                continue
-            a, b = table[i - 1][j], table[i][j - 1]
-            own = [0] * (i * j + 1)
-            for k, x in enumerate(a):
-                own[k + j] += x
-            for k, x in enumerate(b):
-                own[k] += x
-            table[i][j] = own
-    counts = table[n1][n2]
-    high = max(u, n1 * n2 - u)
-    return min(1.0, 2.0 * sum(counts[math.ceil(high) :]) / sum(counts))
+    """Two-sided exact p of a tie-free rank-sum statistic.
+
+    The counts of arrangements by their U are the coefficients of the product of (1 - x^(n2+i)) / (1 - x^i), i = 1 to n1
+    (n1 the smaller); factors are applied one after another to one row, of which only the lower tail is needed.
+    """
+    n1, n2 = sorted((n1, n2))
+    top = math.floor(min(u, n1 * n2 - u))
+    row = [0] * (top + 1)
+    row[0] = 1
+    for i in range(1, n1 + 1):
+        for k in range(top, n2 + i - 1, -1):
+            row[k] -= row[k - n2 - i]
+        for k in range(i, top + 1):
+            row[k] += row[k - i]
+    return min(1.0, 2 * sum(row) / math.comb(n1 + n2, n1))
 
 
 def mwu_p(u: float, n1: int, n2: int, ties: float) -> float:
     """Two-sided p of U; exact where either sample has 8 values or fewer and none tie, else normal with corrections."""
     if min(n1, n2) < 1:
         return math.nan
-    if min(n1, n2) <= 8 and ties == 0 and n1 * n2 <= 20_000:
+    if min(n1, n2) <= 8 and ties == 0:
         return mwu_exact_p(u, n1, n2)
     n = n1 + n2
     var = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))

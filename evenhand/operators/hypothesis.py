@@ -11,26 +11,25 @@ from pyspark.sql.types import DoubleType
 
 from evenhand.functions import special
 from evenhand.functions.exprs import NAN, valid
-from evenhand.functions.ranks import rank_in_runs, sums_before
-from evenhand.operators.summaries import at_index
+from evenhand.functions.ranks import counted, positions, rank_in_runs, value_run
+from evenhand.operators.summaries import middle
 
 
 def rank_sums(df: DataFrame, key: list[str], grp: str = "grp", value: str = "value") -> DataFrame:
-    """Per key and group: n, rank_sum (midranks over the key), median; and the key's total, ties = sum(t^3 - t), k groups, kinds of values.
+    """Per key and group: n, rank_sum (midranks over the key), median; and the key's total, ties = sum(t^3 - t), k groups, and whether all values are ``alike``.
 
-    Only values that are valid count. Rows are counted by (key, group, value) first, so the running sums go over
-    distinct values.
+    Only values that are valid count. Rows are counted by (key, group, value) into one table, from which ranks, medians
+    and sums all come without a join.
     """
-    f = df.filter(valid(F.col(value))).groupBy(*key, grp, value).agg(F.count(F.lit(1)).alias("t"))
-    pooled = f.groupBy(*key, value).agg(F.sum("t").alias("all_t"))
-    pooled = sums_before(pooled, key, value, "all_t", "rank", "total").withColumn("rank", F.col("rank") + (F.col("all_t") + 1) / 2)
-    whole = pooled.groupBy(*key, "total").agg(
-        F.count(F.lit(1)).alias("kinds"), F.sum(F.pow(F.col("all_t").cast("double"), 3) - F.col("all_t")).alias("ties")
-    )
-    ranked = sums_before(f, [*key, grp], value, "t", "before", "n").join(pooled.drop("all_t", "total"), [*key, value])
-    mid = (at_index(value, F.floor((F.col("n") - 1) / 2)) + at_index(value, F.floor(F.col("n") / 2))) / 2
-    out = ranked.groupBy(*key, grp, "n").agg(F.sum(F.col("t") * F.col("rank")).alias("rank_sum"), mid.alias("median"))
-    return out.join(whole, key).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    f = positions(counted(df.filter(valid(F.col(value))), [*key, grp], value), key, [grp], value)
+    t, same = F.col("t").cast("double"), F.col("same").cast("double")
+    out = f.groupBy(*key, grp, "n").agg(
+        F.sum(t * (F.col("below") + (same + 1) / 2)).alias("rank_sum"), middle(value).alias("median"),
+        F.sum(t * (same * same - 1)).alias("_ties"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+    )
+    w = Window.partitionBy(*key)  # a row a group
+    whole = {"total": F.sum("n").over(w), "ties": F.sum("_ties").over(w), "k": F.count(F.lit(1)).over(w), "alike": F.min("_lo").over(w) == F.max("_hi").over(w)}
+    return out.withColumns(whole).select(*key, grp, "n", "rank_sum", "median", "total", "ties", "k", "alike")
 
 
 @F.pandas_udf(DoubleType())
@@ -51,9 +50,9 @@ def _z_p(z: pd.Series) -> pd.Series:
 def mann_whitney(ranks: DataFrame, key: list[str], p_values: bool = True) -> DataFrame:
     """Keys with two groups: U of the first by name, rank-biserial effect, medians, sizes, two-sided p."""
     two = ranks.filter("k = 2").withColumn("_g", F.struct("grp", "n", "rank_sum", "median"))
-    d = two.groupBy(*key, "total", "kinds", "ties").agg(F.min("_g").alias("a"), F.max("_g").alias("b"))
+    d = two.groupBy(*key, "total", "alike", "ties").agg(F.min("_g").alias("a"), F.max("_g").alias("b"))
     na, nb = F.col("a.n"), F.col("b.n")
-    same = F.col("kinds") <= 1
+    same = F.col("alike")
     u = F.col("a.rank_sum") - na * (na + 1) / 2
     out = d.select(
         *key, "ties", same.alias("_same"), F.col("a.grp").alias("group_a"), F.col("b.grp").alias("group_b"), na.alias("n_a"), nb.alias("n_b"),
@@ -67,9 +66,9 @@ def mann_whitney(ranks: DataFrame, key: list[str], p_values: bool = True) -> Dat
 
 def kruskal(ranks: DataFrame, key: list[str], p_values: bool = True, least: int = 3) -> DataFrame:
     """Keys with three groups or more: H with tie correction, epsilon squared, p."""
-    d = ranks.filter(F.col("k") >= least).groupBy(*key, "total", "kinds", "ties", "k").agg(F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s"))
+    d = ranks.filter(F.col("k") >= least).groupBy(*key, "total", "alike", "ties", "k").agg(F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s"))
     n, k = F.col("total").cast("double"), F.col("k")
-    same = F.col("kinds") <= 1
+    same = F.col("alike")
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (F.pow(n, F.lit(3.0)) - n))
     d = d.withColumn("h", F.when(same, F.lit(NAN)).otherwise(h))
     out = d.select(*key, "k", F.col("total").alias("n"), "h", F.when(same, 0.0).otherwise((F.col("h") - k + 1) / (n - k)).alias("epsilon_squared"))
@@ -83,17 +82,21 @@ def dunn(ranks: DataFrame, key: list[str], omnibus: DataFrame | None = None, alp
 
     With ``omnibus`` (the result of kruskal) only keys with p below ``alpha`` are compared.
     """
-    r = ranks.filter("k >= 3 AND kinds > 1")
+    r = ranks.filter("k >= 3 AND NOT alike")
     if omnibus is not None:
         r = r.join(omnibus.filter(F.col("p") < alpha).select(*key), key, "left_semi")
-    a = r.select(*key, F.col("grp").alias("group_a"), F.col("n").alias("n_a"), (F.col("rank_sum") / F.col("n")).alias("ra"), "total", "ties", "k")
-    b = r.select(*key, F.col("grp").alias("group_b"), F.col("n").alias("n_b"), (F.col("rank_sum") / F.col("n")).alias("rb"))
+    group = F.struct("grp", "n", (F.col("rank_sum") / F.col("n")).alias("r"))
+    every = r.groupBy(*key, "total", "ties", "k").agg(F.sort_array(F.collect_list(group)).alias("g"))  # as many as pairs are of
+    ab = every.withColumn("a", F.explode("g")).withColumn("b", F.explode("g")).filter("a.grp < b.grp")
     n = F.col("total").cast("double")
-    var = (n * (n + 1) / 12 - F.col("ties") / (12 * (n - 1))) * (1 / F.col("n_a") + 1 / F.col("n_b"))
-    out = a.join(b, key).filter("group_a < group_b").withColumn("z", (F.col("ra") - F.col("rb")) / F.sqrt(var))
+    var = (n * (n + 1) / 12 - F.col("ties") / (12 * (n - 1))) * (1 / F.col("a.n") + 1 / F.col("b.n"))
+    out = ab.select(
+        *key, F.col("a.grp").alias("group_a"), F.col("b.grp").alias("group_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), "k",
+        ((F.col("a.r") - F.col("b.r")) / F.sqrt(var)).alias("z"),
+    )
     if p_values:
         out = out.withColumn("p_bonferroni", F.least(F.lit(1.0), _z_p("z") * F.col("k") * (F.col("k") - 1) / 2))
-    return out.drop("ra", "rb", "total", "ties", "k")
+    return out.drop("k")
 
 
 def chi_squared(cells: DataFrame, key: list[str], p_values: bool = True) -> DataFrame:
@@ -133,7 +136,7 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p", to: str =
         down = Window.partitionBy(*family, ok).orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
         q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(down))
         return ranked.withColumn(to, F.when(ok, q)).drop("_rank", "_n")
-    part = F.when(ok, F.floor(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)) * 1024)).otherwise(-1).cast("int")  # runs of near values
+    part = F.when(ok, value_run(F.col(p))).otherwise(-1)  # runs of near values, finer towards 0
     keys = [*family, "_ok", "_part"]
     ranked = rank_in_runs(df.withColumns({"_ok": ok, "_part": part}), [*family, "_ok"], F.col("_part"), [F.col(p)], "_rank")
     sizes = df.withColumn("_ok", ok).groupBy(*family, "_ok").agg(F.count(F.lit(1)).alias("_n"))

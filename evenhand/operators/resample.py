@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenhand.functions.exprs import seeded
+from evenhand.functions.ranks import hash_rank
 from evenhand.functions.special import norm_cdf, norm_ppf
+from evenhand.sources.scratch import cut
 
 BLOCK = 500
 
@@ -146,45 +151,151 @@ COMBINE = {
     "gap": lambda m: F.max(m) - F.min(m),
     "ratio": lambda m: F.when(F.max(m) != 0, F.min(m) / F.max(m)).otherwise(F.lit(float("nan"))),
 }
+#: Row and replicate pairs that a task draws at once.
+DRAWN = 1 << 20
+#: Upper ends of the numbers 0, 1, ... of a Poisson(1) variable, to the last that a double tells from 1.
+_POISSON = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(18)])
 
 
-def _uniform(seed: int, *parts) -> Column:
-    return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mixing function: equal inputs give equal, near ones unrelated numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _poisson(u: Column) -> Column:
-    """The Poisson(1) number of a uniform one; the tail is cut below 1e-5."""
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        total += term
-        weight = weight + (u > total).cast("int")
-        term /= k + 1
-    return weight
+def permuted(numbers: np.ndarray, size: int, seeds: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """Places of row ``numbers`` (0 to size - 1) under one permutation of them for each seed: (seeds, numbers).
+
+    A Feistel network on a grid of about sqrt(size) by sqrt(size): each half is moved by a hash of the other, which can be
+    undone, so the network is a bijection of the grid, however many tasks hold the rows. What leaves the numbers goes
+    through it again until it is back among them.
+    """
+    a = max(1, math.isqrt(max(0, size - 1)) + 1)
+    b = -(-size // a)
+    with np.errstate(over="ignore"):
+        salt = [_mix(seeds.astype(np.uint64)[:, None] + np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(2 * rounds)]
+
+    def network(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        left, right = x % a, x // a
+        for k in range(rounds):
+            left = (left + (_mix(right.astype(np.uint64) ^ salt[2 * k][rows, 0]) % np.uint64(a)).astype(np.int64)) % a
+            right = (right + (_mix(left.astype(np.uint64) ^ salt[2 * k + 1][rows, 0]) % np.uint64(b)).astype(np.int64)) % b
+        return left + a * right
+
+    which = np.repeat(np.arange(len(seeds)), len(numbers))
+    out = network(np.tile(numbers, len(seeds)), which)
+    away = np.flatnonzero(out >= size)
+    while len(away):
+        out[away] = network(out[away], which[away])
+        away = away[out[away] >= size]
+    return out.reshape(len(seeds), len(numbers))
 
 
-def _metric(df: DataFrame, key: list[str], grp: str, value: Column, weight: Column, combine) -> DataFrame:
-    means = df.groupBy(*key, grp).agg((F.sum(weight * value) / F.sum(weight)).alias("m"))
-    return means.filter(F.col("m").isNotNull()).groupBy(*key).agg(combine(F.col("m")).alias("x"))
+def poisson_weights(rows: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of rows, by a hash of each and of the replicate: (seeds, rows)."""
+    u = _mix(_mix(seeds.astype(np.uint64))[:, None] ^ rows.astype(np.uint64)[None, :]) >> np.uint64(11)
+    return np.searchsorted(_POISSON, u * 2.0**-53, side="right")
 
 
-def general_bootstrap(df: DataFrame, key: list[str], grp: str, value: Column | str, row: str = "row_id", combine=COMBINE["gap"], n_boot: int = 200, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """BCa interval of a metric of group means; ``value`` may be any expression of a row, ``combine`` any aggregate of the means.
+def _partial(key: list[str], sums: list[str], reps: int, seed: int, shuffle: bool):
+    """Sums of each replicate over a task's rows: (key, _rep, _i, _n, sums); nothing is laid out by row and replicate outside numpy."""
 
-    Each row weighs Poisson(1) in each replicate, from a hash of its id, so only sums of groups are shuffled. The
-    acceleration comes from leaving out one hash block of rows at a time (100 blocks), the bias from the replicates.
-    Plain percentiles hold where either is not defined.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pd.DataFrame:
+            out = []
+            for name, got in held.items():
+                rep, at = np.nonzero(got[:, :, 0])
+                out.append(pd.DataFrame({**{k: [v] * len(rep) for k, v in zip(key, name, strict=True)}, "_rep": rep, "_i": at, "_n": got[rep, at, 0], **{s: got[rep, at, 1 + j] for j, s in enumerate(sums)}}))
+            held.clear()
+            return pd.concat(out) if out else pd.DataFrame(columns=[*key, "_rep", "_i", "_n", *sums])
+
+        for batch in batches:
+            for name, part in batch.groupby(key, dropna=False, sort=False):
+                ends = np.asarray(part["_ends"].iloc[0], np.int64)
+                groups = len(ends)
+                got = held.setdefault(name, np.zeros((reps, groups, 1 + len(sums))))
+                seeds = np.array([_seed(seed, *name, r) for r in range(reps)], np.uint64)
+                wide = max(1, DRAWN // len(part))
+                for lo in range(0, reps, wide):
+                    own = seeds[lo : lo + wide]
+                    if shuffle:
+                        group, weight = np.searchsorted(ends, permuted(part["_r"].to_numpy(np.int64), int(ends[-1]), own), side="right"), None
+                    else:
+                        group, weight = np.broadcast_to(part["_i"].to_numpy(np.int64), (len(own), len(part))), poisson_weights(part["_h"].to_numpy(np.int64), own)
+                    at = (group + groups * np.arange(len(own))[:, None]).ravel()
+                    for j in range(1 + len(sums)):
+                        x = np.ones(len(part)) if j == 0 else part[sums[j - 1]].to_numpy(np.float64)
+                        x = np.broadcast_to(x, group.shape) if weight is None else weight * x
+                        got[lo : lo + len(own), :, j] += np.bincount(at, x.ravel(), len(own) * groups).reshape(len(own), groups)
+            if sum(x.size for x in held.values()) > 4 * DRAWN:
+                yield rows()
+        yield rows()
+
+    return run
+
+
+def replicate_sums(df: DataFrame, key: list[str], grp: str, row: str, sums: dict[str, Column], reps: int, seed: int, shuffle: bool) -> DataFrame:
+    """(key, _rep, grp, n, sums): sums over the rows of each group, in each replicate.
+
+    With ``shuffle`` labels are permuted: a key's rows are numbered densely by a hash of their id, and a replicate is a
+    bijection of these numbers, so groups keep their sizes exactly, and rows are neither sorted nor shuffled again. Else
+    each row weighs Poisson(1). Draws depend on (seed, key, replicate, row) only, not on partitions.
+    """
+    rows = df.select(*key, F.col(grp).alias("_grp"), F.col(row).alias("_row"), *[c.cast("double").alias(k) for k, c in sums.items()])
+    rows = rows.filter(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in sums]) & F.col("_grp").isNotNull())
+    if shuffle:
+        rows = hash_rank(rows, key, seeded(str(seed), F.col("_row")), "_row", "_r").withColumn("_r", F.col("_r") - 1)
+    rows = cut(rows.withColumn("_h", F.xxhash64("_row")), "rows")
+    sizes = rows.groupBy(*key, "_grp").agg(F.count(F.lit(1)).alias("_c")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_grp", "_c"))).alias("_g"))  # a row a key
+    ends = F.transform("_g", lambda g, i: F.aggregate(F.slice("_g", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x["_c"]))
+    sizes = cut(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.transform("_g", lambda g: g["_grp"]).alias("_groups"), ends.alias("_ends")), "sizes")
+    on = lambda a: reduce(lambda x, y: x & y, [a[k].eqNullSafe(sizes[f"_k{i}"]) for i, k in enumerate(key)])
+    joined = rows.join(sizes, on(rows)).withColumn("_i", F.array_position("_groups", F.col("_grp")) - 1)
+    slim = joined.select(*[rows[k] for k in key], "_h", *(["_r"] if shuffle else []), "_i", "_ends", *sums)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+    schema = f"{fields}, _rep int, _i int, _n double, " + ", ".join(f"`{k}` double" for k in sums)
+    part = slim.mapInPandas(_partial(key, list(sums), reps, seed, shuffle), schema)
+    part = part.groupBy(*key, "_rep", "_i").agg(F.sum("_n").alias("n"), *[F.sum(k).alias(k) for k in sums])
+    return part.join(sizes, on(part)).select(*[part[k] for k in key], "_rep", F.col("_groups")[F.col("_i")].alias(grp), "n", *sums)
+
+
+def _described(value: Column | str | None, combine, sums: dict[str, Column] | None, metric: Column | None) -> tuple[dict[str, Column], Column]:
+    if sums is None:
+        sums, metric = {"x": F.col(value) if isinstance(value, str) else value}, combine(F.col("x") / F.col("n"))
+    return sums, metric
+
+
+def _observed(df: DataFrame, key: list[str], grp: str, sums: dict[str, Column], metric: Column, to: str) -> DataFrame:
+    rows = df.select(*key, grp, *[c.cast("double").alias(k) for k, c in sums.items()]).filter(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in sums]) & F.col(grp).isNotNull())
+    return rows.groupBy(*key, grp).agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in sums]).groupBy(*key).agg(metric.alias(to))
+
+
+def general_bootstrap(
+    df: DataFrame, key: list[str], grp: str, value: Column | str | None = None, row: str = "row_id", combine=COMBINE["gap"], n_boot: int = 200, seed: int = 42,
+    alpha: float = 0.05, sums: dict[str, Column] | None = None, metric: Column | None = None,
+) -> DataFrame:
+    """BCa interval of a metric of groups: (key, point, ci_lo, ci_hi, method, n_boot).
+
+    By default the metric is ``combine`` of the groups' means of ``value``. In general it is ``metric``, an aggregate over a
+    row a group, with the group's ``n`` and ``sums`` of any expressions of a row: moments, products, indicators. Rows weigh
+    Poisson(1) in each replicate (see ``replicate_sums``). The acceleration comes from leaving out one hash block of rows at
+    a time (100 blocks), the bias from the replicates. Plain percentiles hold where either is not defined.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    rows = df.filter(value.isNotNull()).withColumn("_x", value)
-    x, one = F.col("_x"), F.lit(1)
-    point = _metric(rows, key, grp, x, one, combine).withColumnRenamed("x", "point")
-    reps = rows.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    reps = _metric(reps, [*key, "_rep"], grp, x, _poisson(_uniform(seed, F.col(row), F.col("_rep"))), combine)
-    sums = rows.groupBy(*key, grp, F.pmod(F.xxhash64(F.lit(seed), row), F.lit(100)).alias("_block")).agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    every = sums.groupBy(*key, grp).agg(F.sum("_s").alias("_all_s"), F.sum("_n").alias("_all_n"))
-    blocks = every.select(*key, grp, "_all_s", "_all_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))).alias("_block")).join(sums, [*key, grp, "_block"], "left")
-    left = blocks.withColumn("_m", (F.col("_all_s") - F.coalesce("_s", F.lit(0.0))) / (F.col("_all_n") - F.coalesce("_n", F.lit(0))))
-    left = left.filter("_m IS NOT NULL").groupBy(*key, "_block").agg(combine(F.col("_m")).alias("x"))
+    sums, metric = _described(value, combine, sums, metric)
+    point = _observed(df, key, grp, sums, metric, "point")
+    reps = replicate_sums(df, key, grp, row, sums, n_boot, seed, False).groupBy(*key, "_rep").agg(metric.alias("x"))
+    rows = df.select(*key, grp, row, *[c.cast("double").alias(k) for k, c in sums.items()]).filter(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in sums]))
+    block = F.pmod(F.xxhash64(F.lit(seed), row), F.lit(100)).alias("_block")
+    own = cut(rows.groupBy(*key, grp, block).agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in sums]), "blocks")
+    names = ["n", *sums]
+    every = own.groupBy(*key, grp).agg(*[F.sum(c).alias(f"_all_{c}") for c in names])
+    blocks = every.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long")))).join(own, [*key, grp, "_block"], "left")
+    left = blocks.select(*key, grp, "_block", *[(F.col(f"_all_{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in names])
+    left = left.filter("n > 0").groupBy(*key, "_block").agg(metric.alias("x"))
     both = reps.groupBy(*key).agg(F.collect_list("x").alias("reps")).join(left.groupBy(*key).agg(F.collect_list("x").alias("jack")), key).join(point, key)  # n_boot and 100 numbers a key
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in both.select(*key).schema]
 
@@ -196,28 +307,26 @@ def general_bootstrap(df: DataFrame, key: list[str], grp: str, value: Column | s
     return both.mapInPandas(ends, ", ".join([*fields, "point double, ci_lo double, ci_hi double, method string, n_boot long"]))
 
 
-def general_permutation(df: DataFrame, key: list[str], grp: str, value: Column | str, row: str = "row_id", combine=COMBINE["gap"], n_perm: int = 200, seed: int = 42) -> DataFrame:
-    """Permutation test of a metric of group means: (key, observed, p, null_mean, null_std, n_perm).
+def general_permutation(
+    df: DataFrame, key: list[str], grp: str, value: Column | str | None = None, row: str = "row_id", combine=COMBINE["gap"], n_perm: int = 200, seed: int = 42,
+    sums: dict[str, Column] | None = None, metric: Column | None = None,
+) -> DataFrame:
+    """Permutation test of a metric of groups: (key, observed, p, null_mean, null_std, n_perm).
 
-    In each replicate rows are dealt to the groups by a hash of their id, in proportion to the groups' sizes. Sizes
-    vary around the given ones by chance; sums of groups are all that is shuffled.
+    The metric is given as for ``general_bootstrap``. Group sizes are exactly the given ones in every replicate. A NaN
+    replicate counts as not far, and stays in the denominator.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    rows = df.filter(value.isNotNull()).withColumn("_x", value)
-    observed = _metric(rows, key, grp, F.col("_x"), F.lit(1), combine).withColumnRenamed("x", "observed")
-    sizes = rows.groupBy(*key, grp).agg(F.count(F.lit(1)).alias("_n")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(grp, "_n"))).alias("_g"), F.sum("_n").alias("_all"))  # a row a key
-    reps = rows.select(*key, row, "_x").join(sizes, key).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    at = _uniform(seed, F.col(row), F.col("_rep")) * F.col("_all")
-    start = F.struct(F.lit(0).cast("long").alias("past"), F.lit(None).cast(rows.schema[grp].dataType).alias("g"))
-    dealt = F.aggregate("_g", start, lambda s, g: F.struct((s["past"] + g["_n"]).alias("past"), F.coalesce(s["g"], F.when(at < s["past"] + g["_n"], g[grp])).alias("g")), lambda s: s["g"])
-    null = _metric(reps.withColumn("_dealt", dealt), [*key, "_rep"], "_dealt", F.col("_x"), F.lit(1), combine)
-    mean = null.groupBy(*key).agg(F.avg("x").alias("null_mean"), F.stddev_pop("x").alias("null_std"))
-    far = (F.abs(F.col("x") - F.col("null_mean")) >= F.abs(F.col("observed") - F.col("null_mean"))).cast("double")
-    return null.join(mean, key).join(observed, key).groupBy(*key, "observed", "null_mean", "null_std").agg(F.avg(far).alias("p"), F.count(F.lit(1)).alias("n_perm"))
+    sums, metric = _described(value, combine, sums, metric)
+    observed = _observed(df, key, grp, sums, metric, "observed")
+    null = cut(replicate_sums(df, key, grp, row, sums, n_perm, seed, True).groupBy(*key, "_rep").agg(metric.alias("x")), "null")  # n_perm rows a key
+    some = F.when(~F.isnan("x"), F.col("x"))
+    mean = null.groupBy(*key).agg(F.avg(some).alias("null_mean"), F.stddev_pop(some).alias("null_std"))
+    far = F.abs(F.col("x") - F.col("null_mean")) >= F.abs(F.col("observed") - F.col("null_mean"))
+    both = null.join(mean, key).join(observed, key)
+    return both.groupBy(*key, "observed", "null_mean", "null_std").agg(F.avg(F.when(~F.isnan("x") & far, 1.0).otherwise(0.0)).alias("p"), F.count(F.lit(1)).alias("n_perm"))
 
 
 def poisson_bootstrap(df: DataFrame, key: list[str], grp: str, value: str, n_boot: int = 200, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the gap of group means, by Poisson(1) weights from a hash of ``row_id``."""
-    rows = df.filter(F.col(value).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    gap = _metric(rows, [*key, "rep"], grp, F.col(value), _poisson(_uniform(seed, F.col("row_id"), F.col("rep"))), COMBINE["gap"]).withColumnRenamed("x", "gap")
+    gap = replicate_sums(df, key, grp, "row_id", {"x": F.col(value)}, n_boot, seed, False).groupBy(*key, "_rep").agg(COMBINE["gap"](F.col("x") / F.col("n")).alias("gap"))
     return gap.groupBy(*key).agg(F.percentile("gap", alpha / 2).alias("ci_lo"), F.percentile("gap", 1 - alpha / 2).alias("ci_hi"), F.count("gap").alias("n_boot"))

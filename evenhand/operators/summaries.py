@@ -6,19 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.exprs import NAN, nearest_index
-from evenhand.functions.ranks import sums_before, value_run
+from evenhand.functions.ranks import counted, positions, value_run
 
 
 def frequencies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values with their counts and how many smaller ones there are, per key; nulls are left out."""
-    f = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("t"))
-    return sums_before(f, keys, value, "t", "before", "n")
+    """Distinct values with their counts ``t``, how many smaller ones there are, and the key's ``n`` and ``mean``; nulls are left out."""
+    return positions(counted(df.filter(F.col(value).isNotNull()), keys, value), keys, [], value)
 
 
 def medians(df: DataFrame, keys: list[str], value: str, to: str = "median") -> DataFrame:
     """(keys, ``to``): the mean of the two middle values, from a frequency table."""
-    n = F.col("n")
-    return frequencies(df, keys, value).groupBy(*keys).agg(((at_index(value, F.floor((n - 1) / 2)) + at_index(value, F.floor(n / 2))) / 2).alias(to))
+    return frequencies(df, keys, value).groupBy(*keys).agg(middle(value).alias(to))
 
 
 def at_index(value: str, index: Column) -> Column:
@@ -26,22 +24,29 @@ def at_index(value: str, index: Column) -> Column:
     return F.min(F.when(F.col("before") + F.col("t") > index, F.col(value)))
 
 
-def group_summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """n, mean, median, std, q25, q75, iqr per key. Nulls are left out; NaN spreads through mean and std; quartiles are nearest-rank."""
-    f = frequencies(df, keys, value)
+def middle(value: str) -> Column:
+    """The median of the sorted rows that a frequency table with ``before``, ``t`` and ``n`` stands for."""
     n = F.col("n")
-    odd = F.isnan(value) | (F.abs(value) == float("inf"))
-    out = f.groupBy(*keys, "n").agg(
-        F.sum(F.col(value) * F.col("t")).alias("s"),
-        F.max(odd).alias("odd"),
-        ((at_index(value, F.floor((n - 1) / 2)) + at_index(value, F.floor(n / 2))) / 2).alias("median"),
+    return (at_index(value, F.floor((n - 1) / 2)) + at_index(value, F.floor(n / 2))) / 2
+
+
+def group_summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """n, mean, median, std, q25, q75, iqr per key, from one frequency table.
+
+    Nulls are left out; NaN spreads through mean and std; quartiles are nearest-rank; the std of one value is null.
+    """
+    n, x = F.col("n"), F.col(value)
+    off = x - F.col("mean")
+    out = frequencies(df, keys, value).groupBy(*keys, "n").agg(
+        F.first("mean").alias("mean"),
+        F.max(F.isnan(x) | (F.abs(x) == float("inf"))).alias("odd"),
+        F.sum(off * off * F.col("t")).alias("squares"),
+        middle(value).alias("median"),
         at_index(value, nearest_index(n, 0.25)).alias("q25"),
         at_index(value, nearest_index(n, 0.75)).alias("q75"),
-    )
-    spread = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.stddev_samp(value).alias("sd"))
-    out = out.join(spread, keys)
-    std = F.when(F.col("odd"), F.lit(NAN)).otherwise(F.col("sd"))
-    return out.select(*keys, "n", (F.col("s") / n).alias("mean"), "median", std.alias("std"), "q25", "q75", (F.col("q75") - F.col("q25")).alias("iqr"))
+    )
+    std = F.when(F.col("odd"), F.lit(NAN)).when(n > 1, F.sqrt(F.col("squares") / (n - 1)))
+    return out.select(*keys, "n", "mean", "median", std.alias("std"), "q25", "q75", (F.col("q75") - F.col("q25")).alias("iqr"))
 
 
 def counts(df: DataFrame, keys: list[str]) -> DataFrame:

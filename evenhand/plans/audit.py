@@ -11,15 +11,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.exprs import valid
-from evenhand.functions.ranks import sums_before
+from evenhand.functions.ranks import positions
 
 from evenhand.operators import grouping as g
 from evenhand.operators import hypothesis as h
 from evenhand.operators import metrics as m
 from evenhand.operators import regress, resample, summaries
+from evenhand.sources.scratch import cut
 from evenhand.sources.tables import materialize, missing_paths
 
 
+ATTRIBUTES = ["sex", "race", "ethnicity", "age_at_imaging"]
+
+
 def long_table(scores: DataFrame, exams: DataFrame, case: str = "series_submitter_id", ruler: str = "ruler") -> DataFrame:
     """(ruler, grouping, grp, score, value): scores meet attributes, then groupings and scores are laid out in rows.
 
@@ -27,15 +31,12 @@ def long_table(scores: DataFrame, exams: DataFrame, case: str = "series_submitte
     """
     wide = m.with_macro(scores)
     names = m.score_columns(wide)
-    joined = wide.select(case, F.col(ruler).alias("ruler"), *names).join(exams, case)
+    joined = cut(wide.select(case, F.col(ruler).alias("ruler"), *names).join(exams.select(case, *ATTRIBUTES), case).drop(case), "joined")
     grouped = g.explode_groups(g.with_median_age(joined, ["ruler"]))
     grouped = g.comparable(grouped.select("ruler", "grouping", "grp", *names), ["ruler", "grouping"])
     return m.to_long(grouped, names)
 
 
-ATTRIBUTES = ["sex", "race", "ethnicity", "age_at_imaging"]
-
-
 def rates_of(scores: DataFrame, exams: DataFrame, rules: list[tuple[str, float, bool]], case: str = "series_submitter_id", ruler: str = "ruler") -> DataFrame:
     """``metrics.rates`` of the long table, without it: rows are counted by their attributes first, in one pass over all scores.
 
@@ -50,11 +51,10 @@ def rates_of(scores: DataFrame, exams: DataFrame, rules: list[tuple[str, float,
         ok = valid(value)
         good = value > threshold if higher else value < threshold
         counts += [F.count(F.when(ok, 1)).alias(f"_v{i}"), F.count(F.when(ok & good, 1)).alias(f"_s{i}")]
-    cells = joined.groupBy("ruler", *ATTRIBUTES).agg(F.count(F.lit(1)).alias("t"), *counts)
+    cells = cut(joined.groupBy("ruler", *ATTRIBUTES).agg(F.count(F.lit(1)).alias("t"), *counts), "cells")
     ages = cells.filter("age_at_imaging IS NOT NULL").groupBy("ruler", F.col("age_at_imaging").alias("age")).agg(F.sum("t").alias("t"))
-    ages = sums_before(ages, ["ruler"], "age", "t", "before", "n")
-    middle = [summaries.at_index("age", F.floor((F.col("n") - d) / 2)) for d in (1, 0)]
-    cells = cells.join(ages.groupBy("ruler").agg(((middle[0] + middle[1]) / 2).alias("age_median")), "ruler", "left")
+    ages = positions(ages, ["ruler"], [], "age").groupBy("ruler").agg(summaries.middle("age").alias("age_median"))
+    cells = cells.join(ages, "ruler", "left")
     names = [f"_{x}{i}" for i in range(len(rules)) for x in "vs"]
     groups = g.explode_groups(cells).groupBy("ruler", "grouping", "grp").agg(*[F.sum(c).alias(c) for c in names])
     groups = g.comparable(groups, ["ruler", "grouping"])

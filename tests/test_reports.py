@@ -1,5 +1,6 @@
 """Jobs and reports: audits by stage, data sets, sinks, general resampling, runs of values."""
 
+import itertools
 import json
 import math
 
@@ -8,24 +9,47 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenhand.functions import ranks
-from evenhand.operators import quality, resample, splits
+from evenhand.operators import hypothesis, quality, resample, splits
 from evenhand.operators import summaries as s
 from evenhand.plans import audit, datasets, reports, volumes
 from evenhand.sources import tables
 from evenhand.sources.fixtures import view
 
 
-def test_sums_before_in_runs_are_those_of_a_plain_order(spark):
-    rng = np.random.default_rng(1)
-    values = sorted({float(x) for x in rng.normal(size=300)} | {0.0, -1.5, float("inf"), -float("inf"), 1e300, -1e-300, 2.0})
-    rows = [("k", v, int(n)) for v, n in zip(values, rng.integers(1, 9, len(values)), strict=True)]
-    got = {r["v"]: (r["b"], r["all"]) for r in ranks.sums_before(spark.createDataFrame(rows, "k string, v double, n long"), ["k"], "v", "n", "b", "all").collect()}
-    past = 0
-    for _, v, n in rows:
-        assert got[v] == (past, sum(r[2] for r in rows))
-        past += n
-    runs = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", ranks.value_run(F.col("v")).alias("r")).orderBy("v").select("r").collect()]
-    assert runs == sorted(runs)
+@pytest.mark.parametrize("small_rows", [1 << 20, 0])  # a key a task, and run by run
+def test_positions_are_those_of_a_plain_order(spark, small_rows):
+    rng = np.random.default_rng(0)
+    values = [*rng.normal(size=60).round(1).tolist(), 1e300, -1e300, 1e-300, 0.0, -0.0, float("inf"), -float("inf"), 5.0, 5.0000001]
+    rows = [(k, g, float(v)) for k in ("k", None) for g in ("a", "b", "c") for v in rng.choice(values, 80)]
+    df = spark.createDataFrame(rows, "k string, g string, v double")
+    f = ranks.counted(df, ["k", "g"], "v")
+    got = ranks.positions(f, ["k"], ["g"], "v", small_rows=small_rows).collect()
+    assert sum(r["t"] for r in got) == len(rows)
+    for r in got:
+        pool = [v for k, _, v in rows if k == r["k"]]
+        own = [v for k, g, v in rows if (k, g) == (r["k"], r["g"])]
+        assert (r["below"], r["same"]) == (sum(v < r["v"] for v in pool), sum(v == r["v"] for v in pool))
+        assert (r["before"], r["n"]) == (sum(v < r["v"] for v in own), len(own))
+
+
+@pytest.mark.parametrize("small_rows", [1 << 20, 0])
+def test_rank_family_and_summaries_in_runs(spark, monkeypatch, small_rows):
+    monkeypatch.setattr(ranks, "SMALL_ROWS", small_rows)
+    rng = np.random.default_rng(5)
+    rows = [("k", g, float(v)) for g, m in (("a", 0), ("b", 1), ("c", 1)) for v in rng.normal(m, 1, 70).round(1)]
+    df = spark.createDataFrame(rows, "key string, grp string, value double")
+    pool = sorted(v for *_, v in rows)
+    mid = {v: np.mean([i + 1 for i, x in enumerate(pool) if x == v]) for v in set(pool)}
+    for r in hypothesis.rank_sums(df, ["key"]).collect():
+        own = [v for _, g, v in rows if g == r["grp"]]
+        assert abs(r["rank_sum"] - sum(mid[v] for v in own)) < 1e-9 and abs(r["median"] - np.median(own)) < 1e-12
+        assert r["k"] == 3 and r["total"] == 210 and r["ties"] == sum(pool.count(v) ** 3 - pool.count(v) for v in set(pool))
+    for r in s.group_summary(df, ["grp"]).collect():
+        own = sorted(v for _, g, v in rows if g == r["grp"])
+        want = (len(own), np.mean(own), np.median(own), np.std(own, ddof=1), own[round(69 * 0.25)], own[round(69 * 0.75)])
+        assert np.allclose([r[c] for c in ("n", "mean", "median", "std", "q25", "q75")], want)
+    one = s.group_summary(spark.createDataFrame([("x", 2.0), ("y", None)], "grp string, value double"), ["grp"]).collect()
+    assert [tuple(r) for r in one] == [("x", 1, 2.0, 2.0, None, 2.0, 2.0, 0.0)]
 
 
 def test_large_families_are_adjusted_alike(spark):
@@ -115,6 +139,52 @@ def test_segmentation_job_of_a_small_grid(spark):
         quality.require_rows(table.limit(0))
 
 
+def test_permutations_are_bijections():
+    seeds = np.arange(50, dtype=np.uint64)
+    for n in (1, 2, 3, 8, 9, 10, 97, 1000):
+        got = resample.permuted(np.arange(n), n, seeds)
+        assert (np.sort(got, axis=1) == np.arange(n)).all()
+        parts = np.concatenate([resample.permuted(np.arange(n)[i::3], n, seeds) for i in range(3) if i < n], axis=1)
+        assert (np.sort(parts, axis=1) == np.arange(n)).all()  # rows of different tasks never meet
+    many = resample.permuted(np.arange(8), 8, np.arange(40_000, dtype=np.uint64))
+    assert len({tuple(x) for x in many.tolist()}) > 20_000 * 0.9  # of 40,320 permutations
+    assert abs(np.bincount(many[:, 0], minlength=8) / 40_000 - 1 / 8).max() < 0.01
+
+
+def test_poisson_weights_are_poisson():
+    w = resample.poisson_weights(np.arange(2000), np.arange(50, dtype=np.uint64))
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03 and w.max() < 12
+
+
+def test_permutation_keeps_group_sizes_and_agrees_with_all_permutations(spark):
+    values = {"a": [1.0, 2.5, 3.0], "b": [2.0, 4.0, 5.5, 6.0, 7.0]}
+    rows = [(i, k, g, v + (k == "l") * 0.1 * i) for k in "kl" for i, (g, v) in enumerate((g, v) for g, vs in values.items() for v in vs)]
+    df = spark.createDataFrame(rows, "row_id long, key string, grp string, value double").repartition(3)
+    sums = resample.replicate_sums(df, ["key"], "grp", "row_id", {"x": F.col("value")}, 300, 1, True).collect()
+    assert len(sums) == 2 * 300 * 2 and all(r["n"] == len(values[r["grp"]]) for r in sums)
+    got = {r["key"]: r for r in resample.general_permutation(df, ["key"], "grp", "value", n_perm=4000).collect()}
+    for k in "kl":
+        own = [v for _, key, _, v in rows if key == k]
+        null = [abs(np.mean(c) - (sum(own) - sum(c)) / 5) for c in itertools.combinations(own, 3)]
+        seen = abs(np.mean(own[:3]) - np.mean(own[3:]))
+        want = np.mean(np.abs(np.array(null) - np.mean(null)) >= abs(seen - np.mean(null)) - 1e-12)
+        assert abs(got[k]["observed"] - seen) < 1e-9
+        assert abs(got[k]["p"] - want) < 4 * math.sqrt(0.25 / 4000) and abs(got[k]["null_mean"] - np.mean(null)) < 0.1
+
+
+def test_resampling_takes_any_metric_of_group_sums(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "k", "ab"[i % 2], float(x), float(2 * x + rng.normal() * (1 + i % 2))) for i, x in enumerate(rng.normal(size=1200))]
+    df = spark.createDataFrame(rows, "row_id long, key string, grp string, x double, y double")
+    n, x, y, xy, xx, yy = (F.col(c) for c in ("n", "x", "y", "xy", "xx", "yy"))
+    sums = {"x": x, "y": y, "xy": x * y, "xx": x * x, "yy": y * y}
+    r = (xy / n - x / n * y / n) / F.sqrt((xx / n - x / n * x / n) * (yy / n - y / n * y / n))
+    got = resample.general_bootstrap(df, ["key"], "grp", sums=sums, metric=F.max(r) - F.min(r), n_boot=400).first()
+    c = [np.corrcoef([p[3] for p in rows if p[2] == g], [p[4] for p in rows if p[2] == g])[0, 1] for g in "ab"]
+    assert abs(got["point"] - abs(c[0] - c[1])) < 1e-9 and got["ci_lo"] < got["point"] < got["ci_hi"]
+    assert resample.general_permutation(df, ["key"], "grp", sums=sums, metric=F.max(r) - F.min(r)).first()["p"] < 0.02
+
+
 def test_general_resampling_agrees_with_theory(spark):
     rng = np.random.default_rng(3)
     rows = [(i, "a" if i % 2 else "b", float(v + (i % 2))) for i, v in enumerate(rng.normal(size=2000))]
