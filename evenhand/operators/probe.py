@@ -14,12 +14,14 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.special import t_ppf
 from evenhand.operators.hypothesis import auroc, balanced_accuracy
+from evenhand.operators.ordered import holm, ks_two_sample
 from evenhand.operators.splits import folds
+from evenhand.sources.scratch import cut
 
 #: Classes of an attribute at most, and numbers of the features that make a partition.
 MOST_CLASSES, VALUES_A_PART = 1000, 1 << 22
@@ -43,6 +45,31 @@ def pca_2d(df: DataFrame, key: str) -> tuple[DataFrame, list[float]]:
     return model.transform(df).select(key, v[0].alias("pc1"), v[1].alias("pc2")), [float(x) for x in model.stages[1].explainedVariance]
 
 
+def components(df: DataFrame, key: str, k: int, keep: list[str] | None = None) -> DataFrame:
+    """(key, kept columns, component, value): the first k principal components of centred vectors, from 1; signs are arbitrary."""
+    model = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="_c", withMean=True, withStd=False), PCA(k=k, inputCol="_c", outputCol="_p")]).fit(df)
+    rows = model.transform(df).select(key, *(keep or []), F.posexplode(vector_to_array("_p")).alias("_i", "value"))
+    return rows.select(key, *(keep or []), (F.col("_i") + 1).alias("component"), "value")
+
+
+def component_tests(df: DataFrame, key: str, attribute: str, k: int = 10) -> DataFrame:
+    """Kolmogorov-Smirnov tests of the first k components between each pair of groups of an attribute, adjusted over all of them.
+
+    (pair_a, pair_b, component, n_a, n_b, d, p, p_holm, p_bonferroni). Groups are few (see MOST_CLASSES); a component's
+    rows are laid out once for each pair that their group is in.
+    """
+    rows = df.filter(F.col(attribute).isNotNull()).withColumn("_y", F.col(attribute).cast("string"))
+    names = [r[0] for r in rows.select("_y").distinct().orderBy("_y").limit(MOST_CLASSES + 1).collect()]
+    if len(names) > MOST_CLASSES:
+        raise ValueError(f"{attribute} has more than {MOST_CLASSES} values")
+    long = cut(components(rows, key, k, ["_y"]), "components")
+    others = F.filter(F.array(*[F.lit(n) for n in names]), lambda o: o != F.col("_y"))
+    pairs = long.withColumn("_o", F.explode(others)).select(F.least("_y", "_o").alias("pair_a"), F.greatest("_y", "_o").alias("pair_b"), "component", F.col("_y").alias("grp"), "value")
+    tests = cut(ks_two_sample(pairs, ["pair_a", "pair_b", "component"]), "tests")
+    tests = holm(tests, [])
+    return tests.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p") * F.count(F.lit(1)).over(Window.partitionBy())))  # a row a test
+
+
 def corrected_interval(scores: list[float], level: float = 0.95) -> tuple[float, float, float]:
     """Mean of k fold scores, and half widths of its interval: corrected for overlapping training sets, and naive."""
     k = len(scores)

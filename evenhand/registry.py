@@ -631,4 +631,4 @@ def captured_ids(spark, d):
     return table(spark, d, "pages").filter(n != "").select("page_id", F.concat(F.lit("page_"), n).alias("case_id"))
 
 
-from evenhand import registry_reports  # noqa: E402, F401  its queries join these
+from evenhand import registry_reports, registry_stats  # noqa: E402, F401  their queries join these
