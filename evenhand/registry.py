@@ -432,9 +432,10 @@ def case_scores(spark, d):
     return rounded(v.case_scores(view(spark, d, "voxels"), view(spark, d, "volumes")))
 
 
-@query("SELECT case_id, CASE ref WHEN 1 THEN 'vb' ELSE 'disc' END AS label, count(*) AS n_voxels, round(count(*) * 1.0::DOUBLE, 6) AS volume_mm3 FROM voxels WHERE ref IN (1, 2) GROUP BY ALL")
+@query("""SELECT v.case_id, CASE ref WHEN 1 THEN 'vb' ELSE 'disc' END AS label, count(*) AS n_voxels, round(count(*) * any_value(sx * sy * sz), 6) AS volume_mm3
+ FROM voxels v JOIN grids ON v.case_id = grids.case_id WHERE ref IN (1, 2) GROUP BY ALL""")
 def label_volumes(spark, d):
-    return rounded(v.label_volumes(view(spark, d, "voxels"), view(spark, d, "volumes")))
+    return rounded(v.label_volumes(view(spark, d, "voxels"), view(spark, d, "grids")))
 
 
 _CC = """inside AS (SELECT case_id, ref AS v, x * 10000 + y * 100 + z AS c FROM voxels WHERE ref IN (1, 2)),

@@ -9,8 +9,11 @@ from evenhand.operators import metrics as m
 from evenhand.operators import ordered as od
 from evenhand.operators import probe as pr
 from evenhand.operators import resample
-from evenhand.registry import _LONG, _long, _vectors, query, rounded
-from evenhand.sources.fixtures import table
+from evenhand.operators import voxels as v
+from evenhand.plans import evaluation as ev
+from evenhand.registry import _HD, _LONG, _long, _vectors, query, rounded
+from evenhand.sources.fixtures import table, view
+from evenhand.sources.scratch import scratch
 
 # General metrics ------------------------------------------------------------------------------------------------------
 
@@ -119,3 +122,60 @@ def auroc_permutation(spark, d):
 def holm(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("family"), (F.col("n_chars") / 20001.0).alias("p"))
     return rounded(od.holm(rows, ["family"]).select("doc_id", "family", "p_holm"))
+
+
+# Masks ----------------------------------------------------------------------------------------------------------------
+
+
+def _decode(content: bytes):
+    """The query's mask files: a line of 'grid' with shape and spacing, and a line for each labelled voxel, in any order."""
+    import numpy as np
+
+    lines = [line.split() for line in content.decode().splitlines()]
+    (head,) = [x[1:] for x in lines if x[0] == "grid"]
+    grid = np.zeros([int(n) for n in head[:3]], np.uint8)
+    at = np.array([x for x in lines if x[0] != "grid"], np.int64).reshape(-1, 4)
+    grid[tuple(at[:, :3].T)] = at[:, 3]
+    return grid, [float(s) for s in head[3:]]
+
+
+def _mask_files(spark, d) -> str:
+    """A file for each case and side, written from the voxels by Spark; some are missing, broken, or of another shape."""
+    vox, case = view(spark, d, "voxels"), F.col("case_id")
+    rows = vox.select("case_id", F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.col("ref").alias("v")), F.struct(F.lit("pred").alias("side"), F.col("pred").alias("v")))).alias("s"), "x", "y", "z")
+    rows = rows.filter("s.v > 0").select("s.side", "case_id", F.concat_ws(" ", "x", "y", "z", "s.v").alias("line"))
+    heads = table(spark, d, "supplier").select(F.col("s_suppkey").alias("case_id"), F.explode(F.array(F.lit("ref"), F.lit("pred"))).alias("side"))
+    wide = F.when((F.col("side") == "pred") & (case % 7 == 2), 52).otherwise(51)
+    heads = heads.select("side", "case_id", F.concat_ws(" ", F.lit("grid"), wide, F.lit(20), F.lit(8), F.lit(0.5), F.lit(0.5), F.lit(4.0)).alias("line"))
+    lines = heads.unionByName(rows).filter(~((F.col("side") == "pred") & (case % 11 == 3)))
+    lines = lines.withColumn("line", F.when((F.col("side") == "ref") & (case % 13 == 5), "garbage").otherwise(F.col("line")))
+    path = scratch(spark, "masks")
+    lines.repartition("case_id").write.partitionBy("side", "case_id").text(path)
+    return path
+
+
+_STATUS = "CASE WHEN s_suppkey % 11 = 3 THEN 'missing' WHEN s_suppkey % 13 = 5 THEN 'unreadable' WHEN s_suppkey % 7 = 2 THEN 'shape_mismatch' ELSE 'ok' END"
+_HD_OK = _HD.replace("FROM voxels", "FROM vox")
+
+
+@query(f"""WITH st AS (SELECT CAST(s_suppkey AS VARCHAR) AS case_id, s_suppkey AS k, {_STATUS} AS status, CASE WHEN s_suppkey % 11 = 3 THEN 'prediction' ELSE '' END AS missing FROM supplier),
+ vox AS (SELECT st.case_id, a.x, a.y, a.z, a.ref, a.pred FROM voxels a JOIN st ON a.case_id = st.k WHERE status = 'ok'), {_HD_OK},
+ dc AS (SELECT case_id, label, CASE WHEN ref_n + pred_n = 0 THEN 'NaN'::DOUBLE ELSE 2.0::DOUBLE * tp / (ref_n + pred_n) END AS s FROM cnt),
+ lo AS (SELECT label, avg(ref_n / 8160.0::DOUBLE) AS r FROM cnt GROUP BY label),
+ kp AS (SELECT cnt.*, (1 - r) * ref_n / (r * (8160 - ref_n)) AS kap FROM cnt JOIN lo ON cnt.label = lo.label),
+ nd AS (SELECT case_id, label, CASE WHEN tp = 0 AND ref_n = 0 THEN 'NaN'::DOUBLE WHEN tp = 0 OR ref_n = 0 THEN 0.0 ELSE 2.0::DOUBLE * tp / (kap * fp + 2.0::DOUBLE * tp + fn) END AS s FROM kp),
+ u AS (SELECT case_id, 'dice_' || label AS name, s FROM dc UNION ALL SELECT case_id, 'hd95_' || label, hd95 FROM hd UNION ALL SELECT case_id, 'ndsc_' || label, s FROM nd)
+ SELECT st.case_id, st.status, st.missing, """ + ", ".join(f"round(max(s) FILTER (name = '{x}_{y}'), 6) AS {x}_{y}" for x in ("dice", "hd95", "ndsc") for y in ("vb", "disc")) + """
+ FROM st LEFT JOIN u ON st.case_id = u.case_id GROUP BY ALL""")
+def mask_evaluation(spark, d):
+    """From mask files to scores and statuses in one job: the files are written first, and some of them are bad."""
+    path = _mask_files(spark, d)
+    sides = [ev.read_masks(spark, f"{path}/side={side}", _decode, r"/case_id=([0-9]+)/[^/]+$", "part-*") for side in ("ref", "pred")]
+    cases = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("case_id"))
+    return rounded(ev.evaluate_masks(cases, *sides, weighted=False).drop("problem"))
+
+
+@query()
+def surface_distance(spark, d):
+    """Surface distances weighted by area."""
+    return rounded(v.hd95(view(spark, d, "voxels"), view(spark, d, "volumes"), weighted=True))

@@ -20,9 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, what: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: what follows scans this table, however often it names it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenhand.functions import ranks, special
-from evenhand.operators import ordered, resample
+from evenhand.operators import ordered, resample, surfaces
+from evenhand.plans import evaluation
 
 
 def test_middle_places_are_those_of_resamples():
@@ -105,3 +106,112 @@ def test_auroc_permutation_in_many_runs(spark, monkeypatch):
     pos = sum(r[2] for r in rows)
     assert got["n_perm"] == 300 and abs(got["null_mean"] - 0.5) < 0.005
     assert abs(got["null_std"] / np.sqrt(3001 / (12 * pos * (3000 - pos))) - 1) < 0.15  # the rank-sum's variance
+
+
+# Surfaces ---------------------------------------------------------------------------------------------------------------
+
+
+def test_distance_transform_is_exact():
+    rng = np.random.default_rng(1)
+    for shape, spacing, share in (((7, 5, 6), (0.5, 1.0, 4.0), 0.05), ((1, 9, 3), (1.0, 0.3, 2.0), 0.2), ((12, 12, 12), (1.0, 1.0, 1.0), 0.01), ((4, 4, 4), (1.0, 1.0, 1.0), 0.0)):
+        sites = rng.random(shape) < share
+        got = surfaces.distance_squared(sites, spacing)
+        at = np.argwhere(sites) * spacing
+        for p in np.ndindex(*shape):
+            want = ((np.array(p) * spacing - at) ** 2).sum(axis=1).min() if len(at) else np.inf
+            assert got[p] == pytest.approx(want)
+
+
+def test_element_areas():
+    unit = surfaces.element_areas((1.0, 1.0, 1.0))
+    assert unit[0] == unit[255] == 0 and unit[1] == pytest.approx(np.sqrt(3) / 8)  # a corner is a triangle of three middles
+    side = sum(1 << i for i, c in enumerate(surfaces.CORNERS) if c[0] == 0)
+    assert unit[side] == pytest.approx(1) and surfaces.element_areas((2.0, 3.0, 5.0))[side] == pytest.approx(15)
+    opposite = 1 | 1 << 7
+    assert unit[opposite] == pytest.approx(2 * unit[1])
+    for code in range(256):  # in and out have one surface, but where two corners of a face are set apart
+        if all(len(loop) < 7 for c in (code, 255 - code) for loop in surfaces._polygons(c)) and unit[code] > 0:
+            assert 0 < unit[code] < 2
+    box = np.zeros((12, 9, 7), bool)
+    box[1:-1, 1:-1, 1:-1] = True
+    on, area = surfaces.elements(box, (1.0, 2.0, 0.5))
+    faces = 2 * (10 * 14 + 10 * 2.5 + 14 * 2.5)
+    assert 0.85 * faces < area[on].sum() < faces  # rounded edges
+
+
+def plain_hausdorff(ref, pred, spacing):
+    ends, table = [], surfaces.element_areas(spacing)
+    found = []
+    for mask in (ref, pred):
+        rows = []
+        for p in np.ndindex(*[n - 1 for n in mask.shape]):
+            code = sum(int(mask[p[0] + c[0], p[1] + c[1], p[2] + c[2]]) << i for i, c in enumerate(surfaces.CORNERS))
+            if 0 < code < 255:
+                rows.append((*[x * s for x, s in zip(p, spacing, strict=True)], table[code]))
+        found.append(np.array(rows))
+    for a, b in (found, found[::-1]):
+        far = np.sqrt(((a[:, None, :3] - b[None, :, :3]) ** 2).sum(axis=2)).min(axis=1)
+        order = np.argsort(far)
+        share = np.cumsum(a[order, 3]) / a[:, 3].sum()
+        ends.append(far[order][min(np.searchsorted(share, 0.95), len(far) - 1)])
+    return max(ends)
+
+
+def test_weighted_surface_distance_matches_all_pairs():
+    rng = np.random.default_rng(3)
+    for spacing in ((1.0, 1.0, 1.0), (0.5, 0.5, 4.0)):
+        masks = [np.pad(rng.random((6, 7, 5)) < p, 1) for p in (0.3, 0.6)]
+        assert surfaces.robust_hausdorff(*masks, spacing) == pytest.approx(plain_hausdorff(*masks, spacing))
+    none = np.zeros((4, 4, 4), bool)
+    assert np.isnan(surfaces.robust_hausdorff(none, none, (1.0, 1.0, 1.0))) and np.isinf(surfaces.robust_hausdorff(none, ~none, (1.0, 1.0, 1.0)))
+
+
+def test_masks_to_scores_in_one_job(spark, tmp_path):
+    import io
+
+    def save(side, name, grid, spacing=(0.5, 1.0, 2.0)):
+        (tmp_path / side).mkdir(exist_ok=True)
+        out = io.BytesIO()
+        np.savez(out, grid=grid, spacing=np.array(spacing))
+        (tmp_path / side / f"{name}.npz").write_bytes(out.getvalue())
+
+    def decode(content):
+        import io
+
+        import numpy as np
+
+        f = np.load(io.BytesIO(content))
+        return f["grid"], tuple(f["spacing"])
+
+    rng = np.random.default_rng(0)
+    grids = {n: (rng.integers(0, 3, (6, 5, 4)), rng.integers(0, 3, (6, 5, 4))) for n in ("a", "b")}
+    for n, (r, p) in grids.items():
+        save("ref", n, r)
+        save("pred", n, p)
+    for n, r, p in (("blank", np.zeros((3, 3, 3)), np.zeros((3, 3, 3))), ("shape", np.ones((3, 3, 3)), np.ones((3, 3, 4))), ("flat", np.ones((3, 3)), np.ones((3, 3)))):
+        save("ref", n, r)
+        save("pred", n, p)
+    save("ref", "no_pred", np.ones((2, 2, 2)))
+    save("ref", "broken", np.ones((2, 2, 2)))
+    (tmp_path / "pred" / "broken.npz").write_bytes(b"no archive")
+    (tmp_path / "pred" / "notes.txt").write_text("not a mask")
+    names = ["a", "b", "blank", "shape", "flat", "no_pred", "broken", "nowhere"]
+    cases = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "case_id string, series long")
+    sides = [evaluation.read_masks(spark, str(tmp_path / side), decode, r"/([^/]+)\.npz$") for side in ("ref", "pred")]
+    got = {r["case_id"]: r for r in evaluation.evaluate_masks(cases, *sides).collect()}
+    assert {n: (got[n]["status"], got[n]["missing"]) for n in names} == {
+        "a": ("ok", ""), "b": ("ok", ""), "blank": ("ok", ""), "shape": ("shape_mismatch", ""), "flat": ("unreadable", ""),
+        "no_pred": ("missing", "prediction"), "broken": ("unreadable", ""), "nowhere": ("missing", "prediction,reference"),
+    }
+    assert "prediction unreadable" in got["broken"]["problem"] and got["shape"]["dice_vb"] is None and got["a"]["series"] == 0
+    for n, (r, p) in grids.items():
+        for name, label in (("vb", 1), ("disc", 2)):
+            assert got[n][f"dice_{name}"] == pytest.approx(2 * ((r == label) & (p == label)).sum() / ((r == label).sum() + (p == label).sum()))
+            assert got[n][f"hd95_{name}"] == pytest.approx(plain_hausdorff(np.pad(r == label, 1), np.pad(p == label, 1), (0.5, 1.0, 2.0)))
+    assert all(np.isnan(got["blank"][f"{m}_{x}"]) for m in ("dice", "hd95", "ndsc") for x in ("vb", "disc"))
+    load = np.mean([(grids["a"][0] == 1).mean(), (grids["b"][0] == 1).mean(), 0])
+    r, p = (g == 1 for g in grids["a"])
+    kappa = (1 - load) * r.sum() / (load * (~r).sum())
+    assert got["a"]["ndsc_vb"] == pytest.approx(2 * (r & p).sum() / (kappa * (p & ~r).sum() + 2 * (r & p).sum() + (r & ~p).sum()))
+    with pytest.raises(ValueError):
+        evaluation.evaluate_masks(cases, *sides, metrics=("iou",))
