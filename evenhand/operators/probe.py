@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml import Model, Pipeline
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,47 +81,120 @@ def corrected_interval(scores: list[float], level: float = 0.95) -> tuple[float,
     return float(np.mean(scores)), t * math.sqrt((1 / k + 1 / (k - 1)) * var), t * math.sqrt(var / k)
 
 
-def fold_scores(df: DataFrame, key: str, attribute: str, n_pcs: int = 50, k: int = 5, costs: tuple[float, ...] = COSTS, inner: int = 3, seed: int = 42) -> list[float]:
-    """Score of each of k stratified folds: AUROC for two classes, else balanced accuracy.
+class BalancedAccuracy(Evaluator):
+    """Mean recall over the classes that ``label`` has, for cross-validation."""
 
-    In each fold the vectors are centred and reduced to ``n_pcs`` components, and a class-balanced L2 logistic
-    regression picks its penalty by inner cross-validation. Fits are distributed; the loop over folds is not.
-    """
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return balanced_accuracy(dataset.withColumn("_k", F.lit(0)), ["_k"], "label", "prediction").first()["balanced_accuracy"]
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+def _placed(df: DataFrame, key: str, attribute: str, k: int, inner: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """Rows of the attribute with ``label``, ``fold`` (stratified) and, for each fold left out, ``inner{fold}`` of the others; and the classes."""
     rows = df.filter(F.col(attribute).isNotNull()).withColumn("_y", F.col(attribute).cast("string"))
     names = [r[0] for r in rows.select("_y").distinct().orderBy("_y").limit(MOST_CLASSES + 1).collect()]
     if len(names) > MOST_CLASSES:
         raise ValueError(f"{attribute} has more than {MOST_CLASSES} values")
     index = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, float(i))])
-    placed = folds(rows.withColumn("label", index[F.col("_y")]), "_y", key, k, str(seed)).persist()
+    placed = folds(rows.withColumn("label", index[F.col("_y")]), "_y", key, k, str(seed))
+    if inner > 1:  # within each fold and class, so that any folds together are dealt evenly
+        own = placed.select(key, F.concat_ws(":", "fold", "_y").alias("stratum"))
+        placed = placed.join(folds(own, "stratum", key, inner, f"{seed}:inner").select(key, F.col("fold").alias("inner")), key)
+    return cut(placed.drop("_y"), "placed"), names
+
+
+def fold_predictions(df: DataFrame, key: str, fit: Callable[[DataFrame, int], Model], n_pcs: int = 50, fold: str = "fold") -> DataFrame:
+    """Predictions for every row from a model that has not seen its fold: centred and reduced to ``n_pcs`` components in each fold, then ``fit(train, pcs)``.
+
+    The rows (features, ``fold`` and whatever ``fit`` needs) are placed in folds beforehand. Fits are distributed jobs; the
+    loop over a handful of folds is the driver's.
+    """
+    n, size = df.count(), len(df.select("features").first()[0])
+    rows = df.coalesce(1 + n * size // VALUES_A_PART).persist()  # every step of a fit is a job over all partitions: as few as the numbers fill
+    pcs = max(1, min(n_pcs, size, n - 1))
     try:
-        n, size = placed.count(), len(placed.select("features").first()[0])
-        # every step of a fit is a job over all partitions: as few as the numbers fill
-        rows = placed.coalesce(1 + n * size // VALUES_A_PART)
-        return [_fold_score(rows, fold, names, max(1, min(n_pcs, size, n - 1)), costs, inner, seed) for fold in range(k)]
+        out = None
+        for (k,) in sorted(tuple(r) for r in rows.select(fold).distinct().collect()):
+            train, test = rows.filter(F.col(fold) != k), rows.filter(F.col(fold) == k)
+            reduce_ = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="_c0", withMean=True, withStd=False), PCA(k=pcs, inputCol="_c0", outputCol="_p")]).fit(train)
+            got = fit(reduce_.transform(train), pcs).transform(reduce_.transform(test))
+            keep = [c for c in got.columns if c not in ("_c0", "_p")]
+            got = cut(got.select(*keep), "predicted")
+            out = got if out is None else out.unionByName(got)
+        return out
     finally:
-        placed.unpersist()
+        rows.unpersist()
 
 
-def _fold_score(rows: DataFrame, fold: int, names: list[str], pcs: int, costs: tuple[float, ...], inner: int, seed: int) -> float:
-    train, test = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
+def weighted_classes(train: DataFrame) -> DataFrame:
+    """Add ``weight``: rows of all classes weigh the same in sum, and 1 on average."""
     per = train.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
     total, kinds = train.count(), per.count()
-    train = train.join(F.broadcast(per), "label").withColumn("weight", F.lit(total) / (kinds * F.col("_c")))  # a row a class
-    model = LogisticRegression(featuresCol="_p", labelCol="label", weightCol="weight", maxIter=50, standardization=False)
-    grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * total) for c in costs]).build()
-    measure = MulticlassClassificationEvaluator(metricName="logLoss")
-    stages = [StandardScaler(inputCol="features", outputCol="_c0", withMean=True, withStd=False), PCA(k=pcs, inputCol="_c0", outputCol="_p")]
-    last = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=measure, numFolds=inner, seed=seed, parallelism=8) if len(grid) > 1 else model.copy(grid[0])
-    fitted = Pipeline(stages=[*stages, last]).fit(train)
-    out = fitted.transform(test).withColumn("_k", F.lit(0))
-    if len(names) == 2:
-        scored = out.withColumn("_s", vector_to_array("probability")[1]).withColumn("_b", F.col("label") == 1.0)
-        return auroc(scored, ["_k"], "_b", "_s").first()["auroc"]
-    return balanced_accuracy(out, ["_k"], "label", "prediction").first()["balanced_accuracy"]
+    return train.join(F.broadcast(per), "label").withColumn("weight", F.lit(total) / (kinds * F.col("_c"))).drop("_c")  # a row a class
+
+
+def logistic(costs: tuple[float, ...], classes: int, inner: int, seed: int, chosen: list[float] | None = None) -> Callable[[DataFrame, int], Model]:
+    """Class-balanced L2 logistic regression, whose penalty is the one of the best inner score: AUROC of two classes, balanced accuracy of more.
+
+    The score that a probe reports is the score that it is chosen by; ties go to the stronger penalty. Inner folds are stratified.
+    """
+
+    def fit(train: DataFrame, pcs: int) -> Model:
+        train = weighted_classes(train)
+        total = train.count()
+        model = LogisticRegression(featuresCol="_p", labelCol="label", weightCol="weight", maxIter=100, standardization=False)
+        grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * total) for c in sorted(costs)]).build()
+        if len(grid) == 1:
+            return model.copy(grid[0]).fit(train)
+        measure = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0) if classes == 2 else BalancedAccuracy()
+        fitted = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=measure, numFolds=inner, foldCol="inner", seed=seed, parallelism=8).fit(train)
+        best = int(np.argmax(fitted.avgMetrics))
+        if chosen is not None:
+            chosen.append(sorted(costs)[best])
+        return fitted.bestModel
+
+    return fit
+
+
+def perceptron(classes: int, hidden: int = 128, seed: int = 42) -> Callable[[DataFrame, int], Model]:
+    """A perceptron with one hidden layer on standardised components; its loss has no class weights."""
+
+    def fit(train: DataFrame, pcs: int) -> Model:
+        scale = StandardScaler(inputCol="_p", outputCol="_z", withMean=True, withStd=True)
+        net = MultilayerPerceptronClassifier(featuresCol="_z", labelCol="label", layers=[pcs, hidden, classes], maxIter=100, seed=seed)
+        return Pipeline(stages=[scale, net]).fit(train)
+
+    return fit
+
+
+def _scores_by_fold(predicted: DataFrame, classes: int) -> list[float]:
+    if classes == 2:
+        scored = predicted.withColumn("_s", vector_to_array("probability")[1]).withColumn("_b", F.col("label") == 1.0)
+        rows = auroc(scored, ["fold"], "_b", "_s").select("fold", F.col("auroc").alias("score"))
+    else:
+        rows = balanced_accuracy(predicted, ["fold"], "label", "prediction").select("fold", F.col("balanced_accuracy").alias("score"))
+    return [r["score"] for r in sorted(rows.collect(), key=lambda r: r["fold"])]  # a row a fold
+
+
+def fold_scores(
+    df: DataFrame, key: str, attribute: str, n_pcs: int = 50, k: int = 5, costs: tuple[float, ...] = COSTS, inner: int = 3, seed: int = 42,
+    hidden: int | None = None, chosen: list[float] | None = None,
+) -> list[float]:
+    """Score of each of k stratified folds: AUROC for two classes, else balanced accuracy.
+
+    In each fold the vectors are centred and reduced to ``n_pcs`` components, and a class-balanced L2 logistic regression
+    picks its penalty by the same score in inner folds (``chosen`` gets it); with ``hidden``, a perceptron with one
+    hidden layer of that size takes its place.
+    """
+    rows, names = _placed(df, key, attribute, k, inner if hidden is None and len(costs) > 1 else 1, seed)
+    fit = logistic(costs, len(names), inner, seed, chosen) if hidden is None else perceptron(len(names), hidden, seed)
+    return _scores_by_fold(fold_predictions(rows, key, fit, n_pcs), len(names))
 
 
 def probe(df: DataFrame, key: str, attributes: list[str], **options) -> DataFrame:
-    """(attribute, metric, n, n_classes, mean, ci95, ci95_naive) of each attribute."""
+    """(attribute, metric, n, n_classes, mean, ci95, ci95_naive) of each attribute; those with one class are left out."""
     out = []
     for a in attributes:
         some = df.filter(F.col(a).isNotNull())
@@ -131,6 +206,22 @@ def probe(df: DataFrame, key: str, attributes: list[str], **options) -> DataFram
     return df.sparkSession.createDataFrame(out, "attribute string, metric string, n long, n_classes long, mean double, ci95 double, ci95_naive double")
 
 
+def component_regression(df: DataFrame, key: str, target: str, n_pcs: int = 50, k: int = 5, seed: int = 42) -> DataFrame:
+    """(target, n, r2, r2_folds): a number regressed on components by least squares, out of fold.
+
+    r2 is of all predictions together, each from a model that has not seen its row; r2_folds is the mean over folds.
+    Rows without the target are left out.
+    """
+    rows = df.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))).withColumn("label", F.col(target).cast("double"))
+    rows = folds(rows.withColumn("every", F.lit("all")), "every", key, k, str(seed))
+    fit = lambda train, pcs: LinearRegression(featuresCol="_p", labelCol="label", solver="normal").fit(train)
+    out = fold_predictions(rows, key, fit, n_pcs)
+    off = F.col("label") - F.col("prediction")
+    r2 = lambda: 1 - F.sum(off * off) / (F.var_pop("label") * F.count(F.lit(1)))
+    per = out.groupBy("fold").agg(r2().alias("r")).agg(F.avg("r").alias("r2_folds"))
+    return out.agg(F.count(F.lit(1)).alias("n"), r2().alias("r2")).crossJoin(F.broadcast(per)).select(F.lit(target).alias("target"), "n", "r2", "r2_folds")  # one row each
+
+
 def null_delta(probed: DataFrame, null: DataFrame) -> DataFrame:
     """(attribute, mean, null_mean, delta): how far the probe is above the same probe of random features."""
     control = null.select("attribute", F.col("mean").alias("null_mean"))
@@ -172,11 +263,27 @@ def extract(items: DataFrame, key: str, load: Callable[[], Callable[[pd.DataFram
     return items.mapInPandas(run, f"{key} {kind}, embedding array<double>, status string")
 
 
-def silhouette(df: DataFrame, attribute: str) -> float:
-    """Mean silhouette of the groups of an attribute in feature space."""
-    names = [r[0] for r in df.select(attribute).distinct().orderBy(attribute).collect()]
-    index = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, i)])
-    return ClusteringEvaluator(featuresCol="features", predictionCol="_g").evaluate(df.withColumn("_g", index[F.col(attribute)].cast("int")))
+def silhouettes(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
+    """(attribute, n, n_groups, silhouette): how well the groups of each attribute are set apart, by squared distances.
+
+    A group is its count, vector sum and squared norms: the mean squared distance of a row to a group's rows follows from
+    these, so a row meets groups and never other rows. A row alone in its group counts 0; an attribute with one group has
+    no silhouette.
+    """
+    rows = df.select(key, vector_to_array("features").alias("_v"), F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("grp")) for a in attributes])).alias("_a"))
+    rows = rows.select(key, "_v", "_a.*").filter("grp IS NOT NULL")
+    sq = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x)
+    groups = rows.groupBy("attribute", "grp").agg(Summarizer.sum(array_to_vector("_v")).alias("_s"), F.sum(sq).alias("_q"), F.count(F.lit(1)).alias("_n"))
+    groups = cut(groups.withColumn("_s", vector_to_array("_s")), "groups")  # a row a group
+    met = rows.withColumn("_own", F.col("grp")).drop("grp").join(groups, "attribute")
+    dot = F.aggregate(F.zip_with("_v", "_s", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    total = F.col("_n") * sq - 2 * dot + F.col("_q")  # of squared distances to the group's rows
+    own = F.col("_own") == F.col("grp")
+    others = F.when(own, F.col("_n") - 1).otherwise(F.col("_n"))
+    met = met.select("attribute", key, own.alias("own"), "_n", F.try_divide(total, others).alias("d"))
+    per = met.groupBy("attribute", key).agg(F.max(F.when(F.col("own"), F.col("d"))).alias("a"), F.min(F.when(~F.col("own"), F.col("d"))).alias("b"), F.max(F.when(F.col("own"), F.col("_n"))).alias("n"), F.count(F.lit(1)).alias("k"))
+    s = F.when(F.col("k") > 1, F.when((F.col("n") == 1) | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))
+    return per.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("n_groups"), F.avg(s).alias("silhouette"))
 
 
 def cluster_agreement(df: DataFrame, attribute: str, k: int, seed: int = 1) -> DataFrame:

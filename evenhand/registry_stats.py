@@ -124,6 +124,44 @@ def holm(spark, d):
     return rounded(od.holm(rows, ["family"]).select("doc_id", "family", "p_holm"))
 
 
+# Probes ---------------------------------------------------------------------------------------------------------------
+
+
+def _attributes(spark, d):
+    """Embeddings with the attributes that probes ask for: two of two classes, one of three, and a number."""
+    third = F.when(F.col("label") < 3, "a").when(F.col("label") < 6, "b").otherwise("c")
+    return _vectors(spark, d).withColumns({"third": third, "odd": F.when(F.col("label") % 2 == 1, "odd").otherwise("even"), "age": F.col("label").cast("double")})
+
+
+@query()
+def probe_table(spark, d):
+    """Probes of several attributes, each chosen by the score that it reports."""
+    return rounded(pr.probe(_attributes(spark, d), "vec_id", ["binary", "third", "odd"]).withColumn("leakage", pr.leakage(F.col("mean"))))
+
+
+@query()
+def perceptron_probe(spark, d):
+    """The same with one hidden layer of 128 units."""
+    return rounded(pr.probe(_attributes(spark, d), "vec_id", ["binary", "third"], hidden=128))
+
+
+@query()
+def age_on_components(spark, d):
+    return rounded(pr.component_regression(_attributes(spark, d), "vec_id", "age"))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS b, CASE WHEN label < 3 THEN 'a' WHEN label < 6 THEN 'b' ELSE 'c' END AS t FROM embeddings),
+ l AS (SELECT vec_id, x, 'binary' AS attribute, b AS grp FROM v UNION ALL SELECT vec_id, x, 'third', t FROM v),
+ w AS (SELECT attribute, grp, i, sum(x[i]) AS s FROM l CROSS JOIN range(1, 65) r(i) GROUP BY ALL), g AS (SELECT attribute, grp, list(s ORDER BY i) AS s FROM w GROUP BY ALL),
+ q AS (SELECT attribute, grp, count(*)::DOUBLE AS n, sum(list_inner_product(x, x)) AS q FROM l GROUP BY ALL),
+ m AS (SELECT l.attribute, vec_id, l.grp = g.grp AS own, q.n, q.n * list_inner_product(x, x) - 2 * list_inner_product(x, g.s) + q.q AS tot
+   FROM l JOIN g ON l.attribute = g.attribute JOIN q ON q.attribute = g.attribute AND q.grp = g.grp),
+ p AS (SELECT attribute, vec_id, max(tot / (n - 1)) FILTER (own) AS a, min(tot / n) FILTER (NOT own) AS b, count(*) AS k FROM m GROUP BY ALL)
+ SELECT attribute, count(*) AS n, max(k) AS n_groups, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM p GROUP BY ALL""")
+def attribute_silhouettes(spark, d):
+    return rounded(pr.silhouettes(_attributes(spark, d), "vec_id", ["binary", "third"]))
+
+
 # Masks ----------------------------------------------------------------------------------------------------------------
 
 
