@@ -92,12 +92,14 @@ def cut_bucketed(df: DataFrame, key: str, buckets: int, what: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
-    """Where the session still has Spark's defaults, set fewer rows and bytes an Arrow batch: whole texts are long rows.
+    """Where the session still has Spark's defaults, set fewer rows and bytes an Arrow batch, as whole texts are long rows.
 
-    Plans read these settings when they run, so they stay set.
+    Printed plans are cut too: the driver prints each plan again at each of its stages and keeps what it prints, and plans
+    here have long literals and many steps. Plans read these settings when they run, so they stay set.
     """
-    for key, default, most in (("maxRecordsPerBatch", ("10000",), rows), ("maxBytesPerBatch", (str((1 << 63) - 1), str((1 << 31) - 1)), size)):
-        key = f"spark.sql.execution.arrow.{key}"
+    whole = (str((1 << 63) - 1), str((1 << 31) - 1), str((1 << 31) - 16))
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": (("10000",), rows), "spark.sql.execution.arrow.maxBytesPerBatch": (whole, size), "spark.sql.maxPlanStringLength": (whole, 10_000)}
+    for key, (default, most) in limits.items():
         if spark.conf.get(key) in default:
             spark.conf.set(key, str(most))
 
