@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,51 @@ def validate(df: DataFrame, spec: Spec) -> DataFrame:
     return out
 
 
+@dataclass(frozen=True)
+class Range:
+    """A rule about a number: an expression over a row, and the ends that are allowed (None: open)."""
+
+    rule: str
+    expression: str
+    low: float | None = None
+    high: float | None = None
+    severity: str = "warning"
+
+
+#: Rules that a table of them may have at most: each is an expression of the one pass.
+MOST_RULES = 1000
+
+
+def range_rules(table: DataFrame) -> list[Range]:
+    """Rules from a table (rule, expression, low, high, severity), such as a CSV file has."""
+    rows = table.select("rule", "expression", F.col("low").cast("double"), F.col("high").cast("double"), "severity").orderBy("rule").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return [Range(*r) for r in rows]
+
+
+def broken_rules(df: DataFrame, key: str, rules: list[Range]) -> DataFrame:
+    """(key, rule, severity, value, bound, limit): one row for each rule that a row breaks, all rules in one pass.
+
+    ``bound`` is 'low' or 'high', or 'nan'; a null value breaks nothing (``validate`` has required columns).
+    """
+    def judged(r: Range) -> Column:
+        value = F.expr(r.expression).cast("double")
+        bound = F.when(F.isnan(value), "nan")
+        if r.low is not None:
+            bound = bound.when(value < r.low, "low")
+        if r.high is not None:
+            bound = bound.when(value > r.high, "high")
+        limit = F.when(bound == "low", F.lit(r.low).cast("double")).when(bound == "high", F.lit(r.high).cast("double"))
+        found = F.struct(F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("severity"), value.alias("value"), bound.alias("bound"), limit.alias("limit"))
+        return F.when(value.isNotNull() & bound.isNotNull(), found)
+
+    if not rules:
+        raise ValueError("no rules")
+    hits = F.filter(F.array(*[judged(r) for r in rules]), lambda h: h.isNotNull())
+    return df.select(key, F.explode(hits).alias("h")).select(key, "h.*")
+
+
 def require_rows(df: DataFrame, what: str = "table") -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{what} has no rows")

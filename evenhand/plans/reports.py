@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from evenhand.operators import summaries as s
 from evenhand.operators.grouping import age_bins
 from evenhand.operators.summaries import counts, shares
 from evenhand.plans.volumes import segmentation_tests
+from evenhand.sources.scratch import cut
 from evenhand.sources.tables import image_files
 
 SPLIT_ORDER = ("train", "val", "test")
@@ -88,22 +91,53 @@ def scanner_report(exams: DataFrame, keys: list[str] | None = None) -> dict[str,
     numeric = [c for c in ("slice_thickness", "pixel_spacing", "spacing_between_slices", "echo_time", "repetition_time") if c in exams.columns]
     out = {"counts": value_counts(frame, ["manufacturer", "field"], keys), "cells": attribute_cells(frame, (("manufacturer", "field"),), keys)}
     if numeric:
-        out["histograms"] = s.histogram(exams, numeric, 25)
+        out["histograms"] = s.histogram(exams, numeric, 25, keys)
     return out
 
 
-def cohort_reports(exams: DataFrame, splits: DataFrame, segmentations: DataFrame | None = None, key: str = "series_submitter_id") -> dict[str, DataFrame]:
-    """Every report for the cohort 'full' and for each split at once, keyed by cohort: demographics, ages, scanner, crosscuts, segmentation tests."""
-    rows = by_cohort(exams, splits, key)
-    out = {
-        "demographics": value_counts(rows, ["sex", "race", "ethnicity"], ["cohort"]),
-        "ages": s.group_summary(rows.select("cohort", F.col("age_at_imaging").alias("value")), ["cohort"]),
-        "scanner": scanner_report(rows, ["cohort"])["counts"],
-        "crosscuts": crosscuts(rows, ["cohort"]),
+def cohort_reports(
+    exams: DataFrame, splits: DataFrame, segmentations: DataFrame | None = None, key: str = "series_submitter_id", geometry: DataFrame | None = None, only: tuple[str, ...] | None = None,
+) -> dict[str, DataFrame]:
+    """Every report (or ``only`` some) for the cohort 'full' and for each split at once, keyed by cohort.
+
+    demographics, ages, age_histogram, scanner, scanner_cells, scanner_histograms (of the columns that are there), crosscuts;
+    with ``geometry`` (case_id and geometry columns): geometry, geometry_histograms, geometry_outliers and representatives (by
+    volume); with ``segmentations``: segmentations (tests), volumes, volume_histograms, component_histograms. Volumes and
+    geometry get their cohort by case, as exams do by ``key``.
+    """
+    from evenhand.plans import volumes as vo
+
+    rows = cut(by_cohort(exams, splits, key), "cohorts")
+    of, by_case = ["cohort"], splits.withColumnRenamed(key, "case_id")
+    parts: dict[str, Callable[[], DataFrame | None]] = {
+        "demographics": lambda: value_counts(rows, ["sex", "race", "ethnicity"], of),
+        "ages": lambda: s.group_summary(rows.select("cohort", F.col("age_at_imaging").alias("value")), of),
+        "age_histogram": lambda: s.histogram(rows, ["age_at_imaging"], 30, of),
+        "scanner": lambda: scanner_report(rows, of)["counts"],
+        "scanner_cells": lambda: scanner_report(rows, of)["cells"],
+        "scanner_histograms": lambda: scanner_report(rows, of).get("histograms"),
+        "crosscuts": lambda: crosscuts(rows, of),
     }
+    if geometry is not None:
+        grids = by_cohort(geometry, by_case, "case_id")
+        parts |= {
+            "geometry": lambda: s.describe(grids, vo.GEOMETRY, of),
+            "geometry_histograms": lambda: s.histogram(grids, vo.GEOMETRY, 30, of),
+            "geometry_outliers": lambda: s.sigma_outliers(grids, vo.GEOMETRY, of),
+            "representatives": lambda: s.representatives(grids.filter("physical_volume IS NOT NULL"), "physical_volume", "case_id", of),
+        }
     if segmentations is not None:
-        out["segmentations"] = segmentation_tests(segmentations, rows, ["cohort"])
-    return out
+        cases = by_cohort(segmentations, by_case, "case_id")
+        components = [c for c in vo.columns() if c.startswith("n_components")]
+        sizes = [c for c in vo.columns() if c not in components]
+        parts |= {
+            "segmentations": lambda: segmentation_tests(segmentations, rows, of),
+            "volumes": lambda: s.describe(cases, sizes, of),
+            "volume_histograms": lambda: s.histogram(cases, sizes, 40, of),
+            "component_histograms": lambda: s.integer_histogram(cases, components, of),
+        }
+    made = {name: part() for name, part in parts.items() if only is None or name in only}
+    return {name: df for name, df in made.items() if df is not None}
 
 
 def attribute_cells(frame: DataFrame, pairs: tuple[tuple[str, str], ...] = CATEGORICAL, keys: list[str] | None = None) -> DataFrame:

@@ -567,7 +567,8 @@ def age_histogram(spark, d):
 
 
 @query("""SELECT 'age_at_imaging' AS property, count(age_at_imaging) AS n, count(*) - count(age_at_imaging) AS n_missing, round(avg(age_at_imaging), 6) AS mean, round(stddev_samp(age_at_imaging), 6) AS std,
- min(age_at_imaging) AS min, median(age_at_imaging) AS median, max(age_at_imaging) AS max FROM exams""")
+ min(age_at_imaging) AS min, list_sort(list(age_at_imaging) FILTER (age_at_imaging IS NOT NULL))[CAST(floor((count(age_at_imaging) - 1) * 0.25::DOUBLE + 0.5) AS BIGINT) + 1] AS q25, median(age_at_imaging) AS median,
+ list_sort(list(age_at_imaging) FILTER (age_at_imaging IS NOT NULL))[CAST(floor((count(age_at_imaging) - 1) * 0.75::DOUBLE + 0.5) AS BIGINT) + 1] AS q75, max(age_at_imaging) AS max FROM exams""")
 def age_summary(spark, d):
     return rounded(s.describe(view(spark, d, "exams"), ["age_at_imaging"]))
 

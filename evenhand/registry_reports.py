@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from evenhand.operators import hypothesis as h
@@ -14,7 +17,7 @@ from evenhand.plans import audit as a
 from evenhand.plans import datasets as ds
 from evenhand.plans import reports as rp
 from evenhand.plans import volumes as vo
-from evenhand.registry import _AGE, _CC, _GAP, _GAP_OUT, _RANKS, _RATES, _V2, _long, _rates, query, rounded
+from evenhand.registry import _AGE, _CC, _GAP, _GAP_OUT, _LONG, _R, _RANKS, _RATE, _RATES, _SWEEP, _V2, _long, _rates, query, rounded
 from evenhand.sources.fixtures import table, view
 
 # The audit ------------------------------------------------------------------------------------------------------------
@@ -35,14 +38,51 @@ def audit_effects(spark, d):
     return rounded(tests.withColumn("magnitude", F.when(F.col("test") == "kruskal", h.magnitude(F.col("effect"), "epsilon_squared")).otherwise(h.magnitude(F.col("effect"), "r"))))
 
 
-@query(f"""{_RATES},\n{_GAP}, f AS ({_GAP_OUT})
- SELECT 'gaps' AS part, ruler, score, grouping, threshold, '' AS grp, dir AS x, dpd AS y, n FROM f UNION ALL SELECT 'rates', ruler, score, grouping, round(threshold, 6), grp, round(rate, 6), NULL, n_valid FROM t""")
+def _renamed(sql: str) -> str:
+    """The sweep's steps under names of their own, beside those of the single thresholds."""
+    for name in ("l2", "r", "t", "x"):
+        sql = re.sub(rf"\b{name} AS \(", f"{name}s AS (", sql)
+        sql = re.sub(rf"\bFROM {name}\b", f"FROM {name}s", sql)
+    return sql
+
+
+_PARTS = f"""{_RATES},\n{_GAP}, f AS ({_GAP_OUT}),\n{_renamed(_SWEEP)},\n{_renamed(_R)},\n{_renamed(_RATE)},\n{_renamed(_GAP)}, fs AS ({_renamed(_GAP_OUT)}){_EFFECTS[len(_LONG):]},
+ su AS (SELECT ruler, score, grouping, grp, count(value) AS n, avg(value) AS mean, median(value) AS median FROM l GROUP BY ALL),
+ cz AS (SELECT coalesce(p.score, q.score) AS score, coalesce(p.grouping, q.grouping) AS grouping, p.dir AS a, q.dir AS b FROM (SELECT * FROM f WHERE ruler = 'gold') p FULL JOIN (SELECT * FROM f WHERE ruler = 'silver') q ON p.score = q.score AND p.grouping = q.grouping)"""
+
+
+@query(f"""{_PARTS}
+ SELECT 'gaps' AS part, ruler, score, grouping, threshold, '' AS grp, dir AS x, dpd AS y, n FROM f UNION ALL SELECT 'rates', ruler, score, grouping, round(threshold, 6), grp, round(rate, 6), NULL, n_valid FROM t
+ UNION ALL SELECT 'sweep', ruler, score, grouping, threshold, '', dir, dpd, n FROM fs UNION ALL SELECT 'summary', ruler, score, grouping, NULL, grp, round(mean, 6), round(median, 9), n FROM su
+ UNION ALL SELECT 'tests', ruler, score, grouping, NULL, test, round(statistic, 6), round(effect, 6), NULL FROM e UNION ALL SELECT 'significance', ruler, '', '', NULL, '', NULL, NULL, count(*) FROM e GROUP BY ruler
+ UNION ALL SELECT 'bootstrap', ruler, score, grouping, NULL, m, CASE m WHEN 'dir' THEN dir ELSE dpd END, NULL, 10000 FROM f CROSS JOIN (SELECT unnest(['dir', 'dpd']) AS m) UNION ALL SELECT 'permutation', ruler, score, grouping, NULL, m, CASE m WHEN 'dir' THEN dir ELSE dpd END, NULL, 10000 FROM f CROSS JOIN (SELECT unnest(['dir', 'dpd']) AS m)
+ UNION ALL SELECT 'comparison', '', score, grouping, NULL, '', a, b, NULL FROM cz""")
 def audit_all(spark, d):
-    """The audit as one job: gaps and rates of its tables in one result."""
+    """The audit as one job: what SQL can say of nine of its tables in one result. Its regression and post-hoc tests have queries of their own."""
     made = a.audit(view(spark, d, "scores"), view(spark, d, "exams"))
-    gap = made["gaps"].select(F.lit("gaps").alias("part"), *m.KEY, "threshold", F.lit("").alias("grp"), F.col("dir").alias("x"), F.col("dpd").alias("y"), "n")
-    rates = made["rates"].select(F.lit("rates").alias("part"), *m.KEY, "threshold", "grp", F.col("rate").alias("x"), F.lit(None).cast("double").alias("y"), F.col("n_valid").alias("n"))
-    return rounded(gap.unionByName(rates))
+    none, blank = F.lit(None).cast("double"), F.lit("")
+
+    def part(name, ruler=F.col("ruler"), score=F.col("score"), grouping=F.col("grouping"), threshold=none, grp=blank, x=none, y=none, n=F.lit(None).cast("long")):  # noqa: B008
+        cells = {"part": F.lit(name), "ruler": ruler, "score": score, "grouping": grouping, "threshold": threshold, "grp": grp, "x": x, "y": y, "n": n.cast("long")}
+        return made[name].select(*[c.alias(k) for k, c in cells.items()])
+
+    c = F.col
+    rows = [
+        part("gaps", threshold=c("threshold"), x=c("dir"), y=c("dpd"), n=c("n")), part("rates", threshold=c("threshold"), grp=c("grp"), x=c("rate"), n=c("n_valid")),
+        part("sweep", threshold=c("threshold"), x=c("dir"), y=c("dpd"), n=c("n")), part("summary", grp=c("grp"), x=F.round("mean", 6), y=F.round("median", 9), n=c("n")),
+        part("tests", grp=c("test"), x=c("statistic"), y=c("effect")), part("significance", score=blank, grouping=blank, n=c("n_tests")),
+        part("bootstrap", grp=c("metric"), x=c("point"), n=c("n_boot")), part("permutation", grp=c("metric"), x=c("observed"), n=c("n_perm")),
+        part("comparison", ruler=blank, x=c("dir_base"), y=c("dir_other")),
+    ]
+    out = reduce(lambda p, q_: p.unionByName(q_), rows)
+    return rounded(out.withColumns({k: F.when(F.col("part") == "summary", F.col(k)).otherwise(F.round(k, 6)) for k in ("x", "y")}), 9)
+
+
+@query()
+def audit_posthoc(spark, d):
+    """Pairs of groups of the audit's combinations that pass the omnibus test."""
+    ranks = h.rank_sums(_long(spark, d), m.KEY)
+    return rounded(h.dunn(ranks, m.KEY, h.kruskal(ranks, m.KEY), alpha=0.5))
 
 
 @query()
@@ -111,10 +151,17 @@ _GEO = """geo AS (SELECT case_id, CAST(nx AS BIGINT) * ny * nz AS total_voxels,
  u AS (SELECT 'total_voxels' AS property, total_voxels::DOUBLE AS v FROM geo UNION ALL SELECT 'physical_width', physical_width FROM geo UNION ALL SELECT 'physical_height', physical_height FROM geo UNION ALL SELECT 'physical_depth', physical_depth FROM geo)"""
 
 
-@query(f"WITH {_GEO} SELECT property, count(v) AS n, count(*) - count(v) AS n_missing, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, round(median(v), 6) AS median, max(v) AS max FROM u GROUP BY property")
+_GEO9 = """g1 AS (SELECT case_id, (CAST(nx AS BIGINT) * ny * nz)::DOUBLE AS total_voxels, nx * sx AS physical_width, ny * sy AS physical_height, nz * sz AS physical_depth, nx * sx * ny * sy * (nz * sz) AS physical_volume,
+ nx * sx / (ny * sy) AS aspect_ratio_xy, nx * sx / (nz * sz) AS aspect_ratio_xz, ny * sy / (nz * sz) AS aspect_ratio_yz, sz / sqrt(sx * sy) AS anisotropy_factor FROM grids),
+ u AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS property, {c}::DOUBLE AS v FROM g1" for c in vo.GEOMETRY) + ")"
+
+
+@query(f"""WITH {_GEO9}, o AS (SELECT property, count(v) AS n, count(*) - count(v) AS n_missing, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, median(v) AS median, max(v) AS max, list_sort(list(v)) AS s FROM u GROUP BY ALL)
+ SELECT property, n, n_missing, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(s[CAST(floor((n - 1) * 0.25::DOUBLE + 0.5) AS BIGINT) + 1], 6) AS q25, round(median, 6) AS median,
+ round(s[CAST(floor((n - 1) * 0.75::DOUBLE + 0.5) AS BIGINT) + 1], 6) AS q75, round(max, 6) AS max FROM o""")
 def geometry_report(spark, d):
     geo, _ = vo.geometry_job(view(spark, d, "grids"))
-    return rounded(vo.geometry_report(geo)["summary"].filter("property IN ('total_voxels', 'physical_width', 'physical_height', 'physical_depth')"))
+    return rounded(vo.geometry_report(geo)["summary"])
 
 
 @query(f"""WITH {_GEO}, e AS (SELECT property, min(v) AS lo, max(v) AS hi FROM u GROUP BY property), b AS (SELECT e.*, unnest(range(0, 30)) AS bin FROM e),
@@ -179,27 +226,97 @@ def segmentation_report(spark, d):
     return rounded(vo.segmentation_report(made, view(spark, d, "exams"))["tests"])
 
 
-def _cohorts(spark, d):
+def _cohorts(spark, d, name, geometry=False):
     exams = view(spark, d, "exams")
-    return rp.cohort_reports(exams, sp.split_patients(exams).select("series_submitter_id", "split"))
+    if geometry:  # the grids are the exams' of the same number
+        geometry = vo.geometry_job(view(spark, d, "grids"))[0]
+    return rp.cohort_reports(exams, sp.split_patients(exams).select("series_submitter_id", "split"), geometry=geometry or None, only=(name,))[name]
 
 
 @query(_V2 + ", f AS (SELECT 'full' AS cohort, sex, race, ethnicity FROM exams UNION ALL SELECT a.split, e.sex, e.race, e.ethnicity FROM exams e JOIN a ON e.patient_id = a.patient_id) " + " UNION ALL ".join(
     f"SELECT cohort, '{c}' AS attribute, {c} AS value, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY cohort), 1) AS pct FROM f GROUP BY cohort, {c}" for c in ("sex", "race", "ethnicity")))
 def cohort_demographics(spark, d):
-    return _cohorts(spark, d)["demographics"]
+    return _cohorts(spark, d, "demographics")
 
 
 @query(_V2 + """, f AS (SELECT 'full' AS cohort, age_at_imaging AS v FROM exams UNION ALL SELECT a.split, e.age_at_imaging FROM exams e JOIN a ON e.patient_id = a.patient_id)
  SELECT cohort, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS std FROM f GROUP BY cohort""")
 def cohort_ages(spark, d):
-    return rounded(_cohorts(spark, d)["ages"].select("cohort", "n", "mean", "median", "std"))
+    return rounded(_cohorts(spark, d, "ages").select("cohort", "n", "mean", "median", "std"))
+
+
+_COHORT_AGE = _V2 + ", f AS (SELECT 'full' AS cohort, age_at_imaging AS v FROM exams UNION ALL SELECT a.split, e.age_at_imaging FROM exams e JOIN a ON e.patient_id = a.patient_id)"
+
+
+@query(_COHORT_AGE + """, e AS (SELECT cohort, min(v) AS lo, max(v) AS hi FROM f GROUP BY cohort), bs AS (SELECT e.*, unnest(range(0, 30)) AS bin FROM e),
+ n AS (SELECT f.cohort, CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((v - lo) / ((hi - lo) / 30)) AS BIGINT), 29) END AS bin, count(*) AS n FROM f JOIN e ON f.cohort = e.cohort WHERE v IS NOT NULL GROUP BY ALL)
+ SELECT bs.cohort, 'age_at_imaging' AS property, CAST(bs.bin AS INTEGER) AS bin, round(lo + (hi - lo) / 30 * bs.bin, 6) AS lo, round(lo + (hi - lo) / 30 * (bs.bin + 1), 6) AS hi, coalesce(n.n, 0) AS n
+ FROM bs LEFT JOIN n ON bs.cohort = n.cohort AND bs.bin = n.bin""")
+def cohort_histograms(spark, d):
+    return rounded(_cohorts(spark, d, "age_histogram"))
+
+
+_COHORT_GEO = _V2 + """, g0 AS (SELECT case_id, (CAST(nx AS BIGINT) * ny * nz)::DOUBLE AS total_voxels, nx * sx AS physical_width, ny * sy AS physical_height, nz * sz AS physical_depth FROM grids),
+ g1 AS (SELECT *, physical_width * physical_height * physical_depth AS physical_volume, physical_width / physical_height AS aspect_ratio_xy, physical_width / physical_depth AS aspect_ratio_xz, physical_height / physical_depth AS aspect_ratio_yz FROM g0),
+ g2 AS (SELECT g1.*, grids.sz / sqrt(grids.sx * grids.sy) AS anisotropy_factor FROM g1 JOIN grids ON g1.case_id = grids.case_id),
+ g3 AS (SELECT 'full' AS cohort, * FROM g2 UNION ALL SELECT a.split, g2.* FROM g2 JOIN exams e ON g2.case_id = e.series_submitter_id JOIN a ON e.patient_id = a.patient_id),
+ u AS (""" + " UNION ALL ".join(f"SELECT cohort, '{c}' AS property, {c}::DOUBLE AS v FROM g3" for c in vo.GEOMETRY) + ")"
+
+
+@query(_COHORT_GEO + """, ds AS (SELECT cohort, property, count(v) AS n, count(*) - count(v) AS n_missing, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, median(v) AS median, max(v) AS max, list_sort(list(v) FILTER (v IS NOT NULL)) AS s FROM u GROUP BY ALL)
+ SELECT cohort, property, n, n_missing, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(s[CAST(floor((n - 1) * 0.25::DOUBLE + 0.5) AS BIGINT) + 1], 6) AS q25, round(median, 6) AS median,
+ round(s[CAST(floor((n - 1) * 0.75::DOUBLE + 0.5) AS BIGINT) + 1], 6) AS q75, round(max, 6) AS max FROM ds""")
+def cohort_geometry(spark, d):
+    """All nine geometry columns described by cohort."""
+    return rounded(_cohorts(spark, d, "geometry", True))
+
+
+@query(_COHORT_GEO + """, z AS (SELECT cohort, property, avg(v) AS mean, stddev_samp(v) AS std, count(*) AS n FROM u GROUP BY ALL), zs AS (SELECT u.cohort, u.property, v, mean, std, n FROM u JOIN z ON u.cohort = z.cohort AND u.property = z.property)
+ SELECT cohort, property, round(mean, 6) AS mean, round(std, 6) AS std, count(*) FILTER (abs(v - mean) > 2 * std) AS n_2sigma, count(*) FILTER (abs(v - mean) > 3 * std) AS n_3sigma FROM zs GROUP BY ALL""")
+def cohort_outliers(spark, d):
+    return rounded(_cohorts(spark, d, "geometry_outliers", True).select("cohort", "property", "mean", "std", "n_2sigma", "n_3sigma"))
+
+
+@query(_COHORT_GEO + """, w AS (SELECT cohort, case_id, round(physical_volume, 6) AS physical_volume, row_number() OVER (PARTITION BY cohort ORDER BY physical_volume, case_id) AS r, count(*) OVER (PARTITION BY cohort) AS n FROM g3)
+ SELECT cohort, case_id, physical_volume, CASE WHEN r = 1 THEN 'smallest' WHEN r = n // 2 + 1 THEN 'median' ELSE 'largest' END AS role FROM w WHERE r = 1 OR r = n // 2 + 1 OR r = n""")
+def cohort_representatives(spark, d):
+    return rounded(_cohorts(spark, d, "representatives", True).select("cohort", "case_id", "physical_volume", "role"))
+
+
+@query(_V2 + """, f AS (SELECT 'full' AS cohort, e.* FROM exams e UNION ALL SELECT a.split, e.* FROM exams e JOIN a ON e.patient_id = a.patient_id)
+ SELECT cohort, 'magnetic_field_strength' AS property, count(*) AS n, min(magnetic_field_strength) AS min, max(magnetic_field_strength) AS max FROM f GROUP BY cohort""")
+def cohort_fields(spark, d):
+    """Any numeric column can be described by cohort."""
+    exams = view(spark, d, "exams")
+    rows = rp.by_cohort(exams, sp.split_patients(exams).select("series_submitter_id", "split"), "series_submitter_id")
+    return s.describe(rows, ["magnetic_field_strength"], ["cohort"]).select("cohort", "property", "n", "min", "max")
+
+
+@query("""WITH e AS (SELECT upper(manufacturer) AS m, CASE WHEN magnetic_field_strength = 3 THEN '3.0T' ELSE '1.5T' END AS f FROM exams)
+ SELECT 'manufacturer_by_field' AS stat_key, m AS "row", f AS col, count(*) AS n FROM e GROUP BY ALL""")
+def scanner_cells(spark, d):
+    return rp.scanner_report(view(spark, d, "exams"))["cells"].select("stat_key", "row", "col", "n")
+
+
+# The expected ranges of a cervical scan
+SCAN_RULES = [q.Range("slices", "nz", 10, 50), q.Range("width", "nx", 200, 600), q.Range("slice_spacing", "sz", 2, None, "critical"), q.Range("depth_mm", "nz * sz", None, 26), q.Range("flatness", "nx / ny", 0.5, 2.4)]
+
+
+@query("""WITH r AS (SELECT case_id, nx, ny, nz, sx, sz FROM grids)
+ SELECT case_id, 'slices' AS rule, 'warning' AS severity, nz::DOUBLE AS value, CASE WHEN nz < 10 THEN 'low' ELSE 'high' END AS bound, CASE WHEN nz < 10 THEN 10.0::DOUBLE ELSE 50.0 END AS "limit" FROM r WHERE nz < 10 OR nz > 50
+ UNION ALL SELECT case_id, 'width', 'warning', nx::DOUBLE, CASE WHEN nx < 200 THEN 'low' ELSE 'high' END, CASE WHEN nx < 200 THEN 200.0 ELSE 600.0 END FROM r WHERE nx < 200 OR nx > 600
+ UNION ALL SELECT case_id, 'slice_spacing', 'critical', sz, 'low', 2.0 FROM r WHERE sz < 2
+ UNION ALL SELECT case_id, 'depth_mm', 'warning', nz * sz, 'high', 26.0 FROM r WHERE nz * sz > 26
+ UNION ALL SELECT case_id, 'flatness', 'warning', round(nx / ny::DOUBLE, 6), CASE WHEN nx / ny::DOUBLE < 0.5 THEN 'low' ELSE 'high' END, CASE WHEN nx / ny::DOUBLE < 0.5 THEN 0.5 ELSE 2.4 END FROM r WHERE nx / ny::DOUBLE < 0.5 OR nx / ny::DOUBLE > 2.4""")
+def broken_range_rules(spark, d):
+    """Range rules as data: one pass, one row for each rule that a grid breaks."""
+    return rounded(q.broken_rules(view(spark, d, "grids"), "case_id", SCAN_RULES))
 
 
 @query()
 def cohort_consistency(spark, d):
     """Whether the full table and the training cohort decide each cross-cut alike."""
-    return rp.consistency(_cohorts(spark, d)["crosscuts"], "full", "train")
+    return rp.consistency(_cohorts(spark, d, "crosscuts"), "full", "train")
 
 
 @query("""WITH c AS (SELECT race, sex, count(*) AS n FROM exams GROUP BY ALL), t AS (SELECT race, sum(n)::BIGINT AS total FROM c GROUP BY race), p AS (SELECT *, row_number() OVER (ORDER BY total DESC, race) AS place FROM t)
