@@ -98,6 +98,15 @@ def combine(placed: DataFrame, buckets: int, shards: int) -> DataFrame:
         sums = own.join(to.drop("up"), ["bucket", "part"]).groupBy(F.col("up").alias("bucket"), F.col("to").alias("part")).agg(F.sum("bytes").alias("bytes"))
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Add ``_copy``: rows with equal ``_k`` are numbered from 0, in any order, as they are alike. Other rows get 0."""
+    again = cut(rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_k"), "again")
+    if again.isEmpty():
+        return rows.withColumn("_copy", F.lit(0).cast("long"))
+    some = salted_rank(rows.join(again, "_k", "left_semi"), ["_k"], [hash_part(F.col("_row"), "copy", 3)], [F.col("_row")], "_copy")
+    return some.withColumn("_copy", F.col("_copy") - 1).unionByName(rows.join(again, "_k", "left_anti").withColumn("_copy", F.lit(0).cast("long")))
+
+
 def shard(docs: DataFrame, shards: int = 40, text_col: str = "text", overhead: int = 16) -> DataFrame:
     """Every input row, but for its text, with size, text_crc32, law ('bytes'), shard, slot and grown_shard (null).
 
@@ -105,7 +114,8 @@ def shard(docs: DataFrame, shards: int = 40, text_col: str = "text", overhead: i
     shard. Only a group of more than a whole shard's mean share is cut, since sizes could not be near equal with it
     whole: into pieces of about half a share. Groups are dealt over tasks by hash; each task differences its groups into
     ``shards`` parts, and the tasks' parts are differenced again, round by round. Slots count from 0 in each shard
-    without gaps, in an order of hashes of where rows stand in the input.
+    without gaps, in an order of hashes of the rows. What the rows hold decides all, however the input is cut into files
+    and partitions.
 
     A null text has no bytes, like the empty one, and shares its group; null ids are ids like any other; repeated rows
     are each placed, as one group; input columns with an output's name are replaced; an empty table gives an empty
@@ -115,13 +125,16 @@ def shard(docs: DataFrame, shards: int = 40, text_col: str = "text", overhead: i
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     keep = [c for c in docs.columns if c not in made and c != text_col]
     own = {"_h": F.md5(text.cast("binary")), "_size": (F.octet_length(text) + overhead).cast("long"), "_crc": F.crc32(text.cast("binary"))}
-    narrow = cut(docs.withColumns(own).select(*keep, *own).withColumn("_row", F.monotonically_increasing_id()), "sizes")
+    narrow = docs.withColumns(own).select(*keep, *own)
+    hashed = [F.col(f"`{c}`") for c in keep if "map<" not in narrow.schema[c].dataType.simpleString()]
+    narrow = cut(narrow.withColumns({"_k": F.xxhash64("_h", *hashed), "_row": F.monotonically_increasing_id()}), "sizes")
+    narrow = cut(_told_apart(narrow).drop("_row"), "rows")
     total = narrow.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     share = max(1.0, total / shards)
     groups = narrow.groupBy("_h").agg(F.sum("_size").alias("bytes"))
     # groups of over a share: fewer than there are shards
     large = groups.filter(F.col("bytes") > share).select(F.col("_h").alias("_hl"), F.ceil(F.col("bytes") / (share / 2)).cast("long").alias("_n"))
-    piece = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_row"), F.col("_n"))).cast("long")
+    piece = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_k", "_copy"), F.col("_n"))).cast("long")
     dealt = narrow.join(F.broadcast(large), narrow["_h"] == F.col("_hl"), "left").withColumn("_piece", piece).drop("_hl", "_n")
     items = cut(dealt.groupBy("_h", "_piece").agg(F.sum("_size").alias("bytes")), "groups")
     buckets = max(1, -(-items.count() // PER_BUCKET))
@@ -133,7 +146,7 @@ def shard(docs: DataFrame, shards: int = 40, text_col: str = "text", overhead: i
     placed = placed.join(where, ["bucket", "part"]).select(F.col("h").alias("_h"), F.col("piece").alias("_piece"), "shard")
     out = dealt.join(placed, ["_h", "_piece"])
     salts = 1 + narrow.count() // SLOTS_SORTED
-    out = salted_rank(out, ["shard"], [hash_part(F.col("_row"), "slot", 7) % salts], [F.col("_row")], "_slot")
+    out = salted_rank(out, ["shard"], [hash_part(F.concat_ws(":", "_k", "_copy"), "slot", 7) % salts], [F.col("_k"), F.col("_copy")], "_slot")
     return out.select(
         *keep,
         F.col("_size").alias("size"),

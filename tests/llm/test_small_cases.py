@@ -399,6 +399,17 @@ def test_shards_match_a_plain_version(spark, monkeypatch):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
+def test_shards_do_not_depend_on_the_layout(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(shards, "PER_BUCKET", 20)
+    monkeypatch.setattr(shards, "SLOTS_SORTED", 30)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    twice = docs.filter("doc_id % 50 = 0")
+    docs = docs.unionByName(twice).unionByName(twice).unionByName(spark.range(90).select(F.lit(7).cast("long").alias("doc_id"), F.lit("hot " * 500).alias("text"), F.lit(None).cast("string").alias("lang")))
+    one = sorted(map(tuple, shards.shard(docs).collect()), key=str)
+    two = sorted(map(tuple, shards.shard(docs.repartition(5).orderBy(F.desc("text"))).collect()), key=str)
+    assert one == two and len(one) == docs.count()
+
+
 def test_differencing_beats_dealing_in_turn():
     rng = np.random.default_rng(2)
     sums = np.zeros((200, 4), np.int64)
