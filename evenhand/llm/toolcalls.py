@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
+from decimal import Decimal
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,43 +15,147 @@ from pyspark.sql import functions as F
 
 from evenhand.llm.common import cut, remove, salted_rank, temporary
 
-#: Fixed names of JSON schema types and the Python classes they accept.
-TYPES = {
-    "string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None),
+#: Fixed names of JSON schema types, and of the keywords that are checked and that say nothing about a value.
+TYPES = ("string", "integer", "number", "boolean", "object", "array", "null")
+KEYWORDS = {
+    "type", "enum", "const", "anyOf", "oneOf", "allOf", "not", "properties", "required", "additionalProperties", "minProperties", "maxProperties", "items",
+    "minItems", "maxItems", "uniqueItems", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf",
 }
+NOTES = {"title", "description", "default", "examples", "$schema", "$id", "$comment", "format", "deprecated", "readOnly", "writeOnly"}
+
+
+def check_schema(schema, path: str = "$") -> None:
+    """ValueError where a schema asks for what ``schema_errors`` does not check: nothing is 'ok' unseen."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{path}: a schema is an object, true or false")
+    if unknown := set(schema) - KEYWORDS - NOTES:
+        raise ValueError(f"{path}: unsupported keywords {sorted(unknown)}")
+    kinds = schema.get("type", [])
+    if unknown := set([kinds] if isinstance(kinds, str) else kinds) - set(TYPES):
+        raise ValueError(f"{path}: unknown types {sorted(unknown)}")
+    if "pattern" in schema:
+        re.compile(schema["pattern"])
+    if schema.get("multipleOf", 1) <= 0:
+        raise ValueError(f"{path}: multipleOf is above 0")
+    for k in ("anyOf", "oneOf", "allOf"):
+        for i, x in enumerate(schema.get(k, [])):
+            check_schema(x, f"{path}.{k}[{i}]")
+    for k, x in schema.get("properties", {}).items():
+        check_schema(x, f"{path}.{k}")
+    for k in ("not", "items", "additionalProperties"):
+        if k in schema:
+            check_schema(schema[k], f"{path}.{k}")
+
+
+def _is(value, kind: str) -> bool:
+    if kind == "number" or kind == "integer":
+        whole = isinstance(value, int) or isinstance(value, float) and value.is_integer()
+        return not isinstance(value, bool) and (whole or kind == "number" and isinstance(value, float))
+    return isinstance(value, {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}[kind])
+
+
+def same_json(a, b) -> bool:
+    """Whether two JSON values are equal: numbers by value (1 is 1.0), and never a boolean."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same_json, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return set(a) == set(b) and all(same_json(a[k], b[k]) for k in a)
+    return type(a) in (int, float) and type(b) in (int, float) and a == b or type(a) is type(b) and a == b
+
+
+def _number_errors(value, schema: dict, path: str) -> list[str]:
+    beyond = {"minimum": lambda x: value < x, "maximum": lambda x: value > x, "exclusiveMinimum": lambda x: value <= x, "exclusiveMaximum": lambda x: value >= x}
+    out = [f"{path}: out of bounds" for k, bad in beyond.items() if k in schema and bad(schema[k])]
+    if "multipleOf" in schema and Fraction(str(value)) % Fraction(str(schema["multipleOf"])):
+        out.append(f"{path}: not a multiple")
+    return out
 
 
-def schema_errors(value, schema: dict, path: str = "$") -> list[str]:
-    """What of ``value`` breaks ``schema``: type, enum, required, properties, additionalProperties, items, bounds and lengths."""
+def schema_errors(value, schema, path: str = "$") -> list[str]:
+    """What of ``value`` breaks ``schema``, as (KEYWORDS of) JSON Schema has it; a number without a fraction is an integer."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}: not allowed"]
     kind = schema.get("type")
     kinds = [kind] if isinstance(kind, str) else kind or []
-    if kinds and not any(isinstance(value, TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
+    if kinds and not any(_is(value, k) for k in kinds):
         return [f"{path}: not {'/'.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same_json(value, x) for x in schema["enum"]):
         out.append(f"{path}: not in enum")
+    if "const" in schema and not same_json(value, schema["const"]):
+        out.append(f"{path}: not the constant")
+    for x in schema.get("allOf", []):
+        out += schema_errors(value, x, path)
+    if "anyOf" in schema and all(schema_errors(value, x, path) for x in schema["anyOf"]):
+        out.append(f"{path}: fits none of anyOf")
+    if "oneOf" in schema and sum(not schema_errors(value, x, path) for x in schema["oneOf"]) != 1:
+        out.append(f"{path}: does not fit one of oneOf")
+    if "not" in schema and not schema_errors(value, schema["not"], path):
+        out.append(f"{path}: fits not")
+    sizes = {str: ("minLength", "maxLength"), list: ("minItems", "maxItems"), dict: ("minProperties", "maxProperties")}.get(type(value))
+    if sizes and not schema.get(sizes[0], 0) <= len(value) <= schema.get(sizes[1], len(value)):
+        out.append(f"{path}: out of bounds")
+    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+        out.append(f"{path}: does not match")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, other = schema.get("properties", {}), schema.get("additionalProperties", True)
         out += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
-            if k in known:
-                out += schema_errors(value[k], known[k], f"{path}.{k}")
-            elif schema.get("additionalProperties", True) is False:
+            if k in known or other is not False:
+                out += schema_errors(value[k], known.get(k, other), f"{path}.{k}")
+            else:
                 out.append(f"{path}.{k}: unexpected")
     elif isinstance(value, list):
         for i, x in enumerate(value):
-            out += schema_errors(x, schema.get("items", {}), f"{path}[{i}]")
-    size = len(value) if isinstance(value, (str, list)) else value if isinstance(value, (int, float)) and not isinstance(value, bool) else None
-    low = schema.get("minLength" if isinstance(value, str) else "minItems" if isinstance(value, list) else "minimum")
-    high = schema.get("maxLength" if isinstance(value, str) else "maxItems" if isinstance(value, list) else "maximum")
-    if size is not None and ((low is not None and size < low) or (high is not None and size > high)):
-        out.append(f"{path}: out of bounds")
+            out += schema_errors(x, schema.get("items", True), f"{path}[{i}]")
+        if schema.get("uniqueItems") and len({canonical(x) for x in value}) < len(value):
+            out.append(f"{path}: repeated items")
+    elif _is(value, "number"):
+        out += _number_errors(value, schema, path)
     return out
 
 
+def number(value: int | float) -> str:
+    """One spelling for each number, as in RFC 8785: shortest digits, an exponent from 1e21 on and below 1e-6, no fraction of zeros, no -0.
+
+    Whole numbers that no double holds keep all their digits.
+    """
+    if isinstance(value, int) and (abs(value) < 10**21 or value.bit_length() > 1000 or int(float(value)) != value):
+        return str(value)
+    value = float(value)
+    if not math.isfinite(value):
+        raise ValueError("not a JSON number")
+    if value == 0:
+        return "0"
+    sign, digits, exponent = Decimal(repr(value)).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0")
+    point = len(digits) + exponent  # the value is 0.text * 10 ** point
+    if 0 < point <= 21:
+        text = text[:point].ljust(point, "0") + ("." + text[point:] if len(text) > point else "")
+    elif -6 < point <= 0:
+        text = "0." + "0" * -point + text
+    else:
+        text = text[0] + ("." + text[1:] if len(text) > 1 else "") + f"e{point - 1:+d}"
+    return "-" * sign + text
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces, and characters as they are; ValueError for infinities and lone surrogates."""
-    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON as RFC 8785 has it: sorted keys (by UTF-16), no spaces, characters as they are, one spelling a number; ValueError for infinities and lone surrogates."""
+
+    def write(x) -> str:
+        if isinstance(x, dict):
+            return "{" + ",".join(f"{write(k)}:{write(x[k])}" for k in sorted(x, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+        if isinstance(x, list):
+            return "[" + ",".join(map(write, x)) + "]"
+        if isinstance(x, (int, float)) and not isinstance(x, bool):
+            return number(x)
+        return json.dumps(x, ensure_ascii=False)
+
+    text = write(value)
     text.encode()
     return text
 
@@ -161,6 +269,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     conversation's calls from 0 by (level, turn, call_id), those without a level last; rows whose conversation is null
     are numbered together. Names of calls outside the table are no dependencies.
 
+    Schemas are checked first: one with a keyword or type that is not known is an error, as its calls could not be judged.
+
     status: 'ok', 'no_result', 'invalid' (``errors`` lists all places where the arguments break the schema),
     'unknown_tool', 'bad_json' (also null arguments, repeated keys, NaN, numbers beyond a double's range and lone
     surrogates) or, before any of these, 'no_id' (null call_id), 'repeated' (of rows that share a call_id, that of
@@ -168,6 +278,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     no level, and the first two of them no result. Empty and long texts are texts like any other; an empty table of
     calls gives an empty table, one of results gives 'no_result'.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     order = ["conv_id", "turn", "name", "arguments", "needs"]
     calls = calls.select("conv_id", F.col("call_id").cast("string").alias("call_id"), "needs", "name", "arguments", "turn")
     # equal rows are counted before they meet by identifier

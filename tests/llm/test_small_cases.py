@@ -266,6 +266,38 @@ def test_tool_calls(spark):
     assert {r["status"] for r in toolcalls.link_calls(calls, results.limit(0), SCHEMA).filter("call_id = '1'").collect()} == {"no_result", "repeated"}
 
 
+def test_schemas_are_checked_whole():
+    bad = lambda value, schema: bool(toolcalls.schema_errors(value, schema))
+    fits = [
+        (1.0, {"type": "integer"}), (1, {"enum": [1.0]}), ("ab1", {"pattern": "[0-9]$"}), (6, {"multipleOf": 1.5}), (0.3, {"multipleOf": 0.1}), ([1, True], {"uniqueItems": True}),
+        ({"a": 1, "b": "x"}, {"properties": {"a": {"type": "number"}}, "additionalProperties": {"type": "string"}}), (3, {"anyOf": [{"type": "string"}, {"minimum": 3}]}),
+        (5, {"oneOf": [{"minimum": 4}, {"maximum": 2}]}), ({"x": None}, {"minProperties": 1}), ([], {"items": False}), (2, {"not": {"const": 3}}), (10**30, {"exclusiveMinimum": 1e29}),
+    ]
+    breaks = [
+        (True, {"enum": [1]}), (1, {"const": True}), (1.5, {"type": "integer"}), (True, {"type": "number"}), ("ab", {"pattern": "[0-9]$"}), (7, {"multipleOf": 2}), ([1, 1.0], {"uniqueItems": True}),
+        ({"b": 1}, {"additionalProperties": {"type": "string"}}), (2, {"anyOf": [{"type": "string"}, {"minimum": 3}]}), (5, {"oneOf": [{"minimum": 4}, {"minimum": 2}]}), (5, {"allOf": [{"minimum": 4}, {"maximum": 4}]}),
+        (3, {"exclusiveMinimum": 3}), (3, {"exclusiveMaximum": 3}), ({}, {"minProperties": 1}), ([1], {"items": False}), (3, {"not": {"const": 3.0}}), ({"a": [{"b": 1}]}, {"properties": {"a": {"items": {"required": ["c"]}}}}),
+    ]
+    for value, schema in fits + breaks:
+        toolcalls.check_schema(schema)
+    assert [x for x in fits if bad(*x)] == [] and [x for x in breaks if not bad(*x)] == []
+    for schema in ({"type": "text"}, {"minimun": 3}, {"properties": {"a": {"$ref": "#/x"}}}, {"items": [1]}, {"anyOf": [{"patternProperties": {}}]}, {"multipleOf": 0}):
+        with pytest.raises(ValueError):
+            toolcalls.check_schema(schema)
+
+
+def test_numbers_have_one_spelling():
+    for text, want in (
+        ("1.0", "1"), ("1", "1"), ("1e2", "100"), ("100.0", "100"), ("-0.0", "0"), ("1E21", "1e+21"), ("1" + "0" * 21, "1e+21"), ("1e20", "1" + "0" * 20), ("0.000001", "0.000001"), ("1e-7", "1e-7"),
+        ("123456789012345678901234567890", "123456789012345678901234567890"), ("9007199254740993", "9007199254740993"), ("333333333.33333329", "333333333.3333333"), ("-1.5e-10", "-1.5e-10"), ("4.50", "4.5"), ("2e-3", "0.002"),
+    ):
+        assert toolcalls.canonical(json.loads(text)) == want
+    assert toolcalls.canonical({"\U0001f600": 1, "\ufb33": [None, True, "\x1f\"/"]}) == '{"\U0001f600":1,"\ufb33":[null,true,"\\u001f\\"/"]}'
+    for value in (float("inf"), "\ud800"):
+        with pytest.raises(ValueError):
+            toolcalls.canonical(value)
+
+
 def test_chats_keep_rows_without_conversation_or_turn(spark):
     turns = spark.createDataFrame(
         [(None, 0, "user", "one two three"), (None, 0, "user", "four five six"), (5, None, "user", "a b c"), (None, 5, "user", "d e f"), (5, None, "assistant", "r"), (5, 1, "assistant", None)],
