@@ -131,6 +131,7 @@ def train(
     id_col: str = "doc_id",
     sample_rows: int = 4000,
     sample_bytes: int = 32 << 20,
+    languages: int = MOST_LANGUAGES,
     buckets: int = BUCKETS,
     epochs: int = 3,
     alpha: float = 0.5,
@@ -144,7 +145,8 @@ def train(
     labelled rows and about ``sample_bytes`` bytes of text, as many of each language (the lowest hashes of ``id_col``
     and text, so a repeated id or row has no part beyond its own; each language has a row at least); every fifth of
     them only calibrates the temperature. Rows with null text or language teach nothing; null ids are ids like any
-    other. ValueError for more than MOST_LANGUAGES languages.
+    other. Of more than ``languages`` languages, the commonest are learned (ties by name): a column with stray values in it
+    bounds the model like a clean one.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("i")).filter("t IS NOT NULL AND lang IS NOT NULL")
@@ -153,10 +155,10 @@ def train(
     total = counts.pop(-1, 0)
     idf = np.zeros(buckets)
     idf[list(counts)] = [np.log((1 + total) / (1 + n)) + 1.0 for n in counts.values()]
-    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(held) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    held = {r["lang"]: r["n"] for r in common.collect()}
     langs = sorted(held)
+    rows = rows.filter(F.col("lang").isin(*langs)) if langs else rows
     if not langs:
         return {"langs": [], "index": np.zeros(buckets + 1, np.int32), "weights": np.zeros((1, 0), np.float32), "temperature": 1.0}
     quota, share = max(1, sample_rows // len(langs)), sample_bytes // len(langs)

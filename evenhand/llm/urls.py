@@ -81,8 +81,8 @@ def filter_urls(
     urls: ``label`` (1 blocks, 0 allows, null teaches nothing), or else what the rules say of the urls they fit. Trees
     are fitted on at most ``sample_rows`` labelled rows (lowest url hashes); suffix statistics are counted over all rows:
     the magnitude of a suffix's number of rows, and the smoothed share that is blocked among its labelled ones. A taught
-    row's share leaves its own fifth of the urls out. Where the rules made the label, every share is the whole's: a
-    suffix that rules name would only repeat them.
+    row's share leaves its own fifth of the urls out; where the rules made the labels, all that its own rule labelled, so
+    that a share tells what other rules say of the suffix, and never repeats the row's.
 
     One fifth of the sample is held back; ``report``, if given, gets 'taught' and 'held_out' (rows) and 'accuracy' and
     'base_rate' (of the held-out rows: how many are judged right, and the share of the commoner label).
@@ -98,24 +98,28 @@ def filter_urls(
     df = df.withColumn("host", host).withColumn("path", path).withColumn("_rule", match_rule(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("_rule").isNotNull(), (F.col("_rule.verdict") == "block").cast("int"))
     df = df.withColumn("_label", F.coalesce("_label0", own).cast("double"))
-    known = lexical(df.select("_url", "host", "path", "_label"), "_url", "host", "path")
+    # what a taught row's suffix share leaves out: its fold, or, where rules made the labels, all that its own rule labelled
+    parts = FOLDS if label is not None else len(rules)
+    fold = lambda: F.pmod(F.xxhash64(F.lit("fold"), "_url"), F.lit(FOLDS)).cast("int")
+    leave = fold() if label is not None else (F.array_position(F.array(*[F.lit(r) for r, _ in rules]), F.col("_rule.rule")) - 1).cast("int")
+    df = df.withColumn("_leave", leave)
+    known = lexical(df.select("_url", "host", "path", "_label", "_leave"), "_url", "host", "path")
     total = known.agg(F.coalesce(F.avg("_label"), F.lit(0.0)).alias("share"), F.countDistinct("_label").alias("kinds")).first()
     share, kinds = total["share"], total["kinds"]
-    fold = lambda: F.pmod(F.xxhash64(F.lit("fold"), "_url"), F.lit(FOLDS)).cast("int")
-    in_fold = lambda v: [F.coalesce(F.sum(F.when(F.col("_fold") == i, v)), F.lit(0.0)) for i in range(FOLDS)]
-    suffixes = known.withColumn("_fold", fold()).groupBy(F.col("_suffix").alias("_s")).agg(
-        F.array(*in_fold(F.col("_label"))).alias("_sums"), F.array(*in_fold(F.col("_label").isNotNull().cast("double"))).alias("_counts"),
+    in_part = lambda v: [F.coalesce(F.sum(F.when(F.col("_leave") == i, v)), F.lit(0.0)) for i in range(parts)]
+    suffixes = known.groupBy(F.col("_suffix").alias("_s")).agg(
+        F.array(*in_part(F.col("_label"))).alias("_sums"), F.array(*in_part(F.col("_label").isNotNull().cast("double"))).alias("_counts"),
         F.floor(F.log2(F.count(F.lit(1)).cast("double"))).cast("double").alias("f_suffix_log"),
     )
     suffixes = cut(suffixes, "suffixes")
     side = F.broadcast(suffixes) if suffixes.count() <= BROADCAST_SUFFIXES else suffixes
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
 
-    def featured(rows: DataFrame, out_of_fold: bool) -> DataFrame:
+    def featured(rows: DataFrame, left_out: bool) -> DataFrame:
         """With the suffix statistics and the vector of all features."""
         rows = rows.join(side, rows["_suffix"] == side["_s"])
-        total = lambda name: F.aggregate(name, F.lit(0.0), lambda a, b: a + b) - (F.get(F.col(name), fold()) if out_of_fold else F.lit(0.0))
-        rate = (total("_sums") + 10.0 * share) / (total("_counts") + 10.0) if label is not None else F.lit(float(share))
+        total = lambda name: F.aggregate(name, F.lit(0.0), lambda a, b: a + b) - (F.coalesce(F.get(F.col(name), F.col("_leave")), F.lit(0.0)) if left_out else F.lit(0.0))
+        rate = (total("_sums") + 10.0 * share) / (total("_counts") + 10.0)
         return vectors.transform(rows.withColumn("f_suffix_rate", rate).drop("_s", "_sums", "_counts"))
 
     if kinds < 2:

@@ -119,6 +119,17 @@ def test_url_suffixes_do_not_teach_their_own_labels(spark):
     assert report["held_out"] > 0 and 0.0 <= report["accuracy"] <= 1.0
 
 
+def test_suffix_shares_of_ruled_urls_come_from_other_rules(spark):
+    """Under b.org, one rule blocks a path and others allow theirs: urls that no rule fits are judged by what rules say of their suffix."""
+    rules = [("b.org/x/", "block"), ("b.org/y/", "block"), ("g.org/x/", "allow"), ("g.org/y/", "allow")]
+    urls_ = [f"http://{h}{i % 40}.{d}/{p}/{i}" for d in ("b.org", "g.org") for p in ("x", "y") for i, h in enumerate(["h"] * 150)]
+    free = [f"http://h{i % 40}.{d}/z/{i}" for d in ("b.org", "g.org") for i in range(50)]
+    df = spark.createDataFrame([(u,) for u in urls_ + free], "url string")
+    got = urls.filter_urls(df, rules=rules).filter("rule IS NULL").collect()
+    right = [r["verdict"] == ("block" if ".b.org" in r["url"] else "allow") for r in got]
+    assert len(right) == 100 and sum(right) > 95
+
+
 def test_entropy(spark):
     got = spark.createDataFrame([("aabb",), ("",), ("aaaa",)], "s string").select(urls.entropy(F.col("s"))).collect()
     assert [round(r[0], 6) for r in got] == [1.0, 0.0, 0.0]
@@ -220,6 +231,16 @@ def test_language_sample_is_bounded(spark):
         langid.train(many)
 
 
+def test_language_column_with_stray_values(spark):
+    rows = [(i, [EN, DE][i % 2] * 3, ["en", "de"][i % 2], None) for i in range(40)] + [(1000 + i, f"stray {i}", f"x{i}", None) for i in range(600)]
+    model = langid.train(docs_of(spark, rows))
+    assert len(model["langs"]) == langid.MOST_LANGUAGES and {"en", "de"} <= set(model["langs"])
+    two = langid.train(docs_of(spark, rows), languages=2)
+    assert two["langs"] == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs_of(spark, rows[:2]), two).collect()}
+    assert got == {0: "en", 1: "de"}
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     got = langid.op3_language(spark, sf_dir.replace("sf0.001", "sf0.01")).join(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "lang"), "doc_id")
     test = got.filter("held_out AND lang IS NOT NULL")
