@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb, log2
+from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import cut, remove, temporary
 
-#: Flips of one radius that a query row is multiplied by at once; more are taken in several joins.
-MOST_FLIPS = 20_000
-
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
     """Signs of the first ``bits`` components as '0' and '1', null for a null vector; missing or null components are 0."""
@@ -30,14 +26,16 @@ def part(code: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(code, low).bitwiseAND((1 << width) - 1)
 
 
-def flips(width: int, radius: int):
-    """Numbers of ``width`` bits of which ``radius`` are set, in lists of bounded length."""
-    found = (sum(1 << i for i in c) for c in combinations(range(width), radius))
-    left = comb(width, radius)
-    while left > 0:
-        some = [next(found) for _ in range(min(left, MOST_FLIPS))]
-        left -= len(some)
-        yield some
+def flipped(rows: DataFrame, radius: int) -> DataFrame:
+    """Each row (with a segment's ``width`` and a ``value``) once for every choice of ``radius`` of its bits, which are flipped.
+
+    Bits are chosen one after another, each above the last: nested generators, so that no plan or table names the choices.
+    """
+    rows = rows.filter(F.col("width") >= radius).withColumn("_bit", F.lit(-1))
+    for left in range(radius, 0, -1):
+        rows = rows.withColumn("_bit", F.explode(F.sequence(F.col("_bit") + 1, F.col("width") - left)))
+        rows = rows.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, _bit)")))
+    return rows.drop("_bit")
 
 
 def _found(index: DataFrame, queries: DataFrame, spans: list[tuple[int, int]], radius: int) -> list[DataFrame]:
@@ -46,17 +44,8 @@ def _found(index: DataFrame, queries: DataFrame, spans: list[tuple[int, int]], r
     A pair that meets in several segments is taken in the first of them, so no pair comes twice, nor again at a
     larger radius.
     """
-    out = []
-    for s, (_, width) in enumerate(spans):
-        for masks in flips(width, radius) if radius <= width else ():
-            values = F.explode(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>"))
-            probes = queries.select("query", F.lit(s).alias("segment"), part(F.col("query"), *spans[s]).alias("own"), values.alias("flip"))
-            out.append(probes.select("query", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value")))
-    if not out:
-        return []
-    probes = out[0]
-    for more in out[1:]:
-        probes = probes.unionByName(more)
+    own = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), F.lit(w).alias("width"), part(F.col("query"), low, w).alias("value")) for s, (low, w) in enumerate(spans)]))
+    probes = flipped(queries.select("query", own.alias("_s")).select("query", "_s.*"), radius).drop("width")
     met = probes.join(index, ["segment", "value"]).withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
     for s, (low, width) in enumerate(spans):
         near = F.bit_count(part(F.col("x"), low, width))

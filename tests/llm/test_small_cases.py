@@ -62,6 +62,16 @@ def test_top_k_is_exact_with_ties_nulls_and_copies(spark):
     assert near == {1: 0, 65: 0, 129: 0}
 
 
+def test_flips_are_all_choices_of_bits(spark):
+    from math import comb
+
+    rows = spark.createDataFrame([(0, 5, 0b10110), (1, 3, 0b101), (2, 1, 0)], "segment int, width int, value long")
+    for radius in range(6):
+        got = [(r["segment"], r["value"]) for r in hamming.flipped(rows, radius).collect()]
+        assert len(got) == len(set(got)) == sum(comb(w, radius) for w in (5, 3, 1))
+        assert all(bin(v ^ {0: 0b10110, 1: 0b101, 2: 0}[s]).count("1") == radius for s, v in got)
+
+
 def test_top_k_of_few_and_of_none(spark):
     df = spark.createDataFrame([(1, "0000"), (2, "0001")], "id long, code string")
     assert hamming.top_k(df, df, 10, bits=4, segments=2).count() == 4
