@@ -24,11 +24,14 @@ def _events(spark, d):
     )
 
 
-#: The correlation of value and user within a group, from sums; and the metric, the widest difference of two groups.
-_SUMS = {"x": F.col("value"), "y": F.col("user"), "xy": F.col("value") * F.col("user"), "xx": F.col("value") ** 2, "yy": F.col("user") ** 2}
+def _sums():
+    """What the correlation of value and user within a group takes."""
+    x, y = F.col("value"), F.col("user")
+    return {"x": x, "y": y, "xy": x * y, "xx": x * x, "yy": y * y}
 
 
 def _correlation_gap():
+    """The widest difference of two groups' correlations."""
     n, x, y, xy, xx, yy = (F.col(c) for c in ("n", "x", "y", "xy", "xx", "yy"))
     r = (xy / n - x / n * y / n) / F.sqrt((xx / n - x / n * x / n) * (yy / n - y / n * y / n))
     return F.max(r) - F.min(r)
@@ -46,13 +49,13 @@ def permutation_sizes(spark, d):
  SELECT 'all' AS key, round(max(r) - min(r), 6) AS observed, CAST(200 AS BIGINT) AS n_perm FROM c""")
 def correlation_gap(spark, d):
     """A metric that is no mean: the gap of groups' correlations, with its permutation test."""
-    got = resample.general_permutation(_events(spark, d), ["key"], "grp", sums=_SUMS, metric=_correlation_gap())
+    got = resample.general_permutation(_events(spark, d), ["key"], "grp", sums=_sums(), metric=_correlation_gap())
     return rounded(got.filter("p BETWEEN 0 AND 1 AND null_std > 0").select("key", "observed", "n_perm"))
 
 
 @query()
 def correlation_gap_interval(spark, d):
-    return rounded(resample.general_bootstrap(_events(spark, d), ["key"], "grp", sums=_SUMS, metric=_correlation_gap()))
+    return rounded(resample.general_bootstrap(_events(spark, d), ["key"], "grp", sums=_sums(), metric=_correlation_gap()))
 
 
 # Medians --------------------------------------------------------------------------------------------------------------
