@@ -13,6 +13,7 @@ from evenhand.functions import special
 from evenhand.functions.exprs import NAN, valid
 from evenhand.functions.ranks import counted, positions, rank_in_runs, value_run
 from evenhand.operators.summaries import middle
+from evenhand.sources.scratch import cut
 
 
 def rank_sums(df: DataFrame, key: list[str], grp: str = "grp", value: str = "value") -> DataFrame:
@@ -102,23 +103,26 @@ def dunn(ranks: DataFrame, key: list[str], omnibus: DataFrame | None = None, alp
 def chi_squared(cells: DataFrame, key: list[str], p_values: bool = True) -> DataFrame:
     """Independence of (row, col) counts n per key, Yates-corrected at one degree of freedom, with Cramér's V.
 
-    Zero cells may be missing. A key with one row or one column gets NaN.
+    Zero cells may be missing: what they add is their expected counts, the total less those of the cells that are there,
+    so rows and columns are never crossed. In a two by two table all four cells are equally far from what is expected. A key
+    with one row or one column gets NaN.
     """
-    cells = cells.groupBy(*key, "row", "col").agg(F.sum("n").alias("n")).filter("n > 0")
+    cells = cut(cells.groupBy(*key, "row", "col").agg(F.sum("n").alias("n")).filter("n > 0"), "cells")
     rows = cells.groupBy(*key, "row").agg(F.sum("n").alias("rn"))
     cols = cells.groupBy(*key, "col").agg(F.sum("n").alias("cn"))
-    size = rows.groupBy(*key).agg(F.sum("rn").alias("total"), F.count(F.lit(1)).alias("r"))
-    size = size.join(cols.groupBy(*key).agg(F.count(F.lit(1)).alias("c")), key)
-    grid = rows.join(cols, key).join(cells, [*key, "row", "col"], "left").na.fill(0, ["n"]).join(size, key)
+    size = rows.groupBy(*key).agg(F.sum("rn").alias("total"), F.count(F.lit(1)).alias("r"), F.sum(1 / F.col("rn")).alias("inv_r"))
+    size = size.join(cols.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.sum(1 / F.col("cn")).alias("inv_c")), key)
+    met = cells.join(rows, [*key, "row"]).join(cols, [*key, "col"]).join(size, key)
     e = F.col("rn") * F.col("cn") / F.col("total")
-    off = F.abs(F.col("n") - e)
-    yates = F.when((F.col("r") - 1) * (F.col("c") - 1) == 1, off - F.least(F.lit(0.5), off)).otherwise(off)
-    out = grid.groupBy(*key, "total", "r", "c").agg(F.sum(yates * yates / e).alias("x"))
+    off = F.col("n") - e
+    out = met.groupBy(*key, "total", "r", "c", "inv_r", "inv_c").agg(F.sum(off * off / e).alias("seen"), F.sum(e).alias("expected"), F.max(F.abs(off)).alias("off"))
     dof = (F.col("r") - 1) * (F.col("c") - 1)
     least = F.least("r", "c") - 1
+    yates = F.pow(F.col("off") - F.least(F.lit(0.5), F.col("off")), 2) * F.col("total") * F.col("inv_r") * F.col("inv_c")
+    x = F.when(dof == 1, yates).otherwise(F.col("seen") + F.col("total") - F.col("expected"))
     out = out.select(
-        *key, F.col("total").alias("n"), dof.alias("dof"), F.when(dof > 0, F.col("x")).otherwise(F.lit(NAN)).alias("chi2"),
-        F.when(dof > 0, F.sqrt(F.col("x") / (F.col("total") * least))).otherwise(F.lit(NAN)).alias("cramers_v"),
+        *key, F.col("total").alias("n"), dof.alias("dof"), F.when(dof > 0, x).otherwise(F.lit(NAN)).alias("chi2"),
+        F.when(dof > 0, F.sqrt(x / (F.col("total") * least))).otherwise(F.lit(NAN)).alias("cramers_v"),
     )
     return out.withColumn("p", _chi2_p("chi2", "dof")) if p_values else out
 

@@ -244,8 +244,42 @@ def random_projection(df: DataFrame, size: int, out: int, seed: int = 7) -> Data
     return df.withColumn("features", array_to_vector(project(vector_to_array("features"))))
 
 
-def extract(items: DataFrame, key: str, load: Callable[[], Callable[[pd.DataFrame], np.ndarray]]) -> DataFrame:
-    """(key, embedding, status): ``load`` makes the encoder once a task; an item that fails is reported, the others go on."""
+#: Encoders by name: what makes an encoder in a task (see ``extract``). ``register_encoder`` adds to them.
+ENCODERS: dict[str, Callable[[], Callable[[pd.DataFrame], np.ndarray]]] = {}
+
+
+def register_encoder(name: str):
+    """Decorator: the function makes the encoder ``name``, once a task."""
+
+    def add(load):
+        if name in ENCODERS:
+            raise ValueError(f"encoder {name} is registered")
+        ENCODERS[name] = load
+        return load
+
+    return add
+
+
+def encoder(name: str):
+    if name not in ENCODERS:
+        raise ValueError(f"unknown encoder {name}; there are {', '.join(sorted(ENCODERS))}")
+    return ENCODERS[name]
+
+
+@register_encoder("moments")
+def _moments():
+    """Mean, standard deviation, least and greatest value of the array in the column ``values``."""
+
+    def encode(item: pd.DataFrame) -> np.ndarray:
+        x = np.asarray(item["values"].iloc[0], float)
+        return np.array([x.mean(), x.std(), x.min(), x.max()])
+
+    return encode
+
+
+def extract(items: DataFrame, key: str, load: str | Callable[[], Callable[[pd.DataFrame], np.ndarray]]) -> DataFrame:
+    """(key, embedding, status): ``load`` (or the encoder registered under that name) makes the encoder once a task; an item that fails is reported, the others go on."""
+    load = encoder(load) if isinstance(load, str) else load
     kind = items.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

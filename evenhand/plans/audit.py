@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,12 +92,12 @@ class Tables:
 
 
 def prepare(scores: DataFrame, exams: DataFrame, folder: str | None = None) -> Tables:
-    """The long table and its rank sums, each built once: as Parquet below ``folder``, or else kept by the executors."""
+    """The long table and its rank sums, each built once: as Parquet below ``folder``, or else in the scratch folder."""
     spark = scores.sparkSession
 
     def once(df: DataFrame, name: str) -> DataFrame:
         if folder is None:
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
+            return cut(df, name)
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
@@ -119,7 +118,7 @@ def audit(
     """
     names = m.score_columns(m.with_macro(scores))
     made = prepare(scores, exams, folder)
-    rates = rates_of(scores, exams, rules_list(names)).persist(StorageLevel.MEMORY_AND_DISK)  # a row a group
+    rates = cut(rates_of(scores, exams, rules_list(names)), "rates")  # a row a group
     gap = m.gaps(rates)
     tests = h.benjamini_hochberg(all_tests(made.ranks, m.KEY), ["ruler"])
     out = {

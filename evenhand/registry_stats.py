@@ -11,6 +11,7 @@ from evenhand.operators import probe as pr
 from evenhand.operators import resample
 from evenhand.operators import voxels as v
 from evenhand.plans import evaluation as ev
+from evenhand.plans import reports as rp
 from evenhand.registry import _HD, _LONG, _long, _vectors, query, rounded
 from evenhand.sources.fixtures import table, view
 from evenhand.sources.scratch import scratch
@@ -165,6 +166,35 @@ def attribute_silhouettes(spark, d):
     return rounded(pr.silhouettes(_attributes(spark, d), "vec_id", ["binary", "third"]))
 
 
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)
+ SELECT vec_id, round(list_avg(x), 6) AS mean, round(list_stddev_pop(x), 6) AS std, round(list_min(x), 6) AS least, round(list_max(x), 6) AS greatest, 'ok' AS status FROM v""")
+def encoder_moments(spark, d):
+    """Features of an encoder that is named."""
+    items = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("values"))
+    got = pr.extract(items, "vec_id", "moments")
+    names = ("mean", "std", "least", "greatest")
+    return rounded(got.select("vec_id", *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)], "status"))
+
+
+# Energy ---------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH j AS (SELECT l_orderkey % 200 AS job, max(l_quantity * 60.5) AS sec FROM lineitem GROUP BY 1),
+ h AS (SELECT CASE WHEN job % 3 = 0 THEN 0.25::DOUBLE ELSE 0.35::DOUBLE END AS kw, sum(sec / 3600.0::DOUBLE) AS hours FROM j WHERE job % 7 <> 0 GROUP BY 1),
+ s AS (SELECT unnest(['low', 'central', 'high']) AS scenario, unnest([1.55::DOUBLE, 1.58, 1.67]) AS pue, unnest([0.099::DOUBLE, 0.099, 0.138]) AS ci)
+ SELECT scenario, round(sum(hours * kw * pue), 6) AS kwh, round(sum(hours * kw * pue) * ci, 6) AS co2_kg FROM h CROSS JOIN s GROUP BY scenario, ci""")
+def energy_from_logs(spark, d):
+    """From job logs as text files to energy: the lines are written first; some logs state no run time."""
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("job"), (F.col("l_quantity") * 60.5).cast("decimal(12,2)").alias("sec"))
+    text = F.when(F.col("job") % 7 == 0, F.lit("killed")).otherwise(F.concat(F.lit("    Run time :                 "), F.col("sec").cast("string"), F.lit(" sec.")))
+    path = scratch(spark, "logs")
+    rows.select("job", F.explode(F.array(F.lit("Resource usage summary:"), text)).alias("line")).repartition("job").write.partitionBy("job").text(path)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.regexp_extract("_metadata.file_path", "job=([0-9]+)", 1).alias("path"))
+    jobs = rp.run_times(lines)
+    queue = F.when(F.col("path").cast("int") % 3 == 0, "gpua100").otherwise("gpul40s")
+    return rounded(rp.energy(jobs.groupBy(queue.alias("queue")).agg(F.sum("hours").alias("hours"))))
+
+
 # Masks ----------------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,5 +93,19 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str,
 
     made = newest(path) if exists(spark, path) else None
     if force or made is None or any((t := newest(s)) is not None and t > made for s in sources):
-        build().write.mode("overwrite").parquet(path)
+        replace_table(spark, build(), path)
     return spark.read.parquet(path)
+
+
+def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write ``df`` beside ``path`` and move it there once it is whole: a failed build leaves the old table as it was."""
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    df.write.parquet(new)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(at(new), at(path)):
+        fs.rename(at(old), at(path))
+        raise OSError(f"cannot move {new}")
+    fs.delete(at(old), True)

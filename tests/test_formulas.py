@@ -221,3 +221,54 @@ def test_files_round_trip(spark, tmp_path):
     assert len(built) == 1
     tables.materialize(spark, make, f"{tmp_path}/m", force=True)
     assert len(built) == 2
+
+
+def test_chi_squared_with_empty_cells(spark):
+    tables = {"wide": [[5, 0, 3], [0, 7, 2], [4, 4, 0], [0, 0, 6]], "two": [[3, 0], [2, 9]], "even": [[4, 4], [4, 4]], "row": [[3, 5]]}
+    rows = [(k, f"r{i}", f"c{j}", n) for k, t in tables.items() for i, r in enumerate(t) for j, n in enumerate(r) if n or k == "two"]
+    got = {r["key"]: r for r in h.chi_squared(spark.createDataFrame(rows, "key string, row string, col string, n long"), ["key"]).collect()}
+    for k, t in tables.items():
+        o = np.array(t, float)
+        e = o.sum(axis=1, keepdims=True) * o.sum(axis=0) / o.sum()
+        off = np.abs(o - e)
+        if k in ("two", "even"):
+            off = off - np.minimum(0.5, off)
+        if k == "row":
+            assert math.isnan(got[k]["chi2"]) and got[k]["p"] is None
+        else:
+            assert got[k]["chi2"] == pytest.approx((off**2 / e).sum(), abs=1e-9) and got[k]["n"] == o.sum()
+
+
+def test_a_failed_build_keeps_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert tables.materialize(spark, lambda: spark.range(3), path).count() == 3
+    assert tables.materialize(spark, lambda: spark.range(9), path).count() == 3
+
+    def fails():
+        return spark.range(5).select(F.raise_error(F.lit("no")).alias("id"))
+
+    with pytest.raises(Exception, match="no"):
+        tables.materialize(spark, fails, path, force=True)
+    assert spark.read.parquet(path).count() == 3
+    assert tables.materialize(spark, lambda: spark.range(9), path, force=True).count() == 9
+
+
+def test_encoders_by_name(spark):
+
+    items = spark.createDataFrame([(1, [1.0, 3.0]), (2, []), (3, None)], "id long, values array<double>")
+    got = {r["id"]: r for r in probe.extract(items, "id", "moments").collect()}
+    assert got[1]["embedding"] == [2.0, 1.0, 1.0, 3.0] and got[1]["status"] == "ok" and got[2]["embedding"] is None and got[3]["embedding"] is None
+    with pytest.raises(ValueError, match="moments"):
+        probe.extract(items, "id", "nobody")
+    with pytest.raises(ValueError):
+        probe.register_encoder("moments")(lambda: None)
+
+
+def test_range_rules(spark):
+
+    df = spark.createDataFrame([(1, 5.0, 2.0), (2, float("nan"), 20.0), (3, None, 1.0)], "id long, a double, b double")
+    rules = quality.range_rules(spark.createDataFrame([("a", "a", None, 4.0, "critical"), ("sum", "a + b", 8.0, None, "warning"), ("b", "b", 1.5, 10.0, "warning")], "rule string, expression string, low double, high double, severity string"))
+    got = sorted((r["id"], r["rule"], r["bound"], r["limit"], r["severity"]) for r in quality.broken_rules(df, "id", rules).collect())
+    assert got == [(1, "a", "high", 4.0, "critical"), (1, "sum", "low", 8.0, "warning"), (2, "a", "nan", None, "critical"), (2, "b", "high", 10.0, "warning"), (2, "sum", "nan", None, "warning"), (3, "b", "low", 1.5, "warning")]
+    with pytest.raises(ValueError):
+        quality.broken_rules(df, "id", [])
