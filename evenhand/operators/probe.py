@@ -272,6 +272,8 @@ def _moments():
 
     def encode(item: pd.DataFrame) -> np.ndarray:
         x = np.asarray(item["values"].iloc[0], float)
+        if x.ndim != 1 or not len(x) or not np.isfinite(x).all():
+            raise ValueError("not an array of numbers")
         return np.array([x.mean(), x.std(), x.min(), x.max()])
 
     return encode
