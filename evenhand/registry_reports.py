@@ -141,10 +141,18 @@ def metadata_load(spark, d):
     return exams.select("series_submitter_id", "patient_id", "study_submitter_id", "manufacturer", "sex", "filename")
 
 
-@query("SELECT * FROM (SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS \"column\", NULL::BIGINT AS n, NULL::VARCHAR AS sample) WHERE (SELECT count(*) FROM orders) < 0")
+@query("""WITH r AS (SELECT o.o_orderkey AS k, o.o_custkey AS c, CASE WHEN o.o_orderkey % 41 = 0 THEN 'PHILIPS' ELSE 'ok' END AS m, CASE WHEN o.o_custkey % 13 = 0 THEN 'Martian' ELSE 'White' END AS race
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey CROSS JOIN (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR (o.o_orderkey % 37 = 0 AND o.o_orderkey % 3 <> 0))
+ SELECT * FROM (SELECT 'allowed' AS rule, 'manufacturer' AS "column", count(*) AS n, min(m) AS sample FROM r WHERE m = 'PHILIPS' UNION ALL SELECT 'allowed', 'race', count(*), min(race) FROM r WHERE race = 'Martian'
+  UNION ALL SELECT 'unique', 'series_submitter_id', count(DISTINCT k), min(CAST(k AS VARCHAR)) FROM r WHERE k % 37 = 0 AND k % 3 <> 0) WHERE n > 0""")
 def metadata_violations(spark, d):
-    """The loaded table is sound: the manufacturers were upper-cased."""
-    return rp.load_metadata(*_metadata(spark, d))[1]
+    """Faulty metadata: an unknown manufacturer, a race that is not on the list, and series with two images."""
+    series, studies, cases, files = _metadata(spark, d)
+    key = F.col("submitter_id")
+    series = series.withColumn("manufacturer", F.when(key % 41 == 0, "Philips").otherwise(F.col("manufacturer")))
+    cases = cases.withColumn("race", F.when(key % 13 == 0, "Martian").otherwise(F.col("race")))
+    again = files.filter(~F.col("file_name").endswith("_SEG.nii.gz") & (F.col("series") % 37 == 0)).select("series", F.concat(F.lit("again-"), "file_name").alias("file_name"))
+    return rp.load_metadata(series, studies, cases, files.unionByName(again))[1]
 
 
 _GEO = """geo AS (SELECT case_id, CAST(nx AS BIGINT) * ny * nz AS total_voxels, nx * sx AS physical_width, ny * sy AS physical_height, nz * sz AS physical_depth FROM grids),
