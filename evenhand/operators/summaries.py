@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.exprs import NAN, nearest_index
-from evenhand.functions.ranks import counted, positions, value_run
+from evenhand.functions.ranks import counted, positions, rank_in_runs, value_run
 from evenhand.sources.scratch import cut
 
 
@@ -133,6 +133,17 @@ def distinct_and_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     return per.groupBy("property").agg(F.count("value").alias("n_unique"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"))
 
 
+def sorted_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(property, place, value): each column's distinct values, nulls left out, numbered from 1 in order.
+
+    Values are cut into runs by their first characters, so that a column of many values is many tasks.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).cast("string").alias("value")) for c in columns])
+    rows = cut(df.select(F.explode(pairs).alias("_p")).select("_p.*").filter("value IS NOT NULL").distinct(), "values")
+    run = F.conv(F.hex(F.substring(F.col("value").cast("binary"), 1, 3)), 16, 10).cast("long") * F.pow(F.lit(256), 3 - F.least(F.octet_length("value"), F.lit(3))).cast("long")
+    return rank_in_runs(rows, ["property"], F.when(F.col("value") == "", -1).otherwise(run), [F.col("value")], "place").select("property", "place", "value")
+
+
 def by_marginal(counted: DataFrame, category: str) -> DataFrame:
     """Counted rows with their category's total and its place (from 1) by falling total, ties by name."""
     total = counted.groupBy(category).agg(F.sum("n").alias("total"))

@@ -105,3 +105,20 @@ def segmentation_report(table: DataFrame, exams: DataFrame, case: str = "series_
         "by_manufacturer": s.group_summary(long, ["manufacturer", "property"]),
         "tests": segmentation_tests(table, exams),
     }
+
+
+#: What pools of cases are compared on: both labels' voxels, volumes and components, and the whole volume.
+MORPHOLOGY = (*columns(), "volume_mm3_total")
+
+
+def pool_tests(table: DataFrame, exams: DataFrame, pool: str = "annotation_quality", features: tuple[str, ...] = MORPHOLOGY, case: str = "series_submitter_id", p_values: bool = True) -> DataFrame:
+    """Rank-sum tests of a segmentation table's features between two pools of exams: a row a feature, one family of tests.
+
+    (feature, group_a, group_b, n_a, n_b, median_a, median_b, u, rank_biserial, magnitude, and p and p_fdr.)
+    """
+    whole = table.withColumn("volume_mm3_total", F.col("volume_mm3_vb") + F.col("volume_mm3_disc"))
+    rows = whole.join(exams.select(F.col(case).alias("case_id"), F.col(pool).alias("grp")), "case_id").filter("grp IS NOT NULL")
+    long = s.unpivot(rows, list(features), ["grp"]).withColumnRenamed("property", "feature")
+    out = h.mann_whitney(h.rank_sums(long, ["feature"]), ["feature"], p_values)
+    out = out.withColumn("magnitude", h.magnitude(F.col("rank_biserial"), "r"))
+    return h.benjamini_hochberg(out, []) if p_values else out

@@ -18,6 +18,7 @@ from evenhand.plans import datasets as ds
 from evenhand.plans import reports as rp
 from evenhand.plans import volumes as vo
 from evenhand.registry import _AGE, _CC, _GAP, _GAP_OUT, _LONG, _R, _RANKS, _RATE, _RATES, _SWEEP, _V2, _long, _rates, query, rounded
+from evenhand.sources import tables
 from evenhand.sources.fixtures import table, view
 
 # The audit ------------------------------------------------------------------------------------------------------------
@@ -234,6 +235,39 @@ def segmentation_report(spark, d):
     return rounded(vo.segmentation_report(made, view(spark, d, "exams"))["tests"])
 
 
+_POOL_SQL = f"""WITH RECURSIVE {_SEG}, pm AS (SELECT seg.*, volume_mm3_vb + volume_mm3_disc AS volume_mm3_total, e.annotation_quality AS grp FROM seg JOIN exams e ON seg.case_id = e.series_submitter_id),
+ pl AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, grp, {c}::DOUBLE AS value FROM pm" for c in vo.MORPHOLOGY) + """),
+ pr AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS rk FROM pl),
+ pg AS (SELECT feature, grp, count(*) AS n, sum(rk) AS rs, median(value) AS med, min(value) AS lo, max(value) AS hi FROM pr GROUP BY ALL),
+ pp AS (SELECT x.feature, x.grp AS group_a, y.grp AS group_b, x.n AS n_a, y.n AS n_b, x.med AS median_a, y.med AS median_b, x.rs - x.n * (x.n + 1) / 2.0::DOUBLE AS u, least(x.lo, y.lo) = greatest(x.hi, y.hi) AS same
+  FROM pg x JOIN pg y ON x.feature = y.feature AND x.grp < y.grp)"""
+
+
+@query(f"""{_POOL_SQL} SELECT feature, group_a, group_b, n_a, n_b, round(median_a, 6) AS median_a, round(median_b, 6) AS median_b, round(CASE WHEN same THEN 'NaN'::DOUBLE ELSE u END, 6) AS u,
+ round(CASE WHEN same THEN 0 ELSE 1 - 2 * u / (n_a * n_b) END, 6) AS rank_biserial FROM pp""")
+def pool_morphology(spark, d):
+    """Seven features of segmentations between two pools of exams."""
+    made = vo.segmentation_table(view(spark, d, "voxels"), view(spark, d, "volumes"))
+    return rounded(vo.pool_tests(made, view(spark, d, "exams"), p_values=False).drop("magnitude"))
+
+
+@query()
+def pool_morphology_tests(spark, d):
+    made = vo.segmentation_table(view(spark, d, "voxels"), view(spark, d, "volumes"))
+    return rounded(vo.pool_tests(made, view(spark, d, "exams")))
+
+
+@query("""WITH v AS (SELECT DISTINCT 'race' AS property, race AS value FROM exams UNION SELECT DISTINCT 'manufacturer', manufacturer FROM exams UNION SELECT DISTINCT 'patient_id', CAST(patient_id AS VARCHAR) FROM exams)
+ SELECT property, row_number() OVER (PARTITION BY property ORDER BY value) AS place, value FROM v WHERE value IS NOT NULL""")
+def sorted_values(spark, d):
+    return s.sorted_values(view(spark, d, "exams"), ["race", "manufacturer", "patient_id"])
+
+
+@query("SELECT o_orderkey, 'scan-' || o_orderkey || '_SEG.nii.gz' AS mask FROM orders")
+def mask_names(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", tables.mask_name(F.concat(F.lit("scan-"), F.col("o_orderkey").cast("string"), F.lit(".nii.gz"))).alias("mask"))
+
+
 def _cohorts(spark, d, name, geometry=False):
     exams = view(spark, d, "exams")
     if geometry:  # the grids are the exams' of the same number
