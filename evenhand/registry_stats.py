@@ -140,7 +140,7 @@ def _attributes(spark, d):
 @query()
 def probe_table(spark, d):
     """Probes of several attributes, each chosen by the score that it reports."""
-    return rounded(pr.probe(_attributes(spark, d), "vec_id", ["binary", "third", "odd"]).withColumn("leakage", pr.leakage(F.col("mean"))))
+    return rounded(pr.probe(_attributes(spark, d), "vec_id", ["third", "odd"]).withColumn("leakage", pr.leakage(F.col("mean"))))
 
 
 @query()

@@ -5,7 +5,7 @@ import pytest
 from evenhand.registry import QUERIES, SQL
 from evenhand.sources.fixtures import TABLES
 
-SLOW = {"linear_probe", "probe_null_control"}
+SLOW = {"linear_probe", "probe_null_control", "probe_table", "perceptron_probe"}
 
 
 @pytest.fixture(scope="module")
