@@ -90,5 +90,5 @@ def evaluate_masks(
     of = lambda rows: rows.join(good.select("case_id"), "case_id", "left_semi")
     paired = v.pair_masks(of(references[1]), of(predictions[1]), sparse=True).drop("status")
     blank = good.select("case_id", *[F.lit(0).alias(c) for c in ("x", "y", "z", "ref", "pred")])  # keeps cases without labels
-    scores = v.case_scores(cut(paired.unionByName(blank), "paired"), good, metrics, weighted)
+    scores = v.case_scores(paired.unionByName(blank), good, metrics, weighted)
     return judged.select(*cases.columns, "status", "missing", "problem").join(scores, "case_id", "left")

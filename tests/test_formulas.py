@@ -272,3 +272,32 @@ def test_range_rules(spark):
     assert got == [(1, "a", "high", 4.0, "critical"), (1, "sum", "low", 8.0, "warning"), (2, "a", "nan", None, "critical"), (2, "b", "high", 10.0, "warning"), (2, "sum", "nan", None, "warning"), (3, "b", "low", 1.5, "warning")]
     with pytest.raises(ValueError):
         quality.broken_rules(df, "id", [])
+
+
+def test_distance_transform_takes_few_array_steps(monkeypatch):
+    """Short lines go without the lower envelope, whose steps are many small ones; long ones still take it, with the same distances."""
+    from evenhand.operators import surfaces
+
+    rng = np.random.default_rng(5)
+    envelope, met = surfaces._lower_envelope, []
+    monkeypatch.setattr(surfaces, "_lower_envelope", lambda f, step: met.append(f.shape) or envelope(f, step))
+    for shape, spacing, long in (((52, 22, 9), (0.5, 0.5, 4.0), 0), ((3, 100, 5), (0.7, 1.1, 2.0), 1), ((100, 3, 70), (0.7, 1.1, 2.0), 1)):
+        met.clear()
+        sites = rng.random(shape) < 0.03
+        got = surfaces.distance_squared(sites, spacing)
+        at, grid = np.argwhere(sites) * spacing, np.argwhere(np.ones(shape, bool)) * spacing
+        want = np.min([((grid - a) ** 2).sum(axis=1) for a in at], axis=0).reshape(shape)
+        assert np.allclose(got, want) and len(met) == long
+    assert np.isinf(surfaces.distance_squared(np.zeros((4, 5, 6), bool), (1.0, 1.0, 1.0))).all()
+
+
+def test_labels_that_span_batches_stay_whole(spark):
+    rows = [(c, v, i) for c in (None, "a", "b") for v in (1, 2) for i in range(7)]
+    df = spark.createDataFrame(rows, "case_id string, v int, x int").repartition(3)
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        got = voxels.each_label(df, lambda x: int(x.sum()) * 100 + len(x), ("x",), "s", "long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+    assert sorted((r["case_id"] or "", r["v"], r["s"]) for r in got) == [(c, v, 2107) for c in ("", "a", "b") for v in (1, 2)]
