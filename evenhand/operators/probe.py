@@ -213,7 +213,7 @@ def component_regression(df: DataFrame, key: str, target: str, n_pcs: int = 50,
     Rows without the target are left out.
     """
     rows = df.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))).withColumn("label", F.col(target).cast("double"))
-    rows = folds(rows.withColumn("every", F.lit("all")), "every", key, k, str(seed))
+    rows = cut(folds(rows.withColumn("every", F.lit("all")), "every", key, k, str(seed)), "placed")  # few partitions read it: folds are dealt before
     fit = lambda train, pcs: LinearRegression(featuresCol="_p", labelCol="label", solver="normal").fit(train)
     out = fold_predictions(rows, key, fit, n_pcs)
     off = F.col("label") - F.col("prediction")

@@ -58,9 +58,9 @@ def folds(df: DataFrame, stratum: str, unit: str, k: int = 5, seed: str = "42")
     """
     n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = n.withColumn("_before", before).drop("_n")
+    start = n.withColumn("_before", before).drop("_n")  # a row a stratum
     ranked = hash_rank(df, [stratum], seeded(seed, F.col(unit)), unit, "_r").withColumn("_r", F.col("_r") - 1)
-    return ranked.join(start, stratum).withColumn("fold", ((F.col("_r") + F.col("_before")) % k).cast("int")).drop("_r", "_before")
+    return ranked.join(F.broadcast(start), stratum).withColumn("fold", ((F.col("_r") + F.col("_before")) % k).cast("int")).drop("_r", "_before")
 
 
 def unit_folds(df: DataFrame, stratum: str, unit: str, row: str, k: int = 5, seed: str = "42") -> DataFrame:
