@@ -140,12 +140,15 @@ def audit(
 
 
 def regressions(scores: DataFrame, exams: DataFrame, covariates: tuple[str, ...], case: str = "series_submitter_id") -> DataFrame:
-    """(ruler, score, term, coef, ...) of each ruler's macro scores on the covariates."""
+    """(ruler, score, term, coef, ...) of each ruler's macro scores on the covariates. Scores meet attributes once, in a table that every fit scans."""
     wide = m.with_macro(scores)
+    names = [c for c in wide.columns if c.endswith("_macro")]
+    joined = cut(wide.join(exams, case).select("ruler", *names, *covariates), "joined")
+    rulers = joined.select("ruler").distinct().orderBy("ruler").collect() or wide.select("ruler").distinct().orderBy("ruler").collect()
     out = None
-    for (ruler,) in wide.select("ruler").distinct().orderBy("ruler").collect():
-        rows = wide.filter(F.col("ruler") == ruler).join(exams, case)
-        for score in [c for c in wide.columns if c.endswith("_macro")]:
+    for (ruler,) in rulers:
+        rows = joined.filter(F.col("ruler") == ruler)
+        for score in names:
             finite = rows.filter(F.abs(score) < float("inf"))
             one = regress.ols(finite, score, list(covariates)).select(F.lit(ruler).alias("ruler"), F.lit(score).alias("score"), "*")
             out = one if out is None else out.unionByName(one)
