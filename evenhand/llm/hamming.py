@@ -46,7 +46,8 @@ def _found(index: DataFrame, queries: DataFrame, spans: list[tuple[int, int]], r
     """
     own = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), F.lit(w).alias("width"), part(F.col("query"), low, w).alias("value")) for s, (low, w) in enumerate(spans)]))
     probes = flipped(queries.select("query", own.alias("_s")).select("query", "_s.*"), radius).drop("width")
-    met = probes.join(index, ["segment", "value"]).withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
+    # A merge join: neither side goes through the driver
+    met = probes.join(index.hint("merge"), ["segment", "value"]).withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
     for s, (low, width) in enumerate(spans):
         near = F.bit_count(part(F.col("x"), low, width))
         met = met.filter((F.col("segment") == s) | (near > F.when(F.col("segment") > s, radius).otherwise(radius - 1)))
@@ -103,7 +104,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id",
         found = best
         for some in done:
             found = found.unionByName(some)
-        ids = found.select("query", "code", "distance").join(least, "code")
+        ids = found.select("query", "code", "distance").join(least.hint("merge"), "code")
         rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
         ids = cut(ids.select("query", "id", "distance").withColumn("rank", rank).filter(F.col("rank") <= k), "found")
         keep(ids, q)

@@ -85,3 +85,13 @@ def test_component_regression_deals_folds_before_it_gathers_rows(spark, monkeypa
     monkeypatch.setattr(probe, "fold_predictions", lambda d, *a, **k: plans.append(plan(d)) or predictions(d, *a, **k))
     got = probe.component_regression(df, "k", "y", n_pcs=3, k=3).first()
     assert got["n"] == 60 and "Window" not in plans[0] and "Sort" not in plans[0]
+
+
+def test_search_index_is_not_broadcast(spark):
+    from evenhand.llm import hamming
+
+    index = spark.range(8).select(F.lit(0).alias("segment"), F.col("id").alias("value"), F.col("id").alias("code"), F.col("id").alias("first"), F.lit(1).cast("long").alias("n"))
+    queries = spark.range(2).select(F.col("id").alias("query"))
+    (met,) = hamming._found(index, queries, [(0, 3)], 1)
+    assert "SortMergeJoin" in plan(met) and "BroadcastExchange" not in plan(met)
+    assert sorted((r["query"], r["code"], r["distance"]) for r in met.collect()) == [(0, 1, 1), (0, 2, 1), (0, 4, 1), (1, 0, 1), (1, 3, 1), (1, 5, 1)]
