@@ -56,14 +56,14 @@ class Vocabulary:
 
 
 class RankMap:
-    """The literal rank map: a perfect hash of (left id, right id) in literal arrays.
+    """The literal rank map: a perfect hash of (left id, right id) in the arrays of one local row.
 
-    ``table`` is one literal struct: ``s`` has a displacement for each bucket, ``e`` a long for each slot (key * 2^20
-    + rank), ``b`` the ids of the 256 bytes. The arrays are split and cast from literal strings, which the optimiser
-    folds once; plans name the literal once, and lambdas bind it.
+    ``table`` is that row as a struct: ``s`` has a displacement for each bucket, ``e`` a long for each slot (key * 2^20
+    + rank), ``b`` the ids of the 256 bytes. Plans take it as a scalar of a local relation, once, and lambdas bind it: a
+    constant in the tasks, which no plan prints (spelled out it is 1.7 MB, twice a plan, and the driver keeps what it prints).
     """
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, spark: SparkSession, vocab: Vocabulary):
         pairs = vocab.pairs()
         if max(vocab.ranks.values(), default=0) >= min(1 << ID_BITS, NONE):
             raise ValueError(f"ids must be below {1 << ID_BITS}")
@@ -83,9 +83,10 @@ class RankMap:
             raise ValueError("no perfect hash found")
         entries = np.full(self.slots, -1, np.int64)
         entries[(home + shifts[bucket]) & (self.slots - 1)] = (((keys[:, 0] << ID_BITS) + keys[:, 1]) << 20) + ranks
-        literal = lambda x, kind: F.split(F.lit(",".join(map(str, x))), ",").cast(f"array<{kind}>")
-        of_byte = [vocab.ranks[bytes([i])] for i in range(256)]
-        self.table = F.struct(literal(shifts.tolist(), "int").alias("s"), literal(entries.tolist(), "bigint").alias("e"), literal(of_byte, "bigint").alias("b"))
+        of_byte = np.array([vocab.ranks[bytes([i])] for i in range(256)], np.int64)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+        row = spark.createDataFrame(pa.table({"s": one(shifts.astype(np.int32)), "e": one(entries), "b": one(of_byte)}))
+        self.table = row.select(F.struct("s", "e", "b")).scalar()
 
     @staticmethod
     def _place(home: np.ndarray, bucket: np.ndarray, slots: int, buckets: int) -> np.ndarray | None:
@@ -125,8 +126,8 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(word: Column, ranks: RankMap) -> Column:
-    """Ids of one word, given as an array of byte values: merge the leftmost pair of lowest rank until none is left.
+def fold_merges(word: Column, table: Column, ranks: RankMap) -> Column:
+    """Ids of one word, given as an array of byte values, by the rank map's ``table``: merge the leftmost pair of lowest rank until none is left.
 
     The state is one array of longs, a piece each, so its least value is the leftmost pair of lowest rank. A merge
     looks up the two new pairs only.
@@ -135,28 +136,25 @@ def fold_merges(word: Column, ranks: RankMap) -> Column:
     id_of = lambda v: v.bitwiseAND((1 << ID_BITS) - 1)
     gone = F.lit(-1).cast("bigint")
 
-    def whole(table: Column) -> Column:
-        def first(ids: Column) -> Column:
-            pair = lambda x, i: F.coalesce(ranks.rank(table, x, F.get(ids, i + 1)), F.lit(end))
-            return F.transform(ids, lambda x, i: pair(x, i) + F.shiftleft(i.cast("bigint"), ID_BITS) + x)
+    def first(ids: Column) -> Column:
+        pair = lambda x, i: F.coalesce(ranks.rank(table, x, F.get(ids, i + 1)), F.lit(end))
+        return F.transform(ids, lambda x, i: pair(x, i) + F.shiftleft(i.cast("bigint"), ID_BITS) + x)
 
-        def merged(v: Column, least: Column, at: Column) -> Column:
-            made = F.shiftright(least, RANK_AT)
-            after = F.coalesce(ranks.rank(table, made, id_of(F.get(v, at + 1))), F.lit(end))
-            both = after + least.bitwiseAND(below - (1 << ID_BITS) + 1) + made
-            before = lambda x: ranks.rank(table, id_of(x), made) + x.bitwiseAND(below)
-            piece = lambda x, i: F.when(i > at, x).when(i == at, gone).when(i == at - 1, both).when(i == at - 2, before(x)).otherwise(x)
-            return F.array_remove(F.transform(v, piece), gone)
+    def merged(v: Column, least: Column, at: Column) -> Column:
+        made = F.shiftright(least, RANK_AT)
+        after = F.coalesce(ranks.rank(table, made, id_of(F.get(v, at + 1))), F.lit(end))
+        both = after + least.bitwiseAND(below - (1 << ID_BITS) + 1) + made
+        before = lambda x: ranks.rank(table, id_of(x), made) + x.bitwiseAND(below)
+        piece = lambda x, i: F.when(i > at, x).when(i == at, gone).when(i == at - 1, both).when(i == at - 2, before(x)).otherwise(x)
+        return F.array_remove(F.transform(v, piece), gone)
 
-        def step(v: Column) -> Column:
-            merge = lambda least: bind(F.array_position(v, least).cast("int"), lambda at: merged(v, least, at))
-            return bind(F.array_min(v), lambda least: F.when(least >= end, v).otherwise(merge(least)))
+    def step(v: Column) -> Column:
+        merge = lambda least: bind(F.array_position(v, least).cast("int"), lambda at: merged(v, least, at))
+        return bind(F.array_min(v), lambda least: F.when(least >= end, v).otherwise(merge(least)))
 
-        start = bind(F.transform(word, lambda x: F.get(table["b"], x)), first)
-        steps = F.slice(word, 2, F.greatest(F.size(word), F.lit(1)))  # as many as merges can happen
-        return F.aggregate(steps, start, lambda v, _: step(v), lambda v: F.transform(v, id_of))
-
-    return bind(ranks.table, whole)
+    start = bind(F.transform(word, lambda x: F.get(table["b"], x)), first)
+    steps = F.slice(word, 2, F.greatest(F.size(word), F.lit(1)))  # as many as merges can happen
+    return F.aggregate(steps, start, lambda v, _: step(v), lambda v: F.transform(v, id_of))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -213,6 +211,13 @@ def latin(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1")
 
 
+def _in_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words in their order, ROW_WORDS to a row at most."""
+    for batch in batches:
+        cuts = [*range(0, len(batch), ROW_WORDS), len(batch)]
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), batch.column(0))], ["w"])
+
+
 def _pack_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's (w, ids) as one compressed Arrow stream."""
     rows = [b for b in batches if len(b)]
@@ -438,12 +443,13 @@ class ByteBpe:
         self.spark, self.vocab = spark, vocab
         small_batches(spark)
         self.sample_texts, self.known_words = sample_texts, known_words
-        self.ranks = RankMap(vocab)
+        self.ranks = RankMap(spark, vocab)
 
-    def fold(self, word: Column) -> Column:
-        """Ids of a word given as a string of bytes, a character each."""
-        values = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c))
-        return F.transform(fold_merges(values, self.ranks), lambda x: x.cast("int"))
+    def fold(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``w``, words in an array, each a string of bytes, a character each: add ``ids``, those of each word."""
+        values = lambda word: F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c))
+        ids = lambda table: F.transform("w", lambda word: F.transform(fold_merges(values(word), table, self.ranks), lambda x: x.cast("int")))
+        return rows.withColumn("_ranks", self.ranks.table).withColumn("ids", bind(F.col("_ranks"), ids)).drop("_ranks")
 
     def _known(self, texts: DataFrame, total: int) -> list[bytes]:
         """Frequent words of a sample of (key, t), with their ids, packed by the tasks that fold them."""
@@ -457,7 +463,8 @@ class ByteBpe:
                 break
         # the most frequent come first: small numbers, whose higher bytes compress to little
         top = cut(counts.filter(F.col("n") >= least).repartitionByRange(16, F.desc("n"), "w").sortWithinPartitions(F.desc("n"), "w"), "top")
-        return [r["blob"] for r in top.select("w", self.fold(F.col("w")).alias("ids")).mapInArrow(lean(_pack_table), "blob binary").collect()]
+        rows = self.fold(top.mapInArrow(lean(_in_rows), "w array<string>")).select(F.explode(F.arrays_zip("w", "ids")).alias("_w")).select("_w.*")
+        return [r["blob"] for r in rows.mapInArrow(lean(_pack_table), "blob binary").collect()]
 
     def _pieces(self):
         pieces = [b""] * (max(self.vocab.ranks.values()) + 1)
@@ -486,9 +493,8 @@ class ByteBpe:
             blocks = blocks.repartition(buckets, "block")
         blocks = cut_bucketed(blocks, "block", buckets, "blocks")
         met = blocks.select(F.col("block").alias("of"), F.inline("rare")).select("of", "part", "words")
-        # plans that name the rank map have no exchange: adaptive execution prints a plan again at each stage, 2 MB each time
         words = cut(met.groupBy("part").applyInArrow(_distinct, "w array<string>, word binary, of binary, pos binary"), "words")
-        folded = words.select(F.transform("w", self.fold).alias("ids"), "word", "of", "pos")
+        folded = self.fold(words).select("ids", "word", "of", "pos")
         packs = cut(folded.mapInArrow(lean(_by_block), "of long, pack binary"), "packs")
         remove(self.spark, words.scratch_path)
         packs = packs.repartition(buckets, "of").groupBy("of").agg(F.collect_list("pack").alias("packs"))  # a block's own words

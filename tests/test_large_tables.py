@@ -95,3 +95,16 @@ def test_search_index_is_not_broadcast(spark):
     (met,) = hamming._found(index, queries, [(0, 3)], 1)
     assert "SortMergeJoin" in plan(met) and "BroadcastExchange" not in plan(met)
     assert sorted((r["query"], r["code"], r["distance"]) for r in met.collect()) == [(0, 1, 1), (0, 2, 1), (0, 4, 1), (1, 0, 1), (1, 3, 1), (1, 5, 1)]
+
+
+def test_plans_do_not_print_the_rank_map(spark, monkeypatch):
+    from evenhand.llm import bpe
+
+    pieces = [bytes([i]) for i in range(256)] + [bytes([i, j]) for i in range(97, 123) for j in range(97, 123)]
+    printed, cut = [], bpe.cut
+    monkeypatch.setattr(bpe, "cut", lambda df, what="step": printed.append(len(df._jdf.queryExecution().executedPlan().toString())) or cut(df, what))
+    coder = bpe.ByteBpe(spark, bpe.Vocabulary({p: i for i, p in enumerate(pieces)}, r"\S+|\s+"))
+    got = coder.encode(spark.createDataFrame([(1, "abc xyz"), (2, None)], "doc_id long, text string")).collect()
+    want = {1: [257, 99, 32, 256 + 23 * 26 + 24, 122], 2: []}
+    assert {r["doc_id"]: [int.from_bytes(r["ids"][i : i + 4], "little") for i in range(0, len(r["ids"]), 4)] for r in got} == want
+    assert max(printed) < 10_000
