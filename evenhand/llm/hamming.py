@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from evenhand.llm.common import cut, remove, temporary
 
 
+#: Codes that a segment's value has on average: a code that is met costs a few bit operations in the join, a probe a row that
+#: is made, shuffled and sorted. Segments are no narrower than LEAST_WIDTH, unless asked for.
+MET, LEAST_WIDTH = 8, 4
+
+
 def sign_code(vector: Column, bits: int = 64) -> Column:
     """Signs of the first ``bits`` components as '0' and '1', null for a null vector; missing or null components are 0."""
     bit = lambda i: F.when(F.get(vector, i - 1) > 0, F.lit("1")).otherwise("0")
@@ -42,15 +47,17 @@ def _found(index: DataFrame, queries: DataFrame, spans: list[tuple[int, int]], r
     """(query, code, distance, first): codes with a segment at exactly ``radius`` from the query's and none nearer.
 
     A pair that meets in several segments is taken in the first of them, so no pair comes twice, nor again at a
-    larger radius.
+    larger radius. Where ``queries`` have a ``bound``, pairs farther apart do not leave the join.
     """
     own = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), F.lit(w).alias("width"), part(F.col("query"), low, w).alias("value")) for s, (low, w) in enumerate(spans)]))
-    probes = flipped(queries.select("query", own.alias("_s")).select("query", "_s.*"), radius).drop("width")
+    probes = flipped(queries.select(*queries.columns, own.alias("_s")).select(*queries.columns, "_s.*"), radius).drop("width")
     # A merge join: neither side goes through the driver
     met = probes.join(index.hint("merge"), ["segment", "value"]).withColumn("x", F.col("query").bitwiseXOR(F.col("code")))
     for s, (low, width) in enumerate(spans):
         near = F.bit_count(part(F.col("x"), low, width))
         met = met.filter((F.col("segment") == s) | (near > F.when(F.col("segment") > s, radius).otherwise(radius - 1)))
+    if "bound" in queries.columns:
+        met = met.filter(F.bit_count("x") <= F.col("bound"))
     return [met.select("query", "code", F.bit_count("x").cast("long").alias("distance"), "first", "n")]
 
 
@@ -58,11 +65,12 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id",
     """(query, id, distance, rank) of each query's k nearest codes by Hamming distance, ties by smaller id; exact.
 
     ``codes`` and ``queries`` hold integer ids and codes as strings of ``bits`` (64 at most) '0' and '1'. Each distinct
-    code is indexed once, by the values of its ``segments`` segments (by default as many as make a segment about as
-    wide as the logarithm of the number of codes), with its k smallest ids. Each distinct query looks up the values at
+    code is indexed once, by the values of its ``segments`` segments (by default as many as leave a segment's value
+    about MET codes), with its k smallest ids. Each distinct query looks up the values at
     distance r of its own in every segment, for r from 0 on. A code within distance segments * (r + 1) - 1 has a
     segment within r, so once radius r is done all codes that near have been met, and a query whose kth distance is
-    no more leaves the search. The k best codes by (distance, smallest id) hold the k best ids, so no more are kept.
+    no more leaves the search; of other queries, the kth distance so far bounds what the next radius lets through. The
+    k best codes by (distance, smallest id) hold the k best ids, so no more are kept.
 
     A query that is also a code finds itself. Null ids or codes are left out on either side; a repeated row of a code
     counts as often as it is there, a repeated row of a query once; fewer than k codes give shorter lists; an empty
@@ -79,7 +87,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id",
         q = cut(q.distinct(), "queries")
         distinct = cut(least.groupBy("code").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "codes")
         size = distinct.count()
-        spans = bounds(bits, segments or max(1, min(bits, round(bits / max(1.0, log2(max(2, size)))))))
+        spans = bounds(bits, segments or max(1, min(bits, round(bits / log2(max(1 << LEAST_WIDTH, size / MET))))))
         keyed = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), part(F.col("code"), *b).alias("value")) for s, b in enumerate(spans)]))
         index = cut(distinct.select("code", "first", "n", keyed.alias("_k")).select("_k.segment", "_k.value", "code", "first", "n"), "index")
         open_ = cut(q.select("query").distinct(), "open")
@@ -92,11 +100,13 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id",
                 both = both.unionByName(found)
             ranked = both.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).withColumn("held", F.sum("n").over(order))
             ranked = cut(ranked.drop("at"), "best")
-            kth = ranked.filter(F.col("held") >= k).groupBy("query").agg(F.min("distance").alias("kth"))
-            covered = cut(kth.filter(F.col("kth") <= len(spans) * (radius + 1) - 1).select("query"), "covered")
+            kth = cut(ranked.filter(F.col("held") >= k).groupBy("query").agg(F.min("distance").alias("kth")), "kth")
+            seen = len(spans) * (radius + 1) - 1
+            covered = kth.filter(F.col("kth") <= seen).select("query")
             done.append(cut(ranked.join(covered, "query", "left_semi").drop("held"), "done"))
             last, best = best, cut(ranked.join(covered, "query", "left_anti").drop("held"), "best")
-            open_ = cut(open_.join(covered, "query", "left_anti"), "open")
+            open_ = open_.select("query").join(kth, "query", "left").select("query", F.coalesce("kth", F.lit(bits)).alias("bound"))
+            open_ = cut(open_.filter(F.col("bound") > seen), "open")
             if hasattr(last, "scratch_path"):
                 remove(codes.sparkSession, last.scratch_path)
             if open_.isEmpty():

@@ -108,3 +108,21 @@ def test_plans_do_not_print_the_rank_map(spark, monkeypatch):
     want = {1: [257, 99, 32, 256 + 23 * 26 + 24, 122], 2: []}
     assert {r["doc_id"]: [int.from_bytes(r["ids"][i : i + 4], "little") for i in range(0, len(r["ids"]), 4)] for r in got} == want
     assert max(printed) < 10_000
+
+
+def test_search_makes_fewer_probes_than_codes_are_met(spark, monkeypatch):
+    from evenhand.llm import hamming
+
+    rng, made, met = np.random.default_rng(3), [], []
+    rows = [(i, "".join(rng.choice(["0", "1"], 32))) for i in range(1000)]
+    codes = spark.createDataFrame(rows, "id long, code string")
+    flipped, found = hamming.flipped, hamming._found
+    monkeypatch.setattr(hamming, "flipped", lambda *a: made.append(flipped(*a).count()) or flipped(*a))
+    monkeypatch.setattr(hamming, "_found", lambda *a: met.append(sum(f.count() for f in found(*a))) or found(*a))
+    got = {}
+    for r in hamming.top_k(codes, codes.filter("id % 100 = 0"), 10, bits=32).collect():
+        got.setdefault(r["query"], []).append((r["distance"], r["id"]))
+    for q in range(0, 1000, 100):
+        assert sorted(got[q]) == sorted((sum(a != b for a, b in zip(rows[q][1], c, strict=True)), i) for i, c in rows)[:10]
+    # all radii together: few probes a query, and only near codes leave the joins once ten are known
+    assert sum(made) < 10_000 and sum(met) < 2_000, (sum(made), sum(met))
