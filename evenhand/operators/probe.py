@@ -25,7 +25,7 @@ from evenhand.operators.ordered import holm, ks_two_sample
 from evenhand.operators.splits import folds
 from evenhand.sources.scratch import cut
 
-#: Classes of an attribute at most, and numbers of the features that make a partition.
+#: Classes of an attribute at most, and numbers of the features that make a partition (fewer where a step costs more a number).
 MOST_CLASSES, VALUES_A_PART = 1000, 1 << 22
 COSTS = tuple(10.0**e for e in np.linspace(-4, 4, 10))
 
@@ -105,14 +105,15 @@ def _placed(df: DataFrame, key: str, attribute: str, k: int, inner: int, seed: i
     return cut(placed.drop("_y"), "placed"), names
 
 
-def fold_predictions(df: DataFrame, key: str, fit: Callable[[DataFrame, int], Model], n_pcs: int = 50, fold: str = "fold") -> DataFrame:
+def fold_predictions(df: DataFrame, key: str, fit: Callable[[DataFrame, int], Model], n_pcs: int = 50, fold: str = "fold", part: int = VALUES_A_PART) -> DataFrame:
     """Predictions for every row from a model that has not seen its fold: centred and reduced to ``n_pcs`` components in each fold, then ``fit(train, pcs)``.
 
     The rows (features, ``fold`` and whatever ``fit`` needs) are placed in folds beforehand. Fits are distributed jobs; the
-    loop over a handful of folds is the driver's.
+    loop over a handful of folds is the driver's. A partition holds about ``part`` numbers of the features.
     """
     n, size = df.count(), len(df.select("features").first()[0])
-    rows = df.coalesce(1 + n * size // VALUES_A_PART).persist()  # every step of a fit is a job over all partitions: as few as the numbers fill
+    parts = 1 + n * size // part  # every step of a fit is a job over all partitions: as few as the numbers fill
+    rows = (df.coalesce(1) if parts == 1 else df.repartition(parts, key)).persist()
     pcs = max(1, min(n_pcs, size, n - 1))
     try:
         out = None
@@ -190,7 +191,8 @@ def fold_scores(
     """
     rows, names = _placed(df, key, attribute, k, inner if hidden is None and len(costs) > 1 else 1, seed)
     fit = logistic(costs, len(names), inner, seed, chosen) if hidden is None else perceptron(len(names), hidden, seed)
-    return _scores_by_fold(fold_predictions(rows, key, fit, n_pcs), len(names))
+    part = VALUES_A_PART // max(1, (hidden or 0) // 8)  # a number costs a hidden layer as many multiplications as it has units
+    return _scores_by_fold(fold_predictions(rows, key, fit, n_pcs, part=max(1, part)), len(names))
 
 
 def probe(df: DataFrame, key: str, attributes: list[str], **options) -> DataFrame:

@@ -126,3 +126,18 @@ def test_search_makes_fewer_probes_than_codes_are_met(spark, monkeypatch):
         assert sorted(got[q]) == sorted((sum(a != b for a, b in zip(rows[q][1], c, strict=True)), i) for i, c in rows)[:10]
     # all radii together: few probes a query, and only near codes leave the joins once ten are known
     assert sum(made) < 10_000 and sum(met) < 2_000, (sum(made), sum(met))
+
+
+def test_perceptron_is_fitted_in_several_tasks(spark, monkeypatch):
+    rng, parts = np.random.default_rng(2), []
+    df = probe.as_vector(spark.createDataFrame([(i, [float(x) + 2 * (i % 2) for x in rng.normal(size=4)], "ab"[i % 2]) for i in range(200)], "k long, embedding array<double>, y string"))
+    perceptron = probe.perceptron
+
+    def counted(*a):
+        fit = perceptron(*a)
+        return lambda train, pcs: parts.append(train.rdd.getNumPartitions()) or fit(train, pcs)
+
+    monkeypatch.setattr(probe, "perceptron", counted)
+    monkeypatch.setattr(probe, "VALUES_A_PART", 800)  # a logistic regression of these 800 numbers takes 2 partitions
+    scores = probe.fold_scores(df, "k", "y", n_pcs=3, k=2, hidden=32)
+    assert parts == [5, 5] and min(scores) > 0.9
