@@ -111,22 +111,27 @@ def lean(run: Callable) -> Callable:
     """
 
     def wrapped(batches: Iterator) -> Iterator:
-        import ctypes
-
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library: nothing to trim
-                pass
+            release()
 
     return wrapped
 
 
+def release() -> None:
+    """Hand freed memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def word_count(text: Column) -> Column:
     """Words of ``text`` as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

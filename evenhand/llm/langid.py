@@ -201,8 +201,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most buckets x MOST_LANGUAGES floats
     letters = F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False))
 
-    @F.arrow_udf("struct<lang_pred string, score double>")
-    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         langs, index, w, temp = m["langs"], m["index"], m["weights"], m["temperature"]
         for column in texts:
@@ -222,6 +221,10 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             names = np.array([*langs, UNKNOWN], object)
             yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score)], ["lang_pred", "score"])
 
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(judged)(texts)
+
     out = docs.withColumn("_j", judge(F.col(text_col)))
     return out.select(
         *own,

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import cut, lean, remove, small_batches, temporary
+from evenhand.llm.common import cut, lean, release, remove, small_batches, temporary
 from evenhand.llm.components import components
 from evenhand.llm.textarrays import mix64, shingle_sets, slices
 
@@ -45,6 +45,8 @@ BLOCK = 256
 BROADCAST_IDS = 2_000_000
 #: Pairs of a round of probes: this many for each row of the groups, or the floor where that is more.
 PROBE_RATIO, PROBE_FLOOR = 8, 500_000
+#: Groups of more bytes hand their memory back when they are compared.
+LARGE_GROUP = 1 << 20
 #: Cells of the level table that are added up in one row.
 CHUNK = 1 << 14
 #: Prefix entries a task holds before it passes them on, and how many meet in one task.
@@ -98,7 +100,7 @@ def _profile(k: int):
                 sets = shingle_sets(data, offsets, k)
                 ns += [len(u) for u in sets]
                 names += [set_name(u) for u in sets]
-                counts += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
+                np.add.at(counts, _cell(np.concatenate(sets)), 1)
             yield _profile_rows(batch.column(0), batch.column(2), ns, names, [None] * len(batch))
         if counts.any():
             yield _profile_rows(pa.array([None], pa.int64()), pa.array([0], pa.int64()), [-1], [0], [zlib.compress(counts.tobytes(), 1)])
@@ -186,12 +188,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hot.append(np.frombuffer(blob, bool, size, 8 + 20 * size))
     if not tok:
         return
-    t, d, m, hot = np.concatenate(tok), np.concatenate(doc), np.concatenate(n), np.concatenate(hot)
-    tok, doc, n = [], [], []
-    order = np.lexsort((d, t))
-    t, d, m, hot = t[order], d[order], m[order], hot[order]
-    once = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])  # copies of a set come from several tasks
-    t, d, m, hot = t[once], d[once], m[once], hot[once]
+    cols = [np.concatenate(tok), np.concatenate(doc), np.concatenate(n), np.concatenate(hot)]
+    tok, doc, n, hot, batch, blob = [], [], [], [], None, None
+    rows = np.lexsort((cols[1], cols[0]))
+    t, d = cols[0][rows], cols[1][rows]
+    rows = rows[np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])]  # copies of a set come from several tasks
+    t = d = None
+    for i in range(len(cols)):  # one after another: a task holds its entries once
+        cols[i] = cols[i][rows]
+    t, d, m, hot = cols
+    cols, rows = [], None
     if hot.any():
         yield from _entries(mix64(t[hot]).view(np.int64), d[hot], m[hot].astype(np.int64), np.ones(int(hot.sum()), np.int64))
         t, d, m = t[~hot], d[~hot], m[~hot]
@@ -297,6 +303,9 @@ def _compare(levels, k: int, t: float):
             at += len(chunk)
         who = list(who)
         linked = [who[i] for i in walk_tree(build_tree(sets), hub, t)] if hub is not None and len(hub) and sets else []
+        if table.nbytes > LARGE_GROUP:
+            hub = sets = None
+            release()
         return pa.table({"a": pa.array([hub_name] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
     return run

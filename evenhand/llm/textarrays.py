@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are turned into arrays at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are turned into arrays at once (up to some 55 bytes of memory a byte of text); a longer text is a slice of its own.
+SLICE_BYTES = 1 << 18
 
 _POWERS: dict[str, np.ndarray] = {}
 _P = 0x9E3779B97F4A7C15 | 1
@@ -60,15 +60,21 @@ def slices(column: pa.ChunkedArray | pa.Array, limit: int = SLICE_BYTES) -> Iter
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
-        for name, base in (("up", _P), ("down", _P_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
+    """Powers of the base and of its inverse; those for longer words than a slice are not kept."""
+    usual = SLICE_BYTES + (1 << 16)
+    if n > usual:
+        return _steps(n, _P), _steps(n, _P_INV)
+    if not _POWERS:
+        _POWERS.update(up=_steps(usual, _P), down=_steps(usual, _P_INV))
     return _POWERS["up"], _POWERS["down"]
 
 
+def _steps(n: int, base: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of texts (A-Z as a-z, unless told not to), and each text's first word: (hashes, bounds)."""
     low = _LOWER[data] if lower else data
