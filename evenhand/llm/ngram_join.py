@@ -13,10 +13,11 @@
    rounds of probes follow: a probe meets the members of other components in all its groups, then leaves them all.
    Groups have an order, small ones first, and the first group that a pair shares must leave both enough shingles in
    it and after it; so in hot groups, which come last, hardly any members meet.
-   A round takes as many probes as keep its pairs in proportion to the groups' rows, and rounds go on until no group
-   is in several components, so no link that could join two components goes unchecked. Pairs that share too few
+   A round takes as many probes as keep the pairs that pass this test in proportion to the groups' rows: where few
+   pass, the next round tests some times as many. Rounds go on, each with the rows that are left, until no group is in
+   several components, so no link that could join two components goes unchecked. Pairs that share too few
    prefix shingles to link, given their sizes, are never compared. Links of a round spare later ones pairs; a group
-   whose n members do not link still costs n * n / 2 pairs over all rounds.
+   whose n members do not link still costs n * n / 2 tests over all rounds.
 5. A comparison loads candidates of one hub, a bounded block at a time, into a prefix tree in global order and walks
    it once: branches share their overlap with the hub, and a branch is left as soon as its overlap so far plus what
    remains cannot reach the least overlap any of its sets needs.
@@ -43,8 +44,10 @@ CELLS = 1 << 20
 BLOCK = 256
 #: Document ids up to this many are broadcast to pick texts (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Pairs of a round of probes: this many for each row of the groups, or the floor where that is more.
+#: Pairs of a round of probes that pass on: about this many for each row of the groups, or the floor where that is more.
 PROBE_RATIO, PROBE_FLOOR = 8, 500_000
+#: A round tests so many pairs at first, and up to this many times those of the round before.
+PROBE_GROWTH = 8
 #: Groups of more bytes hand their memory back when they are compared.
 LARGE_GROUP = 1 << 20
 #: Cells of the level table that are added up in one row.
@@ -400,11 +403,11 @@ class NgramJoin:
         pct = round(self.t * 100)
         return F.ceil((n + m) * pct / (100 + pct) - 1e-9) - F.ceil(F.greatest(n, m) * pct / 100) + 1
 
-    def _probes(self, rows: DataFrame, turn: int) -> DataFrame | None:
-        """The members (rep) that this round compares with all others in their groups; None where no group is mixed.
+    def _probes(self, rows: DataFrame, turn: int, limit: int) -> tuple[DataFrame | None, bool]:
+        """The members (rep) that this round compares with all others in their groups (None where no group is mixed); if they are the last.
 
         A member of the largest component of each of its groups is no probe: the others meet it. Of the rest, a hash
-        takes the share whose pairs are in proportion to the rows, and one more, so that every round gets on.
+        takes the share that tests ``limit`` pairs, and one more, so that every round gets on.
         """
         sizes = rows.select("comp", "rep").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("csize"))
         held = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("held"))
@@ -416,25 +419,27 @@ class NgramJoin:
         cost = cut(cost.filter("below").select("rep", "cost"), "cost")
         total = cost.agg(F.sum("cost")).first()[0]
         if total is None:
-            return None
-        limit = max(PROBE_FLOOR, PROBE_RATIO * rows.count())
+            return None, True
         if total <= limit:
-            return cost
+            return cost, True
         some = cost.filter(F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) < int(limit / total * (1 << 20)))
-        return cut(some.select("rep").union(cost.orderBy("cost", "rep").limit(1).select("rep")).distinct(), "probes")
+        return cut(some.select("rep").union(cost.orderBy("cost", "rep").limit(1).select("rep")).distinct(), "probes"), False
 
-    def _meetings(self, rows: DataFrame, probes: DataFrame) -> DataFrame:
+    def _meetings(self, rows: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         """Pairs of probes with members of other components that may link, by the shingles both have in their prefixes.
 
         Of the groups that a pair shares, those up to some place in the order pass the filter; after the last of them,
-        the pair shares no more than either has left.
+        the pair shares no more than either has left. Also the rows with their part (``probe``), and how often pairs
+        passed the filter.
         """
         rows = rows.join(probes.select("rep", F.lit(True).alias("probe")), "rep", "left").withColumn("probe", F.col("probe").isNotNull())
         rows = cut(rows, "probed")
         own = rows.filter("probe").select("grp", F.col("rep").alias("x"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("comp").alias("hub_comp"))
         met = rows.join(own, "grp").filter("comp <> hub_comp AND NOT (probe AND rep < x)").filter(self._may_link("n", "r", "m", "q"))
-        both = met.groupBy("x", F.col("rep").alias("y"), "n", "m").agg((F.sum("w") + F.min(F.least("r", "q") - F.col("w"))).alias("both"))
-        return both.filter(F.col("both") >= self._least_shared(F.col("n"), F.col("m"))).select("x", "y")
+        both = (F.sum("w") + F.min(F.least("r", "q") - F.col("w"))).alias("both")
+        met = cut(met.groupBy("x", F.col("rep").alias("y"), "n", "m").agg(both, F.count(F.lit(1)).alias("times")), "met")
+        found = met.filter(F.col("both") >= self._least_shared(F.col("n"), F.col("m"))).select("x", "y")
+        return found, rows, met.agg(F.sum("times")).first()[0] or 0
 
     def _merged(self, comp: DataFrame | None, more: DataFrame) -> DataFrame:
         """Components after more links: those that a link joins take the least label."""
@@ -482,36 +487,47 @@ class NgramJoin:
 
     def _links(self, groups: DataFrame) -> DataFrame | None:
         """(a, b): links that connect whatever any links connect; None where there are none."""
-        links = done = comp = probes = None
+        links = done = comp = probed = None
         for turn in count(1):
             with temporary(self.spark) as keep:
-                if comp is not None or turn > self.hubs:  # only groups in more than one component can still hold a link that matters
-                    placed = self._placed(groups if probes is None else groups.join(probes, "rep", "left_anti"), comp)
-                    mixed = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("grp")
-                    old, groups = groups, cut(placed.join(mixed, "grp").select("grp", "rep", "n", "w"), "groups")
-                    remove(self.spark, old.scratch_path)
-                keep(groups)
-                counts = groups.groupBy("rep").agg(F.sum("w").alias("c"))
-                placed = cut(self._placed(groups.join(counts, "rep"), comp), "placed")
+                if turn <= self.hubs:
+                    if comp is not None:  # only groups in more than one component can still hold a link that matters
+                        placed = cut(self._placed(groups, comp), "placed")
+                        mixed = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("grp")
+                        old, groups = groups, cut(placed.join(mixed, "grp").select("grp", "rep", "n", "w"), "groups")
+                        remove(self.spark, old.scratch_path)
+                    keep(groups)
+                    counts = groups.groupBy("rep").agg(F.sum("w").alias("c"))
+                    placed = cut(self._placed(groups.join(counts, "rep"), comp), "placed")
+                last = False
                 if turn < self.hubs:
-                    found, probes = self._stars(placed), None
+                    found = self._stars(placed)
                 else:
-                    live = self._live(placed)
-                    probes = self._probes(live, turn)
+                    # what a member has in a group and later ones stays a bound while others leave: rows are laid out once
+                    rows = self._live(placed) if probed is None else cut(self._placed(probed.filter("NOT probe").drop("probe", "comp"), comp), "rows")
+                    if probed is not None:
+                        remove(self.spark, probed.scratch_path)
+                    most = max(PROBE_FLOOR, PROBE_RATIO * rows.count())
+                    limit = most if probed is None else max(most, min(PROBE_GROWTH * limit, limit * most // max(passed, 1)))
+                    probes, last = self._probes(rows, turn, limit)
                     if probes is None:
                         return links
-                    found = self._meetings(live, probes)
+                    found, probed, passed = self._meetings(rows, probes)
+                    keep(probed)
                 pairs = self._fresh(found, done)
-                keep(probes, pairs)
-                if pairs.isEmpty():
-                    continue
-                more = cut(self._verify(pairs), "links")
-                done = pairs if done is None else done.union(pairs)
-                if more.isEmpty():
-                    continue
-                links = more if links is None else links.union(more)
-                comp = self._merged(comp, more)
-                keep(more, comp)
+                if not pairs.isEmpty():
+                    more = cut(self._verify(pairs), "links")
+                    if turn < self.hubs:  # probes leave, so no later round meets them again
+                        done = pairs if done is None else done.union(pairs)
+                        keep(pairs)
+                    if not more.isEmpty():
+                        links = more if links is None else links.union(more)
+                        keep(more)
+                        if not last:
+                            comp = self._merged(comp, more)
+                            keep(comp)
+                if last:
+                    return links
 
     def _prefix(self, n):
         return n - F.ceil(n * round(self.t * 100) / 100 - 1e-9) + 1

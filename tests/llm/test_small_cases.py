@@ -640,6 +640,22 @@ def test_join_probes_in_rounds(spark, monkeypatch):
     assert len(rounds) > 1 and len({c for _, c in got.values()}) > 1
 
 
+def test_members_that_do_not_link_take_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PROBE_FLOOR", 100)
+    monkeypatch.setattr(ngram_join, "PROBE_RATIO", 0)
+    taken = []
+    meet = ngram_join.NgramJoin._meetings
+    monkeypatch.setattr(ngram_join.NgramJoin, "_meetings", lambda self, rows, probes: taken.append((rows.count(), probes.count())) or meet(self, rows, probes))
+    passage = [f"c{i}" for i in range(64)]
+    rows = [(i, " ".join(passage + [f"u{i}x{j}" for j in range(11 + i % 4)])) for i in range(30)]  # just too far apart
+    rows.append((50, " ".join(passage[:54])))  # so short that all sizes may meet
+    rows += [(60 + i, " ".join([f"v{j}" for j in range(60)] + [f"v{i}y"] * i)) for i in range(2)]
+    got = {r["id"]: (r["n"], r["comp"]) for r in ngram_join.NgramJoin(spark.createDataFrame(rows, "doc_id long, text string"), hubs=1).run().collect()}
+    assert got == brute_components(rows) and got[61][1] == 60 and len({c for _, c in got.values()}) == 32
+    assert 1 < len(taken) <= 4  # over 1,000 pairs, 100 at first
+    assert all(n < m for (n, _), (m, _) in zip(taken[1:], taken, strict=False))  # what has met all others is not carried on
+
+
 def test_tree_prunes_nothing_that_links():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(200)]
