@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from evenhand.operators import voxels as v
 from evenhand.sources.scratch import cut
+from evenhand.sources.tables import small_files
 
 #: What a decoder makes of a file's bytes: the labels of a grid, and the spacing of its voxels in mm.
 Decoder = Callable[[bytes], tuple[np.ndarray, tuple[float, ...]]]
-#: Voxels of one batch that a decoding task hands on.
+#: Masks and voxels that a decoding task holds before it hands them on.
 BATCH = 1 << 18
 _KINDS = [("case_id", pa.string()), ("status", pa.string()), *[(c, pa.int32()) for c in ("nx", "ny", "nz")], *[(c, pa.float64()) for c in ("sx", "sy", "sz")], *[(c, pa.int32()) for c in ("x", "y", "z", "v")]]
 _SCHEMA = "case_id string, status string, nx int, ny int, nz int, sx double, sy double, sz double, x int, y int, z int, v int"
@@ -22,9 +23,26 @@ _SCHEMA = "case_id string, status string, nx int, ny int, nz int, sx double, sy
 
 def _decoded(decode: Decoder):
     def batch(columns: dict[str, object], n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in _KINDS], [c for c, _ in _KINDS])
+        held = lambda c, k: columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], k)
+        return pa.RecordBatch.from_arrays([held(c, k) if c in columns else pa.nulls(n, k) for c, k in _KINDS], [c for c, _ in _KINDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, cases, parts, held = {}, [], [], 0
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            """What is held: a row a mask, and its voxels; small masks share a batch."""
+            if n := len(heads["case_id"]):
+                yield batch(heads, n)
+            if parts:
+                sizes = [len(p[0]) for p in parts]
+                of = pa.array(cases, pa.string()).take(pa.array(np.repeat(np.arange(len(cases)), sizes)))
+                yield batch({"case_id": of} | {c: np.concatenate(p) for c, p in zip("xyzv", zip(*parts, strict=True), strict=True)}, sum(sizes))
+
+        def clear() -> None:
+            nonlocal heads, cases, parts, held
+            heads, cases, parts, held = {c: [] for c, _ in _KINDS[:8]}, [], [], 0
+
+        clear()
         for b in batches:
             for i in range(len(b)):
                 case = b["case_id"][i].as_py()
@@ -33,16 +51,26 @@ def _decoded(decode: Decoder):
                     grid, spacing = np.asarray(grid), [float(s) for s in spacing]
                     if grid.ndim != 3 or len(spacing) < 3 or not all(np.isfinite(s) and s > 0 for s in spacing[:3]):
                         raise ValueError(f"not a grid of three axes: shape {grid.shape}, spacing {spacing}")
+                    row = [case, "ok", *grid.shape, *spacing[:3]]
                 except Exception as e:  # noqa: BLE001  whatever a decoder meets is this file's
-                    yield batch({"case_id": [case], "status": [f"unreadable: {type(e).__name__}: {e}"[:200]]}, 1)
-                    continue
-                head = {"case_id": [case], "status": ["ok"]} | {c: [x] for c, x in zip(("nx", "ny", "nz"), grid.shape, strict=True)} | {c: [x] for c, x in zip(("sx", "sy", "sz"), spacing[:3], strict=True)}
-                yield batch(head, 1)
+                    grid, row = np.zeros((0, 0, 0)), [case, f"unreadable: {type(e).__name__}: {e}"[:200], *[None] * 6]
+                for c, x in zip(heads, row, strict=True):
+                    heads[c].append(x)
+                held += 1
                 at = np.nonzero(grid)
                 for lo in range(0, len(at[0]), BATCH):
-                    own = [a[lo : lo + BATCH] for a in at]
-                    n = len(own[0])
-                    yield batch({"case_id": [case] * n, "x": own[0].astype(np.int32), "y": own[1].astype(np.int32), "z": own[2].astype(np.int32), "v": grid[tuple(own)].astype(np.int32)}, n)
+                    own = tuple(a[lo : lo + BATCH] for a in at)
+                    cases.append(case)
+                    parts.append([a.astype(np.int32) for a in (*own, grid[own])])
+                    held += len(own[0])
+                    if held >= BATCH:
+                        yield from handed_on()
+                        clear()
+                if held >= BATCH:
+                    yield from handed_on()
+                    clear()
+        if held:
+            yield from handed_on()
 
     return run
 
@@ -55,9 +83,10 @@ def read_masks(spark: SparkSession, folder: str, decode: Decoder, case: str, pat
     'unreadable: ...' and stops no other. Of files of one case, all must be readable and alike, or the case is unreadable.
     """
     found = F.regexp_extract("path", case, 1)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    rows = files.select(found.alias("case_id"), "content").filter("case_id <> ''").mapInArrow(_decoded(decode), _SCHEMA)
-    rows = cut(rows, "masks")
+    with small_files(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+        rows = files.select(found.alias("case_id"), "content").filter("case_id <> ''").mapInArrow(_decoded(decode), _SCHEMA)
+        rows = cut(rows, "masks")
     heads = rows.filter("status IS NOT NULL").groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("bad"), *[F.first(c, ignorenulls=True).alias(c) for c in ("nx", "ny", "nz", "sx", "sy", "sz")]
     )

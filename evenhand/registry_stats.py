@@ -15,6 +15,7 @@ from evenhand.plans import reports as rp
 from evenhand.registry import _HD, _LONG, _long, _vectors, query, rounded
 from evenhand.sources.fixtures import table, view
 from evenhand.sources.scratch import scratch
+from evenhand.sources.tables import write_texts
 
 # General metrics ------------------------------------------------------------------------------------------------------
 
@@ -211,7 +212,7 @@ def _decode(content: bytes):
 
 
 def _mask_files(spark, d) -> str:
-    """A file for each case and side, written from the voxels by Spark; some are missing, broken, or of another shape."""
+    """A file for each case and side, written from the voxels by tasks; some are missing, broken, or of another shape."""
     vox, case = view(spark, d, "voxels"), F.col("case_id")
     rows = vox.select("case_id", F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.col("ref").alias("v")), F.struct(F.lit("pred").alias("side"), F.col("pred").alias("v")))).alias("s"), "x", "y", "z")
     rows = rows.filter("s.v > 0").select("s.side", "case_id", F.concat_ws(" ", "x", "y", "z", "s.v").alias("line"))
@@ -221,7 +222,7 @@ def _mask_files(spark, d) -> str:
     lines = heads.unionByName(rows).filter(~((F.col("side") == "pred") & (case % 11 == 3)))
     lines = lines.withColumn("line", F.when((F.col("side") == "ref") & (case % 13 == 5), "garbage").otherwise(F.col("line")))
     path = scratch(spark, "masks")
-    lines.repartition("case_id").write.partitionBy("side", "case_id").text(path)
+    write_texts(lines, path, ["side", "case_id"])
     return path
 
 

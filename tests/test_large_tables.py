@@ -1,13 +1,18 @@
 """Steps whose tasks must not grow faster than their input."""
 
+import os
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from evenhand import registry_stats
 from evenhand.operators import grouping, probe, regress, splits, summaries
 from evenhand.operators import hypothesis as h
-from evenhand.plans import audit, volumes
-from evenhand.sources.fixtures import view
+from evenhand.plans import audit, evaluation, volumes
+from evenhand.sources import tables
+from evenhand.sources.fixtures import table, view
 
 
 @pytest.fixture
@@ -141,3 +146,68 @@ def test_perceptron_is_fitted_in_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(probe, "VALUES_A_PART", 800)  # a logistic regression of these 800 numbers takes 2 partitions
     scores = probe.fold_scores(df, "k", "y", n_pcs=3, k=2, hidden=32)
     assert parts == [5, 5] and min(scores) > 0.9
+
+
+def test_small_masks_share_batches_and_large_ones_are_cut(monkeypatch):
+    grids = [np.random.default_rng(i).integers(0, 3, (4, 5, 6)) for i in range(300)] + [np.zeros((2, 2, 2)), np.ones((50, 40, 6), np.uint8)]
+
+    def decode(content):
+        return grids[int(content)], (1.0, 2.0, 3.0)
+
+    files = pa.record_batch({"case_id": [*map(str, range(len(grids))), "bad"], "content": [*[str(i).encode() for i in range(len(grids))], b"x"]})
+    small = list(evaluation._decoded(decode)(iter([files, files.slice(0, 0)])))
+    assert len(small) == 2  # the masks' rows and their voxels
+    monkeypatch.setattr(evaluation, "BATCH", 1000)
+    for got in (small, found := list(evaluation._decoded(decode)(iter([files])))):
+        rows = pa.Table.from_batches(got).to_pylist()
+        heads = {r["case_id"]: r for r in rows if r["status"] is not None}
+        assert sorted(heads) == sorted(files["case_id"].to_pylist()) and heads["bad"]["status"].startswith("unreadable") and heads["bad"]["nx"] is None
+        assert [heads["301"][c] for c in ("nx", "ny", "nz", "sx", "sy", "sz")] == [50, 40, 6, 1.0, 2.0, 3.0]
+        voxels = [(int(r["case_id"]), r["x"], r["y"], r["z"], r["v"]) for r in rows if r["status"] is None]
+        assert sorted(voxels) == [(i, *map(int, at), int(g[tuple(at)])) for i, g in enumerate(grids) for at in np.argwhere(g)]
+    assert max(map(len, found)) < 2000
+
+
+def test_small_files_fill_tasks(spark, tmp_path, monkeypatch):
+    for i in range(400):
+        (tmp_path / f"{i}.mask").write_bytes(b"x")
+    tasks = []
+    monkeypatch.setattr(evaluation, "cut", lambda df, what: tasks.append(df.rdd.getNumPartitions()) or df)
+    heads, _ = evaluation.read_masks(spark, str(tmp_path), lambda content: (np.zeros((1, 1, 1)), (1.0, 1.0, 1.0)), r"/([0-9]+)\.mask$")
+    assert tasks == [4] and heads.count() == 400
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == "4194304b" and spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+    spark.conf.set("spark.sql.files.openCostInBytes", "1m")
+    try:
+        with tables.small_files(spark):
+            assert spark.conf.get("spark.sql.files.openCostInBytes") == "1m"
+        assert spark.conf.get("spark.sql.files.openCostInBytes") == "1m"
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_mask_files_are_one_file_each(spark, sf_dir):
+    """Hadoop's local writer makes a checksum beside each file, and starts processes for both."""
+    path = tables.local_path(spark, registry_stats._mask_files(spark, sf_dir))
+    found = {os.path.relpath(at, path): names for at, _, names in os.walk(path) if names}
+    assert found and all(names == ["part-0.txt"] for names in found.values())
+    sides = {(side, s.s_suppkey) for s in table(spark, sf_dir, "supplier").collect() for side in ("ref", "pred") if side == "ref" or s.s_suppkey % 11 != 3}
+    assert {f"side={side}/case_id={case}" for side, case in sides} <= set(found)
+
+
+def test_texts_are_laid_out_as_by_sparks_writer(spark, tmp_path, monkeypatch):
+    rows = [(g, k, f"{i} ü" if i % 9 else ("" if i % 2 else None)) for i, (g, k) in enumerate([(g, k) for g in ("a b", "x/y:%", "", None, "{ö}") for k in (1, -2, None)] * 7)]
+    lines = spark.createDataFrame(rows, "g string, k int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # files go over several batches
+    try:
+        tables.write_texts(lines, str(tmp_path / "own"), ["g", "k"], "text")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(tables, "local_path", lambda *_: None)
+    tables.write_texts(lines, f"file://{tmp_path}/spark", ["g", "k"], "text")
+
+    def laid_out(where):
+        files = [p for p in (tmp_path / where).rglob("part-*")]
+        assert len({p.parent for p in files}) == len(files)
+        return {str(p.parent.relative_to(tmp_path / where)): sorted(p.read_text().split("\n")) for p in files}
+
+    assert laid_out("own") == laid_out("spark") and len(laid_out("own")) == 12
