@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenhand import registry_stats
-from evenhand.operators import grouping, probe, regress, splits, summaries
+from evenhand.operators import grouping, probe, regress, splits, summaries, surfaces
 from evenhand.operators import hypothesis as h
 from evenhand.plans import audit, evaluation, volumes
 from evenhand.sources import tables
@@ -211,3 +211,19 @@ def test_texts_are_laid_out_as_by_sparks_writer(spark, tmp_path, monkeypatch):
         return {str(p.parent.relative_to(tmp_path / where)): sorted(p.read_text().split("\n")) for p in files}
 
     assert laid_out("own") == laid_out("spark") and len(laid_out("own")) == 12
+
+
+def test_few_surface_places_meet_in_pairs(monkeypatch):
+    rng = np.random.default_rng(0)
+    masks = [np.pad(rng.random((30, 20, 7)) < share, 1) for share in (0.02, 0.05, 0.0)]
+    cases = [(p, q, spacing) for p in masks for q in masks for spacing in ((0.5, 0.5, 4.0), (0.3, 0.7, 1.1))]
+    want = [(np.sqrt(surfaces.distance_squared(q, s)[p]), np.sqrt(surfaces.distance_squared(p, s)[q])) for p, q, s in cases]
+    ends = [surfaces.robust_hausdorff(*c, weighted=False) for c in cases]
+    with monkeypatch.context() as m:
+        m.setattr(surfaces, "PAIRS", 0)
+        assert np.array_equal(ends, [surfaces.robust_hausdorff(*c, weighted=False) for c in cases], equal_nan=True)
+    monkeypatch.setattr(surfaces, "distance_squared", None)  # the transform of the whole grid is not needed
+    for (p, q, s), (a, b) in zip(cases, want, strict=True):
+        got = surfaces.distances(p, q, s)
+        assert np.array_equal(got[0], a) and np.array_equal(got[1], b)
+        surfaces.robust_hausdorff(p, q, s, weighted=False)
